@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import class_lm, minhash_dedup, quality_rules, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
+    "op3_class_lm": class_lm.op3,
+    "op4_minhash_dedup": minhash_dedup.op4,
+    "op7_token_counts": token_counts.op7,
 }
 
 ORACLES = {
