@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import class_lm, minhash_dedup, quality_rules, token_counts
+from . import class_lm, licenses, minhash_dedup, mixing, packing, quality_rules, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
     "op3_class_lm": class_lm.op3,
     "op4_minhash_dedup": minhash_dedup.op4,
+    "op5_mixing": mixing.op5,
+    "op6_packing": packing.op6,
     "op7_token_counts": token_counts.op7,
+    "op9_license_scan": licenses.op9,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op9_license_scan": licenses.OP9_SQL,
 }
