@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, licenses, minhash_dedup, mixing, packing, quality_rules, token_counts
+from . import class_lm, licenses, minhash_dedup, mixing, packing, pii, quality_rules, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mixing": mixing.op5,
     "op6_packing": packing.op6,
     "op7_token_counts": token_counts.op7,
+    "op8_pii": pii.op8,
     "op9_license_scan": licenses.op9,
 }
 
