@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import class_lm, licenses, minhash_dedup, mixing, packing, pii, quality_rules, token_counts
+from . import class_lm, licenses, minhash_dedup, mixing, packing, pii, quality_rules, rule_ensemble, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
+    "op2_rule_ensemble": rule_ensemble.op2,
     "op3_class_lm": class_lm.op3,
     "op4_minhash_dedup": minhash_dedup.op4,
     "op5_mixing": mixing.op5,
