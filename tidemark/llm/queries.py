@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, licenses, minhash_dedup, mixing, packing, pii, quality_rules, rule_ensemble, token_counts
+from . import class_lm, embedding_dedup, licenses, minhash_dedup, mixing, packing, pii, quality_rules, rule_ensemble, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_counts": token_counts.op7,
     "op8_pii": pii.op8,
     "op9_license_scan": licenses.op9,
+    "op10_embedding_dedup": embedding_dedup.op10,
 }
 
 ORACLES = {
