@@ -1 +1,6 @@
+"""Queries by name, with the same queries in SQL."""
 
+from . import content
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "content"]
