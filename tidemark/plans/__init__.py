@@ -1,6 +1,6 @@
 """Queries by name, with the same queries in SQL."""
 
-from . import content
+from . import content, events
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "content"]
+__all__ = ["ORACLES", "QUERIES", "content", "events"]
