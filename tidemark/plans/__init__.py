@@ -1,6 +1,6 @@
 """Queries by name, with the same queries in SQL."""
 
-from . import content, events
+from . import content, events, scoring
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "content", "events"]
+__all__ = ["ORACLES", "QUERIES", "content", "events", "scoring"]
