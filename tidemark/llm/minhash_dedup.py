@@ -5,8 +5,10 @@
 2. Texts with equal sets form a class; only its smallest doc_id goes on, so copies never meet as pairs.
 3. Classes that share a band key form a bucket; each member is paired with the bucket's smallest class only. A pair is a
    link if the full sets, made again from the texts, have 100 * intersection >= 75 * union.
-4. Where a bucket still holds several components, further members become centres, sixteen a round, until one component
-   is left or every member was a centre. No pair that shares a band key and could join two components goes untested.
+4. Buckets that still hold several components are joined into groups. In each, every class outside the group's largest
+   component is compared with all others, on full sets: blocks of about BLOCK classes meet in pairs, as many tasks as there are
+   pairs of blocks, and a pair of blocks sends on only links that join components. A group whose members link is a few
+   stars; only one whose members don't costs its square, in tasks of fixed size, and no list of pairs is ever made.
 
 At a similarity of 0.75 all 32 bands of four bins miss with a probability of 5e-6.
 
@@ -23,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import checkpoint, documents, small_batches, stage
 from .graph import components
@@ -33,7 +34,8 @@ SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 SIMILARITY = 75  # per cent
-CENTRES = 16
+#: Classes per block, and columns of the block's incidence matrix at a time.
+BLOCK, COLUMNS = 256, 1 << 13
 #: Ids of this many candidate documents at most are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -169,36 +171,69 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     pairs = stage(shared.filter("a <> b").select("a", "b").distinct(), "pairs")
     links = stage(confirm(pairs, texts), "links")
     labels = components(links)
-    tested, ranked, done = pairs, None, 0
-    while True:
-        # buckets that still hold several components, and whose later members were not yet centres
-        open_ = shared.join(labels.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("component", "b").alias("c"))
-        several = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter((F.col("lo") < F.col("hi")) & (F.col("size") > done)).select("key")
-        open_ = open_.join(several, "key")
-        ranked = stage(open_.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("b"))), "open")
-        centres = ranked.filter((F.col("place") > done) & (F.col("place") <= done + CENTRES)).select("key", F.col("b").alias("x"), F.col("c").alias("cx"))
-        todo = (
-            ranked.select("key", F.col("b").alias("y"), F.col("c").alias("cy")).join(centres, "key").filter("cx <> cy")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        )
-        todo = stage(todo, "more_pairs")
-        done += CENTRES
-        if todo.limit(1).count():
-            links = links.unionByName(stage(confirm(todo, texts), "links"))
-            tested = tested.unionByName(todo)
-            labels = components(links)
-        if not ranked.filter(F.col("place") > done).limit(1).count():
-            break
-    labels = checkpoint(labels)
+    # buckets that still hold several components
+    open_ = shared.join(labels.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("component", "b").alias("c"))
+    several = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("b").alias("a")).filter("lo < hi").select("key", "a")
+    open_ = stage(open_.join(several, "key").select("a", "b", "c").distinct(), "open")
+    if open_.limit(1).count():
+        links = links.unionByName(stage(compare_blocks(open_, texts), "more_links"))
+        labels = components(links)
     return member.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
         "doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id", "doc_id").alias("component_id")
     )
 
 
+def _blocks(table: pa.Table) -> pa.Table:
+    """Links between components among one pair of blocks: of loose classes with each other, or with those of the other block."""
+    ids, of, loose = (table.column(c).to_numpy() for c in ("id", "c", "loose"))
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("members")]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (lo, lo + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[row[i:j], column[i:j] - lo] = 1
+        shared += part @ part.T
+    near = 100 * shared >= SIMILARITY * (sizes[:, None] + sizes[None, :] - shared)
+    near &= (of[:, None] != of[None, :]) & (loose[:, None] | loose[None, :])
+    # one link per two components is enough
+    x, y = np.nonzero(np.triu(near))
+    pairs = np.stack((np.minimum(of[x], of[y]), np.maximum(of[x], of[y])), axis=1)
+    _, first = np.unique(pairs, axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+    return pa.table({"a": pa.array(ids[x[first]], pa.int64()), "b": pa.array(ids[y[first]], pa.int64())})
+
+
+def compare_blocks(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join components within groups. open_: (a, b, c), class b of component c in a bucket with smallest class a."""
+    groups = components(open_.select("a", "b")).select(F.col("node").alias("b"), F.col("component").alias("g"))
+    rows = checkpoint(open_.select("b", "c").distinct().join(groups, "b"))
+    mains = rows.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "c")).alias("m")).select("g", F.col("m.c").alias("main"))
+    rows = rows.join(mains, "g").withColumn("loose", F.col("c") != F.col("main"))
+    counts = rows.groupBy("g").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("loose") == v, 1).otherwise(0)) / BLOCK)).cast("int").alias(k) for k, v in (("p", True), ("q", False))))
+    rows = rows.join(counts, "g").withColumn("i", F.pmod(F.xxhash64("b"), F.when(F.col("loose"), F.col("p")).otherwise(F.col("q"))).cast("int"))
+    # loose block i meets the loose blocks (lo, hi) and, as (i, -1 - j), each block j of the main component
+    others = F.sequence(F.lit(0), F.col("p") - 1)
+    meets = F.when(
+        F.col("loose"),
+        F.concat(
+            F.transform(others, lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi"))),
+            F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.struct(F.col("i").alias("lo"), (-1 - j).alias("hi"))),
+        ),
+    ).otherwise(F.transform(others, lambda k: F.struct(k.alias("lo"), (-1 - F.col("i")).alias("hi"))))
+    ids = checkpoint(rows.select(F.col("b").alias("id"), "g", "c", "loose", F.array_distinct(meets).alias("meets")))
+    sets = _set_table(texts, ids.select("id"), ids.count())
+    met = sets.join(ids, "id").select("id", "c", "loose", "members", "g", F.explode("meets").alias("m"))
+    return met.select("id", "c", "loose", "members", "g", "m.lo", "m.hi").groupBy("g", "lo", "hi").applyInArrow(_blocks, "a long, b long")
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component."""
-    kept = link(docs, text, doc_id).filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(kept, doc_id, "left_semi")
+    """The rows of docs whose doc_id is the smallest of its component; those without a doc_id stay."""
+    gone = stage(link(docs, text, doc_id).filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, doc_id, "left_anti")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
