@@ -1,6 +1,6 @@
 """Queries by name, with the same queries in SQL."""
 
-from . import content, events, scoring
+from . import content, events, experiments, scoring
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "content", "events", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "content", "events", "experiments", "scoring"]

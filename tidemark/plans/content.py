@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import NOW, PUBLIC_SQL, Domain, now, public_posts
@@ -10,12 +10,15 @@ from .registry import query
 
 PAGE = 20
 _FEED = f"SELECT post_id, title, author_name, published_at FROM ({PUBLIC_SQL})"
-_NEWEST = (F.desc_nulls_last("published_at"), F.desc("post_id"))
+
+
+def _newest() -> tuple[Column, Column]:
+    return F.desc_nulls_last("published_at"), F.desc("post_id")
 
 
 @query("feed_first_page", f"{_FEED} ORDER BY published_at DESC NULLS LAST, post_id DESC LIMIT {PAGE}", ("members", "posts"))
 def feed_first_page(d: Domain) -> DataFrame:
-    return public_posts(d.posts, d.members).orderBy(*_NEWEST).limit(PAGE).select("post_id", "title", "author_name", "published_at")
+    return public_posts(d.posts, d.members).orderBy(*_newest()).limit(PAGE).select("post_id", "title", "author_name", "published_at")
 
 
 @query(
@@ -28,7 +31,7 @@ def feed_first_page(d: Domain) -> DataFrame:
 )
 def feed_two_stage_topk(d: Domain) -> DataFrame:
     """The newest 100, then the most popular of them."""
-    newest = public_posts(d.posts, d.members).orderBy(*_NEWEST).limit(100).select("post_id")
+    newest = public_posts(d.posts, d.members).orderBy(*_newest()).limit(100).select("post_id")
     counts = _counted(d.likes, "likes"), _counted(d.saves, "saves")
     rows = newest.join(counts[0], "post_id", "left").join(counts[1], "post_id", "left")
     return rows.select("post_id", (F.coalesce("likes", F.lit(0)) + 2 * F.coalesce("saves", F.lit(0))).alias("popularity")).orderBy(F.desc("popularity"), "post_id").limit(PAGE)
@@ -388,7 +391,7 @@ def page_by_offset(d: Domain, page: int = 2) -> DataFrame:
     """A page with the total; the total is an aggregate of its own, so no window gathers the feed."""
     rows = public_posts(d.posts, d.members)
     total = rows.agg(F.count("*").alias("total"))
-    return rows.orderBy(*_NEWEST).offset(page * PAGE).limit(PAGE).select("post_id", "title").join(F.broadcast(total), F.lit(True))
+    return rows.orderBy(*_newest()).offset(page * PAGE).limit(PAGE).select("post_id", "title").join(F.broadcast(total), F.lit(True))
 
 
 @query(
