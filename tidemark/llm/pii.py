@@ -6,7 +6,7 @@ of a match that failed its check (a card number's Luhn sum, an address part over
 inferred. Neighbouring candidates share a chain potential; distant candidates that are the same or end in the same seven
 digits share a skip potential, so that "(708) 555-4315" is read like "+1 (708) 555-4315" elsewhere in the document. Sum-product
 messages run over this loopy graph; a word whose kind gets CERTAIN of the belief, and that is skip-linked to an observed
-word of that kind, becomes a span.
+word of that kind, becomes a span, together with the words beside it that are believed to be of that kind too.
 
 The weights are those that make observed labels likeliest given their neighbours (pseudo-likelihood). Features are few-valued, so
 the training table is counts of (features, label), gathered from every document and bounded by the number of feature values.
@@ -247,16 +247,24 @@ def find(text: str, potentials) -> tuple[list[Span], list[Span]]:
     if not any(linked.values()):
         return spans, spans
     beliefs = infer(field, potentials)
-    more = []
+    best = beliefs.argmax(axis=1)
+    joined, more = set(field.chain), set()
     for i, kinds in linked.items():
-        label = int(beliefs[i].argmax())
-        if label in kinds and beliefs[i, label] >= CERTAIN:
-            s, word = field.places[i][0], field.words[i]
-            core = word.strip(_EDGE)
-            if core:
-                s += len(word) - len(word.lstrip(_EDGE))
-                more.append((label - 1, s, s + len(core)))
-    return spans, sorted(spans + more)
+        label = int(best[i])
+        if label not in kinds or beliefs[i, label] < CERTAIN:
+            continue
+        # with the words beside it that the field reads alike
+        first = last = i
+        while first - 1 in joined and field.labels[first - 1] < 0 and best[first - 1] == label:
+            first -= 1
+        while last in joined and field.labels[last + 1] < 0 and best[last + 1] == label:
+            last += 1
+        head, tail = field.words[first], field.words[last]
+        s = field.places[first][0] + len(head) - len(head.lstrip(_EDGE))
+        e = field.places[last][1] - len(tail) + len(tail.rstrip(_EDGE))
+        if s < e:
+            more.add((label - 1, s, e))
+    return spans, sorted({*spans, *more})
 
 
 def _joined(spans: list[Span]) -> str:
