@@ -123,3 +123,15 @@ def test_radius_is_checked(spark):
 
     with pytest.raises(ValueError):
         content.regions_nearby(Domain(spark, "/nowhere"), radius=501.0)
+
+
+def test_text_functions(spark):
+    from tidemark.functions import text
+
+    assert text.canonical('{"b": 1.0, "a": [-0.0, {"z": "é", "y": null}]}') == '{"a":[0,{"y":null,"z":"é"}],"b":1}'
+    assert text.canonical("{") is None and text.canonical(None) is None
+    assert text.has_key('{"a": [{"Pass-Word": 1}]}', frozenset({"password"})) and not text.has_key('{"a": "password"}', frozenset({"password"}))
+    assert text.normalise("  Ａ  b\tC ") == "a b c"
+    rows = spark.createDataFrame([("a",), (None,), ("é b b B-c",)], "t string")
+    got = rows.select("t", text.hmac_bucket(F.col("t"), b"k").alias("h"), text.terms(F.col("t")).alias("w"), text.normalised_query(F.col("t")).alias("q")).collect()
+    assert got[1]["h"] is None and 0 <= got[0]["h"] < 10_000 and got[2]["w"] == ["é", "b", "c"] and got[2]["q"] == "é b b b-c"
