@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Policy parameters.
-HALF_LIFE_DAYS = {"post": 14.0, "journey": 30.0}
+HALF_LIFE_DAYS = {"post": 14.0, "slow": 30.0}
 WILSON_Z = 1.96
 ENGAGEMENT_WEIGHTS = {"likes": 0.25, "saves": 0.5, "shares": 0.25}
 ENGAGEMENT_LEAST, ENGAGEMENT_REFERENCE = 20, 1000

@@ -25,7 +25,7 @@ def counts(d: Domain) -> DataFrame:
 @query("freshness", f"SELECT post_id, round(pow(2.0, -({_AGE}) / 14.0), 9) AS fresh, round(pow(2.0, -({_AGE}) / 30.0), 9) AS fresh_slow FROM posts WHERE published_at IS NOT NULL", ("posts",))
 def freshness(d: Domain) -> DataFrame:
     days = scoring.age_days(F.col("published_at"), now())
-    return d.posts.filter("published_at is not null").select("post_id", F.round(scoring.freshness(days, scoring.HALF_LIFE_DAYS["post"]), 9).alias("fresh"), F.round(scoring.freshness(days, scoring.HALF_LIFE_DAYS["journey"]), 9).alias("fresh_slow"))
+    return d.posts.filter("published_at is not null").select("post_id", F.round(scoring.freshness(days, scoring.HALF_LIFE_DAYS["post"]), 9).alias("fresh"), F.round(scoring.freshness(days, scoring.HALF_LIFE_DAYS["slow"]), 9).alias("fresh_slow"))
 
 
 def _wilson_sql(k: str) -> str:
