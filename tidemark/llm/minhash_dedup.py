@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, documents, small_batches, stage
-from .graph import components
+from .graph import components, join_components
 from .words import batch_bytes, mix, text_groups, word_hashes
 
 SHINGLE = 5
@@ -176,8 +176,7 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     several = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("b").alias("a")).filter("lo < hi").select("key", "a")
     open_ = stage(open_.join(several, "key").select("a", "b", "c").distinct(), "open")
     if open_.limit(1).count():
-        links = links.unionByName(stage(compare_blocks(open_, texts), "more_links"))
-        labels = components(links)
+        labels = join_components(labels, stage(compare_blocks(open_, texts), "more_links"))
     return member.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
         "doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id", "doc_id").alias("component_id")
     )
