@@ -8,7 +8,7 @@ def test_stages_take_effect(spark, docs):
     docs = docs.drop("n").withColumn("n_chars", docs["size"])
     kept = stage(c.quality(spark, docs, ""), "kept")
     assert kept.columns == docs.columns
-    # a column, not a filter: a filter is pushed down with every measurement written out in it, which takes minutes to plan
+    # a column, not a filter: a filter is pushed down with every measurement written out in it, which takes minutes
     verdicts = quality_rules.ledger(docs).select(quality_rules.passes().alias("passes")).collect()
     assert kept.count() == sum(bool(r["passes"]) for r in verdicts)
     one = stage(c.near_duplicates(spark, kept, ""), "one")
