@@ -41,5 +41,25 @@ def test_links_match_brute_force(spark):
     assert max(links.values()) > e.NEIGHBOURS
 
 
+def test_dense_groups_with_links_below_those_inside_are_joined(spark):
+    rng = np.random.default_rng(4)
+    a, b = np.eye(16)[0], np.append([0.96, np.sqrt(1 - 0.96**2)], np.zeros(14))
+    ids = [*range(1, 61), *range(101, 161)]  # none is audited, and each group holds more than two lists
+    rows = [(i, ((a if i < 100 else b) + 0.002 * rng.standard_normal(16)).tolist(), 1, None, None, None) for i in ids]
+    found = {r["id"]: (r["n_links"], r["component_id"]) for r in e.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: (119, 1) for i in ids}
+
+
+def test_audit_counts_vectors_alike(spark):
+    near = lambda k, n: (np.eye(8)[k] + 0.01 * np.eye(8)[n % 8]).tolist()
+    rows = [(100 * n if n < 2 else 1000 + n, near(0, n)) for n in range(200)] + [(5000, near(1, 3)), (5001, near(1, 4))]
+    rows = [(i, "g", (np.array(v) / np.linalg.norm(v)).tobytes()) for i, v in rows]
+    labels = spark.createDataFrame([(i, 0) for i, _, _ in rows if i < 5000], "node long, component long")
+    recall, missed = e.audit(labels, spark.createDataFrame(rows, "id long, g string, v binary"))
+    queries = [i for i, _, _ in rows if i % e.AUDIT == 0]
+    assert abs(recall - (1 - 1 / len(queries))) < 1e-9
+    assert [(r["id"], r["c"]) for r in missed.collect()] == [(5000, 5000)]
+
+
 def test_empty(spark):
     assert e.link(spark.createDataFrame([], SCHEMA)).count() == 0

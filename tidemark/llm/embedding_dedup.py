@@ -6,10 +6,12 @@
    neighbour than the farthest on its list goes on the list. Rounds end when they find no more links (cosine >= THRESHOLD).
 3. A list is saturated when all of it are links. Saturated lists are doubled and the rounds go on, until no list is saturated or
    doubling joined no more components.
-4. Recall is audited: every vec_id divisible by AUDIT is compared with all vectors of its group, in blocks. Below RECALL, all
-   lists are doubled and the rounds go on.
-5. Links are then counted exactly within each component, block by block, which is also what completes saturated lists;
-   counts are sent on, never pairs.
+4. Components that hold a vector whose list is still saturated are compared with all other components of their group, in
+   blocks, as those of vectors whose links the audit finds in several components: such a comparison sends on only pairs of components.
+5. Recall is audited: every vec_id divisible by AUDIT is compared with all vectors of its group, in blocks; recall is the mean over
+   these vectors of the share of their links that is within their component. Below RECALL, all lists are doubled and the rounds go
+   on, as long as that raises recall; then all of the groups with a miss are compared, which leaves nothing open in them.
+6. Links are then counted exactly within each component, block by block; counts are sent on, never pairs.
 
 Defined results: vectors that are null, zero, without label, or hold null or non-finite values link with nothing; so do
 vectors of different lengths; rows with one vec_id are one vector for links, and each row is returned; an empty table gives
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, small_batches, stage
-from .graph import components
+from .graph import components, join_components
 
 THRESHOLD = 0.93
 NEIGHBOURS = 10
@@ -142,15 +144,49 @@ def _blocked(rows: DataFrame, on: str, firsts: DataFrame, seconds: DataFrame) ->
     return both.groupBy(on, "i", "j").applyInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def audit(links: DataFrame, vectors: DataFrame) -> float:
-    """The share of the links of vec_ids divisible by AUDIT that are within the components found. links: (a, b)."""
+def _across(table: pa.Table) -> pa.Table:
+    """The pairs of components (a < b) with a link between the first block and the second."""
+    of = table.column("c").to_numpy()
+    first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
+    x = _matrix(table.column("v"))
+    p, q = of[first], of[~first]
+    i, j = np.nonzero((x[first] @ x[~first].T >= THRESHOLD) & (p[:, None] != q[None, :]))
+    pairs = np.unique(np.stack((np.minimum(p[i], q[j]), np.maximum(p[i], q[j])), axis=1), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def _members(labels: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(id, g, v, c): every vector with its component, itself where it has no link."""
+    return vectors.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "g", "v", F.coalesce("component", "id").alias("c"))
+
+
+def compare_blocks(labels: DataFrame, vectors: DataFrame, open_: DataFrame) -> DataFrame:
+    """labels, (node, component), joined by every link between the open components, (c), and the other components of their groups."""
+    rows = _members(labels, vectors)
+    loose = rows.join(open_.select("c").distinct(), "c", "left_semi")
+    several = rows.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("g")
+    blocks = (
+        loose.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p"))
+        .join(several, "g")
+        .join(rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q")), "g")
+    )
+    own = F.xxhash64("id")
+    left = loose.join(blocks, "g").select("g", "c", "v", F.pmod(own, F.col("p")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("first"))
+    right = rows.join(blocks, "g").select("g", "c", "v", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(own, F.col("q")).cast("int").alias("j"), F.lit(False).alias("first"))
+    more = stage(left.unionByName(right).groupBy("g", "i", "j").applyInArrow(_across, "a long, b long").distinct(), "across")
+    return join_components(labels, more) if more.limit(1).count() else labels
+
+
+def audit(labels: DataFrame, vectors: DataFrame) -> tuple[float, DataFrame]:
+    """The mean, over the vec_ids divisible by AUDIT that have links, of the share of their links within their component; and
+    (id, g, c) of those that miss some. labels: (node, component)."""
     queries = vectors.filter(F.col("id") % AUDIT == 0)
     true = _blocked(vectors, "g", queries.select("id", "g", "v"), vectors.select("id", "g", "v"))
-    found = components(links)
-    same = vectors.join(found.withColumnRenamed("node", "id"), "id").select("id", F.col("component").alias("g"), "v")
-    have = _blocked(vectors, "g", same.filter(F.col("id") % AUDIT == 0), same)
-    row = true.join(have.withColumnRenamed("n", "m"), "id", "left").agg(F.sum("n").alias("n"), F.sum(F.coalesce("m", F.lit(0))).alias("m")).first()
-    return 1.0 if not row["n"] else row["m"] / row["n"]
+    same = _members(labels, vectors).withColumn("on", F.concat_ws("/", "g", "c"))
+    have = _blocked(same, "on", same.filter(F.col("id") % AUDIT == 0).select("id", "on", "v"), same.select("id", "on", "v"))
+    rows = stage(true.join(have.withColumnRenamed("n", "m"), "id", "left").filter("n > 0").select("id", "n", F.coalesce("m", F.lit(0)).alias("m")), "audit")
+    recall = rows.agg(F.avg(F.col("m") / F.col("n"))).first()[0]
+    return 1.0 if recall is None else recall, same.join(rows.filter("m < n"), "id").select("id", "g", "c")
 
 
 def link(rows: DataFrame, embedding: str = "embedding", vec_id: str = "vec_id", label: str = "label") -> DataFrame:
@@ -171,22 +207,29 @@ def link(rows: DataFrame, embedding: str = "embedding", vec_id: str = "vec_id",
     first = dealt.select("id", "v", "g", "t", "bucket", "part").groupBy("g", "t", "bucket", "part").applyInArrow(_nearest, "id long, nb long, sim double")
     caps = vectors.select("id").distinct().withColumn("k", F.lit(NEIGHBOURS))
     lists = stage(_best(first, caps), "lists")
-    n_found, n_components, rounds = -1, None, 0
+    n_found, n_components, reached = -1, None, -1.0
     while True:
         for _ in range(ROUNDS):
             lists = stage(_best(lists.select("id", "nb", "sim").unionByName(_round(lists, vectors)), lists.select("id", "k").distinct()), "lists")
-            rounds += 1
             before, n_found = n_found, lists.filter(F.col("sim") >= THRESHOLD).count()
             if n_found == before:
                 break
-        links = lists.filter(F.col("sim") >= THRESHOLD).select(F.col("id").alias("a"), F.col("nb").alias("b"))
-        labels = components(links)
+        labels = components(lists.filter(F.col("sim") >= THRESHOLD).select(F.col("id").alias("a"), F.col("nb").alias("b")))
         full = lists.groupBy("id").agg(F.max("k").alias("k"), ((F.count("*") >= F.max("k")) & (F.min("sim") >= THRESHOLD)).alias("full"))
         now = labels.agg(F.countDistinct("component")).first()[0]
         grown = full.select("id", F.when(F.col("full"), 2 * F.col("k")).otherwise(F.col("k")).alias("k"))
-        if not full.filter("full").limit(1).count() or now == n_components:
-            if audit(links, vectors) >= RECALL or rounds > 4 * ROUNDS:
+        saturated = full.filter("full")
+        left = saturated.limit(1).count()
+        if not left or now == n_components:
+            if left:
+                labels = compare_blocks(labels, vectors, labels.join(saturated, F.col("node") == F.col("id")).select(F.col("component").alias("c")))
+            recall, missed = audit(labels, vectors)
+            if recall >= RECALL or recall <= reached:
+                if missed.limit(1).count():
+                    open_ = missed if recall >= RECALL else _members(labels, vectors).join(missed.select("g").distinct(), "g", "left_semi")
+                    labels = compare_blocks(labels, vectors, open_.select("c"))
                 break
+            reached = recall
             grown = full.select("id", 2 * F.col("k"))
         n_components, n_found = now, -1
         lists = stage(lists.drop("k").join(grown.toDF("id", "k"), "id"), "lists")
