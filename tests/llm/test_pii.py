@@ -55,6 +55,26 @@ def test_skip_edges_carry_a_kind_to_a_repeat(spark):
     assert pii.find("order 3085554 and 555-4315 alone", weights)[1] == []
 
 
+def weights_of_numbers(spark):
+    rows = [(k, f"words here +1 (708) 555-{4000 + k} and more words mail x{k}@a.example.com then 7 of 12") for k in range(60)]
+    return pii.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_every_repeat_is_reached():
+    # each word by itself is rather none than another label
+    unary = np.zeros((sum(pii.SHAPE[:9]), pii.LABELS))
+    unary[: pii.SHAPE[0], pii.NONE] = 2
+    text = "call +1 (708) 555-4315 today" + " or else 555-4315, at night" * 1000
+    more = [text[s:e] for k, s, e in pii.find(text, (unary, np.zeros((5, 5)), 6 * np.eye(5)))[1] if pii.KINDS[k] == "phone"]
+    assert len(more) == 1001 and all(x.endswith("555-4315") for x in more)
+
+
+def test_spaced_numbers_are_repeats(spark):
+    text = "call +1 708 555 4315 today or else 708 555 4315 at night, order 308 555 4000 stays"
+    more = [text[s:e] for k, s, e in pii.find(text, weights_of_numbers(spark))[1] if pii.KINDS[k] == "phone"]
+    assert len(more) == 2 and all("555 4315" in x for x in more)
+
+
 def test_messages_of_a_tree_give_exact_beliefs():
     rng = np.random.default_rng(0)
     field = pii.Field("1a 2b 3c", [], [])

@@ -4,9 +4,11 @@ Patterns find e-mail addresses, IP addresses, card and telephone numbers; what t
 document's candidate words, those with a digit, `@` or `+`: words inside a pattern's span are observed with its kind, words
 of a match that failed its check (a card number's Luhn sum, an address part over 255) are observed as none, and all others are
 inferred. Neighbouring candidates share a chain potential; distant candidates that are the same or end in the same seven
-digits share a skip potential, so that "(708) 555-4315" is read like "+1 (708) 555-4315" elsewhere in the document. Sum-product
-messages run over this loopy graph; a word whose kind gets CERTAIN of the belief, and that is skip-linked to an observed
-word of that kind, becomes a span, together with the words beside it that are believed to be of that kind too.
+digits, also where those are spread over neighbouring words, share a skip potential with one hub, so that "(708) 555-4315" is
+read like "+1 (708) 555-4315" elsewhere in the document. A hub whose observed words are all of one label has that label, however
+many repeats are not observed; another hub is inferred. Sum-product messages run over this graph until they stop changing; a word
+whose kind gets CERTAIN of the belief, and that is skip-linked to an observed word of that kind, becomes a span, together with
+the words beside it that are believed to be of that kind too.
 
 The weights are those that make observed labels likeliest given their neighbours (pseudo-likelihood). Features are few-valued, so
 the training table is counts of (features, label), gathered from every document and bounded by the number of feature values.
@@ -31,7 +33,8 @@ from .common import documents, small_batches
 KINDS = ("email", "ip", "card", "phone")
 NONE, LABELS = 0, 5  # label k + 1 is KINDS[k]
 CERTAIN = 0.9
-SWEEPS = 12
+#: Messages have stopped changing when none moves by more; their step is halved every SWEEPS sweeps, as loops may make them swing.
+STILL, SWEEPS = 1e-6, 200
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -116,12 +119,20 @@ class Field:
         near = {i: (0, 1) for i in self.chain}
         self.features = [_features(w, i in near, i - 1 in near) for i, w in enumerate(self.words)]
         keys = defaultdict(list)
-        for i, w in enumerate(self.words):
-            if key := _key(w):
-                keys[key].append(i)
-        # repeats form a path: messages still reach all of them, and edges grow with the words rather than their square
-        self.skips = [(a, b) for group in keys.values() for a, b in zip(group, group[1:], strict=False)]
-        self.groups = [group for group in keys.values() if len(group) > 1]
+        for last, w in enumerate(self.words):
+            key, first = _key(w), last
+            if not key and "@" not in w:
+                digits = _NOT_DIGIT.sub("", w)
+                while digits and len(digits) < 7 and first - 1 in near and "@" not in self.words[first - 1]:
+                    first -= 1
+                    digits = _NOT_DIGIT.sub("", self.words[first]) + digits
+                key = digits[-7:] if len(digits) >= 7 else ""
+            if key:
+                keys[key].append((first, last))
+        #: Places (first, last word) of what repeats, and the words that each group's hub is joined to: edges grow with the words.
+        self.repeats = [group for group in keys.values() if len(group) > 1]
+        self.groups = [sorted({i for first, last in group for i in range(first, last + 1)}) for group in self.repeats]
+        self.skips = [(a, b) for group in self.repeats for (_, a), (_, b) in zip(group, group[1:], strict=False)]  # to learn from
 
     def _overlapping(self, s: int, e: int) -> Iterator[int]:
         lo, hi = 0, len(self.places)
@@ -209,7 +220,14 @@ def infer(field: Field, potentials: tuple[np.ndarray, np.ndarray, np.ndarray]) -
     for i, label in enumerate(field.labels):
         if label >= 0:
             own[i] = np.eye(LABELS)[label]
-    edges = [(i, i + 1, chain) for i in field.chain] + [(a, b, skip) for a, b in field.skips]
+    n = len(own)
+    hubs = np.ones((len(field.groups), LABELS))
+    for k, group in enumerate(field.groups):
+        seen = {field.labels[i] for i in group if field.labels[i] >= 0}
+        if len(seen) == 1:
+            hubs[k] = np.eye(LABELS)[seen.pop()]
+    own = np.concatenate((own, hubs))
+    edges = [(i, i + 1, chain) for i in field.chain] + [(i, n + k, skip) for k, group in enumerate(field.groups) for i in group]
     if not edges:
         return own / own.sum(axis=1, keepdims=True)
     source = np.array([e[0] for e in edges] + [e[1] for e in edges])
@@ -217,19 +235,28 @@ def infer(field: Field, potentials: tuple[np.ndarray, np.ndarray, np.ndarray]) -
     tables = np.exp(np.stack([e[2] for e in edges] + [e[2].T for e in edges]))
     back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
     messages = np.full((len(source), LABELS), 1.0 / LABELS)
-    for _ in range(SWEEPS):
+    # what is observed stays so, however many messages speak against it
+    given = np.where(own > 0, np.log(np.maximum(own, 1e-300)), -1e9)
+    step, sweeps = 0.5, 0
+    while True:
         logs = np.log(np.maximum(messages, 1e-30))
-        total = np.log(np.maximum(own, 1e-30))
+        total = given.copy()
         np.add.at(total, target, logs)
         out = total[source] - logs[back]
         out = np.exp(out - out.max(axis=1, keepdims=True))
         new = np.einsum("el,elk->ek", out, tables)
         new /= new.sum(axis=1, keepdims=True)
-        messages = 0.5 * messages + 0.5 * new
-    total = np.log(np.maximum(own, 1e-30))
+        change = np.abs(new - messages).max()
+        messages = (1 - step) * messages + step * new
+        sweeps += 1
+        if change < STILL or step * change < STILL * STILL:
+            break
+        if sweeps % SWEEPS == 0 and (hubs.min(axis=1, initial=1) > 0).any():
+            step /= 2
+    total = given.copy()
     np.add.at(total, target, np.log(np.maximum(messages, 1e-30)))
     beliefs = np.exp(total - total.max(axis=1, keepdims=True))
-    return beliefs / beliefs.sum(axis=1, keepdims=True)
+    return (beliefs / beliefs.sum(axis=1, keepdims=True))[:n]
 
 
 def find(text: str, potentials) -> tuple[list[Span], list[Span]]:
@@ -239,6 +266,7 @@ def find(text: str, potentials) -> tuple[list[Span], list[Span]]:
         return spans, spans  # nothing observed that a skip edge could carry
     field = Field(text, spans, failed)
     linked: dict[int, set[int]] = defaultdict(set)
+    starts = {last: first for group in field.repeats for first, last in group}
     for group in field.groups:
         seen = {field.labels[i] for i in group if field.labels[i] > NONE}
         for i in group:
@@ -254,7 +282,8 @@ def find(text: str, potentials) -> tuple[list[Span], list[Span]]:
         if label not in kinds or beliefs[i, label] < CERTAIN:
             continue
         # with the words beside it that the field reads alike
-        first = last = i
+        first = min([i, *(k for k in range(starts.get(i, i), i) if all(field.labels[m] < 0 for m in range(k, i)))])
+        last = i
         while first - 1 in joined and field.labels[first - 1] < 0 and best[first - 1] == label:
             first -= 1
         while last in joined and field.labels[last + 1] < 0 and best[last + 1] == label:
