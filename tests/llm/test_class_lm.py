@@ -55,5 +55,15 @@ def test_exchange_separates_alternating_words():
     assert len(set(merged[:3])) == 1 and len(set(merged[3:])) == 1 and merged[0] != merged[3]
 
 
+def test_words_beyond_the_units_have_classes_by_their_use(spark, monkeypatch):
+    # frequent words follow "the" or "to"; the rare words end alike, and half of them follow "the", half "to"
+    monkeypatch.setattr(c, "UNITS", 19)
+    rows = [(k, f"the a{k % 8}x was to b{k % 8}y was") for k in range(400)]
+    rows += [(400 + k, f"the n{k % 20}zz was to v{k % 20}zz was") for k in range(60)]
+    rows += [(1000, "the n7zz was"), (1001, "the v7zz was")]
+    got = {r["doc_id"]: r["score"] for r in c.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000).collect()}
+    assert got[1000] > got[1001] + 0.5
+
+
 def test_empty(empty):
     assert c.score(empty, F.lit(False)).count() == 0

@@ -5,13 +5,15 @@
 Tokens are the words of a text in lower case (A-Z), then one end of text, which is also what stands before the first.
 1. One scan of the training documents counts all words.
 2. Units: the UNITS most frequent words stand for themselves, every other word, unseen ones too, for its last two bytes.
-3. One scan counts each unit beside the ANCHORS most frequent words. Exchange clustering moves the anchors between
-   classes while that raises the likelihood of their bigrams; then every unit, in parallel, is exchanged into the class
-   whose neighbours among the anchors explain its own best.
-4. One scan counts class transitions over all training tokens. Transitions are smoothed towards the class frequencies
-   (SMOOTHING pseudo-counts); emissions are (c + 0.5) / (N_class + 0.5 * (V_class + 1)), whose last share is that of
-   every unseen word of the class. So the probabilities of what can follow add up to one.
-5. The last scan scores all documents. Words that aren't broadcast get their counts by a join on their hash.
+3. One scan counts all bigrams of units. Exchange clustering of the ANCHORS most frequent words gives every unit its first
+   class; then sweeps exchange all units, in parallel, each into the class whose neighbours explain all of its own best,
+   until few move. A sweep that doesn't raise the likelihood of the class bigrams is tried again with half of its moves.
+4. One scan counts every other word beside the units' classes, and each counted word gets a class of its own in the same way.
+5. One scan makes each text's classes; words that aren't broadcast get theirs, and their counts, by a join on their hash, and
+   those never counted the class of their ending. Class transitions are counted over all training tokens and smoothed towards
+   the class frequencies (SMOOTHING pseudo-counts); emissions are (c + 0.5) / (N_class + 0.5 * (V_class + 1)), whose last share
+   is that of every unseen word of the class. So the probabilities of what can follow add up to one.
+6. The last scan scores the classes of all documents.
 
 What is broadcast is bounded by UNITS, 65,536 endings, and CLASSES squared. Counts cover every training document.
 
@@ -39,6 +41,11 @@ ANCHORS = 256
 CLASSES = 48
 SMOOTHING = 4.0
 SWEEPS = 12
+#: Exchange ends when no more than this share of the units moves; moves are halved at most so often when they don't help.
+MOVED, HALVES = 0.01, 3
+WIDE = CLASSES + 1
+#: In place of the class of a word that isn't broadcast.
+RARE = 255
 #: A unit for an ending is ENDING + its last two bytes; the end of text is a unit and a class of its own.
 ENDING, END = 0, 1 << 16
 
@@ -72,24 +79,18 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.mapInArrow(_count_words, "h long, ending int, n long").groupBy("h", "ending").agg(F.sum("n").alias("n"))
 
 
-def _contexts(shared):
-    """Counts (unit, slot): slot a for anchor a before the unit, ANCHORS + 1 + a for a after it; anchor ANCHORS is the end."""
+def _bigrams(shared):
+    """Counts (u, v) of units u followed by v; the end of text stands before each text's first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, anchors = shared.value
-        unit_of, anchor_of = Lookup(words, np.arange(len(words), dtype=np.int64) + END + 1), Lookup(anchors, np.arange(len(anchors), dtype=np.int64))
-        wide = 2 * (ANCHORS + 1)
+        words = shared.value
+        unit_of = Lookup(words, np.arange(len(words), dtype=np.int64) + END + 1)
         for batch in batches:
             for _, _, _, _, h, ending, at in _tokens(batch.column(0)):
                 unit = unit_of(h, -1)
-                unit = _with_ends(np.where(unit < 0, ENDING + ending, unit), at, END)
-                anchor = _with_ends(anchor_of(h, -1), at, ANCHORS)
-                before = np.append(ANCHORS, anchor[:-1])
-                after = np.append(anchor[1:], -1)
-                after[np.append(at[1:] + np.arange(len(at) - 1), 0)[:-1]] = -1  # nothing follows an end
-                key = np.concatenate((unit[before >= 0] * wide + before[before >= 0], unit[after >= 0] * wide + ANCHORS + 1 + after[after >= 0]))
-                keys, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((keys // wide).astype(np.int32)), pa.array((keys % wide).astype(np.int16)), pa.array(n)], ["unit", "slot", "n"])
+                unit = _with_ends(np.where(unit < 0, ENDING + ending, unit), at, END).astype(np.int64)
+                keys, n = np.unique(np.append(END, unit[:-1]) << 32 | unit, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["u", "v", "n"])
 
     return count
 
@@ -135,23 +136,142 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return of
 
 
-def _assign(table):
-    """The class of each unit from its neighbours: the one with the largest sum of n * log P(neighbour's class | class)."""
+def _beside(batch: pa.RecordBatch):
+    """Of rows (key, lists of (slot, n)): the row of each entry, slots, and counts."""
+    lists = batch.column(1)
+    flat = lists.flatten()
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return np.repeat(np.arange(batch.num_rows), np.diff(bounds)), flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(float)
+
+
+def _choose(shared):
+    """The class of each row from its neighbours (slot: 2 * neighbour, + 1 if it follows): the one with the largest sum of
+    n * log P(neighbour's class | class). Neighbours of class -1 say nothing."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fit = table.value
+        classes, fit = shared.value
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten()
-            slots, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            sums = np.zeros((len(slots) + 1, fit.shape[1]))
-            np.cumsum(n[:, None] * fit[slots], axis=0, out=sums[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(sums[bounds[1:]] - sums[bounds[:-1]], axis=1).astype(np.int32))], ["unit", "class"])
+            row, slot, n = _beside(batch)
+            c = classes[slot >> 1].astype(np.int64)
+            good = c >= 0
+            cell = row[good] * (2 * WIDE) + 2 * c[good] + (slot[good] & 1)
+            sums = np.bincount(cell, weights=n[good], minlength=batch.num_rows * 2 * WIDE).reshape(-1, 2 * WIDE) @ fit
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(sums, axis=1).astype(np.int32))], ["key", "class"])
 
     return choose
 
 
+def _joint(shared):
+    """Class bigrams, from what follows each unit."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, total = shared.value, np.zeros(WIDE * WIDE)
+        for batch in batches:
+            row, slot, n = _beside(batch)
+            after = slot & 1 == 1
+            own = classes[batch.column(0).to_numpy()].astype(np.int64)
+            total += np.bincount(own[row[after]] * WIDE + classes[slot[after] >> 1], weights=n[after], minlength=WIDE * WIDE)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen].astype(np.int64))], ["cell", "n"])
+
+    return count
+
+
+def _matrix(cells: DataFrame) -> np.ndarray:
+    got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(WIDE * WIDE)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(WIDE, WIDE)
+
+
+def _fit(joint: np.ndarray) -> np.ndarray:
+    """fit[2 * neighbour's class + (1 if it follows), class]: log P(neighbour's class | class)."""
+    after = np.log((joint + 0.1) / (joint.sum(axis=1, keepdims=True) + 0.1 * WIDE))
+    before = np.log((joint.T + 0.1) / (joint.sum(axis=0)[:, None] + 0.1 * WIDE))
+    fit = np.empty((2 * WIDE, CLASSES))
+    fit[0::2], fit[1::2] = before.T[:, :CLASSES], after.T[:, :CLASSES]
+    return fit
+
+
+def _likelihood(joint: np.ndarray) -> float:
+    f = lambda x: float((x * np.log(np.maximum(x, 1.0))).sum())
+    return f(joint) - f(joint.sum(axis=0)) - f(joint.sum(axis=1))
+
+
+def cluster(bigrams: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit, and the class bigrams; bigrams: (u, v, n)."""
+    share = bigrams.sparkSession.sparkContext.broadcast
+    size = min(ANCHORS, n_words)
+    low, high = END, END + size
+    cells = bigrams.filter(f"u > {low} and u <= {high} and v > {low} and v <= {high}").toArrow()
+    first = np.zeros((size, size))
+    first[cells.column("u").to_numpy() - END - 1, cells.column("v").to_numpy() - END - 1] = cells.column("n").to_numpy()
+    # at most two slots for each unit
+    rows = bigrams.select(F.col("u").alias("key"), (2 * F.col("v") + 1).alias("slot"), "n").unionByName(bigrams.select(F.col("v").alias("key"), (2 * F.col("u")).alias("slot"), "n"))
+    beside = stage(rows.groupBy("key").agg(F.collect_list(F.struct("slot", "n")).alias("seen")), "beside")
+    classes = np.full(END + 1 + n_words, -1, dtype=np.int16)
+    joint = np.zeros((WIDE, WIDE))
+    if size:
+        classes[END + 1 : END + 1 + size] = exchange(first, CLASSES)
+        np.add.at(joint, (classes[END + 1 : END + 1 + size, None], classes[None, END + 1 : END + 1 + size]), first)
+
+    def chosen(classes: np.ndarray, joint: np.ndarray) -> np.ndarray:
+        got = beside.mapInArrow(_choose(share((classes, _fit(joint)))), "key int, class int").toArrow()
+        out = np.zeros(len(classes), dtype=np.int16)
+        out[got.column("key").to_numpy()] = got.column("class").to_numpy()
+        out[END] = CLASSES
+        return out
+
+    count = lambda c: _matrix(beside.mapInArrow(_joint(share(c)), "cell int, n long"))
+    start = chosen(classes, joint)
+    start[END + 1 : END + 1 + size] = classes[END + 1 : END + 1 + size]
+    classes, joint = start, count(start)
+    while True:
+        wanted = chosen(classes, joint)
+        moves = np.flatnonzero(wanted != classes)
+        if len(moves) <= MOVED * len(classes):
+            return classes, joint
+        for half in range(HALVES + 1):
+            tried = classes.copy()
+            some = moves[:: 1 << half]
+            tried[some] = wanted[some]
+            now = count(tried)
+            if _likelihood(now) > _likelihood(joint):
+                break
+        else:
+            return classes, joint
+        classes, joint = tried, now
+
+
+def _rare_contexts(shared):
+    """Counts (h, slot) of words that aren't broadcast, beside the classes of units."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        lookup = Lookup(m.words, np.arange(len(m.words), dtype=np.int64))
+        for batch in batches:
+            for _, _, _, _, h, ending, at in _tokens(batch.column(0)):
+                unit, c = m.classes(h, ending, lookup)
+                c = _with_ends(c, at, CLASSES)
+                rare = np.flatnonzero(unit < 0)
+                place = rare + np.searchsorted(at, rare, side="right") - 1
+                before = np.append(CLASSES, c[:-1])[place]
+                slot = np.concatenate((2 * before, 2 * c[place + 1] + 1))
+                hr, back = np.unique(h[rare], return_inverse=True)
+                keys, n = np.unique(np.concatenate((back, back)) * (2 * WIDE) + slot, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hr[keys // (2 * WIDE)].view(np.int64)), pa.array((keys % (2 * WIDE)).astype(np.int32)), pa.array(n)], ["key", "slot", "n"])
+
+    return count
+
+
+def rare_classes(training: DataFrame, known, joint: np.ndarray) -> DataFrame:
+    """(h, class) of each counted word that isn't broadcast."""
+    fit = training.sparkSession.sparkContext.broadcast((np.arange(WIDE, dtype=np.int16), _fit(joint)))
+    seen = training.mapInArrow(_rare_contexts(known), "key long, slot int, n long").groupBy("key", "slot").agg(F.sum("n").alias("n"))
+    lists = seen.groupBy("key").agg(F.collect_list(F.struct("slot", "n")).alias("seen"))  # at most 2 * WIDE slots
+    return lists.mapInArrow(_choose(fit), "key long, class int").withColumnRenamed("key", "h")
+
+
 class Model:
     """The broadcast part: classes of units, log10 probabilities of transitions and of unknown words, counts of frequent words."""
 
@@ -163,42 +283,55 @@ class Model:
         return at, np.where(at < 0, self.ending_class[ending], self.unit_class[np.maximum(at, 0)] if len(self.unit_class) else 0)
 
 
-def _transitions(shared):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        lookup = Lookup(m.words, np.arange(len(m.words), dtype=np.int64))
-        wide = CLASSES + 1
-        total = np.zeros(wide * wide, dtype=np.int64)
-        for batch in batches:
-            for _, _, _, _, h, ending, at in _tokens(batch.column(0)):
-                c = _with_ends(m.classes(h, ending, lookup)[1], at, CLASSES)
-                total += np.bincount(np.append(CLASSES, c[:-1]) * wide + c, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["cell", "n"])
+def _sequence(cs: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cs.as_buffer(), dtype=np.uint8).astype(np.int64)
 
-    return count
 
+def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(WIDE * WIDE, dtype=np.int64)
+    for batch in batches:
+        for cs in batch.column(0):
+            c = _sequence(cs)
+            total += np.bincount(np.append(CLASSES, c[:-1]) * WIDE + c, minlength=len(total))
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["cell", "n"])
 
-def _types(shared):
-    """Distinct words per class."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        lookup = Lookup(m.words, np.arange(len(m.words), dtype=np.int64))
-        total = np.zeros(CLASSES + 1, dtype=np.int64)
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the classes of words that aren't broadcast into their texts' classes."""
+    for batch in batches:
+        out = []
+        for cs, of, h, own in zip(*(batch.column(c) for c in ("cs", "of", "h", "own")), strict=True):
+            c = np.frombuffer(cs.as_buffer(), dtype=np.uint8).copy()
+            if own.is_valid and len(own.values):
+                keys, classes = own.values.field("h").to_numpy(), own.values.field("class").to_numpy()
+                order = np.argsort(keys)
+                each = classes[order][np.searchsorted(keys[order], h.values.to_numpy())]
+                c[c == RARE] = each[np.frombuffer(of.as_buffer(), dtype=np.int32)]
+            out.append(c.tobytes())
+        keep = [n for n in batch.schema.names if n not in ("cs", "of", "h", "own")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(out, pa.binary())], [*keep, "cs"])
+
+
+def _paths(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, emit = shared.value
         for batch in batches:
-            total += np.bincount(m.classes(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), lookup)[1], minlength=CLASSES + 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["cell", "n"])
+            paths = []
+            for cs in batch.column("cs"):
+                c = _sequence(cs)
+                paths.append(float((step[np.append(CLASSES, c[:-1]), c] - emit[c]).sum()))
+            keep = [n for n in batch.schema.names if n != "cs"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(paths, pa.float64())], [*keep, "path"])
 
-    return count
+    return run
 
 
 def _score(shared):
-    """Per text what broadcast data give, and its other words with their frequencies."""
+    """Per text what broadcast data give: its classes (RARE: another word), and the other words with frequencies and ending classes."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, step, emit, end_log = shared.value
+        m, end_log = shared.value
         lookup = Lookup(m.words, np.arange(len(m.words), dtype=np.int64))
         logs = np.log10(m.counts + 0.5)
         for batch in batches:
@@ -209,16 +342,20 @@ def _score(shared):
                 np.cumsum(np.where(unit < 0, 0.0, logs[np.maximum(unit, 0)] if len(logs) else 0.0), out=own[1:])
                 seen = np.zeros(len(h) + 1, dtype=np.int64)
                 np.cumsum(unit >= 0, out=seen[1:])
-                cs = _with_ends(c, at, CLASSES)
-                path = np.zeros(len(cs) + 1)
-                np.cumsum(step[np.append(CLASSES, cs[:-1]), cs] - emit[cs], out=path[1:])
+                cs = _with_ends(np.where(unit < 0, RARE, c), at, CLASSES).astype(np.uint8)
                 with_end = at + np.arange(len(at))
                 doc = np.searchsorted(at, rare, side="right") - 1
                 order = np.lexsort((h[rare], doc))
                 doc, hr = doc[order], h[rare][order]
                 new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (hr[1:] != hr[:-1])))[: len(doc)])
                 f = np.diff(np.append(new, len(doc)))
+                alike = np.zeros(len(doc), dtype=np.int64)
+                alike[new] = 1
+                of = np.empty(len(doc), dtype=np.int64)
+                of[order] = np.cumsum(alike) - 1
                 bounds = np.searchsorted(doc[new], np.arange(j - i + 1)).astype(np.int32)
+                ends = np.concatenate(([0], with_end[1:]))
+                nth = np.searchsorted(rare, at)  # the rare words before each text
                 view = memoryview(part)
                 digests = b"".join(hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -228,11 +365,14 @@ def _score(shared):
                         pa.array(np.diff(at) + 1),
                         pa.array(seen[at[1:]] - seen[at[:-1]]),
                         pa.array(own[at[1:]] - own[at[:-1]] + end_log),
-                        pa.array(path[with_end[1:]] - path[with_end[:-1]]),
+                        pa.array([cs[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()),
+                        pa.array([(of[nth[k] : nth[k + 1]] - bounds[k]).astype(np.int32).tobytes() for k in range(j - i)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(hr[new].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(f.astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(c[rare][order][new].astype(np.int32))),
+                        batch.column(2).slice(i, j - i),
                     ],
-                    ["doc_id", "digest", "n_tokens", "known", "emitted", "path", "h", "f"],
+                    ["doc_id", "digest", "n_tokens", "known", "emitted", "cs", "of", "h", "f", "e", "out"],
                 )
 
     return score
@@ -254,67 +394,52 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
 
     top = counts.orderBy(F.desc("n"), "h").limit(UNITS).toArrow()
     words, n_words = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    frequent = spark.sparkContext.broadcast((words, words[:ANCHORS]))
-    contexts = stage(
-        training.mapInArrow(_contexts(frequent), "unit int, slot short, n long").groupBy("unit", "slot").agg(F.sum("n").alias("n")), "contexts"
-    )
-    # the anchors are the first units, so their own contexts are their bigrams (at most ANCHORS rows of ANCHORS slots each)
-    size = min(ANCHORS, len(words))
-    cells = contexts.filter(f"unit > {END} and unit <= {END + size} and slot < {size}").toArrow()
-    bigrams = np.zeros((size, size))
-    bigrams[cells.column("slot").to_numpy(), cells.column("unit").to_numpy() - END - 1] = cells.column("n").to_numpy()
-    anchor_class = exchange(bigrams, CLASSES) if size else np.zeros(0, int)
-    shared = spark.sparkContext.broadcast(_fit(bigrams, anchor_class))
-    classed = (
-        contexts.filter(f"unit <> {END}")
-        .groupBy("unit")
-        .agg(F.array_sort(F.collect_list(F.struct("slot", F.col("n").cast("double").alias("n")))).alias("seen"))  # at most 2 * (ANCHORS + 1) slots
-        .mapInArrow(_assign(shared), "unit int, class int")
-        .toArrow()
-    )
-    unit, cls = classed.column("unit").to_numpy(), classed.column("class").to_numpy()
-    ending_class, unit_class = np.zeros(1 << 16, dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-    ending_class[unit[unit < END] - ENDING] = cls[unit < END]
-    unit_class[unit[unit > END] - END - 1] = cls[unit > END]
-    unit_class[:size] = anchor_class
-    model = Model(words, n_words, unit_class, ending_class)
-
+    frequent = spark.sparkContext.broadcast(words)
+    bigrams = stage(training.mapInArrow(_bigrams(frequent), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n")), "bigrams")
+    classes, joint = cluster(bigrams, len(words))
+    model = Model(words, n_words, classes[END + 1 :].astype(np.int64), classes[:END].astype(np.int64))
     known = spark.sparkContext.broadcast(model)
-    wide = CLASSES + 1
-    moves, types = np.zeros(wide * wide), np.zeros(wide)
-    got = training.mapInArrow(_transitions(known), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    moves[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    got = counts.select("h", "ending").mapInArrow(_types(known), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    types[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    moves = moves.reshape(wide, wide)
-    into = moves.sum(axis=0)
-    prior = (into + 0.5) / (into.sum() + 0.5 * wide)
-    step = np.log10((moves + SMOOTHING * prior[None, :]) / (moves.sum(axis=1, keepdims=True) + SMOOTHING))
-    types[CLASSES] = 0  # the end's class has the end alone, and no unknown words
-    emit = np.log10(into + 0.5 * (types + 1))
-    emit[CLASSES] = np.log10(into[CLASSES] + 0.5)
-    ready = spark.sparkContext.broadcast((model, step, emit, float(np.log10(n_docs + 0.5))))
+    rare = stage(rare_classes(training, known, joint).join(counts.select("h", "n"), "h"), "rare")
+    ready = spark.sparkContext.broadcast((model, float(np.log10(n_docs + 0.5))))
 
     rows = stage(
-        wanted.select("doc_id", "text").mapInArrow(
-            _score(ready), "doc_id long, digest long, n_tokens long, known long, emitted double, path double, h array<long>, f array<int>"
+        wanted.select("doc_id", "text", "out").mapInArrow(
+            _score(ready), "doc_id long, digest long, n_tokens long, known long, emitted double, cs binary, of binary, h array<long>, f array<int>, e array<int>, out boolean"
         ),
         "scored",
     ).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
     key = ["digest", "doc"]
     more = (
-        rows.select(*key, F.inline(F.arrays_zip("h", "f")))
-        .join(counts.select("h", "n"), "h", "left")
+        rows.select(*key, F.inline(F.arrays_zip("h", "f", "e")))
+        .join(rare, "h", "left")
         .groupBy(*key)
         .agg(
             F.sum(F.when(F.col("n").isNotNull(), F.col("f")).otherwise(0)).alias("known_more"),
-            F.sum(F.round(F.col("f") * F.log10(F.coalesce("n", F.lit(0)) + 0.5), 9).cast("decimal(28,9)")).alias("emitted_more"),
+            F.sum(F.round(F.col("f") * F.log10(F.coalesce("n", F.lit(0)) + 0.5), 9).cast("decimal(28,9)")).cast("double").alias("emitted_more"),
+            F.collect_set(F.struct("h", F.coalesce("class", "e").alias("class"))).alias("own"),
         )
     )
+    columns = "doc_id long, digest long, doc long, out boolean, n_tokens long, known long, emitted double, known_more long, emitted_more double"
+    whole = rows.join(more, key, "left").select(*(c.split()[0] for c in columns.split(", ")), "cs", "of", "h", "own")
+    whole = stage(whole.mapInArrow(_resolve, columns + ", cs binary"), "classes")
+
+    moves = _matrix(whole.filter("not out").select("cs").mapInArrow(_transitions, "cell int, n long"))
+    types = np.zeros(WIDE)
+    types += np.bincount(model.unit_class, minlength=WIDE)
+    for r in rare.groupBy("class").count().collect():
+        types[r["class"]] += r["count"]
+    into = moves.sum(axis=0)
+    prior = (into + 0.5) / (into.sum() + 0.5 * WIDE)
+    step = np.log10((moves + SMOOTHING * prior[None, :]) / (moves.sum(axis=1, keepdims=True) + SMOOTHING))
+    emit = np.log10(into + 0.5 * (types + 1))
+    emit[CLASSES] = np.log10(into[CLASSES] + 0.5)  # the end's class has the end alone, and no unknown words
     # equal texts have equal sums but for the last bits, which depend on what came before them in a batch
-    alike = rows.groupBy(*key, "doc_id", "n_tokens", "known").agg(F.count("*").alias("rows"), F.max("emitted").alias("emitted"), F.max("path").alias("path"))
-    whole = alike.join(more, key, "left")
-    emitted = F.col("emitted") + F.coalesce(F.col("emitted_more").cast("double") / F.col("rows"), F.lit(0.0))
+    whole = (
+        whole.mapInArrow(_paths(spark.sparkContext.broadcast((step, emit))), columns + ", path double")
+        .groupBy(*key, "doc_id", "n_tokens", "known", "known_more", "emitted_more")
+        .agg(F.count("*").alias("rows"), F.max("emitted").alias("emitted"), F.max("path").alias("path"))
+    )
+    emitted = F.col("emitted") + F.coalesce(F.col("emitted_more") / F.col("rows"), F.lit(0.0))
     end_known = 1 if n_docs else 0
     return whole.select(
         "doc_id", "n_tokens",
@@ -326,19 +451,6 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     ).drop("_")
 
 
-def _fit(bigrams: np.ndarray, anchor_class: np.ndarray) -> np.ndarray:
-    """fit[slot, class]: log P(slot's class beside the class), from the anchors' classes."""
-    k = CLASSES
-    joint = np.zeros((k, k))
-    np.add.at(joint, (anchor_class[:, None], anchor_class[None, :]), bigrams)
-    after = np.log((joint + 0.1) / (joint.sum(axis=1, keepdims=True) + 0.1 * k))  # P(next | class)
-    before = np.log((joint.T + 0.1) / (joint.sum(axis=0)[:, None] + 0.1 * k))  # P(previous | class)
-    fit = np.zeros((2 * (ANCHORS + 1), k))
-    fit[: len(anchor_class)] = before.T[anchor_class]
-    fit[ANCHORS + 1 : ANCHORS + 1 + len(anchor_class)] = after.T[anchor_class]
-    return fit
-
-
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 5) == 1
     scored = score(documents(spark, sf_dir), held_out)
