@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import shared_folder as shared_dir
+
 #: Words are maximal runs of characters other than these.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -16,24 +17,20 @@ WORD = rf"[^{SPACE}]+"
 ARROW_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: the lineage ends there, and any executor can read it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As `stage`, with aggregates of the rows that the same job gathers. Only aggregates that a repeated task doesn't change, such as max."""
+    seen = Observation()
+    return stage(df.observe(seen, *(c.alias(n) for n, c in metrics.items())), name), seen.get
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder; for the small tables of loops."""
     shared_dir(df.sparkSession)

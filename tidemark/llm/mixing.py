@@ -7,9 +7,13 @@ Newton steps, with bisection where a step would leave the bracket. Rates are the
 
 Only one scan reads the texts. It leaves (source, size, hash) per document and from that (source, size, number of documents),
 and each Newton round is an aggregation of the latter by source, so a source that holds a third of all rows is only larger counts.
-Copies of a (source, size) are rounded by running sums from large to small sizes, then the source's remaining error is
-taken off by its largest fitting sizes until no document is short enough. Copies that don't divide evenly go to the
-documents of the group with the smallest hashes: ranks within ranges of the hash, plus the counts of the ranges before.
+Copies are rounded from large to small sizes. Each size takes the whole number nearest to its rate and to the words that
+larger sizes took too few or too many, among those numbers that leave the smaller sizes able to meet the target. Where none
+does (one document is longer than all that is missing, say), the number with the smaller miss is taken. So a source ends within half
+its smallest size of the target, or within half the size of the document that its smaller ones can't stand in for.
+One row gathers a source's sizes for this: as many as there are different lengths of text, however many documents.
+Copies that don't divide evenly go to the documents of the group with the smallest hashes: ranks within ranges of the hash,
+plus the counts of the ranges before.
 
 Targets: sources in code point order, null last, weigh 1, 2, 3 in turn and share 100 % of all sizes; a target stops at
 LIMIT times its source's size, and the excess is shared again by weight until none is above.
@@ -23,14 +27,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, documents, stage, text_or_empty
+from .common import WORD, checkpoint, documents, stage, stage_observed, text_or_empty
 
 LIMIT = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 ROUNDS = 80
 TOLERANCE = 1e-9
 #: Rows per table that are broadcast at most (some 40 bytes each); larger tables are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
+#: Sizes that one inner fold of the rounding goes through; its results are an array of this length.
+FOLD = 512
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -81,6 +87,11 @@ def _rate(m, size, mean):
     return F.least(F.lit(float(LIMIT)), F.exp(F.least(m * size / mean, F.lit(20.0))))
 
 
+def _exact_sum(c):
+    """A sum that doesn't depend on the order of the rows, so that reruns agree."""
+    return F.sum(c.cast("decimal(32,6)")).cast("double")
+
+
 def solve(counts: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame:
     """(sid, target, mean, m): Newton's method on every source's dual at once. counts: (sid, _size, n)."""
     mean = F.greatest(F.col("source_size") / F.col("docs"), F.lit(1.0))
@@ -98,8 +109,8 @@ def solve(counts: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame:
             .withColumns({"r": rate, "mass": F.col("n") * F.col("_size")})
             .groupBy("sid", "target", "mean", "lo", "hi", "m")
             .agg(
-                F.sum(F.col("mass") * F.col("r")).alias("got"),
-                F.sum(F.when(F.col("r") < float(LIMIT), F.col("mass") * F.col("r") * F.col("_size") / F.col("mean")).otherwise(0.0)).alias("slope"),
+                _exact_sum(F.col("mass") * F.col("r")).alias("got"),
+                _exact_sum(F.when(F.col("r") < float(LIMIT), F.col("mass") * F.col("r") * F.col("_size") / F.col("mean")).otherwise(0.0)).alias("slope"),
             )
         )
         gap = F.col("got") - F.col("target")
@@ -113,50 +124,62 @@ def solve(counts: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame:
         )
         inside = (F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi"))
         new = F.when(F.col("off") <= TOLERANCE, F.col("m")).when(inside, F.col("step")).otherwise((F.col("lo") + F.col("hi")) / 2)
-        state = checkpoint(sums.select("sid", "target", "mean", "lo", "hi", new.alias("m"), "off"))
-        worst = state.agg(F.max("off").alias("off")).first()["off"]
-        if worst is None or worst <= TOLERANCE:
+        state, seen = stage_observed(sums.select("sid", "target", "mean", "lo", "hi", new.alias("m"), "off"), "tilts", worst=F.max("off"))
+        if seen["worst"] is None or seen["worst"] <= TOLERANCE:
             break
     return state
 
 
+def _let(value, use):
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _take(a, x):
+    """One step of the rounding: a is what is left to take, what smaller sizes can take, and the error so far; x is a size."""
+    size, most = x["_size"].cast("double"), (LIMIT * x["n"]).cast("double")
+    below = a["below"] - most * size
+    lo = F.greatest(F.lit(0.0), F.ceil((a["left"] - below) / size).cast("double"))
+    hi = F.least(most, F.greatest(F.lit(0.0), F.floor(a["left"] / size).cast("double")))
+    wish = F.round(x["want"] + a["error"] / size)
+    over = (hi + 1) * size - a["left"]
+    nearest = F.when((hi < most) & (a["left"] > 0) & (over < a["left"] - hi * size - below), hi + 1).otherwise(hi)
+    copies = F.when(lo <= hi, F.greatest(lo, F.least(hi, wish))).otherwise(nearest)
+    return _let(
+        copies,
+        lambda c: F.struct(
+            (a["left"] - c * size).alias("left"), below.alias("below"), (a["error"] + (x["want"] - c) * size).alias("error"),
+            F.array_append(a["copies"], c.cast("long")).alias("copies"),
+        ),
+    )
+
+
+def _fold(target, sizes):
+    """The copies of each of sizes, largest first, for one source: folds of FOLD sizes each, inside a fold over these."""
+    none = F.array().cast("array<bigint>")
+    capacity = F.aggregate(sizes, F.lit(0.0), lambda s, x: s + LIMIT * x["n"] * x["_size"])
+    first = F.struct(target.alias("left"), capacity.alias("below"), F.lit(0.0).alias("error"), F.array().cast("array<array<bigint>>").alias("parts"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / FOLD).cast("int")), lambda k: F.slice(sizes, k * FOLD + 1, F.lit(FOLD)))
+
+    def block(a, part):
+        inner = F.aggregate(part, F.struct(a["left"], a["below"], a["error"], none.alias("copies")), _take)
+        return _let(inner, lambda b: F.struct(b["left"], b["below"], b["error"], F.array_append(a["parts"], b["copies"]).alias("parts")))
+
+    return F.flatten(F.aggregate(blocks, first, block, lambda a: a["parts"]))
+
+
 def round_copies(counts: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
-    """(sid, _size, n, copies): whole copies per size whose words come within the shortest usable document of the target."""
-    down = Window.partitionBy("sid").orderBy(F.desc("_size"))
+    """(sid, _size, n, copies): whole copies per size; documents without words are kept once."""
     want = F.round(F.col("n") * _rate(F.col("m"), F.col("_size"), F.col("mean")), 6)
-    rows = (
-        counts.join(_bounded(state.select("sid", "mean", "m"), n_sources), "sid")
-        .withColumn("want", want)
-        .withColumn("part", F.col("want") - F.floor("want"))
-        .withColumn("run", F.sum("part").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("extra", F.floor(F.col("run") + 0.5) - F.floor(F.coalesce(F.lag("run").over(down), F.lit(0.0)) + 0.5))
-        .select("sid", "_size", "n", F.least(LIMIT * F.col("n"), (F.floor("want") + F.col("extra")).cast("long")).alias("copies"))
+    per_source = (
+        counts.filter("_size > 0")
+        .join(_bounded(state.select("sid", "target", "mean", "m"), n_sources), "sid")
+        .groupBy("sid", "target")
+        .agg(F.sort_array(F.collect_list(F.struct("_size", "n", want.alias("want"))), asc=False).alias("sizes"))
     )
-    rows = rows.withColumn("copies", F.when(F.col("_size") == 0, F.col("n")).otherwise(F.col("copies")))
-    for _ in range(12):
-        rows = checkpoint(rows)
-        short = (
-            rows.groupBy("sid").agg(F.sum(F.col("copies") * F.col("_size")).alias("got"))
-            .join(_bounded(state.select("sid", "target"), n_sources), "sid")
-            .select("sid", F.round(F.col("target") - F.col("got")).cast("long").alias("short"))
-        )
-        room = F.when(F.col("short") > 0, LIMIT * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
-        fits = (
-            rows.join(_bounded(short, n_sources), "sid")
-            .withColumn("room", room)
-            .filter((F.col("_size") > 0) & (F.col("_size") <= F.abs("short")) & (F.col("room") > 0))
-            .groupBy("sid")
-            .agg(F.max(F.struct("_size", "room", "short")).alias("best"))
-            .select(
-                "sid", F.col("best._size").alias("_size"),
-                (F.signum("best.short") * F.least(F.col("best.room"), F.floor(F.abs("best.short") / F.col("best._size")))).cast("long").alias("more"),
-            )
-        )
-        fits = checkpoint(fits)
-        if not fits.limit(1).count():
-            break
-        rows = rows.join(_bounded(fits, n_sources), ["sid", "_size"], "left").select("sid", "_size", "n", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies"))
-    return rows
+    rows = per_source.select("sid", F.explode(F.arrays_zip("sizes", _fold(F.col("target"), F.col("sizes")).alias("copies"))).alias("x"))
+    rows = rows.select("sid", "x.sizes._size", "x.sizes.n", "x.copies")
+    return rows.unionByName(counts.filter("_size = 0").select("sid", "_size", "n", F.col("n").alias("copies")))
 
 
 def plan(thin: DataFrame) -> tuple[DataFrame, int]:
