@@ -62,10 +62,10 @@ def weights_of_numbers(spark):
 
 def test_every_repeat_is_reached():
     # each word by itself is rather none than another label
-    unary = np.zeros((sum(pii.SHAPE[:9]), pii.LABELS))
+    unary = np.zeros((sum(pii.SHAPE[: pii.OWN]), pii.LABELS))
     unary[: pii.SHAPE[0], pii.NONE] = 2
     text = "call +1 (708) 555-4315 today" + " or else 555-4315, at night" * 1000
-    more = [text[s:e] for k, s, e in pii.find(text, (unary, np.zeros((5, 5)), 6 * np.eye(5)))[1] if pii.KINDS[k] == "phone"]
+    more = [text[s:e] for k, s, e in pii.find(text, (unary, np.zeros((pii.LABELS,) * 2), 6 * np.eye(pii.LABELS)))[1] if pii.KINDS[k] == "phone"]
     assert len(more) == 1001 and all(x.endswith("555-4315") for x in more)
 
 
@@ -78,9 +78,9 @@ def test_spaced_numbers_are_repeats(spark):
 def test_messages_of_a_tree_give_exact_beliefs():
     rng = np.random.default_rng(0)
     field = pii.Field("1a 2b 3c", [], [])
-    unary, chain, skip = rng.normal(size=(sum(pii.SHAPE[:9]), pii.LABELS)), rng.normal(size=(5, 5)), np.zeros((5, 5))
+    unary, chain, skip = rng.normal(size=(sum(pii.SHAPE[: pii.OWN]), pii.LABELS)), rng.normal(size=(pii.LABELS,) * 2), np.zeros((pii.LABELS,) * 2)
     beliefs = pii.infer(field, (unary, chain, skip))
-    offsets = np.concatenate(([0], np.cumsum(pii.SHAPE[:9])))[:9]
+    offsets = np.concatenate(([0], np.cumsum(pii.SHAPE)))[: pii.OWN]
     own = [np.exp(unary[offsets + np.array(f)].sum(axis=0)) for f in field.features]
     joint = np.einsum("a,b,c,ab,bc->abc", *own, np.exp(chain), np.exp(chain))
     joint /= joint.sum()
@@ -98,3 +98,46 @@ def test_redact_keeps_columns_and_nulls(docs):
 
 def test_empty(empty):
     assert pii.scan(empty).count() == 0
+
+
+def planted(rng, k):
+    """A text with values in forms that no pattern takes, decoys, and the spans that should be added."""
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9)))
+    prose = lambda: " ".join(word() for _ in range(rng.randint(4, 12)))
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    token = "".join(rng.choice("0123456789abcdef") for _ in range(39)) + "7a"
+    hidden = rng.choice([
+        ("phone", f"({d(3)}) {d(3)}-{d(4)}"), ("phone", f"{d(3)}-{d(3)}-{d(4)}"), ("phone", f"{d(3)}.{d(3)}.{d(4)}"),
+        ("email", f"{word()}.{d(2)}(at)mail{d(1)}.example.com"), ("email", f"{word()}[at]{word()}.example.com"), ("secret", token),
+    ])
+    before = "password is " if hidden[0] == "secret" else ""
+    decoy = rng.choice([f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"({d(4)})", d(10), d(16), f"version {d(1)}.{d(1)}.{d(2)}", f"{d(2)}:{d(2)}", f"1.{d(3)},{d(2)}", token[::-1], f"{d(3)}-{d(4)}"])
+    text = f"{prose()} {decoy} {prose()} {before}{hidden[1]}, {prose()}" if k % 2 else f"{prose()} {decoy} {prose()}"
+    at = text.find(hidden[1]) if k % 2 else -1
+    return text, {(hidden[0], at, at + len(hidden[1]))} if k % 2 else set()
+
+
+def test_field_finds_planted_forms(spark):
+    rng = random.Random(11)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    seen = []
+    for k in range(400):
+        seen.append((k, rng.choice([
+            f"words +1 ({d(3)}) {d(3)}-{d(4)} and", f"by 4.0. mail x{k}@mail{d(1)}.example.com then", f"at {d(2)}.{d(2)}.1.{d(1)} or {d(16)} so",
+            f'the token = "{rng.getrandbits(160):040x}" is', "Licensed under CC BY-NC 4.0. or version 3.",
+        ])))
+    weights = pii.learn(spark.createDataFrame(seen, "doc_id long, text string"))
+    right = found = true = 0
+    for k in range(2000):
+        text, want = planted(rng, k)
+        base, every = pii.find(text, weights)
+        assert set(base) <= set(every) and sorted(every) == every
+        got = {(pii.KINDS[a], s, e) for a, s, e in every if (a, s, e) not in base}
+        right, found, true = right + len(got & want), found + len(got), true + len(want)
+    assert right / true >= 0.95 and right / found >= 0.95, (right, found, true)
+
+
+def test_long_words_take_linear_time(spark):
+    weights = weights_of_numbers(spark)
+    for t in ("a" * 400_000 + " 1", "1 " * 50_000, ("a" * 50 + "1 ") * 20_000, "=" * 200_000 + "1", "(at)" * 50_000 + "9"):
+        pii.find(t, weights)

@@ -1,17 +1,21 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Patterns find e-mail addresses, IP addresses, card and telephone numbers; what they find stays. The field is over a
-document's candidate words, those with a digit, `@` or `+`: words inside a pattern's span are observed with its kind, words
-of a match that failed its check (a card number's Luhn sum, an address part over 255) are observed as none, and all others are
-inferred. Neighbouring candidates share a chain potential; distant candidates that are the same or end in the same seven
-digits, also where those are spread over neighbouring words, share a skip potential with one hub, so that "(708) 555-4315" is
-read like "+1 (708) 555-4315" elsewhere in the document. A hub whose observed words are all of one label has that label, however
-many repeats are not observed; another hub is inferred. Sum-product messages run over this graph until they stop changing; a word
-whose kind gets CERTAIN of the belief, and that is skip-linked to an observed word of that kind, becomes a span, together with
-the words beside it that are believed to be of that kind too.
-
-The weights are those that make observed labels likeliest given their neighbours (pseudo-likelihood). Features are few-valued, so
-the training table is counts of (features, label), gathered from every document and bounded by the number of feature values.
+Patterns find e-mail addresses, IP addresses, card and telephone numbers; what they find stays. A fifth kind, secrets, is seeded by
+assignments such as `token = "..."`. The field is over a document's candidate words, those with a digit, `@`, `+` or `(at)`:
+words inside a seed are observed with its kind, words of a match that failed its check (a card number's Luhn sum, an address part over
+255) are observed as none, and all others are inferred. Neighbouring candidates share a chain potential; distant candidates that
+are the same or end in the same seven digits, also where those are spread over neighbouring words, share a skip potential with
+one hub. A hub whose observed words are all of one label has that label, however many repeats are not observed; another hub is
+inferred. Sum-product messages run over this graph until they stop changing. In every document with candidates the beliefs add spans:
+a run of neighbouring words believed to be of one kind, one of them with CERTAIN of the belief, becomes a span where it is
+skip-linked to an observed word of that kind, or where its form can be of that kind (a telephone number without its plus, an address with
+`(at)`, a long token after a word such as "password"). Other forms of IP and card numbers come from skip links only.
+
+The weights are those that make labels likeliest given their neighbours (pseudo-likelihood). So that the field doesn't merely
+learn the patterns, each seed is learnt a second time with what the pattern saw masked: a telephone number without its plus and
+country, or joined by hyphens or points, an address with `(at)`, a secret without its equals sign, each without its neighbours.
+COUNTER lists forms that are none. Features are few-valued, so the training table is counts of (features, label), gathered from every
+document and bounded by the number of feature values.
 
 Defined results: null and blank texts have no spans; each row is returned; a null doc_id stays null; an empty table gives no rows.
 """
@@ -30,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, small_batches
 
-KINDS = ("email", "ip", "card", "phone")
-NONE, LABELS = 0, 5  # label k + 1 is KINDS[k]
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = 4  # kinds that patterns decide
+NONE, LABELS = 0, 6  # label k + 1 is KINDS[k]
 CERTAIN = 0.9
 #: Messages have stopped changing when none moves by more; their step is halved every SWEEPS sweeps, as loops may make them swing.
 STILL, SWEEPS = 1e-6, 200
@@ -43,7 +48,22 @@ _NUMBER = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@+]")
-_CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@+][^\x20\x09-\x0D]*")
+_TAIL = re.compile(r"(?:[0-9@+]|[(\[]at[)\]])[^\x20\x09-\x0D]*")
+_ASSIGNED = re.compile(r"[=:][ \t]*[\"']?([A-Za-z0-9+/_\-]{16,})")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_\-]{16,}")
+_AT = re.compile(r"[A-Za-z0-9._%+-]+[(\[]at[)\]][A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_NUMBERED = re.compile(r"[0-9().\- ]*[().\-][0-9().\- ]*")
+# Words before a value that say what it is.
+_NAMED = re.compile(
+    r"(?:(token|secret|password|passwd|api[_-]?key|access[_-]?key)|(phone|call|mobile|tel|fax)|(e-?mail|contact))[\"']?(?: is)?[^a-z0-9]{0,4}$",
+    re.IGNORECASE,
+)
+# Forms that are of no kind, and how often each counts as seen.
+COUNTER = (
+    "2024-01-05", "05.01.2024", "12:30", "1,250.00", "v1.2.3", "4.0", "(2020)", "(3)", "1234567890", "3/4", "978-3-16-148410-0", "20240105123000", "100", "7", "4000",
+    "x86-64", "12345-6789", "1-2", "10.5281/zenodo.1234567", "9e107d9d372bb6826bd81d3542a419d6e4f1c2ab", "550e8400-e29b-41d4-a716-446655440000", "308", "555-4315", "@home", "a+b",
+)
+COUNTED = 25
 _EDGE = ".,;:!?\"'[]{}<>"
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -104,11 +124,38 @@ def patterns(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
     return spans, failed
 
 
+def _mixed(token: str) -> bool:
+    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+
+
+def _named(text: str, start: int) -> int:
+    """What the words before say: 1 a secret, 2 a telephone number, 3 an address, 0 nothing."""
+    m = _NAMED.search(text, max(0, start - 24), start)
+    return m.lastindex if m else 0
+
+
+def secrets(text: str) -> list[Span]:
+    """Values assigned to a name that stands for a secret."""
+    if not _HINT.search(text):
+        return []
+    return [(BASE, *m.span(1)) for m in _ASSIGNED.finditer(text) if _mixed(m.group(1)) and _named(text, m.start() + 1) == 1]
+
+
+def _candidates(text: str) -> list[tuple[int, int]]:
+    """The words with a digit, an at sign or a plus."""
+    out, last = [], 0
+    for m in _TAIL.finditer(text):
+        start = 1 + max(text.rfind(c, last, m.start()) for c in " \n\t\r\v\f")
+        out.append((max(start, last), m.end()))
+        last = m.end()
+    return out
+
+
 class Field:
     """A document's candidates: places, few-valued features, observed labels (-1: to infer), chain and skip edges."""
 
     def __init__(self, text: str, spans: list[Span], failed: list[tuple[int, int]]):
-        self.places = [m.span() for m in _CANDIDATE.finditer(text)]
+        self.places = _candidates(text)
         self.words = [text[s:e] for s, e in self.places]
         n = len(self.places)
         self.labels = [-1] * n
@@ -117,7 +164,7 @@ class Field:
                 self.labels[i] = label
         self.chain = [i for i in range(n - 1) if not text[self.places[i][1] : self.places[i + 1][0]].strip(" \t\n\x0b\x0c\r")]
         near = {i: (0, 1) for i in self.chain}
-        self.features = [_features(w, i in near, i - 1 in near) for i, w in enumerate(self.words)]
+        self.features = [_features(w, i in near, i - 1 in near, _named(text, self.places[i][0])) for i, w in enumerate(self.words)]
         keys = defaultdict(list)
         for last, w in enumerate(self.words):
             key, first = _key(w), last
@@ -145,7 +192,9 @@ class Field:
 
 
 def _key(word: str) -> str:
-    """What two words must share for a skip edge: seven last digits, or else the whole word."""
+    """What two words must share for a skip edge: a long token, seven last digits, or else the whole word."""
+    if len(word) >= 16 and (m := _TOKEN.search(word)) and _mixed(m.group()):
+        return m.group().lower()
     digits = _NOT_DIGIT.sub("", word)
     if len(digits) >= 7:
         return digits[-7:]
@@ -153,29 +202,58 @@ def _key(word: str) -> str:
     return core if len(core) >= 5 and "@" in core else ""
 
 
-_DIGITS = (0, 1, 4, 7, 8, 11, 16, 20)
+_DIGITS = (0, 1, 4, 7, 8, 10, 11, 16, 20)
+_LENGTHS = (0, 8, 16, 32)
+#: Forms of a word, in this order; none of them is 0.
+_FORMS = tuple(re.compile(x) for x in (r"\([0-9]{3}\)", r"[0-9]{3}[-.][0-9]{4}", r"[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}", r"[0-9]+", r"[0-9]+(?:\.[0-9]+){3}", r"\+[0-9]{1,3}", r"[0-9]{4}-[0-9]{2}-[0-9]{2}"))
 #: Number of values of each feature; the last three are labels of the candidates before, after, and skip-linked (LABELS: none).
-SHAPE = (8, 2, 4, 2, 2, 2, 2, 2, 2, LABELS + 1, LABELS + 1, LABELS + 1)
+SHAPE = (9, 3, 4, 2, 2, 3, 3, 2, 2, 4, 8, 4, LABELS + 1, LABELS + 1, LABELS + 1)
+OWN = len(SHAPE) - 3
+OFFSETS = np.concatenate(([0], np.cumsum(SHAPE)))
 
 
-def _features(word: str, joined_right: bool, joined_left: bool) -> tuple[int, ...]:
-    n = sum("0" <= c <= "9" for c in word)
-    dots = word.strip(_EDGE).count(".")
+def _features(word: str, joined_right: bool, joined_left: bool, named: int) -> tuple[int, ...]:
+    core = word.strip(_EDGE + "#*$%&|")[:256]
+    n = sum("0" <= c <= "9" for c in core)
+    letters = [c for c in core.lower() if c.isalpha()]
+    form = next((k + 1 for k, x in enumerate(_FORMS) if x.fullmatch(core)), 0)
     return (
-        sum(n >= x for x in _DIGITS) - 1, int("@" in word), (0, 1, 1, 2)[dots] if dots < 4 else 3, int("+" in word), int("(" in word),
-        int("-" in word), int(any(c.isalpha() for c in word)), int(joined_left), int(joined_right),
+        sum(n >= x for x in _DIGITS) - 1, 1 if "@" in core else 2 if _AT.fullmatch(core) else 0, min(core.count("."), 3), int("+" in core), int("(" in core),
+        min(core.count("-"), 2), 0 if not letters else 1 if all(c in "abcdef" for c in letters) else 2, int(joined_left), int(joined_right),
+        sum(len(core) >= x for x in _LENGTHS) - 1, form, named,
     )
 
 
+def variants(kind: int, value: str) -> list[str]:
+    """A seed's value in forms that no pattern takes."""
+    if KINDS[kind] == "phone":
+        local = value.split(" ", 1)[1] if " " in value else ""
+        digits = _NOT_DIGIT.sub("", value)[-10:]
+        groups = (digits[:3], digits[3:6], digits[6:])
+        return [local, f"({groups[0]}) {groups[1]}-{groups[2]}", "-".join(groups), ".".join(groups)] if len(digits) == 10 else []
+    if KINDS[kind] == "email":
+        return [value.replace("@", "(at)"), value.replace("@", "[at]")]
+    return ["password is " + value, "token " + value] if KINDS[kind] == "secret" else []
+
+
+def _lone(text: str, label: int) -> Iterator[tuple[int, ...]]:
+    """Rows of a text whose candidates all have one label, and no neighbours beyond it."""
+    field = Field(text, [], [])
+    joined = set(field.chain)
+    for i, f in enumerate(field.features):
+        yield (*f, label if i - 1 in joined else LABELS, label if i in joined else LABELS, LABELS, label)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of features and label, with unobserved candidates as none."""
+    """Counts of features and label, with unobserved candidates as none, and of masked seeds."""
     counts: Counter = Counter()
     for batch in batches:
         for text in batch.column(0):
             text = text.as_py() or ""
-            spans, failed = patterns(text)
             if not _HINT.search(text):
                 continue
+            spans, failed = patterns(text)
+            spans = spans + secrets(text)
             field = Field(text, spans, failed)
             labels = [max(x, NONE) for x in field.labels]
             left, right, skip = [LABELS] * len(labels), [LABELS] * len(labels), [LABELS] * len(labels)
@@ -184,6 +262,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in field.skips:
                 skip[a], skip[b] = labels[b], labels[a]
             counts.update((*f, a, b, c, y) for f, a, b, c, y in zip(field.features, left, right, skip, labels, strict=True))
+            for kind, s, e in spans:
+                for other in variants(kind, text[s:e]) if e - s < 256 else ():
+                    counts.update(_lone(other, kind + 1))
     rows = list(counts)
     yield pa.RecordBatch.from_arrays([pa.array([list(map(int, r)) for r in rows], pa.list_(pa.int32())), pa.array([counts[r] for r in rows], pa.int64())], ["row", "n"])
 
@@ -191,31 +272,33 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log potentials: by feature value (offsets in SHAPE's order) and label, of chain edges, and of skip edges."""
     table = docs.select(F.col(text).alias("text")).mapInArrow(_counted, "row array<int>, n long").groupBy("row").agg(F.sum("n").alias("n")).orderBy("row").toArrow()
-    offsets = np.concatenate(([0], np.cumsum(SHAPE)))
-    weights = np.zeros((offsets[-1], LABELS))
-    if table.num_rows:
-        rows = np.array(table.column("row").to_pylist())
-        n = np.sqrt(table.column("n").to_numpy())  # tempered, so that rare shapes count
-        x = np.zeros((len(rows), offsets[-1]))
-        for k in range(len(SHAPE)):
-            x[np.arange(len(rows)), offsets[k] + rows[:, k]] = 1
-        y = np.eye(LABELS)[rows[:, -1]]
-        # gradient steps of fixed size on a smooth convex loss
-        rate = 2.0 / (len(SHAPE) * n.sum())
-        for _ in range(1500):
-            z = x @ weights
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            weights += rate * (x.T @ (n[:, None] * (y - p)) - 1e-2 * weights)
-    left, right, skip = (weights[offsets[k] : offsets[k] + LABELS] for k in (9, 10, 11))
-    return weights[: offsets[9]], (left + right.T) / 2, (skip + skip.T) / 2
+    counts = Counter({tuple(r): n for r, n in zip(table.column("row").to_pylist(), table.column("n").to_pylist(), strict=True)})
+    for form in COUNTER:
+        for row in _lone(form, NONE):
+            counts[row] += COUNTED
+    weights = np.zeros((OFFSETS[-1], LABELS))
+    rows = np.array(sorted(counts))
+    n = np.sqrt([counts[tuple(r)] for r in rows.tolist()])  # tempered, so that rare forms count
+    x = np.zeros((len(rows), OFFSETS[-1]))
+    for k in range(len(SHAPE)):
+        x[np.arange(len(rows)), OFFSETS[k] + rows[:, k]] = 1
+    y = np.eye(LABELS)[rows[:, -1]]
+    # gradient steps of fixed size on a smooth convex loss, with momentum
+    rate, speed = 2.0 / (len(SHAPE) * n.sum()), np.zeros_like(weights)
+    for _ in range(600):
+        z = x @ weights
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        speed = 0.9 * speed + rate * (x.T @ (n[:, None] * (y - p)) - 1e-2 * weights)
+        weights += speed
+    left, right, skip = (weights[OFFSETS[OWN + k] : OFFSETS[OWN + k] + LABELS] for k in range(3))
+    return weights[: OFFSETS[OWN]], (left + right.T) / 2, (skip + skip.T) / 2
 
 
 def infer(field: Field, potentials: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Beliefs (candidate, label) after loopy sum-product message passing."""
     unary, chain, skip = potentials
-    offsets = np.concatenate(([0], np.cumsum(SHAPE[:9])))[:9]
-    own = np.stack([unary[offsets + np.array(f)].sum(axis=0) for f in field.features])
+    own = unary[OFFSETS[:OWN] + np.array(field.features)].sum(axis=1)
     own = np.exp(own - own.max(axis=1, keepdims=True))
     for i, label in enumerate(field.labels):
         if label >= 0:
@@ -259,47 +342,81 @@ def infer(field: Field, potentials: tuple[np.ndarray, np.ndarray, np.ndarray]) -
     return (beliefs / beliefs.sum(axis=1, keepdims=True))[:n]
 
 
+def _may_add(field: Field, potentials: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bool:
+    """Whether any word not observed can reach CERTAIN: its own potential, and the most that its messages can say for a kind."""
+    unary, chain, skip = potentials
+    free = np.array([i for i, label in enumerate(field.labels) if label < 0], dtype=np.int64)
+    if not len(free):
+        return False
+    hubs = np.zeros(len(field.labels))
+    for group in field.groups:
+        hubs[group] += 1
+    own = unary[OFFSETS[:OWN] + np.array(field.features)[free]].sum(axis=1)
+    ahead = own - own[:, :1]
+    most = 2 * np.maximum((chain - chain[:, :1]).max(axis=0), (chain.T - chain.T[:, :1]).max(axis=0))
+    reach = ahead + most + hubs[free, None] * np.maximum(0, (skip - skip[:, :1]).max(axis=0))
+    return bool((reach[:, 1:] >= np.log(CERTAIN / (1 - CERTAIN)) - 1e-9).any())
+
+
+def _fits(kind: str, value: str) -> bool:
+    """Whether a value that nothing links to a seed has a form of the kind."""
+    if kind == "phone":
+        return bool(_NUMBERED.fullmatch(value)) and 10 <= len(_NOT_DIGIT.sub("", value)) <= 15
+    if kind == "email":
+        return bool(_AT.fullmatch(value))
+    return kind == "secret" and bool(_TOKEN.fullmatch(value)) and _mixed(value)
+
+
 def find(text: str, potentials) -> tuple[list[Span], list[Span]]:
     """The patterns' spans, and all spans; sorted by kind, then start."""
     spans, failed = patterns(text)
-    if not spans:
-        return spans, spans  # nothing observed that a skip edge could carry
-    field = Field(text, spans, failed)
+    if not _HINT.search(text) and "(at)" not in text and "[at]" not in text:
+        return spans, spans
+    seeds = spans + secrets(text)
+    field = Field(text, seeds, failed)
+    if not field.words or not _may_add(field, potentials):
+        return spans, seeds
     linked: dict[int, set[int]] = defaultdict(set)
-    starts = {last: first for group in field.repeats for first, last in group}
+    whole = {i: place for group in field.repeats for place in group for i in range(place[0], place[1] + 1)}
     for group in field.groups:
         seen = {field.labels[i] for i in group if field.labels[i] > NONE}
         for i in group:
             if field.labels[i] < 0:
                 linked[i] |= seen
-    if not any(linked.values()):
-        return spans, spans
     beliefs = infer(field, potentials)
-    best = beliefs.argmax(axis=1)
-    joined, more = set(field.chain), set()
-    for i, kinds in linked.items():
-        label = int(best[i])
-        if label not in kinds or beliefs[i, label] < CERTAIN:
-            continue
-        # with the words beside it that the field reads alike
-        first = min([i, *(k for k in range(starts.get(i, i), i) if all(field.labels[m] < 0 for m in range(k, i)))])
-        last = i
-        while first - 1 in joined and field.labels[first - 1] < 0 and best[first - 1] == label:
-            first -= 1
-        while last in joined and field.labels[last + 1] < 0 and best[last + 1] == label:
+    best = np.where(np.array(field.labels) < 0, beliefs.argmax(axis=1), NONE)
+    joined, more, i = set(field.chain), set(), 0
+    while i < len(best):
+        label, last = int(best[i]), i
+        while label and last in joined and best[last + 1] == label:
             last += 1
+        run, first, i = range(i, last + 1), i, last + 1
+        if not label or max(beliefs[k, label] for k in run) < CERTAIN:
+            continue
+        known = [k for k in run if label in linked.get(k, ())]
+        # a repeat starts and ends where its digits do
+        for k in known:
+            if all(field.labels[j] < 0 for j in range(whole[k][0], whole[k][1] + 1)):
+                first, last = min(first, whole[k][0]), max(last, whole[k][1])
+        i = max(i, last + 1)
         head, tail = field.words[first], field.words[last]
         s = field.places[first][0] + len(head) - len(head.lstrip(_EDGE))
         e = field.places[last][1] - len(tail) + len(tail.rstrip(_EDGE))
-        if s < e:
+        if KINDS[label - 1] == "secret":
+            more |= {(label - 1, *m.span()) for m in _TOKEN.finditer(text, s, e) if _mixed(m.group()) and (known or _fits("secret", m.group()))}
+        elif s < e and (known or _fits(KINDS[label - 1], text[s:e])):
             more.add((label - 1, s, e))
-    return spans, sorted({*spans, *more})
+    return spans, sorted({*seeds, *more})
 
 
 def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
+#: Columns beside doc_id.
+OUT = {"n_email": "long", "n_ip": "long", "n_card": "long", "n_phone": "long", "base_sha256": "string", "spans": "string", "n_spans": "long", "n_added": "long"}
+
+
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,22 +425,20 @@ def _scan(shared):
                 base, every = find(text.as_py() or "", shared.value)
                 joined = _joined(base)
                 counts = Counter(k for k, _, _ in base)
-                rows.append((*(counts[k] for k in range(len(KINDS))), hashlib.sha256(joined.encode()).hexdigest(), _joined(every)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.string())],
-                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
-            )
+                rows.append((*(counts[k] for k in range(BASE)), hashlib.sha256(joined.encode()).hexdigest(), _joined(every), len(every), len(every) - len(base)))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(OUT)
+            types = [pa.string() if t == "string" else pa.int64() for t in OUT.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *OUT])
 
     return run
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, the number of pattern spans of each kind, their digest, and all spans as kind:start:end."""
+    """Per row: doc_id, the number of pattern spans of each kind, their digest, all spans as kind:start:end, and the number of these and of added ones."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, text))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _scan(shared), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+        _scan(shared), ", ".join(f"{n} {t}" for n, t in {"doc_id": "long", **OUT}.items())
     )
 
 
