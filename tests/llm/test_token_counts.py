@@ -17,5 +17,23 @@ def test_rare_pretokens_are_joined(docs, corpus, monkeypatch):
     assert sorted(map(tuple, t.count_tokens(docs).collect()), key=str) == want
 
 
+def test_a_collision_takes_the_next_seed(docs, monkeypatch):
+    want = sorted(map(tuple, t.count_tokens(docs).collect()), key=str)
+    real, seeds = t._distinct, []
+
+    def first_collides(seed):
+        seeds.append(seed)
+
+        def run(batches):
+            for batch in real(seed)(batches):
+                yield batch if seed else t.pa.RecordBatch.from_arrays([t.pa.array([5] * batch.num_rows, t.pa.int64()), *batch.columns[1:]], batch.schema.names)
+
+        return run
+
+    monkeypatch.setattr(t, "_distinct", first_collides)
+    assert sorted(map(tuple, t.count_tokens(docs).collect()), key=str) == want
+    assert seeds == [0, 1]
+
+
 def test_empty(empty):
     assert t.count_tokens(empty).count() == 0

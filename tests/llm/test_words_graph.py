@@ -21,6 +21,22 @@ def test_words_match_splitting():
     assert len(set(by.values())) == len(by)
 
 
+def test_regular_words_do_not_collide():
+    # a Thue-Morse word and its complement collide under any polynomial modulo 2**64
+    for k in (8, 10, 12):
+        word = "a"
+        for _ in range(k):
+            word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        _, _, h, _ = words.word_hashes(*words.batch_bytes(pa.array([word, other, word + "a", "a" + word])))
+        assert len(set(h.tolist())) == 4
+
+
+def test_seeds_give_other_hashes():
+    raw, offsets = words.batch_bytes(pa.array(["one two three"]))
+    assert not set(words.word_hashes(raw, offsets)[2].tolist()) & set(words.word_hashes(raw, offsets, seed=1)[2].tolist())
+
+
 def test_sliced_batches():
     a = pa.array(["zero", "one two", "three", "four five six"])[1:3]
     raw, offsets = words.batch_bytes(a)

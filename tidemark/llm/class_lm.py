@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, small_batches, stage
+from .common import crc_mod, documents, stage
 from .token_counts import Lookup
 from .words import batch_bytes, text_groups, word_hashes
 
@@ -67,11 +67,22 @@ def _with_ends(values: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
     return np.insert(values, at[1:], end)
 
 
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of (keys, counts, others ...) per group of texts: distinct keys, their summed counts, and the first of the others."""
+    keys, n, *others = (np.concatenate(x) for x in zip(*parts, strict=True))
+    distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
+    return distinct, np.bincount(back, weights=n, minlength=len(distinct)).astype(np.int64), *(x[at] for x in others)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        parts = []
         for _, _, _, _, h, ending, _ in _tokens(batch.column(0)):
             keys, at, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ending[at].astype(np.int32)), pa.array(n)], ["h", "ending", "n"])
+            parts.append((keys, n, ending[at].astype(np.int32)))
+        if parts:
+            keys, n, ending = _summed(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ending), pa.array(n)], ["h", "ending", "n"])
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -86,10 +97,13 @@ def _bigrams(shared):
         words = shared.value
         unit_of = Lookup(words, np.arange(len(words), dtype=np.int64) + END + 1)
         for batch in batches:
+            parts = []
             for _, _, _, _, h, ending, at in _tokens(batch.column(0)):
                 unit = unit_of(h, -1)
                 unit = _with_ends(np.where(unit < 0, ENDING + ending, unit), at, END).astype(np.int64)
-                keys, n = np.unique(np.append(END, unit[:-1]) << 32 | unit, return_counts=True)
+                parts.append(np.unique(np.append(END, unit[:-1]) << 32 | unit, return_counts=True))
+            if parts:
+                keys, n = _summed(parts)
                 yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["u", "v", "n"])
 
     return count
@@ -136,12 +150,25 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return of
 
 
-def _beside(batch: pa.RecordBatch):
-    """Of rows (key, lists of (slot, n)): the row of each entry, slots, and counts."""
-    lists = batch.column(1)
-    flat = lists.flatten()
-    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    return np.repeat(np.arange(batch.num_rows), np.diff(bounds)), flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(float)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, list of (slot, n)) as few rows of four flat arrays, which every sweep reads: keys, ends of their lists, slots, counts."""
+    for batch in batches:
+        lists = batch.column(1)
+        flat = lists.flatten()
+        ends = (lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()).astype(np.int64)
+        columns = (batch.column(0).to_numpy().astype(np.int64), ends, flat.field(0).to_numpy().astype(np.int32), flat.field(1).to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["keys", "ends", "slots", "n"])
+
+
+PACKED = "keys binary, ends binary, slots binary, n binary"
+
+
+def _beside(batches: Iterator[pa.RecordBatch]):
+    """Of packed rows: keys, the key of each entry by its place, slots, and counts."""
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            keys, ends, slots, n = (np.frombuffer(x.as_buffer(), dtype=t) for x, t in zip(row, (np.int64, np.int64, np.int32, np.int64), strict=True))
+            yield keys, np.repeat(np.arange(len(keys)), np.diff(ends, prepend=0)), slots, n.astype(float)
 
 
 def _choose(shared):
@@ -150,13 +177,12 @@ def _choose(shared):
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, fit = shared.value
-        for batch in batches:
-            row, slot, n = _beside(batch)
+        for keys, row, slot, n in _beside(batches):
             c = classes[slot >> 1].astype(np.int64)
             good = c >= 0
             cell = row[good] * (2 * WIDE) + 2 * c[good] + (slot[good] & 1)
-            sums = np.bincount(cell, weights=n[good], minlength=batch.num_rows * 2 * WIDE).reshape(-1, 2 * WIDE) @ fit
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(sums, axis=1).astype(np.int32))], ["key", "class"])
+            sums = np.bincount(cell, weights=n[good], minlength=len(keys) * 2 * WIDE).reshape(-1, 2 * WIDE) @ fit
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.argmax(sums, axis=1).astype(np.int32))], ["key", "class"])
 
     return choose
 
@@ -166,10 +192,9 @@ def _joint(shared):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, total = shared.value, np.zeros(WIDE * WIDE)
-        for batch in batches:
-            row, slot, n = _beside(batch)
+        for keys, row, slot, n in _beside(batches):
             after = slot & 1 == 1
-            own = classes[batch.column(0).to_numpy()].astype(np.int64)
+            own = classes[keys].astype(np.int64)
             total += np.bincount(own[row[after]] * WIDE + classes[slot[after] >> 1], weights=n[after], minlength=WIDE * WIDE)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen].astype(np.int64))], ["cell", "n"])
@@ -208,7 +233,7 @@ def cluster(bigrams: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     first[cells.column("u").to_numpy() - END - 1, cells.column("v").to_numpy() - END - 1] = cells.column("n").to_numpy()
     # at most two slots for each unit
     rows = bigrams.select(F.col("u").alias("key"), (2 * F.col("v") + 1).alias("slot"), "n").unionByName(bigrams.select(F.col("v").alias("key"), (2 * F.col("u")).alias("slot"), "n"))
-    beside = stage(rows.groupBy("key").agg(F.collect_list(F.struct("slot", "n")).alias("seen")), "beside")
+    beside = stage(rows.groupBy("key").agg(F.collect_list(F.struct("slot", "n")).alias("seen")).mapInArrow(_packed, PACKED), "beside")
     classes = np.full(END + 1 + n_words, -1, dtype=np.int16)
     joint = np.zeros((WIDE, WIDE))
     if size:
@@ -216,7 +241,7 @@ def cluster(bigrams: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         np.add.at(joint, (classes[END + 1 : END + 1 + size, None], classes[None, END + 1 : END + 1 + size]), first)
 
     def chosen(classes: np.ndarray, joint: np.ndarray) -> np.ndarray:
-        got = beside.mapInArrow(_choose(share((classes, _fit(joint)))), "key int, class int").toArrow()
+        got = beside.mapInArrow(_choose(share((classes, _fit(joint)))), "key long, class int").toArrow()
         out = np.zeros(len(classes), dtype=np.int16)
         out[got.column("key").to_numpy()] = got.column("class").to_numpy()
         out[END] = CLASSES
@@ -269,7 +294,7 @@ def rare_classes(training: DataFrame, known, joint: np.ndarray) -> DataFrame:
     fit = training.sparkSession.sparkContext.broadcast((np.arange(WIDE, dtype=np.int16), _fit(joint)))
     seen = training.mapInArrow(_rare_contexts(known), "key long, slot int, n long").groupBy("key", "slot").agg(F.sum("n").alias("n"))
     lists = seen.groupBy("key").agg(F.collect_list(F.struct("slot", "n")).alias("seen"))  # at most 2 * WIDE slots
-    return lists.mapInArrow(_choose(fit), "key long, class int").withColumnRenamed("key", "h")
+    return lists.mapInArrow(_packed, PACKED).mapInArrow(_choose(fit), "key long, class int").withColumnRenamed("key", "h")
 
 
 class Model:
@@ -384,7 +409,6 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     base_score is the unigram model with half-counts over the same counts.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     wanted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("out"))
     training = wanted.filter("not out").select("text")
     counts = stage(word_counts(training), "word_counts")

@@ -3,7 +3,8 @@
 A pre-token here is a run of characters other than ASCII white space. The tokenizer's own splits never cross such
 space, so a text's count is the sum over its pre-tokens, each tokenized whole by the library (special strings included).
 
-1. One scan gives the distinct pre-tokens with their frequency; each is tokenized once, in the table of pre-tokens.
+1. One scan gives the distinct pre-tokens with their frequency, by a hash; each is tokenized once, in the table of pre-tokens.
+   Should two of them share a hash, which the same job sees, it is done again with another seed: joins on the hash are exact.
 2. The FREQUENT most frequent of them go to all tasks (16 bytes each), the others are joined by their hash.
 3. A second scan sums the frequent ones per document and lists the rest with their frequencies, which are joined and added.
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, stage
+from .common import documents, stage, stage_observed
 from .words import batch_bytes, text_groups, word_hashes
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,14 +55,26 @@ class Lookup:
         return np.where(self.keys[at] == keys, self.values[at], self.values.dtype.type(missing))
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, offsets = batch_bytes(batch.column(0))
-        for i, j in text_groups(raw, offsets):
-            part = raw[offsets[i] : offsets[j]]
-            s, e, h, _ = word_hashes(part, offsets[i : j + 1] - offsets[i], lower=False)
-            keys, at, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), gather(part, s[at], e[at]), pa.array(n)], ["h", "word", "n"])
+def _distinct(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = batch_bytes(batch.column(0))
+            found = []
+            for i, j in text_groups(raw, offsets):
+                s, e, h, _ = word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=False, seed=seed)
+                keys, at, n = np.unique(h, return_index=True, return_counts=True)
+                found.append((keys, s[at] + offsets[i], e[at] + offsets[i], n))
+            h, s, e, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.uint64)] * 4
+            keys, at, back = np.unique(h, return_index=True, return_inverse=True)
+            total = np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
+            step = 1 << 16  # rows out at once
+            for k in range(0, len(keys), step):
+                some = slice(k, k + step)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[some].view(np.int64)), gather(raw, s[at[some]].astype(np.int64), e[at[some]].astype(np.int64)), pa.array(total[some])], ["h", "word", "n"]
+                )
+
+    return run
 
 
 def _pieces(path: str):
@@ -70,20 +83,28 @@ def _pieces(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        for batch in batches:
-            got = tokenizer.encode_batch_fast(batch.column(1).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x.ids) for x in got], pa.int32())], ["h", "n", "pieces"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):  # encodings take many times the memory of their words
+                batch = whole.slice(k, 1024)
+                got = tokenizer.encode_batch_fast(batch.column(1).to_pylist(), add_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x.ids) for x in got], pa.int32())], ["h", "n", "pieces"])
 
     return count
 
 
-def pretokens(docs: DataFrame, text: str, path: str) -> DataFrame:
-    """(h, n, pieces): hash, frequency and piece count of each distinct pre-token."""
-    found = docs.select(F.col(text).alias("text")).mapInArrow(_distinct, "h long, word string, n long")
-    return found.groupBy("h", "word").agg(F.sum("n").alias("n")).mapInArrow(_pieces(path), "h long, n long, pieces int")
+def pretokens(docs: DataFrame, text: str, path: str) -> tuple[DataFrame, int]:
+    """(h, n, pieces), hash, frequency and piece count of each distinct pre-token; and the seed of the hash."""
+    seed = 0
+    while True:
+        found = docs.select(F.col(text).alias("text")).mapInArrow(_distinct(seed), "h long, word string, n long")
+        table = found.groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("other"), F.sum("n").alias("n"))
+        table, seen = stage_observed(table, "pretokens", two=F.max(F.col("word") != F.col("other")))
+        if not seen["two"]:
+            return stage(table.select("h", "word", "n").mapInArrow(_pieces(path), "h long, n long, pieces int"), "pieces"), seed
+        seed += 1
 
 
-def _documents(frequent):
+def _documents(frequent, seed: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, pieces = frequent.value
         lookup = Lookup(keys, pieces)
@@ -91,7 +112,7 @@ def _documents(frequent):
             raw, offsets = batch_bytes(batch.column(1))
             for i, j in text_groups(raw, offsets):
                 part, places = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                _, _, h, at = word_hashes(part, places, lower=False)
+                _, _, h, at = word_hashes(part, places, lower=False, seed=seed)
                 k = lookup(h, -1)
                 rare = np.flatnonzero(k < 0)
                 sums = np.zeros(len(k) + 1, dtype=np.int64)
@@ -126,13 +147,12 @@ def count_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", to
         import public_tokenizers
 
         path = public_tokenizers.path(tokenizer)
-    small_batches(spark)
-    table = stage(pretokens(docs, text, path), "pretokens")
+    table, seed = pretokens(docs, text, path)
     top = table.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h", "pieces").toArrow()
     frequent = spark.sparkContext.broadcast((top.column("h").to_numpy().view(np.uint64), top.column("pieces").to_numpy()))
     rows = stage(
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-            _documents(frequent), "doc_id long, digest long, n_bytes long, known long, h array<long>, f array<int>"
+            _documents(frequent, seed), "doc_id long, digest long, n_bytes long, known long, h array<long>, f array<int>"
         ),
         "counted",
     )
