@@ -30,6 +30,7 @@ def test_counts_and_base_match_brute_force(docs, corpus):
 
 def test_rare_words_are_joined(docs, monkeypatch):
     monkeypatch.setattr(c, "UNITS", 20)
+    monkeypatch.setattr(c, "WORDS", 30)
     few = {(r["doc_id"], r["n_tokens"]): r["base_score"] for r in c.score(docs, F.lit(False)).collect()}
     monkeypatch.undo()
     many = {(r["doc_id"], r["n_tokens"]): r["base_score"] for r in c.score(docs, F.lit(False)).collect()}
@@ -58,6 +59,7 @@ def test_exchange_separates_alternating_words():
 def test_words_beyond_the_units_have_classes_by_their_use(spark, monkeypatch):
     # frequent words follow "the" or "to"; the rare words end alike, and half of them follow "the", half "to"
     monkeypatch.setattr(c, "UNITS", 19)
+    monkeypatch.setattr(c, "WORDS", 19)
     rows = [(k, f"the a{k % 8}x was to b{k % 8}y was") for k in range(400)]
     rows += [(400 + k, f"the n{k % 20}zz was to v{k % 20}zz was") for k in range(60)]
     rows += [(1000, "the n7zz was"), (1001, "the v7zz was")]

@@ -4,18 +4,19 @@
 
 Tokens are the words of a text in lower case (A-Z), then one end of text, which is also what stands before the first.
 1. One scan of the training documents counts all words.
-2. Units: the UNITS most frequent words stand for themselves, every other word, unseen ones too, for its last two bytes.
+2. Units: the UNITS most frequent words stand for themselves, every other word, unseen ones too, for its last two bytes while
+   classes are exchanged.
 3. One scan counts all bigrams of units. Exchange clustering of the ANCHORS most frequent words gives every unit its first
    class; then sweeps exchange all units, in parallel, each into the class whose neighbours explain all of its own best,
    until few move. A sweep that doesn't raise the likelihood of the class bigrams is tried again with half of its moves.
 4. One scan counts every other word beside the units' classes, and each counted word gets a class of its own in the same way.
-5. One scan makes each text's classes; words that aren't broadcast get theirs, and their counts, by a join on their hash, and
-   those never counted the class of their ending. Class transitions are counted over all training tokens and smoothed towards
+5. One scan makes each text's classes; words beyond the WORDS most frequent, which are broadcast, get theirs, and their counts, by a
+   join on their hash, and those never counted the class of their ending. Class transitions are counted over all training tokens and smoothed towards
    the class frequencies (SMOOTHING pseudo-counts); emissions are (c + 0.5) / (N_class + 0.5 * (V_class + 1)), whose last share
    is that of every unseen word of the class. So the probabilities of what can follow add up to one.
 6. The last scan scores the classes of all documents.
 
-What is broadcast is bounded by UNITS, 65,536 endings, and CLASSES squared. Counts cover every training document.
+What is broadcast is bounded by WORDS, 65,536 endings, and CLASSES squared. Counts cover every training document.
 
 Defined results: null and blank texts are the end token alone; each row is returned, rows with equal doc_id and text alike;
 a null doc_id is in no remainder, so it is not held out and is learnt from; with no training rows all counts are 0 and
@@ -36,7 +37,7 @@ from .common import crc_mod, documents, stage
 from .token_counts import Lookup
 from .words import batch_bytes, text_groups, word_hashes
 
-UNITS = 200_000
+UNITS, WORDS = 20_000, 200_000
 ANCHORS = 256
 CLASSES = 48
 SMOOTHING = 4.0
@@ -67,6 +68,10 @@ def _with_ends(values: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
     return np.insert(values, at[1:], end)
 
 
+#: Keys that are held before they are summed and sent on, and entries in one row of packed contexts.
+HELD = 1 << 20
+
+
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Of (keys, counts, others ...) per group of texts: distinct keys, their summed counts, and the first of the others."""
     keys, n, *others = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -74,15 +79,28 @@ def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return distinct, np.bincount(back, weights=n, minlength=len(distinct)).astype(np.int64), *(x[at] for x in others)
 
 
+def _folded(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Parts (keys, counts, others ...), summed by key in runs of about HELD keys."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= HELD:
+            yield _summed(held)
+            held, n = [], 0
+    if held:
+        yield _summed(held)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = []
-        for _, _, _, _, h, ending, _ in _tokens(batch.column(0)):
-            keys, at, n = np.unique(h, return_index=True, return_counts=True)
-            parts.append((keys, n, ending[at].astype(np.int32)))
-        if parts:
-            keys, n, ending = _summed(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ending), pa.array(n)], ["h", "ending", "n"])
+    def parts():
+        for batch in batches:
+            for _, _, _, _, h, ending, _ in _tokens(batch.column(0)):
+                keys, at, n = np.unique(h, return_index=True, return_counts=True)
+                yield keys, n, ending[at].astype(np.int32)
+
+    for keys, n, ending in _folded(parts()):
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ending), pa.array(n)], ["h", "ending", "n"])
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -96,15 +114,16 @@ def _bigrams(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         unit_of = Lookup(words, np.arange(len(words), dtype=np.int64) + END + 1)
-        for batch in batches:
-            parts = []
-            for _, _, _, _, h, ending, at in _tokens(batch.column(0)):
-                unit = unit_of(h, -1)
-                unit = _with_ends(np.where(unit < 0, ENDING + ending, unit), at, END).astype(np.int64)
-                parts.append(np.unique(np.append(END, unit[:-1]) << 32 | unit, return_counts=True))
-            if parts:
-                keys, n = _summed(parts)
-                yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["u", "v", "n"])
+
+        def parts():
+            for batch in batches:
+                for _, _, _, _, h, ending, at in _tokens(batch.column(0)):
+                    unit = unit_of(h, -1)
+                    unit = _with_ends(np.where(unit < 0, ENDING + ending, unit), at, END).astype(np.int64)
+                    yield np.unique(np.append(END, unit[:-1]) << 32 | unit, return_counts=True)
+
+        for keys, n in _folded(parts()):
+            yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["u", "v", "n"])
 
     return count
 
@@ -151,13 +170,33 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, list of (slot, n)) as few rows of four flat arrays, which every sweep reads: keys, ends of their lists, slots, counts."""
+    """Rows (key, slot, n), sorted by key, as few rows of four flat arrays, which every sweep reads: keys, ends of their entries, slots,
+    counts. A key's entries lie in one row."""
+    held, size = [], 0
+
+    def out(parts):
+        key, slot, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        columns = (key[starts], np.append(starts[1:], len(key)), slot.astype(np.int32), n)
+        return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns], ["keys", "ends", "slots", "n"])
+
     for batch in batches:
-        lists = batch.column(1)
-        flat = lists.flatten()
-        ends = (lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()).astype(np.int64)
-        columns = (batch.column(0).to_numpy().astype(np.int64), ends, flat.field(0).to_numpy().astype(np.int32), flat.field(1).to_numpy().astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["keys", "ends", "slots", "n"])
+        if not batch.num_rows:
+            continue
+        key, slot, n = (c.to_numpy().astype(np.int64) for c in batch.columns)
+        if size >= HELD and key[0] != key[-1]:
+            cut = int(np.searchsorted(key, key[0], side="right"))
+            yield out([*held, (key[:cut], slot[:cut], n[:cut])])
+            held, size, key, slot, n = [], 0, key[cut:], slot[cut:], n[cut:]
+        held.append((key, slot, n))
+        size += len(key)
+    if held:
+        yield out(held)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(key, slot, n) with the entries of each key together."""
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "slot", "n").mapInArrow(_packed, PACKED)
 
 
 PACKED = "keys binary, ends binary, slots binary, n binary"
@@ -233,7 +272,7 @@ def cluster(bigrams: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     first[cells.column("u").to_numpy() - END - 1, cells.column("v").to_numpy() - END - 1] = cells.column("n").to_numpy()
     # at most two slots for each unit
     rows = bigrams.select(F.col("u").alias("key"), (2 * F.col("v") + 1).alias("slot"), "n").unionByName(bigrams.select(F.col("v").alias("key"), (2 * F.col("u")).alias("slot"), "n"))
-    beside = stage(rows.groupBy("key").agg(F.collect_list(F.struct("slot", "n")).alias("seen")).mapInArrow(_packed, PACKED), "beside")
+    beside = stage(packed(rows), "beside")
     classes = np.full(END + 1 + n_words, -1, dtype=np.int16)
     joint = np.zeros((WIDE, WIDE))
     if size:
@@ -269,7 +308,7 @@ def cluster(bigrams: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rare_contexts(shared):
-    """Counts (h, slot) of words that aren't broadcast, beside the classes of units."""
+    """Counts (h, slot) of words that are no units, beside the classes of units."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -290,11 +329,10 @@ def _rare_contexts(shared):
 
 
 def rare_classes(training: DataFrame, known, joint: np.ndarray) -> DataFrame:
-    """(h, class) of each counted word that isn't broadcast."""
+    """(h, class) of each counted word that is no unit."""
     fit = training.sparkSession.sparkContext.broadcast((np.arange(WIDE, dtype=np.int16), _fit(joint)))
-    seen = training.mapInArrow(_rare_contexts(known), "key long, slot int, n long").groupBy("key", "slot").agg(F.sum("n").alias("n"))
-    lists = seen.groupBy("key").agg(F.collect_list(F.struct("slot", "n")).alias("seen"))  # at most 2 * WIDE slots
-    return lists.mapInArrow(_packed, PACKED).mapInArrow(_choose(fit), "key long, class int").withColumnRenamed("key", "h")
+    seen = training.mapInArrow(_rare_contexts(known), "key long, slot int, n long").groupBy("key", "slot").agg(F.sum("n").alias("n"))  # at most 2 * WIDE slots a key
+    return packed(seen).mapInArrow(_choose(fit), "key long, class int").withColumnRenamed("key", "h")
 
 
 class Model:
@@ -424,7 +462,14 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     model = Model(words, n_words, classes[END + 1 :].astype(np.int64), classes[:END].astype(np.int64))
     known = spark.sparkContext.broadcast(model)
     rare = stage(rare_classes(training, known, joint).join(counts.select("h", "n"), "h"), "rare")
-    ready = spark.sparkContext.broadcast((model, float(np.log10(n_docs + 0.5))))
+    next_ = rare.orderBy(F.desc("n"), "h").limit(max(0, WORDS - UNITS)).toArrow()
+    all_words, all_counts, all_classes = (
+        np.concatenate((have, more)) for have, more in zip(
+            (words, n_words, model.unit_class),
+            (next_.column("h").to_numpy().view(np.uint64), next_.column("n").to_numpy(), next_.column("class").to_numpy().astype(np.int64)), strict=True,
+        )
+    )
+    ready = spark.sparkContext.broadcast((Model(all_words, all_counts, all_classes, model.ending_class), float(np.log10(n_docs + 0.5))))
 
     rows = stage(
         wanted.select("doc_id", "text", "out").mapInArrow(
