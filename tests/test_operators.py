@@ -135,3 +135,73 @@ def test_text_functions(spark):
     rows = spark.createDataFrame([("a",), (None,), ("é b b B-c",)], "t string")
     got = rows.select("t", text.hmac_bucket(F.col("t"), b"k").alias("h"), text.terms(F.col("t")).alias("w"), text.normalised_query(F.col("t")).alias("q")).collect()
     assert got[1]["h"] is None and 0 <= got[0]["h"] < 10_000 and got[2]["w"] == ["é", "b", "c"] and got[2]["q"] == "é b b b-c"
+
+
+def test_effects_of_few_and_equal_values(spark):
+    rows = [("a", "m", "baseline", 1.0), ("a", "m", "baseline", 2.0), ("b", "m", "baseline", 1.0), ("b", "m", "baseline", 1.0), ("b", "m", "treatment", 1.0), ("b", "m", "treatment", 1.0)]
+    rows += [("c", "m", "baseline", 1.0), ("c", "m", "baseline", 1.0), ("c", "m", "treatment", 2.0), ("c", "m", "treatment", 2.0), ("d", "m", "treatment", 3.0), ("d", "m", "baseline", 2.0)]
+    got = {r["segment"]: r for r in experiments.effect_columns(spark.createDataFrame(rows, "segment string, metric string, variant string, v double")).collect()}
+    assert (got["a"]["nb"], got["a"]["mb"], got["a"]["p"], got["a"]["size"]) == (0, 0.0, 1.0, 0.0)
+    assert (got["b"]["p"], got["b"]["size"]) == (1.0, 0.0)
+    assert (got["c"]["p"], got["c"]["size"], got["c"]["effect"]) == (0.0, 0.0, 1.0)
+    assert got["d"]["p"] == 1.0 and set(got) == {"a", "b", "c", "d", "all"}
+
+
+def test_holm_takes_all_metrics_of_all_segments_together(spark):
+    rows = [("a", "x", 0.01), ("a", "y", 0.04), ("b", "x", 0.03), ("b", "y", 0.5)]
+    got = {(r["segment"], r["metric"]): round(r["adjusted"], 9) for r in experiments.holm(spark.createDataFrame(rows, "segment string, metric string, p double")).collect()}
+    assert got == {("a", "x"): 0.04, ("b", "x"): 0.09, ("a", "y"): 0.09, ("b", "y"): 0.5}
+
+
+def metric_rows(spark, spend=0.0, high=0.1, effect=1.0, low=0.5, adjusted=0.01, n=200):
+    rows = [("all", "orders", n, n, effect, 0.5, low, low + 1, adjusted), ("all", "spend", n, n, spend, 0.5, spend - 0.01, high, 1.0)]
+    df = spark.createDataFrame(rows, "segment string, metric string, na long, nb long, effect double, size double, low double, high double, adjusted double")
+    return experiments.performance(experiments.judged(df.selectExpr("*", "na + nb AS n", "0L AS missing")))
+
+
+@pytest.mark.parametrize(
+    ("change", "states", "want"),
+    [
+        ({}, ("CANARY", "LIVE"), ("PASS", "LIVE", "LIVE")), ({}, ("SHADOW", "CANARY"), ("PASS", "CANARY", "CANARY")), ({}, ("DRAFT", "LIVE"), ("PASS", "HOLD", "HOLD")),
+        ({"spend": -0.06, "high": -0.01}, ("CANARY", "LIVE"), ("FAIL", "ROLLBACK", "ROLLED_BACK")), ({"spend": -0.06, "high": -0.01}, ("SHADOW", "CANARY"), ("FAIL", "HOLD", "HOLD")),
+        ({"low": -0.1}, ("CANARY", "LIVE"), ("HOLD", "HOLD", "HOLD")), ({"adjusted": 0.06}, ("CANARY", "LIVE"), ("HOLD", "HOLD", "HOLD")), ({"n": 99}, ("ROLLED_BACK", "LIVE"), ("HOLD", "HOLD", "ROLLED_BACK")),
+    ],
+)
+def test_gates_and_decision(spark, change, states, want):
+    gated = experiments.gates(metric_rows(spark, **change), approved=True)
+    status = {r["gate"]: r["status"] for r in gated.collect()}
+    decided = experiments.decision(gated, *states).first()
+    assert (status["PERFORMANCE_GUARDRAIL"], decided["decision"], decided["target"]) == want
+    assert status["SAMPLE_SUFFICIENCY"] == ("HOLD" if change.get("n") else "PASS")
+
+
+def test_bootstrap_has_a_segment_of_all(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, "m", v, float(rng.normal(10 + (v == "treatment"), 2))) for s in ("a", "b") for v in ("baseline", "treatment") for _ in range(150)]
+    df = spark.createDataFrame(rows, "segment string, metric string, variant string, v double")
+    got = {r["segment"]: r for r in experiments.bootstrap(df, 1200).collect()}
+    assert set(got) == {"a", "b", "all"}
+    mean = lambda s, v: np.mean([x for a, _, b, x in rows if b == v and s in (a, "all")])
+    for s, r in got.items():
+        assert r["low"] < mean(s, "treatment") - mean(s, "baseline") < r["high"]
+    assert got["all"]["high"] - got["all"]["low"] < got["a"]["high"] - got["a"]["low"]
+
+
+def test_decision_of_an_evaluation(spark):
+    from tidemark.plans import evaluation
+
+    rows = [(30, 30, 30, 8, 10, 0, 0), (30, 29, 30, 8, 10, 0, 0), (30, 30, 30, 8, 10, 1, 0), (29, 29, 30, 8, 10, 0, 0), (30, 30, 29, 8, 10, 0, 0), (30, 30, 30, 7, 10, 0, 0), (30, 30, 30, 8, 10, 0, 1), (0, 0, 0, 0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "replays int, exact int, outcomes int, supported int, candidates int, violations int, breaches int")
+    got = [r["decision"] for r in evaluation.decide(df.coalesce(1)).collect()]
+    assert got == ["PASS", "BLOCK", "BLOCK", *["INSUFFICIENT_EVIDENCE"] * 3, "REVIEW", "INSUFFICIENT_EVIDENCE"]
+
+
+def test_nearest_rank(spark):
+    from tidemark.plans.content import nearest_rank
+
+    rng = np.random.default_rng(2)
+    rows = [(g, float(x)) for g, n in (("a", 1000), ("b", 7), ("c", 1)) for x in np.round(rng.exponential(10, n), 1)] + [("d", 5.0)] * 40 + [("a", None)]
+    got = {r["g"]: (r["q"], r["n"]) for r in nearest_rank(spark.createDataFrame(rows, "g string, x double"), "g", "x", 0.95, "q", 16).collect()}
+    for g in "abcd":
+        xs = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == (xs[int(np.ceil(0.95 * len(xs))) - 1], len(xs) + (g == "a"))

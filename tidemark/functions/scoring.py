@@ -15,6 +15,7 @@ NEUTRAL = 0.5
 DECAY_DAYS = ((7, 1.0), (30, 0.8), (90, 0.5))
 DECAY_REST = 0.25
 SATURATION = 10.0
+NORMAL_P, NORMAL_B = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 EXPLORATION = {"freshness": 4.0, "popularity": 3.0}
 
 
@@ -95,6 +96,8 @@ def haversine_km(lat: Column, lon: Column, lat0: Column, lon0: Column) -> Column
 def normal_tail(z: Column) -> Column:
     """Two-sided p-value of z by a polynomial for the normal distribution function (Abramowitz and Stegun 26.2.17)."""
     x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    t = 1 / (1 + NORMAL_P * x)
+    poly = F.lit(0.0)
+    for b in reversed(NORMAL_B):
+        poly = t * (b + poly)
     return F.least(F.lit(1.0), 2 * F.exp(-x * x / 2) / F.sqrt(2 * F.pi()) * poly)

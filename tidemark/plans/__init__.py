@@ -1,6 +1,6 @@
 """Queries by name, with the same queries in SQL."""
 
-from . import content, events, experiments, scoring, search, streams
+from . import content, evaluation, events, experiments, scoring, search, streams
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "content", "events", "experiments", "scoring", "search", "streams"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +32,25 @@ def feed_first_page(d: Domain) -> DataFrame:
     ("members", "posts", "likes", "saves"),
 )
 def feed_two_stage_topk(d: Domain) -> DataFrame:
-    """The newest 100, then the most popular of them."""
-    newest = public_posts(d.posts, d.members).orderBy(*_newest()).limit(100).select("post_id")
-    counts = _counted(d.likes, "likes"), _counted(d.saves, "saves")
-    rows = newest.join(counts[0], "post_id", "left").join(counts[1], "post_id", "left")
+    """The newest 100, then the most popular of them; behaviour meets these 100 ids before anything is counted."""
+    newest = F.broadcast(public_posts(d.posts, d.members).orderBy(*_newest()).limit(100).select("post_id"))
+    each = _member_flags(d.behaviour.join(newest, "post_id", "left_semi")).groupBy("post_id").agg(*_likes_saves())
+    rows = newest.join(each, "post_id", "left")
     return rows.select("post_id", (F.coalesce("likes", F.lit(0)) + 2 * F.coalesce("saves", F.lit(0))).alias("popularity")).orderBy(F.desc("popularity"), "post_id").limit(PAGE)
 
 
+def _member_flags(behaviour: DataFrame) -> DataFrame:
+    """Per post and member: whether the member likes and saves it, views, reports and the last report; one pass, folded before the shuffle."""
+    of = lambda k: F.col("kind") == k
+    return behaviour.groupBy("post_id", "user_id").agg(
+        F.bool_or(of("click")).alias("liked"), F.bool_or(of("save")).alias("saved"), F.count_if(of("view")).alias("v"), F.count_if(of("report")).alias("r"), F.max(F.when(of("report"), F.col("ts"))).alias("last")
+    )
+
+
+def _likes_saves() -> list:
+    return [F.count_if("liked").alias("likes"), F.count_if("saved").alias("saves")]
+
+
 def _counted(edges: DataFrame, name: str) -> DataFrame:
     return edges.groupBy("post_id").agg(F.count("*").alias(name))
 
@@ -205,13 +219,9 @@ def search_eligibility(d: Domain) -> DataFrame:
     ("posts", "likes", "saves"),
 )
 def post_counts(d: Domain) -> DataFrame:
-    """Counts are taken before the joins, so posts without any stay with 0; views and reports in one pass."""
-    b = d.behaviour.groupBy("post_id").agg(
-        F.count_if(F.col("kind") == "view").alias("views"), F.count_if(F.col("kind") == "report").alias("reports"),
-        F.max(F.when(F.col("kind") == "report", F.col("ts"))).alias("last_report"),
-    )
-    rows = d.posts.select("post_id").join(_counted(d.likes, "likes"), "post_id", "left").join(_counted(d.saves, "saves"), "post_id", "left").join(b, "post_id", "left")
-    return rows.fillna(0, ["likes", "saves", "views", "reports"])
+    """Counts are taken before the join, so posts without any stay with 0; behaviour is read once, and folded by member before it is counted."""
+    each = _member_flags(d.behaviour).groupBy("post_id").agg(*_likes_saves(), F.sum("v").alias("views"), F.sum("r").alias("reports"), F.max("last").alias("last_report"))
+    return d.posts.select("post_id").join(each, "post_id", "left").fillna(0, ["likes", "saves", "views", "reports"])
 
 
 @query(
@@ -267,12 +277,12 @@ def repeated_reports(d: Domain) -> DataFrame:
 
 @query(
     "region_post_lists",
-    """SELECT region_id, string_agg(title, ',' ORDER BY title, post_id) AS titles, min(post_id) AS first_post FROM posts WHERE size <= 10 GROUP BY region_id""",
+    """SELECT region_id, string_agg(title, ',' ORDER BY title, post_id) AS titles, min(post_id) AS first_post FROM posts GROUP BY region_id""",
     ("posts",),
 )
 def region_post_lists(d: Domain) -> DataFrame:
     titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "post_id"))), lambda x: x["title"]), ",")
-    return d.posts.filter("size <= 10").groupBy("region_id").agg(titles.alias("titles"), F.min("post_id").alias("first_post"))
+    return d.posts.groupBy("region_id").agg(titles.alias("titles"), F.min("post_id").alias("first_post"))
 
 
 @query(
@@ -335,7 +345,24 @@ def report_reasons(d: Domain) -> DataFrame:
 )
 def latency_p95(d: Domain) -> DataFrame:
     """Nearest rank: an observed value, without interpolation."""
-    return d.behaviour.groupBy("kind").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.count("*").alias("n"))
+    return nearest_rank(d.behaviour, "kind", "value", 0.95, "p95")
+
+
+def nearest_rank(rows: DataFrame, group: str, value: str, q: float, name: str, slices: int = 256) -> DataFrame:
+    """(group, name, n): the value at rank ceil(q * n). Values are counted in slices of each group's range, the slice that holds the
+    rank is found, and only its values are ranked, so no task gathers a group."""
+    ends = rows.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"), F.count("*").alias("n"))
+    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    part = F.least(F.lit(slices - 1), F.floor(F.coalesce(share, F.lit(0.0)) * slices)).cast("int")
+    dealt = rows.filter(F.col(value).isNotNull()).select(group, value).join(F.broadcast(ends), group).withColumn("_part", part)
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(group, "_part", "_n", "n").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    place = F.greatest(F.lit(1), F.ceil(F.col("_n") * q))
+    one = sums.filter((F.col("_b") < place) & (place <= F.col("_b") + F.col("_c"))).select(group, "_part", "n", (place - F.col("_b")).alias("_rank"))
+    counted = dealt.select(group, "_part", value).join(F.broadcast(one), [group, "_part"]).groupBy(group, "n", "_rank", value).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = counted.withColumn("_s", F.sum("_c").over(upto)).filter(F.col("_s") >= F.col("_rank"))
+    return found.groupBy(group, "n").agg(F.min(value).alias(name)).select(group, name, "n")
 
 
 @query(
@@ -349,15 +376,25 @@ def region_descendants(d: Domain) -> DataFrame:
     return descendants(d.regions)
 
 
+def _recursive(nodes: DataFrame, sql: str) -> DataFrame:
+    """The SQL over a view of nodes that goes when the plan is made."""
+    name = f"nodes_{uuid.uuid4().hex}"
+    nodes.createOrReplaceTempView(name)
+    try:
+        return nodes.sparkSession.sql(sql.format(nodes=name))
+    finally:
+        nodes.sparkSession.catalog.dropTempView(name)
+
+
 def descendants(nodes: DataFrame) -> DataFrame:
     """All nodes under the roots with depth and root; a node already on its path ends it there, so cycles end."""
-    nodes.createOrReplaceTempView("_region_nodes")
-    return nodes.sparkSession.sql(
+    return _recursive(
+        nodes,
         """WITH RECURSIVE t AS (
-            SELECT region_id, slug, 0 AS depth, region_id AS root, array(region_id) AS path FROM _region_nodes WHERE parent_id IS NULL
+            SELECT region_id, slug, 0 AS depth, region_id AS root, array(region_id) AS path FROM {nodes} WHERE parent_id IS NULL
             UNION ALL
             SELECT r.region_id, r.slug, t.depth + 1, t.root, array_append(t.path, r.region_id)
-            FROM _region_nodes r JOIN t ON r.parent_id = t.region_id WHERE NOT array_contains(t.path, r.region_id))
+            FROM {nodes} r JOIN t ON r.parent_id = t.region_id WHERE NOT array_contains(t.path, r.region_id))
         SELECT region_id, slug, depth, root FROM t"""
     )
 
@@ -371,13 +408,13 @@ def descendants(nodes: DataFrame) -> DataFrame:
 )
 def region_ancestors(d: Domain) -> DataFrame:
     """Every region with itself and all above it."""
-    d.regions.createOrReplaceTempView("_region_up")
-    return d.spark.sql(
+    return _recursive(
+        d.regions,
         """WITH RECURSIVE t AS (
-            SELECT region_id AS start, region_id, parent_id, 0 AS height, array(region_id) AS path FROM _region_up
+            SELECT region_id AS start, region_id, parent_id, 0 AS height, array(region_id) AS path FROM {nodes}
             UNION ALL
             SELECT t.start, r.region_id, r.parent_id, t.height + 1, array_append(t.path, r.region_id)
-            FROM _region_up r JOIN t ON t.parent_id = r.region_id WHERE NOT array_contains(t.path, r.region_id))
+            FROM {nodes} r JOIN t ON t.parent_id = r.region_id WHERE NOT array_contains(t.path, r.region_id))
         SELECT start, region_id, height FROM t"""
     )
 

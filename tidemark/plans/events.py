@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import NOW, Domain, now
+from .experiments import STEPS
 from .registry import query
 
 #: Labels of idempotent intake.
@@ -114,37 +115,17 @@ def asof_state_strict(d: Domain) -> DataFrame:
     ("behaviour",),
 )
 def interval_attribution(d: Domain) -> DataFrame:
-    """Outcomes within their kind's window after an exposure; both ends count."""
-    o = outcomes(d).withColumn("window", F.when(F.col("kind") == "click", F.expr("interval 30 minutes")).otherwise(F.expr("interval 7 days")))
-    x = exposures(d)
-    inside = (o["ts"] >= x["served_at"]) & (o["ts"] <= x["served_at"] + o["window"])
-    rows = o.join(x, (o["user_id"] == x["user_id"]) & (o["entity"] == x["entity"]) & inside)
-    return rows.groupBy("kind").agg(F.count("*").alias("pairs"), F.countDistinct("event_id").alias("outcomes"))
+    """Outcomes within their kind's window after an exposure; both ends count.
 
-
-CATEGORIES = ("ATTRIBUTED", "OUT_OF_WINDOW", "NO_EXPOSURE", "NO_ENTITY", "IGNORED_KIND")
-
-
-@query(
-    "outcome_attribution",
-    f"""WITH x AS ({_EXPOSURES}), e AS (SELECT event_id, user_id, post_id % 10 AS entity, post_id, kind, ts FROM behaviour WHERE kind <> 'view'),
-    j AS (SELECT e.event_id, e.kind, e.post_id, e.ts, max(x.served_at) AS served_at FROM e LEFT JOIN x ON x.user_id = e.user_id AND x.entity = e.entity AND x.served_at <= e.ts GROUP BY 1, 2, 3, 4),
-    c AS (SELECT CASE WHEN kind NOT IN ('click', 'save') THEN 'IGNORED_KIND' WHEN post_id IS NULL THEN 'NO_ENTITY' WHEN served_at IS NULL THEN 'NO_EXPOSURE'
-        WHEN ts > served_at + CASE kind WHEN 'click' THEN INTERVAL 30 MINUTE ELSE INTERVAL 7 DAY END THEN 'OUT_OF_WINDOW' ELSE 'ATTRIBUTED' END AS category FROM j)
-    SELECT k.category, count(c.category) AS n FROM (SELECT unnest({list(CATEGORIES)}) AS category) k LEFT JOIN c USING (category) GROUP BY 1""",
-    ("behaviour",),
-)
-def outcome_attribution(d: Domain) -> DataFrame:
-    """Every outcome in the first category that holds; categories without any count 0."""
-    e = d.behaviour.filter("kind <> 'view'").select("event_id", "user_id", (F.col("post_id") % 10).alias("entity"), "post_id", "kind", "ts")
-    j = as_of(e, exposures(d), ["user_id", "entity"], "ts", "served_at", "exposure_id")
-    end = F.col("served_at") + F.when(F.col("kind") == "click", F.expr("interval 30 minutes")).otherwise(F.expr("interval 7 days"))
-    category = (
-        F.when(~F.col("kind").isin("click", "save"), "IGNORED_KIND").when(F.col("post_id").isNull(), "NO_ENTITY")
-        .when(F.col("served_at").isNull(), "NO_EXPOSURE").when(F.col("ts") > end, "OUT_OF_WINDOW").otherwise("ATTRIBUTED")
-    )
-    wide = j.select(category.alias("category")).agg(*(F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES))
-    return wide.unpivot([], list(CATEGORIES), "category", "n")
+    No pairs meet: in one sort per (member, entity), an outcome takes the exposures up to its time less those before its window."""
+    o = outcomes(d).select("user_id", "entity", "event_id", "kind", "ts", F.when(F.col("kind") == "click", F.expr("interval 30 minutes")).otherwise(F.expr("interval 7 days")).alias("window"))
+    marks = F.array(F.struct((F.col("ts") - F.col("window")).alias("t"), F.lit(0).alias("side")), F.struct(F.col("ts").alias("t"), F.lit(2).alias("side")))
+    ends = o.select("user_id", "entity", "event_id", "kind", F.inline(marks))
+    shown = exposures(d).select("user_id", "entity", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("kind"), F.col("served_at").alias("t"), F.lit(1).alias("side"))
+    w = Window.partitionBy("user_id", "entity").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ends.unionByName(shown).withColumn("so_far", F.count_if(F.col("side") == 1).over(w)).filter("event_id is not null")
+    each = rows.groupBy("event_id", "kind").agg(F.sum(F.when(F.col("side") == 2, F.col("so_far")).otherwise(-F.col("so_far"))).alias("n"))
+    return each.filter("n > 0").groupBy("kind").agg(F.sum("n").alias("pairs"), F.count("*").alias("outcomes"))
 
 
 @query(
@@ -337,14 +318,14 @@ def conditional_purge(d: Domain) -> DataFrame:
 
 @query(
     "checkpoint_members",
-    """WITH a AS (SELECT DISTINCT post_id FROM behaviour WHERE ts < TIMESTAMP '2024-01-15 00:00:00' AND kind = 'view' AND user_id < 40),
-    b AS (SELECT DISTINCT post_id FROM behaviour WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' AND kind = 'view' AND user_id < 40)
+    """WITH a AS (SELECT DISTINCT post_id FROM behaviour WHERE ts < TIMESTAMP '2024-01-15 00:00:00' AND kind = 'view'),
+    b AS (SELECT DISTINCT post_id FROM behaviour WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' AND kind = 'view')
     SELECT coalesce(a.post_id, b.post_id) AS post_id, CASE WHEN b.post_id IS NULL THEN 'MISSING' WHEN a.post_id IS NULL THEN 'UNEXPECTED' ELSE 'PRESENT' END AS verdict FROM a FULL JOIN b ON a.post_id = b.post_id""",
     ("behaviour",),
 )
 def checkpoint_members(d: Domain) -> DataFrame:
     """Two sets of members compared: in one pass, by flags per member."""
-    rows = d.behaviour.filter("kind = 'view' and user_id < 40").withColumn("late", F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    rows = d.behaviour.filter("kind = 'view'").withColumn("late", F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp"))
     flags = rows.groupBy("post_id").agg(F.bool_or(~F.col("late")).alias("a"), F.bool_or("late").alias("b"))
     return flags.select("post_id", F.when(~F.col("b"), "MISSING").when(~F.col("a"), "UNEXPECTED").otherwise("PRESENT").alias("verdict"))
 
@@ -465,21 +446,20 @@ def duplicate_representatives(d: Domain) -> DataFrame:
     return d.behaviour.join(groups, key).select("event_id", F.col("f.event_id").alias("representative"), "n")
 
 
-#: Allowed steps of a release.
-STEPS = (("DRAFT", "SHADOW"), ("SHADOW", "CANARY"), ("CANARY", "RELEASED"), ("CANARY", "ROLLED_BACK"), ("RELEASED", "ROLLED_BACK"))
+_STEPS = [(a, b) for a, bs in STEPS.items() for b in bs]
 
 
 @query(
     "release_steps",
-    f"""WITH s AS (SELECT o_custkey AS release, o_orderkey AS step, (['DRAFT', 'SHADOW', 'CANARY', 'RELEASED', 'ROLLED_BACK'])[1 + o_orderkey % 5] AS state FROM orders WHERE o_custkey < 300),
+    f"""WITH s AS (SELECT o_custkey AS release, o_orderkey AS step, ({list(STEPS)})[1 + o_orderkey % 6] AS state FROM orders),
     l AS (SELECT *, lag(state, 1, 'DRAFT') OVER (PARTITION BY release ORDER BY step) AS was FROM s)
-    SELECT was, state, (was, state) IN ({', '.join(str(x) for x in STEPS)}) AS allowed, count(*) AS n FROM l GROUP BY 1, 2, 3""",
+    SELECT was, state, (was, state) IN ({', '.join(str(x) for x in _STEPS)}) AS allowed, count(*) AS n FROM l GROUP BY 1, 2, 3""",
 )
 def release_steps(d: Domain) -> DataFrame:
-    """Transitions against a table of allowed ones (five rows, fixed)."""
-    states = F.array(*map(F.lit, ("DRAFT", "SHADOW", "CANARY", "RELEASED", "ROLLED_BACK")))
-    s = d.table("orders").filter("o_custkey < 300").select(F.col("o_custkey").alias("release"), F.col("o_orderkey").alias("step"), F.element_at(states, (1 + F.col("o_orderkey") % 5).cast("int")).alias("state"))
+    """Transitions against a table of allowed ones (a few rows, fixed)."""
+    states = F.array(*map(F.lit, STEPS))
+    s = d.table("orders").select(F.col("o_custkey").alias("release"), F.col("o_orderkey").alias("step"), F.element_at(states, (1 + F.col("o_orderkey") % 6).cast("int")).alias("state"))
     s = s.withColumn("was", F.lag("state", 1, "DRAFT").over(Window.partitionBy("release").orderBy("step")))
-    allowed = d.spark.createDataFrame(list(STEPS), "was string, state string").withColumn("allowed", F.lit(True))
+    allowed = d.spark.createDataFrame(_STEPS, "was string, state string").withColumn("allowed", F.lit(True))
     counts = s.groupBy("was", "state").agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(allowed), ["was", "state"], "left").select("was", "state", F.coalesce("allowed", F.lit(False)).alias("allowed"), "n")

@@ -11,6 +11,7 @@ from ..functions import hashing, scoring
 from ..operators import rerank
 from ..sources.tables import Domain
 from .registry import query
+from .scoring import SURFACES
 
 _VARIANT = "CASE WHEN ('0x' || substr(sha256('exp-1:' || user_id), 1, 8))::BIGINT % 10000 < 5000 THEN 'baseline' ELSE 'treatment' END"
 _OBS = f"""obs AS (SELECT m.user_id, segment, {_VARIANT} AS variant, count(o_orderkey) AS orders, coalesce(sum(o_totalprice), 0) / 1000 AS spend FROM members m LEFT JOIN orders ON o_custkey = m.user_id WHERE active GROUP BY 1, 2, 3)"""
@@ -32,11 +33,13 @@ def experiment_assignment(d: Domain) -> DataFrame:
     return rows.rollup("variant", "segment").agg(F.count("*").alias("members"))
 
 
-_EFFECTS = f"""{_OBS}, {_LONG}, g AS (SELECT coalesce(segment, 'all') AS segment, metric, count(*) FILTER (WHERE variant = 'baseline') AS na, count(*) FILTER (WHERE variant = 'treatment') AS nb, avg(v) FILTER (WHERE variant = 'baseline') AS ma, avg(v) FILTER (WHERE variant = 'treatment') AS mb,
+_EFFECTS = f"""{_OBS}, {_LONG}, g AS (SELECT coalesce(segment, 'all') AS segment, metric, count(*) FILTER (WHERE variant = 'baseline') AS na, count(*) FILTER (WHERE variant = 'treatment') AS nb,
+    coalesce(avg(v) FILTER (WHERE variant = 'baseline'), 0) AS ma, coalesce(avg(v) FILTER (WHERE variant = 'treatment'), 0) AS mb,
     coalesce(var_samp(v) FILTER (WHERE variant = 'baseline'), 0) AS va, coalesce(var_samp(v) FILTER (WHERE variant = 'treatment'), 0) AS vb FROM long GROUP BY ROLLUP (segment), metric HAVING metric IS NOT NULL),
-    e AS (SELECT *, mb - ma AS effect, sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS pooled, (mb - ma) / sqrt(va / na + vb / nb) AS z FROM g),
-    t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM e),
-    p AS (SELECT *, least(1.0, 2 * exp(-abs(z) * abs(z) / 2) / sqrt(2 * pi()) * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))) AS p FROM t)"""
+    e AS (SELECT *, mb - ma AS effect, CASE WHEN na > 0 AND nb > 0 AND na + nb > 2 THEN sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) ELSE 0 END AS pooled, CASE WHEN na > 1 AND nb > 1 THEN sqrt(va / na + vb / nb) END AS se FROM g),
+    t AS (SELECT *, CASE WHEN se > 0 THEN abs(effect / se) END AS z, CASE WHEN pooled > 0 THEN effect / pooled ELSE 0.0 END AS size FROM e),
+    k AS (SELECT *, 1 / (1 + 0.2316419 * z) AS t FROM t),
+    p AS (SELECT *, CASE WHEN se IS NULL THEN 1.0 WHEN se = 0 THEN CASE WHEN effect = 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0, 2 * exp(-z * z / 2) / sqrt(2 * pi()) * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))) END AS p FROM k)"""
 
 
 def effects(d: Domain) -> DataFrame:
@@ -45,43 +48,52 @@ def effects(d: Domain) -> DataFrame:
 
 
 def effect_columns(obs: DataFrame) -> DataFrame:
-    """obs: segment, metric, variant, v. One rollup gives the segments and their total."""
+    """obs: segment, metric, variant, v. One rollup gives the segments and their total.
+
+    A variant without values has mean 0; the size is 0 without pooled variance; p is 1 where a variant has fewer than two values, and
+    without any variance 1 for equal means, else 0.
+    """
     of = lambda variant: F.when(F.col("variant") == variant, F.col("v"))
     a, b = of("baseline"), of("treatment")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     rows = obs.groupingSets([["segment", "metric"], ["metric"]], "segment", "metric").agg(
-        F.count(a).alias("na"), F.count(b).alias("nb"), F.avg(a).alias("ma"), F.avg(b).alias("mb"),
-        F.coalesce(F.var_samp(a), F.lit(0.0)).alias("va"), F.coalesce(F.var_samp(b), F.lit(0.0)).alias("vb"),
+        F.count(a).alias("na"), F.count(b).alias("nb"), zero(F.avg(a)).alias("ma"), zero(F.avg(b)).alias("mb"), zero(F.var_samp(a)).alias("va"), zero(F.var_samp(b)).alias("vb"),
+        F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"),
     )
-    rows = rows.withColumn("segment", F.coalesce("segment", F.lit("all")))
-    rows = rows.withColumns({"effect": F.col("mb") - F.col("ma"), "pooled": F.sqrt(((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / (F.col("na") + F.col("nb") - 2))})
-    z = F.col("effect") / F.sqrt(F.col("va") / F.col("na") + F.col("vb") / F.col("nb"))
-    return rows.withColumn("z", z).withColumn("p", scoring.normal_tail(F.col("z")))
+    na, nb, effect = F.col("na"), F.col("nb"), F.col("mb") - F.col("ma")
+    some = (na > 0) & (nb > 0) & (na + nb > 2)
+    pooled = F.when(some, F.sqrt(F.try_divide((na - 1) * F.col("va") + (nb - 1) * F.col("vb"), na + nb - 2))).otherwise(0.0)
+    error = F.when((na > 1) & (nb > 1), F.sqrt(F.try_divide("va", "na") + F.try_divide("vb", "nb")))
+    rows = rows.withColumns({"segment": F.coalesce("segment", F.lit("all")), "effect": effect, "pooled": pooled, "se": error})
+    rows = rows.withColumns({"z": F.try_divide("effect", F.nullif(F.col("se"), F.lit(0.0))), "size": F.coalesce(F.try_divide("effect", F.nullif(F.col("pooled"), F.lit(0.0))), F.lit(0.0))})
+    p = F.when(F.col("se").isNull(), 1.0).when(F.col("se") == 0, F.when(F.col("effect") == 0, 1.0).otherwise(0.0)).otherwise(scoring.normal_tail(F.col("z")))
+    return rows.withColumn("p", p)
 
 
 @query(
     "experiment_effects",
-    f"WITH {_EFFECTS} SELECT segment, metric, na, nb, round(ma, 6) AS ma, round(mb, 6) AS mb, round(effect, 6) AS effect, round(effect / pooled, 6) AS size, round(p, 6) AS p FROM p",
+    f"WITH {_EFFECTS} SELECT segment, metric, na, nb, round(ma, 6) AS ma, round(mb, 6) AS mb, round(effect, 6) AS effect, round(size, 6) AS size, round(p, 6) AS p FROM p",
     ("members",),
 )
 def experiment_effects(d: Domain) -> DataFrame:
-    r = lambda c: F.round(c, 6)
-    return effects(d).select("segment", "metric", "na", "nb", r("ma").alias("ma"), r("mb").alias("mb"), r("effect").alias("effect"), r(F.col("effect") / F.col("pooled")).alias("size"), r("p").alias("p"))
+    r = lambda c: F.round(c, 6).alias(c)
+    return effects(d).select("segment", "metric", "na", "nb", r("ma"), r("mb"), r("effect"), r("size"), r("p"))
 
 
-@query(
-    "holm_correction",
-    f"""WITH {_EFFECTS}, o AS (SELECT segment, metric, p, row_number() OVER (PARTITION BY metric ORDER BY p, segment) AS i, count(*) OVER (PARTITION BY metric) AS m FROM p)
-    SELECT segment, metric, round(max(least(1.0, (m - i + 1) * p)) OVER (PARTITION BY metric ORDER BY i ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM o""",
-    ("members",),
-)
+_HOLM = f"""{_EFFECTS}, o AS (SELECT *, row_number() OVER (ORDER BY p, segment, metric) AS i, count(*) OVER () AS m FROM p),
+    h AS (SELECT *, max(least(1.0, (m - i + 1) * p)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS adjusted FROM o)"""
+
+
+@query("holm_correction", f"WITH {_HOLM} SELECT segment, metric, round(adjusted, 6) AS adjusted FROM h", ("members",))
 def holm_correction(d: Domain) -> DataFrame:
-    """Step-down: the i-th smallest of m p-values times m - i + 1, never below the one before."""
-    return holm(effects(d), "metric", "segment").select("segment", "metric", F.round("adjusted", 6).alias("adjusted"))
+    """Step-down over one family, all metrics of all segments: the i-th smallest of m p-values times m - i + 1, never below the one before."""
+    return holm(effects(d)).select("segment", "metric", F.round("adjusted", 6).alias("adjusted"))
 
 
-def holm(rows: DataFrame, family: str, tie: str) -> DataFrame:
-    w = Window.partitionBy(family).orderBy("p", tie)
-    rows = rows.withColumns({"_i": F.row_number().over(w), "_m": F.count("*").over(Window.partitionBy(family))})
+def holm(rows: DataFrame) -> DataFrame:
+    """Adds adjusted. There is one row per segment and metric, so one task takes few rows."""
+    w = Window.partitionBy(F.lit(0)).orderBy("p", "segment", "metric")
+    rows = rows.withColumns({"_i": F.row_number().over(w), "_m": F.count("*").over(Window.partitionBy(F.lit(0)))})
     rows = rows.withColumn("_a", F.least(F.lit(1.0), (F.col("_m") - F.col("_i") + 1) * F.col("p")))
     return rows.withColumn("adjusted", F.max("_a").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_i", "_m", "_a")
 
@@ -98,57 +110,144 @@ def common_support(d: Domain) -> DataFrame:
     )
 
 
+# Least members of a variant in all and in a segment, least support, most missing values, confidence, alpha, least size of an
+# effect, regression that rolls back, seed and number of resamples.
+LEAST_ALL, LEAST_SEGMENT, LEAST_SUPPORT, MOST_MISSING, CONFIDENCE, ALPHA, LEAST_SIZE, ROLLBACK = 100, 30, 0.80, 0.05, 0.95, 0.05, 0.10, 0.05
+BOOTSTRAP_SEED, ITERATIONS = 91337, 10_000
+#: Role, direction (1: higher is better), least effect, most regression of each metric.
+METRICS = {"orders": ("PRIMARY", 1, 0.01, 0.0), "spend": ("GUARDRAIL", 1, 0.0, 0.02)}
+#: Allowed steps of a release.
+STEPS = {
+    "DRAFT": ("SHADOW", "HOLD"), "SHADOW": ("CANARY", "HOLD"), "CANARY": ("LIVE", "HOLD", "ROLLED_BACK"), "LIVE": ("HOLD", "ROLLED_BACK"),
+    "HOLD": ("SHADOW", "CANARY", "ROLLED_BACK"), "ROLLED_BACK": ("SHADOW",),
+}
+#: Resamples of one task of the bootstrap, and cells of its matrix of draws at a time.
+DRAWS, CELLS = 500, 1 << 21
+
+
 @query(
-    "release_gates",
-    f"""WITH {_EFFECTS} SELECT segment, metric, CASE WHEN least(na, nb) < 30 THEN 'INSUFFICIENT' WHEN p < 0.05 AND effect < 0 THEN 'BLOCK' WHEN p < 0.05 THEN 'PASS' ELSE 'REVIEW' END AS gate FROM p""",
+    "experiment_quality",
+    f"""WITH {_HOLM} SELECT segment, metric, round(CASE WHEN na + nb = 0 THEN 0.0 ELSE 2.0 * least(na, nb) / (na + nb) END, 6) AS support, least(na, nb) >= CASE WHEN segment = 'all' THEN {LEAST_ALL} ELSE {LEAST_SEGMENT} END AS sample_sufficient,
+    CASE WHEN na + nb = 0 THEN false ELSE 2.0 * least(na, nb) / (na + nb) >= {LEAST_SUPPORT} END AS quality_pass, adjusted <= {ALPHA} AND effect >= 0.01 AND abs(size) >= {LEAST_SIZE} AS significant FROM h""",
     ("members",),
 )
-def release_gates(d: Domain) -> DataFrame:
-    """The first gate that holds decides."""
-    gate = F.when(F.least("na", "nb") < 30, "INSUFFICIENT").when((F.col("p") < 0.05) & (F.col("effect") < 0), "BLOCK").when(F.col("p") < 0.05, "PASS").otherwise("REVIEW")
-    return effects(d).select("segment", "metric", gate.alias("gate"))
+def experiment_quality(d: Domain) -> DataFrame:
+    """Support, sample and data quality of each segment and metric, and whether its effect is one after correction."""
+    rows = judged(holm(effects(d)))
+    return rows.select("segment", "metric", F.round("support", 6).alias("support"), "sample_sufficient", "quality_pass", ((F.col("adjusted") <= ALPHA) & (F.col("effect") >= 0.01) & (F.abs("size") >= LEAST_SIZE)).alias("significant"))
 
 
-BOOTSTRAP_SEED = 91337
-#: Resamples of one interval.
-ITERATIONS = 10_000
+def judged(rows: DataFrame) -> DataFrame:
+    """Adds support, missing_rate, sample_sufficient and quality_pass."""
+    least = F.when(F.col("segment") == "all", LEAST_ALL).otherwise(LEAST_SEGMENT)
+    support = F.coalesce(F.try_divide(2.0 * F.least("na", "nb"), F.col("na") + F.col("nb")), F.lit(0.0))
+    rows = rows.withColumns({"support": support, "missing_rate": F.coalesce(F.try_divide("missing", "n"), F.lit(1.0)), "sample_sufficient": F.least("na", "nb") >= least})
+    return rows.withColumn("quality_pass", (F.col("support") >= LEAST_SUPPORT) & (F.col("missing_rate") <= MOST_MISSING))
 
 
-def bootstrap_interval(counts_a: np.ndarray, values_a: np.ndarray, counts_b: np.ndarray, values_b: np.ndarray, seed: int, iterations: int = ITERATIONS, level: float = 0.95) -> tuple[float, float]:
-    """Percentile interval of mean(b) - mean(a). A resample of n draws from distinct values is one multinomial draw of their counts."""
+def resampled(counts_a: np.ndarray, values_a: np.ndarray, counts_b: np.ndarray, values_b: np.ndarray, seed: int, draws: int) -> np.ndarray:
+    """mean(b) - mean(a) of resamples. A resample of n draws from distinct values is one multinomial draw of their counts."""
     rng = np.random.default_rng(seed)
 
     def means(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
-        n = int(counts.sum())
-        return rng.multinomial(n, counts / n, size=iterations) @ values / n
+        n, step = int(counts.sum()), max(1, CELLS // len(counts))
+        return np.concatenate([rng.multinomial(n, counts / n, size=min(step, draws - k)) @ values / n for k in range(0, draws, step)])
+
+    return means(counts_b, values_b) - means(counts_a, values_a)
 
-    effects = np.sort(means(counts_b, values_b) - means(counts_a, values_a))
+
+def places(iterations: int, level: float = CONFIDENCE) -> tuple[int, int]:
+    """Where the ends of the interval are among sorted effects, from 0."""
     tail = (1 - level) / 2
-    return float(effects[int(np.floor(tail * (iterations - 1)))]), float(effects[int(np.ceil((1 - tail) * (iterations - 1)))])
+    return int(np.floor(tail * (iterations - 1))), int(np.ceil((1 - tail) * (iterations - 1)))
+
+
+def bootstrap_interval(counts_a: np.ndarray, values_a: np.ndarray, counts_b: np.ndarray, values_b: np.ndarray, seed: int, iterations: int = ITERATIONS, level: float = CONFIDENCE) -> tuple[float, float]:
+    """Percentile interval of mean(b) - mean(a)."""
+    effects = np.sort(resampled(counts_a, values_a, counts_b, values_b, seed, iterations))
+    low, high = places(iterations, level)
+    return float(effects[low]), float(effects[high])
 
 
 def bootstrap(obs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(segment, metric, low, high). Observations are first counted by rounded value, so a group is its distinct values."""
+    """(segment, metric, low, high), with a segment `all`. Observations are first counted by value; each block of DRAWS resamples is a task
+    of its own, which gets the counts and gives its effects, so the resamples of one segment spread over the cluster."""
+    blocks = -(-iterations // DRAWS)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["variant", "v"])
-        segment, metric = frame["segment"].iloc[0], frame["metric"].iloc[0]
-        a, b = frame[frame["variant"] == "baseline"], frame[frame["variant"] == "treatment"]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"segment": [segment], "metric": [metric], "low": [0.0], "high": [0.0]})
         import zlib
 
-        seed = BOOTSTRAP_SEED ^ zlib.crc32(f"{segment}\x1f{metric}".encode())
-        low, high = bootstrap_interval(a["n"].to_numpy(), a["v"].to_numpy(), b["n"].to_numpy(), b["v"].to_numpy(), seed, iterations)
-        return pd.DataFrame({"segment": [segment], "metric": [metric], "low": [low], "high": [high]})
+        frame = frame.sort_values(["variant", "v"])
+        segment, metric, block = frame["segment"].iloc[0], frame["metric"].iloc[0], int(frame["block"].iloc[0])
+        a, b = frame[frame["variant"] == "baseline"], frame[frame["variant"] == "treatment"]
+        draws = min(DRAWS, iterations - block * DRAWS)
+        seed = zlib.crc32(f"{BOOTSTRAP_SEED}\x1f{segment}\x1f{metric}\x1f{block}".encode())
+        found = resampled(a["n"].to_numpy(), a["v"].to_numpy(), b["n"].to_numpy(), b["v"].to_numpy(), seed, draws) if len(a) and len(b) else np.zeros(draws)
+        return pd.DataFrame({"segment": segment, "metric": metric, "effect": found})
 
-    counted = obs.groupBy("segment", "metric", "variant", F.round("v", 2).alias("v")).agg(F.count("*").alias("n"))
-    return counted.groupBy("segment", "metric").applyInPandas(run, "segment string, metric string, low double, high double")
+    both = obs.filter("v is not null").withColumn("segment", F.explode(F.array("segment", F.lit("all"))))
+    counted = both.groupBy("segment", "metric", "variant", "v").agg(F.count("*").alias("n"))
+    split = counted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    drawn = split.groupBy("segment", "metric", "block").applyInPandas(run, "segment string, metric string, effect double")
+    low, high = places(iterations)
+    # a list holds `iterations` numbers
+    ends = drawn.groupBy("segment", "metric").agg(F.sort_array(F.collect_list("effect")).alias("effects"))
+    return ends.select("segment", "metric", F.element_at("effects", low + 1).alias("low"), F.element_at("effects", high + 1).alias("high"))
 
 
 @query("bootstrap_intervals")
 def bootstrap_intervals(d: Domain) -> DataFrame:
-    return bootstrap(observations(d), 2000)
+    return bootstrap(observations(d))
+
+
+def performance(rows: DataFrame) -> DataFrame:
+    """Adds performance_pass to judged rows with intervals (low, high); directions turn effects so that higher is better."""
+    of = lambda k: F.create_map(*(F.lit(x) for m, v in METRICS.items() for x in (m, v[k])))[F.col("metric")]
+    way = of(1)
+    rows = rows.withColumns({"role": of(0), "effect": F.col("effect") * way, "low": F.when(way > 0, F.col("low")).otherwise(-F.col("high")), "high": F.when(way > 0, F.col("high")).otherwise(-F.col("low"))})
+    primary = (F.col("effect") >= of(2)) & (F.abs("size") >= LEAST_SIZE) & (F.col("low") > 0) & (F.col("adjusted") <= ALPHA)
+    guard = (F.col("effect") >= -of(3)) & (F.col("low") >= -of(3))
+    return rows.withColumn("performance_pass", F.col("sample_sufficient") & F.col("quality_pass") & F.when(F.col("role") == "PRIMARY", primary).otherwise(guard))
+
+
+def gates(rows: DataFrame, out_of_window: int = 0, unassigned: int = 0, approved: bool = False) -> DataFrame:
+    """(gate, status), the five gates in order, from the rows of `performance`. Few rows come together here: one per segment and metric."""
+    severe = F.bool_or((F.col("segment") == "all") & (F.col("role") == "GUARDRAIL") & F.col("sample_sufficient") & F.col("quality_pass") & (F.col("effect") <= -ROLLBACK) & (F.col("high") < 0))
+    one = rows.agg(
+        (F.bool_and("quality_pass") & F.lit(out_of_window == 0 and unassigned == 0)).alias("quality"), F.bool_and("sample_sufficient").alias("sample"), F.bool_and("performance_pass").alias("performance"), severe.alias("severe")
+    )
+    status = lambda good, other: F.when(good, "PASS").otherwise(other)
+    found = [
+        ("CONTRACT_INTEGRITY", F.lit("PASS")), ("DATA_QUALITY", status(F.col("quality"), "FAIL")), ("SAMPLE_SUFFICIENCY", status(F.col("sample"), "HOLD")),
+        ("PERFORMANCE_GUARDRAIL", F.when(F.col("severe"), "FAIL").otherwise(status(F.col("performance"), "HOLD"))), ("OPERATIONAL_APPROVAL", F.lit("PASS" if approved else "HOLD")),
+    ]
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("place"), F.lit(n).alias("gate"), c.alias("status"), F.col("severe").alias("severe")) for k, (n, c) in enumerate(found)))))
+
+
+def decision(gated: DataFrame, current: str, requested: str) -> DataFrame:
+    """(decision, target): a severe regression of a released policy rolls back; all gates passed allow a step that the machine has; else hold."""
+    one = gated.agg(F.bool_or("severe").alias("severe"), F.bool_and(F.col("status") == "PASS").alias("passed"))
+    back = F.col("severe") & F.lit(current in ("CANARY", "LIVE"))
+    go = F.col("passed") & F.lit(requested in STEPS[current])
+    return one.select(
+        F.when(back, "ROLLBACK").when(go, "LIVE" if requested == "LIVE" else "CANARY").otherwise("HOLD").alias("decision"),
+        F.when(back, "ROLLED_BACK").when(go, requested).otherwise("HOLD" if "HOLD" in STEPS[current] else current).alias("target"),
+    )
+
+
+def evaluated(d: Domain) -> DataFrame:
+    obs = observations(d)
+    return performance(judged(holm(effect_columns(obs))).join(bootstrap(obs), ["segment", "metric"]))
+
+
+@query("experiment_gates")
+def experiment_gates(d: Domain) -> DataFrame:
+    return gates(evaluated(d), approved=True).drop("severe")
+
+
+@query("experiment_decision")
+def experiment_decision(d: Domain) -> DataFrame:
+    return decision(gates(evaluated(d), approved=True), "CANARY", "LIVE")
 
 
 def run_candidates(d: Domain) -> DataFrame:
@@ -167,7 +266,9 @@ def diversity_rerank(d: Domain) -> DataFrame:
 
 @query("diversity_rerank_forced_fit")
 def diversity_rerank_forced_fit(d: Domain) -> DataFrame:
-    return rerank.rerank(run_candidates(d), rerank.Diversity(window=8, caps=(1, 2, 3, 3)), forced_must_fit=True)
+    """The second policy, for the home feed."""
+    window, promotion, demotion, caps = SURFACES["home_feed"]
+    return rerank.rerank(run_candidates(d), rerank.Diversity(window=window, caps=caps, promotion=promotion, demotion=demotion), forced_must_fit=True)
 
 
 @query("exploration_insertion")

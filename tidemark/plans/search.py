@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..sources.tables import PUBLIC_SQL, Domain, public_posts
 from .events import _prefixed, fingerprint
+from .content import nearest_rank
 from .registry import query
 
 _TERMS = "list_filter(list_distinct(regexp_split_to_array(lower({0}), '[^a-z0-9]+')), lambda x: x <> '')"
@@ -92,28 +93,6 @@ def event_adapter(d: Domain) -> DataFrame:
     return d.behaviour.select("event_id", status.alias("status"), wire.alias("wire"))
 
 
-@query(
-    "replay_comparison",
-    """WITH a AS (SELECT run_id, rank, post_id, discount FROM runs WHERE run_id < 3000), b AS (SELECT run_id, rank, CASE WHEN run_id % 7 = 0 AND rank = 2 THEN post_id + 1 ELSE post_id END AS post_id, CASE WHEN run_id % 5 = 0 THEN discount + 0.01 ELSE discount END AS discount FROM runs WHERE run_id < 3000 AND NOT (run_id % 11 = 0 AND rank = 1)),
-    j AS (SELECT coalesce(a.run_id, b.run_id) AS run_id, CASE WHEN b.run_id IS NULL THEN 'MISSING' WHEN a.run_id IS NULL THEN 'UNEXPECTED' WHEN a.post_id <> b.post_id THEN 'ENTITY' WHEN abs(a.discount - b.discount) > 0.000001 THEN 'SCORE' ELSE 'EQUAL' END AS verdict FROM a FULL JOIN b ON a.run_id = b.run_id AND a.rank = b.rank)
-    SELECT run_id, count(*) FILTER (WHERE verdict = 'EQUAL') AS equal, count(*) FILTER (WHERE verdict = 'MISSING') AS missing, count(*) FILTER (WHERE verdict = 'ENTITY') AS entity, count(*) FILTER (WHERE verdict = 'SCORE') AS score FROM j GROUP BY run_id""",
-    ("runs",),
-)
-def replay_comparison(d: Domain) -> DataFrame:
-    """A stored run against a replay, position by position; the first mismatch that holds names it."""
-    a = d.runs.filter("run_id < 3000").select("run_id", "rank", "post_id", "discount")
-    b = a.filter("not (run_id % 11 = 0 and rank = 1)").select(
-        "run_id", "rank", F.when((F.col("run_id") % 7 == 0) & (F.col("rank") == 2), F.col("post_id") + 1).otherwise(F.col("post_id")).alias("post_b"),
-        F.when(F.col("run_id") % 5 == 0, F.col("discount") + 0.01).otherwise(F.col("discount")).alias("discount_b"), F.lit(1).alias("there"),
-    )
-    verdict = (
-        F.when(F.col("there").isNull(), "MISSING").when(F.col("post_id").isNull(), "UNEXPECTED").when(F.col("post_id") != F.col("post_b"), "ENTITY")
-        .when(F.abs(F.col("discount") - F.col("discount_b")) > 0.000001, "SCORE").otherwise("EQUAL")
-    )
-    rows = a.join(b, ["run_id", "rank"], "full").select("run_id", verdict.alias("verdict"))
-    return rows.groupBy("run_id").agg(*(F.count_if(F.col("verdict") == v.upper()).alias(v) for v in ("equal", "missing", "entity", "score")))
-
-
 @query(
     "canary_readiness",
     """WITH s AS (SELECT post_id % 10 AS service, count(*) AS runs, quantile_disc(value, 0.95) AS p95, count(*) FILTER (WHERE kind = 'report') AS failures FROM behaviour GROUP BY 1)
@@ -121,9 +100,9 @@ def replay_comparison(d: Domain) -> DataFrame:
     ("behaviour",),
 )
 def canary_readiness(d: Domain) -> DataFrame:
-    rows = d.behaviour.groupBy((F.col("post_id") % 10).alias("service")).agg(
-        F.count("*").alias("runs"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.count_if(F.col("kind") == "report").alias("failures")
-    )
+    b = d.behaviour.select((F.col("post_id") % 10).alias("service"), "value", "kind")
+    rows = b.groupBy("service").agg(F.count("*").alias("runs"), F.count_if(F.col("kind") == "report").alias("failures"))
+    rows = rows.join(F.broadcast(nearest_rank(b, "service", "value", 0.95, "p95").drop("n")), "service")
     verdict = F.when(F.col("runs") < 20, "TOO_FEW_RUNS").when(F.col("failures") * 4 > F.col("runs"), "FAILURES").when(F.col("p95") > 150, "TOO_SLOW").otherwise("READY")
     return rows.select("service", "runs", "p95", verdict.alias("verdict"))
 
