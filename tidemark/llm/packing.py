@@ -1,15 +1,19 @@
 """Packing documents into token sequences by lexical retrieval.
 
 A document's ids are its text's tokens and then id 0. Whole windows of a document are sequences of their own. What is left
-of each document, less than a window, goes to a shard of about SHARD documents by a hash; each shard builds an inverted
-index of BM25 weights over its remainders. The longest unused remainder seeds a window, the index returns its unused
-neighbours by score, and they fill the window in that order: those that fit whole first, then the best one that is left is
-cut at the window's end and its rest stays in the shard. So every sequence but the last of a shard is full.
+of each document, less than a window, is its remainder. Document frequencies, their number and mean length are counted over the
+remainders of the whole corpus. A remainder goes to the shard of its rarest term that at least COMPANY remainders have, so that
+those that share telling terms meet wherever they are; a term with many remainders has several shards, dealt by a hash, and terms
+with few share one. Each shard, of about SHARD remainders, builds an inverted index of BM25 weights. Its longest unused remainder
+seeds a window, the index returns the unused neighbours by score, and they fill the window in that order: those that fit whole
+first, then the best one that is left is cut at the window's end and its rest stays in the shard. So every sequence but the last
+of a shard is full. Neighbours are looked for within a shard: two remainders whose telling terms differ don't meet.
 
-Shards grow in number with the input, never in size, and a shard's rows are remainders of two bytes a token.
+Shards grow in number with the input, never in size: rows are dealt by a hash that takes in their place, so equal rows spread too.
+What is broadcast or comes to the driver has a row per token of the vocabulary at most.
 
 Defined results: null and empty texts are the id 0 alone; equal rows are documents of their own; a null doc_id stays
-null; an empty table gives no rows.
+null; ties of scores take the smaller doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,71 +21,144 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, stage
 
 WINDOW = 1024
-SHARD = 1024
+SHARD, COMPANY = 1024, 128
 K1, B = 1.2, 0.75
-TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-#: Characters on whose classes every Unicode version agrees; a text with any other goes to the slower encoder of the two.
-_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]|<\\|")
+TOKENIZER = "byte_bpe_50k.json"
+#: Words whose ids a worker remembers.
+REMEMBERED = 200_000
+#: White space that the tokenizer's pattern may join to a following space, so that a space doesn't begin a new word.
+_SPACES = re.compile(r"\s ")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-@lru_cache
-def _encoders(path: str, ranks: str):
-    """Two encoders of one vocabulary: the tokenizer file's own, and a faster one from its merge ranks."""
-    import base64
-    import os
+class Encoder:
+    """The library's ids of texts. The tokenizer's pattern always begins a new word at a single space, so a text's ids are those of
+    its words, each with its space, one after another; the ids of words seen before are remembered. Other texts go through whole."""
+
+    def __init__(self, path: str):
+        import os
 
-    import public_tokenizers
-    import tiktoken
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+        library = Tokenizer.from_file(path)
 
-    with open(ranks, "rb") as f:
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-    return Tokenizer.from_file(path), fast
+        class Ids(dict):
+            def __missing__(self, word: str) -> list[int]:
+                found = self[word] = library.encode(" " + word, add_special_tokens=False).ids
+                return found
 
+        self.library, self.ids = library, Ids()
+        self.width = np.dtype(np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32)
 
-def encode(text: str, path: str, ranks: str) -> np.ndarray:
-    whole, fast = _encoders(path, ranks)
-    if _PLAIN.search(text):
-        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-    return np.array(fast.encode_ordinary(text), dtype=np.uint32)
+    def __call__(self, text: str) -> np.ndarray:
+        if _SPACES.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+        first, *words = text.split(" ")
+        ids = chain(self.library.encode(first, add_special_tokens=False).ids, chain.from_iterable(map(self.ids.__getitem__, words)))
+        return np.fromiter(ids, dtype=np.uint32)
 
 
-def _tokenise(path: str, ranks: str):
+@lru_cache
+def encoder(path: str) -> Encoder:
+    """One for each worker."""
+    return Encoder(path)
+
+
+def _tokenise(path: str):
     def run(batches):
+        encode = encoder(path)
         for batch in batches:
             total, crcs, rest = [], [], []
             for text in batch.column(1):
-                ids = np.append(encode(text.as_py() or "", path, ranks), np.uint32(0))
+                ids = np.append(encode(text.as_py() or ""), np.uint32(0))
                 whole = len(ids) // WINDOW
                 total.append(len(ids))
                 crcs.append([zlib.crc32(ids[k * WINDOW : (k + 1) * WINDOW].tobytes()) for k in range(whole)])
-                rest.append(ids[whole * WINDOW :].astype(np.uint16).tobytes())
+                rest.append(ids[whole * WINDOW :].astype(encode.width).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(total, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary())],
-                ["doc_id", "shard", "doc_tokens", "crcs", "rest"],
+                [batch.column(0), pa.array(total, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary())], ["doc_id", "doc_tokens", "crcs", "rest"]
             )
 
     return run
 
 
+def _frequencies(width: np.dtype):
+    """(term, docs, tokens, remainders): per batch, in how many remainders each term is; the totals lie at term -1."""
+
+    def run(batches):
+        for batch in batches:
+            df, n, tokens = np.zeros(1, dtype=np.int64), 0, 0
+            for rest in batch.column(0):
+                terms = np.unique(np.frombuffer(rest.as_buffer(), dtype=width))
+                if len(terms):
+                    if terms[-1] >= len(df):
+                        df = np.concatenate((df, np.zeros(2 * int(terms[-1]) + 1 - len(df), dtype=np.int64)))
+                    df[terms] += 1
+                    n += 1
+                    tokens += len(rest.as_buffer()) // width.itemsize
+            seen = np.flatnonzero(df)
+            empty = np.zeros(len(seen), dtype=np.int64)
+            columns = (np.append(seen, -1), np.append(df[seen], 0), np.append(empty, tokens), np.append(empty, n))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["term", "docs", "tokens", "remainders"])
+
+    return run
+
+
+def _routed(shared, width: np.dtype):
+    """Adds the term that a remainder is dealt by: the rarest with COMPANY, else the most frequent; -1 without a remainder."""
+
+    def run(batches):
+        df, _, _ = shared.value
+        for batch in batches:
+            routes = []
+            for rest in batch.column("rest"):
+                terms = np.unique(np.frombuffer(rest.as_buffer(), dtype=width))
+                if not len(terms):
+                    routes.append(-1)
+                    continue
+                n = df[terms]
+                known = n >= COMPANY
+                routes.append(int(terms[known][n[known].argmin()] if known.any() else terms[n.argmax()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(routes, pa.int64())], [*batch.schema.names, "term"])
+
+    return run
+
+
+def shards(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(term, first shard, shards): large terms have several of their own, small ones share."""
+    out, shard, held = [], 0, 0
+    for term, n in sorted(counts.items()):
+        if n >= SHARD:
+            own = -(-n // SHARD)
+            out.append((term, shard, own))
+            shard += own
+    for term, n in sorted(counts.items()):
+        if n < SHARD:
+            out.append((term, shard, 1))
+            held += n
+            if held >= SHARD:
+                shard, held = shard + 1, 0
+    return out
+
+
 class Index:
-    """BM25 weights of a shard's remainders as postings by term."""
+    """BM25 weights of a shard's remainders as postings by term. corpus: document frequencies by term, remainders, and their mean length."""
 
-    def __init__(self, remainders: list[np.ndarray]):
+    def __init__(self, remainders: list[np.ndarray], corpus: tuple[np.ndarray, int, float] | None = None):
         self.n = len(remainders)
         terms = [np.unique(x, return_counts=True) for x in remainders]
         sizes = np.array([len(t) for t, _ in terms], dtype=np.int64)
@@ -93,8 +170,9 @@ class Index:
         self.doc = doc[order]
         self.names, first, df = np.unique(term[order], return_index=True, return_counts=True)
         self.first, self.df = first, df
-        idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1.0)) if self.n else lengths
+        dfs, n, mean = (df, self.n, lengths.mean() if self.n else 1.0) if corpus is None else (corpus[0][self.names], *corpus[1:])
+        idf = np.log(1 + (n - dfs + 0.5) / (dfs + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(mean, 1.0))
         self.weight = (np.repeat(idf, df) * tf[order] * (K1 + 1) / (tf[order] + norm[self.doc])).astype(np.float32)
         self.of = [np.searchsorted(self.names, t) for t, _ in terms]
 
@@ -105,9 +183,9 @@ class Index:
         return np.bincount(self.doc[places], weights=self.weight[places], minlength=self.n)
 
 
-def fill(remainders: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+def fill(remainders: list[np.ndarray], corpus: tuple[np.ndarray, int, float] | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start in its remainder, length)."""
-    index = Index(remainders)
+    index = Index(remainders, corpus)
     start = np.zeros(index.n, dtype=np.int64)
     left = np.array([len(x) for x in remainders], dtype=np.int64)
     found = []
@@ -132,42 +210,54 @@ def fill(remainders: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
     return found
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    """The pieces of one shard."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "rest", "crcs", "shard")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
-    out, sequence = [], (rows[0][4] << 32) if rows else 0
-    for doc_id, total, _, crcs, _ in rows:
-        for k, crc in enumerate(crcs):
-            out.append((doc_id, k * WINDOW, WINDOW, crc, total, sequence, 0))
+def _pack(shared, width: np.dtype):
+    def run(table: pa.Table) -> pa.Table:
+        """The pieces of one shard."""
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "rest", "crcs", "shard")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+        out, sequence = [], (rows[0][4] << 32) if rows else 0
+        for doc_id, total, _, crcs, _ in rows:
+            for k, crc in enumerate(crcs):
+                out.append((doc_id, k * WINDOW, WINDOW, crc, total, sequence, 0))
+                sequence += 1
+        some = [r for r in rows if r[2]]
+        remainders = [np.frombuffer(r[2], dtype=width) for r in some]
+        for pieces in fill(remainders, shared.value):
+            offset = 0
+            for d, start, length in pieces:
+                ids = remainders[d][start : start + length].astype(np.uint32)
+                doc_id, total, _, crcs, _ = some[d]
+                out.append((doc_id, len(crcs) * WINDOW + start, length, zlib.crc32(ids.tobytes()), total, sequence, offset))
+                offset += length
             sequence += 1
-    some = [r for r in rows if r[2]]
-    remainders = [np.frombuffer(r[2], dtype=np.uint16) for r in some]
-    for pieces in fill(remainders):
-        offset = 0
-        for d, start, length in pieces:
-            ids = remainders[d][start : start + length].astype(np.uint32)
-            doc_id, total, _, crcs, _ = some[d]
-            out.append((doc_id, len(crcs) * WINDOW + start, length, zlib.crc32(ids.tobytes()), total, sequence, offset))
-            offset += length
-        sequence += 1
-    names = [x.split()[0] for x in PIECES.split(", ")]
-    columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
-    return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(names, columns, strict=True)})
-
-
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, ranks: str | None = None) -> DataFrame:
-    """One row per piece: see PIECES. path, ranks: the tokenizer's file and its merge ranks, by default the installed public ones."""
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(names, columns, strict=True)})
+
+    return run
+
+
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
+    """One row per piece: see PIECES. path: the tokenizer's file, by default that of the installed public one."""
     spark = docs.sparkSession
-    if path is None or ranks is None:
+    if path is None:
         import public_tokenizers
 
-        path, ranks = public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS)
-    small_batches(spark)
-    shards = max(1, -(-docs.count() // SHARD))
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(shards)).cast("long").alias("shard")
-    ).mapInArrow(_tokenise(path, ranks), "doc_id long, shard long, doc_tokens long, crcs array<long>, rest binary")
-    return rows.groupBy("shard").applyInArrow(_pack, PIECES)
+        path = public_tokenizers.path(TOKENIZER)
+    width = encoder(path).width
+    columns = "doc_id long, doc_tokens long, crcs array<long>, rest binary"
+    rows = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_tokenise(path), columns), "remainders")
+    sums = rows.select("rest").mapInArrow(_frequencies(width), "term long, docs long, tokens long, remainders long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("docs", "tokens", "remainders")))
+    table = {c: v.to_numpy() for c, v in zip(("term", "docs", "tokens", "remainders"), sums.toArrow().columns, strict=True)}
+    df = np.zeros(max(1, int(table["term"].max(initial=0)) + 1), dtype=np.int64)
+    terms = table["term"] >= 0
+    df[table["term"][terms]] = table["docs"][terms]
+    n = int(table["remainders"].sum())
+    shared = spark.sparkContext.broadcast((df, n, float(table["tokens"].sum()) / max(1, n)))
+    routed = rows.mapInArrow(_routed(shared, width), columns + ", term long")
+    counts = {r["term"]: r["count"] for r in routed.groupBy("term").count().collect()}  # a row per token of the vocabulary at most
+    places = spark.createDataFrame(shards(counts), "term long, first long, own long")
+    dealt = routed.withColumn("place", F.xxhash64("doc_id", "rest", F.monotonically_increasing_id())).join(F.broadcast(places), "term")
+    return dealt.select("doc_id", "doc_tokens", "crcs", "rest", (F.col("first") + F.pmod("place", "own")).alias("shard")).groupBy("shard").applyInArrow(_pack(shared, width), PIECES)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
