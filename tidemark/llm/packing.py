@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ SHARD, COMPANY = 1024, 128
 K1, B = 1.2, 0.75
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: White space that the tokenizer's pattern may join to a following space, so that a space doesn't begin a new word.
 _SPACES = re.compile(r"\s ")
 
@@ -55,8 +55,8 @@ class Encoder:
         library = Tokenizer.from_file(path)
 
         class Ids(dict):
-            def __missing__(self, word: str) -> list[int]:
-                found = self[word] = library.encode(" " + word, add_special_tokens=False).ids
+            def __missing__(self, word: str) -> bytes:
+                found = self[word] = array("I", library.encode(" " + word, add_special_tokens=False).ids).tobytes()
                 return found
 
         self.library, self.ids = library, Ids()
@@ -68,8 +68,8 @@ class Encoder:
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
         first, *words = text.split(" ")
-        ids = chain(self.library.encode(first, add_special_tokens=False).ids, chain.from_iterable(map(self.ids.__getitem__, words)))
-        return np.fromiter(ids, dtype=np.uint32)
+        ids = array("I", self.library.encode(first, add_special_tokens=False).ids).tobytes()
+        return np.frombuffer(ids + b"".join(map(self.ids.__getitem__, words)), dtype=np.uint32)
 
 
 @lru_cache
