@@ -55,11 +55,28 @@ def test_audit_counts_vectors_alike(spark):
     rows = [(100 * n if n < 2 else 1000 + n, near(0, n)) for n in range(200)] + [(5000, near(1, 3)), (5001, near(1, 4))]
     rows = [(i, "g", (np.array(v) / np.linalg.norm(v)).tobytes()) for i, v in rows]
     labels = spark.createDataFrame([(i, 0) for i, _, _ in rows if i < 5000], "node long, component long")
-    recall, missed = e.audit(labels, spark.createDataFrame(rows, "id long, g string, v binary"))
+    table = spark.createDataFrame([(*r, 1, r[0] % e.AUDIT == 0) for r in rows], "id long, g string, v binary, n long, asked boolean")
+    recall, missed = e.audit(labels, table, len(rows))
     queries = [i for i, _, _ in rows if i % e.AUDIT == 0]
     assert abs(recall - (1 - 1 / len(queries))) < 1e-9
     assert [(r["id"], r["c"]) for r in missed.collect()] == [(5000, 5000)]
 
 
+def test_equal_vectors_are_folded(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.common.HOT", 50)
+    a, b, c = np.eye(4)[0], np.array([0.95, np.sqrt(1 - 0.95**2), 0, 0]), np.eye(4)[3]
+    rows = [(1000 + k, (a * (1 + k % 3)).tolist(), 1) for k in range(300)] + [(2000 + k, b.tolist(), 1) for k in range(20)] + [(3000, c.tolist(), 1), (4000, a.tolist(), 2), (4001, a.tolist(), 2)]
+    found = {r["id"]: (r["n_links"], r["component_id"]) for r in e.link(spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)).collect()}
+    assert found == {**{i: (319, 1000) for i, _, _ in rows[:320]}, 3000: (0, 3000), 4000: (1, 4000), 4001: (1, 4000)}
+
+
+def test_large_components_are_counted_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(e, "COUNTED", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.eye(8)[0] + 0.01 * rng.standard_normal(8)).tolist(), 1, None, None, None) for i in range(150)]
+    found = {r["id"]: (r["n_links"], r["component_id"]) for r in e.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: (149, 0) for i in range(150)}
+
+
 def test_empty(spark):
     assert e.link(spark.createDataFrame([], SCHEMA)).count() == 0

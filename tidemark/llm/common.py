@@ -13,9 +13,6 @@ from ..sources.sinks import shared_folder as shared_dir
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-#: Rows that one Arrow batch carries to a Python worker; long texts make larger batches unsafe.
-ARROW_ROWS = 256
-
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: the lineage ends there, and any executor can read it."""
@@ -37,9 +34,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows per Arrow batch for this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+#: Rows of a table of hot keys at most, and members from which a key can be one.
+HOT_KEYS, HOT = 500_000, 4_096
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """The inner join of rows with keyed, one row per key, where `n` of keyed is the number of rows of the key and `total` that of all.
+
+    Keys with many rows are joined by a broadcast, so they stay spread as they are; there are no more than HOT_KEYS of them, as together
+    they have at most `total` rows. The others are joined by a shuffle. keyed is read twice: it should be a staged table."""
+    many = max(HOT, -(-total // HOT_KEYS))
+    hot = F.broadcast(keyed.filter(F.col(n) >= many))
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(keyed.filter(F.col(n) < many), on))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Near-duplicate embeddings by NN-descent.
 
+0. Equal vectors of a label are folded into one with their number; the smallest vec_id stands for them, and only it goes on.
 1. Vectors become unit vectors (double precision), grouped by label and dimension. Random hyperplanes deal each group into
    buckets of about BLOCK, several times over; each bucket gives its vectors their first NEIGHBOURS neighbours.
 2. A round joins every vector's neighbours and reverse neighbours with one another: whatever brings a vector a nearer
@@ -8,10 +9,12 @@
    doubling joined no more components.
 4. Components that hold a vector whose list is still saturated are compared with all other components of their group, in
    blocks, as those of vectors whose links the audit finds in several components: such a comparison sends on only pairs of components.
-5. Recall is audited: every vec_id divisible by AUDIT is compared with all vectors of its group, in blocks; recall is the mean over
+5. Recall is audited: every vector with a vec_id divisible by AUDIT is compared with all vectors of its group, in blocks; recall is the mean over
    these vectors of the share of their links that is within their component. Below RECALL, all lists are doubled and the rounds go
    on, as long as that raises recall; then all of the groups with a miss are compared, which leaves nothing open in them.
-6. Links are then counted exactly within each component, block by block; counts are sent on, never pairs.
+6. Links are then counted exactly within each component, blocks of COUNTED against each other; counts are sent on, never pairs.
+   Components of one block, nearly all, are one group; a larger one costs its square in products, in tasks of fixed size, and sends each
+   vector once for each of its blocks.
 
 Defined results: vectors that are null, zero, without label, or hold null or non-finite values link with nothing; so do
 vectors of different lengths; rows with one vec_id are one vector for links, and each row is returned; an empty table gives
@@ -27,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches, stage
+from .common import HOT_KEYS, join_hot, stage
 from .graph import components, join_components
 
 THRESHOLD = 0.93
 NEIGHBOURS = 10
-BLOCK = 256
+BLOCK, COUNTED = 256, 1024
 TABLES, BITS = 4, 14
 AUDIT, RECALL = 100, 0.99
 ROUNDS = 8
@@ -124,22 +127,31 @@ def _round(lists: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _counts(table: pa.Table) -> pa.Table:
-    """Links of each vector of the first block to the second block (or within one)."""
+    """Links of each vector of the first block to the second block (or within one), equal vectors counted as many times as they are."""
     ids, first = table.column("id").to_numpy(), table.column("first").to_numpy(zero_copy_only=False).astype(bool)
     second = table.column("second").to_numpy(zero_copy_only=False).astype(bool)
-    x = _matrix(table.column("v"))
+    x, n = _matrix(table.column("v")), table.column("n").to_numpy()
     near = x[first] @ x[second].T >= THRESHOLD
     near &= ids[first][:, None] != ids[second][None, :]
-    return pa.table({"id": pa.array(ids[first]), "n": pa.array(near.sum(axis=1).astype(np.int64))})
+    return pa.table({"id": pa.array(ids[first]), "n": pa.array(near @ n[second])})
+
+
+def _dealt(rows: DataFrame, blocks: DataFrame, on: str) -> DataFrame:
+    """rows with p and q, the numbers of blocks of their group: 1 but for large groups, so these are few and can be broadcast."""
+    large = F.broadcast(blocks.filter("p > 1 or q > 1"))
+    return rows.join(large, on, "left").withColumns({"p": F.coalesce("p", F.lit(1)), "q": F.coalesce("q", F.lit(1))})
 
 
-def _blocked(rows: DataFrame, on: str, firsts: DataFrame, seconds: DataFrame) -> DataFrame:
-    """(id, n): for each of firsts, its links among seconds of equal `on`. Both: (id, on, v). A pair of blocks is a group."""
+def _blocked(on: str, firsts: DataFrame, seconds: DataFrame, total: int) -> DataFrame:
+    """(id, n): for each of firsts, its links among seconds of equal `on`. Both: (id, on, v, n). A pair of blocks is a group."""
+    size = max(COUNTED, -(-total // HOT_KEYS))
     sizes = firsts.groupBy(on).agg(F.count("*").alias("nf")).join(seconds.groupBy(on).agg(F.count("*").alias("ns")), on)
-    blocks = sizes.select(on, F.ceil(F.col("nf") / BLOCK).cast("int").alias("p"), F.ceil(F.col("ns") / BLOCK).cast("int").alias("q"))
+    blocks = stage(sizes.select(on, F.ceil(F.col("nf") / size).cast("int").alias("p"), F.ceil(F.col("ns") / size).cast("int").alias("q")), "blocks")
     own = F.xxhash64("id")
-    left = firsts.join(blocks, on).select(on, "id", "v", F.pmod(own, F.col("p")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("first"), F.lit(False).alias("second"))
-    right = seconds.join(blocks, on).select(on, "id", "v", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(own, F.col("q")).cast("int").alias("j"), F.lit(False).alias("first"), F.lit(True).alias("second"))
+    asked = firsts.select(on).distinct()
+    left = _dealt(firsts, blocks, on).select(on, "id", "v", "n", F.pmod(own, F.col("p")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("first"), F.lit(False).alias("second"))
+    seconds = seconds.join(asked, on, "left_semi") if firsts is not seconds else seconds
+    right = _dealt(seconds, blocks, on).select(on, "id", "v", "n", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(own, F.col("q")).cast("int").alias("j"), F.lit(False).alias("first"), F.lit(True).alias("second"))
     both = left.unionByName(right)
     return both.groupBy(on, "i", "j").applyInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
@@ -156,8 +168,8 @@ def _across(table: pa.Table) -> pa.Table:
 
 
 def _members(labels: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(id, g, v, c): every vector with its component, itself where it has no link."""
-    return vectors.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "g", "v", F.coalesce("component", "id").alias("c"))
+    """(id, g, v, n, asked, c): every vector with its component, itself where it has no link."""
+    return vectors.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "g", "v", "n", "asked", F.coalesce("component", "id").alias("c"))
 
 
 def compare_blocks(labels: DataFrame, vectors: DataFrame, open_: DataFrame) -> DataFrame:
@@ -177,13 +189,12 @@ def compare_blocks(labels: DataFrame, vectors: DataFrame, open_: DataFrame) -> D
     return join_components(labels, more) if more.limit(1).count() else labels
 
 
-def audit(labels: DataFrame, vectors: DataFrame) -> tuple[float, DataFrame]:
-    """The mean, over the vec_ids divisible by AUDIT that have links, of the share of their links within their component; and
+def audit(labels: DataFrame, vectors: DataFrame, total: int) -> tuple[float, DataFrame]:
+    """The mean, over the vectors with a vec_id divisible by AUDIT that have links, of the share of their links within their component; and
     (id, g, c) of those that miss some. labels: (node, component)."""
-    queries = vectors.filter(F.col("id") % AUDIT == 0)
-    true = _blocked(vectors, "g", queries.select("id", "g", "v"), vectors.select("id", "g", "v"))
+    true = _blocked("g", vectors.filter("asked").select("id", "g", "v", "n"), vectors.select("id", "g", "v", "n"), total)
     same = _members(labels, vectors).withColumn("on", F.concat_ws("/", "g", "c"))
-    have = _blocked(same, "on", same.filter(F.col("id") % AUDIT == 0).select("id", "on", "v"), same.select("id", "on", "v"))
+    have = _blocked("on", same.filter("asked").select("id", "on", "v", "n"), same.select("id", "on", "v", "n"), total)
     rows = stage(true.join(have.withColumnRenamed("n", "m"), "id", "left").filter("n > 0").select("id", "n", F.coalesce("m", F.lit(0)).alias("m")), "audit")
     recall = rows.agg(F.avg(F.col("m") / F.col("n"))).first()[0]
     return 1.0 if recall is None else recall, same.join(rows.filter("m < n"), "id").select("id", "g", "c")
@@ -191,13 +202,19 @@ def audit(labels: DataFrame, vectors: DataFrame) -> tuple[float, DataFrame]:
 
 def link(rows: DataFrame, embedding: str = "embedding", vec_id: str = "vec_id", label: str = "label") -> DataFrame:
     """(id, n_links, component_id) of the vectors that can link."""
-    small_batches(rows.sparkSession)
-    vectors = stage(
+    raw = stage(
         rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).alias("label"))
         .mapInArrow(_prepare, "id long, g string, v binary, codes array<int>")
-        .dropDuplicates(["id", "g", "v"]),
-        "vectors",
+        .withColumn("d", F.unhex(F.md5("v"))),
+        "units",
     )
+    thin = stage(raw.select("id", "g", "d").distinct(), "ids")
+    folded = stage(thin.groupBy("g", "d").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.bool_or(F.col("id") % AUDIT == 0).alias("asked")), "folded")
+    total = thin.count()
+    reps = raw.join(folded.withColumnRenamed("rep", "id"), ["id", "g", "d"]).dropDuplicates(["id", "g", "d"])
+    vectors = stage(reps.select("id", "g", "v", "codes", "n", "asked"), "vectors")
+    stands = join_hot(thin, folded.select("g", "d", "rep", "n"), ["g", "d"], "n", total).select("id", "rep", F.col("n").alias("alike"))
+    stands = stage(stands, "stands")
     sizes = vectors.groupBy("g").agg(F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.count("*") / F.lit(BLOCK / 2))).cast("int"))).alias("bits"))
     coded = vectors.join(sizes, "g").select("id", "g", "v", "bits", F.posexplode("codes").alias("t", "code"))
     coded = coded.withColumn("bucket", F.col("code").bitwiseAND(F.expr("shiftleft(1, bits) - 1")))
@@ -223,7 +240,7 @@ def link(rows: DataFrame, embedding: str = "embedding", vec_id: str = "vec_id",
         if not left or now == n_components:
             if left:
                 labels = compare_blocks(labels, vectors, labels.join(saturated, F.col("node") == F.col("id")).select(F.col("component").alias("c")))
-            recall, missed = audit(labels, vectors)
+            recall, missed = audit(labels, vectors, total)
             if recall >= RECALL or recall <= reached:
                 if missed.limit(1).count():
                     open_ = missed if recall >= RECALL else _members(labels, vectors).join(missed.select("g").distinct(), "g", "left_semi")
@@ -233,9 +250,17 @@ def link(rows: DataFrame, embedding: str = "embedding", vec_id: str = "vec_id",
             grown = full.select("id", 2 * F.col("k"))
         n_components, n_found = now, -1
         lists = stage(lists.drop("k").join(grown.toDF("id", "k"), "id"), "lists")
-    within = vectors.join(labels.withColumnRenamed("node", "id"), "id").select("id", "component", "v")
-    counts = _blocked(vectors, "component", within, within)
-    return counts.join(labels.withColumnRenamed("node", "id"), "id").select("id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
+    # rows of one vec_id with different vectors are one
+    several = stands.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("id", F.col("lo").alias("a"))
+    more = stage(several.join(stands, "id").filter("a <> rep").select("a", F.col("rep").alias("b")), "same_id")
+    if more.limit(1).count():
+        labels = join_components(labels, more)
+    within = stage(vectors.join(labels.withColumnRenamed("node", "id"), "id").select("id", "component", "v", "n"), "within")
+    counts = _blocked("component", within, within, total)
+    known = vectors.groupBy("id").agg(F.max("n").alias("alike")).join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    known = stage(known.select(F.col("id").alias("rep"), "alike", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("component")), "counts")
+    found = join_hot(stands.select("id", "rep", F.col("alike").alias("own")), known, ["rep"], "alike", total)
+    return found.groupBy("id").agg(F.sum(F.col("n") + F.col("own") - 1).alias("n_links"), F.min("component").alias("component_id"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
