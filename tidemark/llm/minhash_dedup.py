@@ -5,9 +5,9 @@
 2. Texts with equal sets form a class; only its smallest doc_id goes on, so copies never meet as pairs.
 3. Classes that share a band key form a bucket; each member is paired with the bucket's smallest class only. A pair is a
    link if the full sets, made again from the texts, have 100 * intersection >= 75 * union.
-4. Buckets that still hold several components are joined into groups. In each, every class outside the group's largest
-   component is compared with all others, on full sets: blocks of about BLOCK classes meet in pairs, as many tasks as there are
-   pairs of blocks, and a pair of blocks sends on only links that join components. A group whose members link is a few
+4. In buckets that still hold several components, every class outside the bucket's largest component is compared with all others
+   of that bucket, on full sets: blocks of about BLOCK classes meet in pairs, as many tasks as there are pairs of blocks, and a pair
+   of blocks sends on only links that join components. Buckets of equal members are one. A bucket whose members link is a few
    stars; only one whose members don't costs its square, in tasks of fixed size, and no list of pairs is ever made.
 
 At a similarity of 0.75 all 32 bands of four bins miss with a probability of 5e-6.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, small_batches, stage
+from .common import documents, join_hot, stage
 from .graph import components, join_components
 from .words import batch_bytes, mix, text_groups, word_hashes
 
@@ -135,7 +135,6 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, d0, d1, bands) per row: set size, the set's digest, band keys."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _sketches, "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>"
     )
@@ -160,26 +159,29 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     """One row per row of docs: doc_id, n_shingles, class_id (smallest doc_id with an equal set), component_id."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = stage(sketches(docs, text, doc_id), "sketches")
-    classes = rows.filter("n_shingles > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("class_id"))
-    member = stage(
-        rows.join(classes, ["d0", "d1"], "left").select("doc_id", "n_shingles", "class_id", F.when(F.col("class_id") == F.col("doc_id"), F.col("bands")).alias("bands")),
-        "members",
-    )
+    total = rows.count()
+    classes = stage(rows.filter("n_shingles > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    placed = join_hot(rows.filter("n_shingles > 0"), classes, ["d0", "d1"], "n", total)
+    member = stage(placed.select("doc_id", "n_shingles", "class_id", F.when(F.col("class_id") == F.col("doc_id"), F.col("bands")).alias("bands")), "members")
     keyed = member.filter("bands is not null").select(F.col("class_id").alias("id"), F.explode("bands").alias("key")).distinct()
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most")).filter("a < most")
-    shared = stage(keyed.join(buckets.select("key", "a"), "key").select("key", "a", F.col("id").alias("b")), "buckets")
-    pairs = stage(shared.filter("a <> b").select("a", "b").distinct(), "pairs")
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    shared = stage(join_hot(keyed, stage(buckets, "centres"), ["key"], "n", BANDS * total).select("key", "a", F.col("id").alias("b")).filter("a <> b"), "buckets")
+    pairs = stage(shared.select("a", "b").distinct(), "pairs")
     links = stage(confirm(pairs, texts), "links")
     labels = components(links)
-    # buckets that still hold several components
-    open_ = shared.join(labels.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("component", "b").alias("c"))
-    several = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("b").alias("a")).filter("lo < hi").select("key", "a")
-    open_ = stage(open_.join(several, "key").select("a", "b", "c").distinct(), "open")
+    # a bucket's smallest class has met all its members; what may be left open is between the others, if they are of several components
+    open_ = shared.join(labels.withColumnRenamed("node", "b"), "b", "left").select(F.col("key").alias("g"), "b", F.coalesce("component", "b").alias("c"))
+    several = open_.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("print"), F.min("b").alias("first"))
+    # of buckets with the same members one is enough
+    several = several.filter("lo < hi").groupBy("n", "print", "first").agg(F.min("g").alias("g")).select("g", "n")
+    open_ = stage(join_hot(open_, stage(several, "several"), ["g"], "n", BANDS * total).select("g", "b", "c"), "open")
     if open_.limit(1).count():
         labels = join_components(labels, stage(compare_blocks(open_, texts), "more_links"))
-    return member.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
-        "doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id", "doc_id").alias("component_id")
-    )
+    known = classes.filter("class_id is not null").groupBy("class_id").agg(F.sum("n").alias("n")).join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    found = join_hot(member, stage(known, "known"), ["class_id"], "n", total).select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id"))
+    nameless = member.filter("class_id is null").select("doc_id", "n_shingles", "class_id", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).unionByName(nameless)
 
 
 def _blocks(table: pa.Table) -> pa.Table:
@@ -207,13 +209,12 @@ def _blocks(table: pa.Table) -> pa.Table:
 
 
 def compare_blocks(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that join components within groups. open_: (a, b, c), class b of component c in a bucket with smallest class a."""
-    groups = components(open_.select("a", "b")).select(F.col("node").alias("b"), F.col("component").alias("g"))
-    rows = checkpoint(open_.select("b", "c").distinct().join(groups, "b"))
-    mains = rows.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "c")).alias("m")).select("g", F.col("m.c").alias("main"))
-    rows = rows.join(mains, "g").withColumn("loose", F.col("c") != F.col("main"))
-    counts = rows.groupBy("g").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("loose") == v, 1).otherwise(0)) / BLOCK)).cast("int").alias(k) for k, v in (("p", True), ("q", False))))
-    rows = rows.join(counts, "g").withColumn("i", F.pmod(F.xxhash64("b"), F.when(F.col("loose"), F.col("p")).otherwise(F.col("q"))).cast("int"))
+    """Links (a, b) that join components within buckets. open_: (g, b, c), class b of component c in bucket g."""
+    of = open_.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    of = stage(of.select("g", "n", F.col("m.c").alias("main"), blocks(F.col("n") - F.col("m.n")).alias("p"), blocks(F.col("m.n")).alias("q")), "mains")
+    rows = join_hot(open_, of, ["g"], "n", open_.count()).withColumn("loose", F.col("c") != F.col("main"))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("b"), F.when(F.col("loose"), F.col("p")).otherwise(F.col("q"))).cast("int"))
     # loose block i meets the loose blocks (lo, hi) and, as (i, -1 - j), each block j of the main component
     others = F.sequence(F.lit(0), F.col("p") - 1)
     meets = F.when(
@@ -223,8 +224,9 @@ def compare_blocks(open_: DataFrame, texts: DataFrame) -> DataFrame:
             F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.struct(F.col("i").alias("lo"), (-1 - j).alias("hi"))),
         ),
     ).otherwise(F.transform(others, lambda k: F.struct(k.alias("lo"), (-1 - F.col("i")).alias("hi"))))
-    ids = checkpoint(rows.select(F.col("b").alias("id"), "g", "c", "loose", F.array_distinct(meets).alias("meets")))
-    sets = _set_table(texts, ids.select("id"), ids.count())
+    ids = stage(rows.select(F.col("b").alias("id"), "g", "c", "loose", F.array_distinct(meets).alias("meets")), "meets")
+    wanted = ids.select("id").distinct()
+    sets = _set_table(texts, wanted, wanted.count())
     met = sets.join(ids, "id").select("id", "c", "loose", "members", "g", F.explode("meets").alias("m"))
     return met.select("id", "c", "loose", "members", "g", "m.lo", "m.hi").groupBy("g", "lo", "hi").applyInArrow(_blocks, "a long, b long")
 
