@@ -69,7 +69,7 @@ def _with_ends(values: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
 
 
 #: Keys that are held before they are summed and sent on, and entries in one row of packed contexts.
-HELD = 1 << 20
+HELD = 1 << 18
 
 
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -108,8 +108,28 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.mapInArrow(_count_words, "h long, ending int, n long").groupBy("h", "ending").agg(F.sum("n").alias("n"))
 
 
+CONTEXTS = "key long, slots binary, n binary"
+
+
+def _contexts(keys: np.ndarray, slots: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row per distinct key with the slots beside it and their counts (32 bits each)."""
+    order = np.argsort(keys, kind="stable")
+    keys, columns = keys[order], (slots[order].astype(np.int32), n[order].astype(np.int32))
+    starts = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ 1)) if len(keys) else np.zeros(0, np.int64)
+    offsets = pa.py_buffer((4 * np.append(starts, len(keys))).astype(np.int32).tobytes())
+    lists = [pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(c.tobytes())]) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(keys[starts].astype(np.int64)), *lists], ["key", "slots", "n"])
+
+
+def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of a binary column, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(np.int32) if data is not None else np.zeros(0, np.int32), np.diff(ends) // 4
+
+
 def _bigrams(shared):
-    """Counts (u, v) of units u followed by v; the end of text stands before each text's first."""
+    """The contexts of units (slot: 2 * neighbour, + 1 if it follows); the end of text stands before each text's first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
@@ -123,7 +143,8 @@ def _bigrams(shared):
                     yield np.unique(np.append(END, unit[:-1]) << 32 | unit, return_counts=True)
 
         for keys, n in _folded(parts()):
-            yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["u", "v", "n"])
+            u, v = keys >> 32, keys & 0xFFFFFFFF
+            yield _contexts(np.concatenate((u, v)), np.concatenate((2 * v + 1, 2 * u)), np.concatenate((n, n)))
 
     return count
 
@@ -169,37 +190,47 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return of
 
 
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, slot, n) with equal ones summed; in order of key."""
+    key, slot, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((slot, key))
+    key, slot, n = key[order], slot[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])))[: len(key)])
+    return key[first], slot[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, slot, n), sorted by key, as few rows of four flat arrays, which every sweep reads: keys, ends of their entries, slots,
-    counts. A key's entries lie in one row."""
+    """Contexts, sorted by key, as few rows of four flat arrays, which every sweep reads: keys, ends of their entries, slots,
+    counts. A key's entries lie in one row. What is held is merged, so a key never takes more than its different slots."""
     held, size = [], 0
 
-    def out(parts):
-        key, slot, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    def out(key, slot, n):
+        starts = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))
         columns = (key[starts], np.append(starts[1:], len(key)), slot.astype(np.int32), n)
         return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns], ["keys", "ends", "slots", "n"])
 
     for batch in batches:
-        if not batch.num_rows:
+        (slot, each), (n, _) = _entries(batch.column(1)), _entries(batch.column(2))
+        if not len(slot):
             continue
-        key, slot, n = (c.to_numpy().astype(np.int64) for c in batch.columns)
-        if size >= HELD and key[0] != key[-1]:
-            cut = int(np.searchsorted(key, key[0], side="right"))
-            yield out([*held, (key[:cut], slot[:cut], n[:cut])])
-            held, size, key, slot, n = [], 0, key[cut:], slot[cut:], n[cut:]
-        held.append((key, slot, n))
-        size += len(key)
+        held.append((np.repeat(batch.column(0).to_numpy(), each), slot.astype(np.int64), n.astype(np.int64)))
+        size += len(slot)
+        if size >= HELD:
+            key, slot, n = _merged(held)
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if cut:
+                yield out(key[:cut], slot[:cut], n[:cut])
+            held, size = [(key[cut:], slot[cut:], n[cut:])], 0
     if held:
-        yield out(held)
+        yield out(*_merged(held))
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """(key, slot, n) with the entries of each key together."""
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "slot", "n").mapInArrow(_packed, PACKED)
+PACKED = "keys binary, ends binary, slots binary, n binary"
 
 
-PACKED = "keys binary, ends binary, slots binary, n binary"
+def packed(rows: DataFrame) -> DataFrame:
+    """CONTEXTS with the entries of each key together."""
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_packed, PACKED)
 
 
 def _beside(batches: Iterator[pa.RecordBatch]):
@@ -262,17 +293,25 @@ def _likelihood(joint: np.ndarray) -> float:
     return f(joint) - f(joint.sum(axis=0)) - f(joint.sum(axis=1))
 
 
-def cluster(bigrams: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each unit, and the class bigrams; bigrams: (u, v, n)."""
-    share = bigrams.sparkSession.sparkContext.broadcast
+def _among(size: int):
+    """The bigrams (u, v, n) among the `size` most frequent words."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, row, slot, n in _beside(batches):
+            u, v = keys[row] - END - 1, (slot >> 1).astype(np.int64) - END - 1
+            good = (slot & 1 == 1) & (u >= 0) & (u < size) & (v >= 0) & (v < size)
+            yield pa.RecordBatch.from_arrays([pa.array(u[good].astype(np.int32)), pa.array(v[good].astype(np.int32)), pa.array(n[good].astype(np.int64))], ["u", "v", "n"])
+
+    return pick
+
+
+def cluster(beside: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit, and the class bigrams. beside: the packed contexts of all units."""
+    share = beside.sparkSession.sparkContext.broadcast
     size = min(ANCHORS, n_words)
-    low, high = END, END + size
-    cells = bigrams.filter(f"u > {low} and u <= {high} and v > {low} and v <= {high}").toArrow()
+    cells = beside.mapInArrow(_among(size), "u int, v int, n long").toArrow()
     first = np.zeros((size, size))
-    first[cells.column("u").to_numpy() - END - 1, cells.column("v").to_numpy() - END - 1] = cells.column("n").to_numpy()
-    # at most two slots for each unit
-    rows = bigrams.select(F.col("u").alias("key"), (2 * F.col("v") + 1).alias("slot"), "n").unionByName(bigrams.select(F.col("v").alias("key"), (2 * F.col("u")).alias("slot"), "n"))
-    beside = stage(packed(rows), "beside")
+    first[cells.column("u").to_numpy(), cells.column("v").to_numpy()] = cells.column("n").to_numpy()
     classes = np.full(END + 1 + n_words, -1, dtype=np.int16)
     joint = np.zeros((WIDE, WIDE))
     if size:
@@ -308,11 +347,19 @@ def cluster(bigrams: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rare_contexts(shared):
-    """Counts (h, slot) of words that are no units, beside the classes of units."""
+    """The contexts of words that are no units: slots are classes of units."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         lookup = Lookup(m.words, np.arange(len(m.words), dtype=np.int64))
+        held, size = [], 0
+
+        def out():
+            nonlocal held, size
+            key, slot = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+            return _contexts(*_merged([(key, slot, np.ones(len(key), dtype=np.int64))]))
+
         for batch in batches:
             for _, _, _, _, h, ending, at in _tokens(batch.column(0)):
                 unit, c = m.classes(h, ending, lookup)
@@ -321,9 +368,12 @@ def _rare_contexts(shared):
                 place = rare + np.searchsorted(at, rare, side="right") - 1
                 before = np.append(CLASSES, c[:-1])[place]
                 slot = np.concatenate((2 * before, 2 * c[place + 1] + 1))
-                hr, back = np.unique(h[rare], return_inverse=True)
-                keys, n = np.unique(np.concatenate((back, back)) * (2 * WIDE) + slot, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hr[keys // (2 * WIDE)].view(np.int64)), pa.array((keys % (2 * WIDE)).astype(np.int32)), pa.array(n)], ["key", "slot", "n"])
+                held.append((np.concatenate((h[rare], h[rare])).view(np.int64), slot))
+                size += 2 * len(rare)
+                if size >= HELD:
+                    yield out()
+        if size:
+            yield out()
 
     return count
 
@@ -331,8 +381,7 @@ def _rare_contexts(shared):
 def rare_classes(training: DataFrame, known, joint: np.ndarray) -> DataFrame:
     """(h, class) of each counted word that is no unit."""
     fit = training.sparkSession.sparkContext.broadcast((np.arange(WIDE, dtype=np.int16), _fit(joint)))
-    seen = training.mapInArrow(_rare_contexts(known), "key long, slot int, n long").groupBy("key", "slot").agg(F.sum("n").alias("n"))  # at most 2 * WIDE slots a key
-    return packed(seen).mapInArrow(_choose(fit), "key long, class int").withColumnRenamed("key", "h")
+    return packed(training.mapInArrow(_rare_contexts(known), CONTEXTS)).mapInArrow(_choose(fit), "key long, class int").withColumnRenamed("key", "h")
 
 
 class Model:
@@ -457,8 +506,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     top = counts.orderBy(F.desc("n"), "h").limit(UNITS).toArrow()
     words, n_words = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     frequent = spark.sparkContext.broadcast(words)
-    bigrams = stage(training.mapInArrow(_bigrams(frequent), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n")), "bigrams")
-    classes, joint = cluster(bigrams, len(words))
+    beside = stage(packed(training.mapInArrow(_bigrams(frequent), CONTEXTS)), "beside")
+    classes, joint = cluster(beside, len(words))
     model = Model(words, n_words, classes[END + 1 :].astype(np.int64), classes[:END].astype(np.int64))
     known = spark.sparkContext.broadcast(model)
     rare = stage(rare_classes(training, known, joint).join(counts.select("h", "n"), "h"), "rare")

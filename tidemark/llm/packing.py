@@ -35,7 +35,7 @@ SHARD, COMPANY = 1024, 128
 K1, B = 1.2, 0.75
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: White space that the tokenizer's pattern may join to a following space, so that a space doesn't begin a new word.
 _SPACES = re.compile(r"\s ")
 

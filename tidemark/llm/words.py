@@ -5,7 +5,7 @@ times a fixed random number for each place in the word, taken from prefix sums,
 equal hashes everywhere; two given words share one with a probability of at most 2**-57 over the choice of the numbers, whatever
 regularity they have, and some two of ten million with one of about 1e-3 at that worst (4e-6 where bytes differ by odd numbers).
 Where a collision would matter the caller looks for one and takes the numbers of the next seed.
-Work goes in segments of about a megabyte, cut at white space, so memory doesn't follow the length of a text.
+Work goes in segments of about 256 kilobytes, cut at white space, so memory doesn't follow the length of a text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
