@@ -38,35 +38,71 @@ TOKENIZER = "byte_bpe_50k.json"
 REMEMBERED = 1_000_000
 #: White space that the tokenizer's pattern may join to a following space, so that a space doesn't begin a new word.
 _SPACES = re.compile(r"\s ")
+#: Latin letters, then ASCII signs, then perhaps a line end and the same again: the pattern's cuts are between these.
+_LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[!-/:-@\[-`{-~]*"
+_PLAIN = re.compile(rf"({_LETTERS})({_SIGNS})(?:\n({_LETTERS})({_SIGNS}))?")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """The library's ids of texts. The tokenizer's pattern always begins a new word at a single space, so a text's ids are those of
-    its words, each with its space, one after another; the ids of words seen before are remembered. Other texts go through whole."""
+    """The library's ids of texts. A byte-level tokenizer's pattern begins a new word at each single space, so a text's ids are those of
+    its words, each with its space, one after another; the ids of words seen before are remembered. In a plain word (see _PLAIN) the
+    pattern's pieces are the letters, the signs behind them and the line's end; the library's model gives the ids of each, remembered
+    too. Other words go through the library whole, and so do texts with other white space and all texts of other kinds of tokenizers."""
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        splits, model = kind["pre_tokenizer"] or {}, library.model
+        level = splits.get("type") == "ByteLevel" and splits["use_regex"] and not splits["add_prefix_space"] and kind["model"].get("type", "BPE") == "BPE"
+        self.by_word = bool(level and not kind["normalizer"] and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in kind["added_tokens"]))
+        added = "|".join(re.escape(t["content"]) for t in kind["added_tokens"])
+        special = re.compile(added or r"(?!)").search
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        form = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (*range(0x80), *range(0xC0, 0x250))} if self.by_word else {}
+        plain, tokenize, encode = _PLAIN.fullmatch, model.tokenize, library.encode
+
+        class Pieces(dict):
+            """Ids of the pattern's pieces."""
+
+            def __missing__(self, piece: str) -> bytes:
+                found = self[piece] = array("I", [t.id for t in tokenize(piece.translate(form))]).tobytes()
+                return found
+
+        pieces = self.pieces = Pieces({"": b""})
 
         class Ids(dict):
+            """Ids of words with the space before them."""
+
             def __missing__(self, word: str) -> bytes:
-                found = self[word] = array("I", library.encode(" " + word, add_special_tokens=False).ids).tobytes()
+                cut = plain(word)
+                if cut is None or special(word):
+                    found = array("I", encode(" " + word, add_special_tokens=False).ids).tobytes()
+                else:
+                    stem, signs, more, end = cut.groups()
+                    found = pieces[" " + stem] + pieces[signs]
+                    if more:
+                        found += pieces["\n"] + pieces[more] + pieces[end]
+                self[word] = found
                 return found
 
         self.library, self.ids = library, Ids()
         self.width = np.dtype(np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32)
 
     def __call__(self, text: str) -> np.ndarray:
-        if _SPACES.search(text):
+        if not self.by_word or _SPACES.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
+        for known in (self.ids, self.pieces):
+            if len(known) > REMEMBERED:
+                known.clear()
         first, *words = text.split(" ")
         ids = array("I", self.library.encode(first, add_special_tokens=False).ids).tobytes()
         return np.frombuffer(ids + b"".join(map(self.ids.__getitem__, words)), dtype=np.uint32)
