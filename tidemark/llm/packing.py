@@ -64,14 +64,15 @@ class Encoder:
         splits, model = kind["pre_tokenizer"] or {}, library.model
         level = splits.get("type") == "ByteLevel" and splits["use_regex"] and not splits["add_prefix_space"] and kind["model"].get("type", "BPE") == "BPE"
         self.by_word = bool(level and not kind["normalizer"] and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in kind["added_tokens"]))
-        added = "|".join(re.escape(t["content"]) for t in kind["added_tokens"])
-        special = re.compile(added or r"(?!)").search
+        # a plain word has no sign before a letter, so it holds no added token that has
+        within = "|".join(re.escape(t["content"]) for t in kind["added_tokens"] if not re.search(r"[!-/:-@\[-`{-~][A-Za-z]", t["content"]))
+        special = re.compile(within).search if within else None
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         form = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (*range(0x80), *range(0xC0, 0x250))} if self.by_word else {}
-        plain, tokenize, encode = _PLAIN.fullmatch, model.tokenize, library.encode
+        space, plain, tokenize, encode = form.get(32, ""), _PLAIN.fullmatch, model.tokenize, library.encode
 
         class Pieces(dict):
-            """Ids of the pattern's pieces."""
+            """Ids of the pattern's pieces that have no space before them."""
 
             def __missing__(self, piece: str) -> bytes:
                 found = self[piece] = array("I", [t.id for t in tokenize(piece.translate(form))]).tobytes()
@@ -84,13 +85,16 @@ class Encoder:
 
             def __missing__(self, word: str) -> bytes:
                 cut = plain(word)
-                if cut is None or special(word):
+                if cut is None or (special and special(word)):
                     found = array("I", encode(" " + word, add_special_tokens=False).ids).tobytes()
                 else:
                     stem, signs, more, end = cut.groups()
-                    found = pieces[" " + stem] + pieces[signs]
                     if more:
-                        found += pieces["\n"] + pieces[more] + pieces[end]
+                        found = self[stem] + pieces[signs] + pieces["\n"] + pieces[more] + pieces[end]
+                    elif signs:
+                        found = self[stem] + pieces[signs]
+                    else:
+                        found = array("I", [t.id for t in tokenize(space + (word if word.isascii() else word.translate(form)))]).tobytes()
                 self[word] = found
                 return found
 
@@ -132,23 +136,29 @@ def _tokenise(path: str):
     return run
 
 
+def _terms(rests: pa.Array, width: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term) of the distinct terms of each row, in order; and the rows' sizes in tokens."""
+    parts = [np.frombuffer(rest.as_buffer(), dtype=width) for rest in rests]
+    sizes = np.array([len(x) for x in parts], dtype=np.int64)
+    if not sizes.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), sizes
+    keys = np.concatenate(parts).astype(np.int64)
+    keys += np.repeat(np.arange(len(parts), dtype=np.int64), sizes) << 32
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    return keys >> 32, keys & 0xFFFFFFFF, sizes
+
+
 def _frequencies(width: np.dtype):
     """(term, docs, tokens, remainders): per batch, in how many remainders each term is; the totals lie at term -1."""
 
     def run(batches):
         for batch in batches:
-            df, n, tokens = np.zeros(1, dtype=np.int64), 0, 0
-            for rest in batch.column(0):
-                terms = np.unique(np.frombuffer(rest.as_buffer(), dtype=width))
-                if len(terms):
-                    if terms[-1] >= len(df):
-                        df = np.concatenate((df, np.zeros(2 * int(terms[-1]) + 1 - len(df), dtype=np.int64)))
-                    df[terms] += 1
-                    n += 1
-                    tokens += len(rest.as_buffer()) // width.itemsize
+            _, terms, sizes = _terms(batch.column(0), width)
+            df = np.bincount(terms, minlength=1)
             seen = np.flatnonzero(df)
             empty = np.zeros(len(seen), dtype=np.int64)
-            columns = (np.append(seen, -1), np.append(df[seen], 0), np.append(empty, tokens), np.append(empty, n))
+            columns = (np.append(seen, -1), np.append(df[seen], 0), np.append(empty, sizes.sum()), np.append(empty, np.count_nonzero(sizes)))
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["term", "docs", "tokens", "remainders"])
 
     return run
@@ -160,16 +170,14 @@ def _routed(shared, width: np.dtype):
     def run(batches):
         df, _, _ = shared.value
         for batch in batches:
-            routes = []
-            for rest in batch.column("rest"):
-                terms = np.unique(np.frombuffer(rest.as_buffer(), dtype=width))
-                if not len(terms):
-                    routes.append(-1)
-                    continue
-                n = df[terms]
-                known = n >= COMPANY
-                routes.append(int(terms[known][n[known].argmin()] if known.any() else terms[n.argmax()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(routes, pa.int64())], [*batch.schema.names, "term"])
+            rows, terms, sizes = _terms(batch.column("rest"), width)
+            n = df[terms]
+            # frequent enough ones first, from the rarest; then the others, from the most frequent; of equals the smallest term
+            order = np.lexsort((terms, np.where(n >= COMPANY, n, -n), n < COMPANY, rows))
+            first = order[np.append(True, rows[order][1:] != rows[order][:-1])] if len(order) else order
+            routes = np.full(len(sizes), -1, dtype=np.int64)
+            routes[rows[first]] = terms[first]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(routes)], [*batch.schema.names, "term"])
 
     return run
 
@@ -209,7 +217,7 @@ class Index:
         dfs, n, mean = (df, self.n, lengths.mean() if self.n else 1.0) if corpus is None else (corpus[0][self.names], *corpus[1:])
         idf = np.log(1 + (n - dfs + 0.5) / (dfs + 0.5))
         norm = K1 * (1 - B + B * lengths / max(mean, 1.0))
-        self.weight = (np.repeat(idf, df) * tf[order] * (K1 + 1) / (tf[order] + norm[self.doc])).astype(np.float32)
+        self.weight = (np.repeat(idf, df) * tf[order] * (K1 + 1) / (tf[order] + norm[self.doc])).astype(np.float32).astype(float)  # as bincount takes them
         self.of = [np.searchsorted(self.names, t) for t, _ in terms]
 
     def scores(self, seed: int) -> np.ndarray:
@@ -229,19 +237,20 @@ def fill(remainders: list[np.ndarray], corpus: tuple[np.ndarray, int, float] | N
         pieces = [(seed, int(start[seed]), int(left[seed]))]
         room = WINDOW - int(left[seed])
         left[seed] = 0
-        if room:
-            ranked = np.argsort(-index.scores(seed), kind="stable")
-            ranked = ranked[left[ranked] > 0]
-            while room and len(ranked):
-                fits = left[ranked] <= room
-                best = int(fits.argmax())
-                d = int(ranked[best]) if fits[best] else int(ranked[0])
+        if room and left.any():
+            scores = index.scores(seed)
+            while room:
+                unused = left > 0
+                fits = unused & (left <= room)
+                some = np.flatnonzero(fits if fits.any() else unused)
+                if not len(some):
+                    break
+                d = int(some[scores[some].argmax()])  # the first of equals
                 take = min(room, int(left[d]))
                 pieces.append((d, int(start[d]), take))
                 start[d] += take
                 left[d] -= take
                 room -= take
-                ranked = ranked[ranked != d]
         found.append(pieces)
     return found
 
