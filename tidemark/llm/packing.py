@@ -98,7 +98,15 @@ class Encoder:
                 self[word] = found
                 return found
 
-        self.library, self.ids = library, Ids()
+        def first(word: str) -> bytes:
+            """Ids of a word without a space before it."""
+            cut = plain(word)
+            if cut is None or (special and special(word)):
+                return array("I", encode(word, add_special_tokens=False).ids).tobytes()
+            stem, signs, more, end = cut.groups()
+            return pieces[stem] + pieces[signs] + (pieces["\n"] + pieces[more] + pieces[end] if more else b"")
+
+        self.library, self.ids, self.first = library, Ids(), first
         self.width = np.dtype(np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32)
 
     def __call__(self, text: str) -> np.ndarray:
@@ -108,8 +116,7 @@ class Encoder:
             if len(known) > REMEMBERED:
                 known.clear()
         first, *words = text.split(" ")
-        ids = array("I", self.library.encode(first, add_special_tokens=False).ids).tobytes()
-        return np.frombuffer(ids + b"".join(map(self.ids.__getitem__, words)), dtype=np.uint32)
+        return np.frombuffer(self.first(first) + b"".join(map(self.ids.__getitem__, words)), dtype=np.uint32)
 
 
 @lru_cache
@@ -173,10 +180,14 @@ def _routed(shared, width: np.dtype):
             rows, terms, sizes = _terms(batch.column("rest"), width)
             n = df[terms]
             # frequent enough ones first, from the rarest; then the others, from the most frequent; of equals the smallest term
-            order = np.lexsort((terms, np.where(n >= COMPANY, n, -n), n < COMPANY, rows))
-            first = order[np.append(True, rows[order][1:] != rows[order][:-1])] if len(order) else order
+            rank = np.where(n >= COMPANY, n, np.iinfo(np.int64).max - n)
+            first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else rows
             routes = np.full(len(sizes), -1, dtype=np.int64)
-            routes[rows[first]] = terms[first]
+            if len(rows):
+                least = np.minimum.reduceat(rank, first)
+                best = np.flatnonzero(rank == np.repeat(least, np.diff(np.append(first, len(rows)))))
+                best = best[np.append(True, rows[best][1:] != rows[best][:-1])]
+                routes[rows[best]] = terms[best]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(routes)], [*batch.schema.names, "term"])
 
     return run
@@ -204,21 +215,22 @@ class Index:
 
     def __init__(self, remainders: list[np.ndarray], corpus: tuple[np.ndarray, int, float] | None = None):
         self.n = len(remainders)
-        terms = [np.unique(x, return_counts=True) for x in remainders]
-        sizes = np.array([len(t) for t, _ in terms], dtype=np.int64)
-        doc = np.repeat(np.arange(self.n), sizes)
-        term = np.concatenate([t for t, _ in terms]).astype(np.int64) if terms else np.zeros(0, np.int64)
-        tf = np.concatenate([c for _, c in terms]).astype(float) if terms else np.zeros(0)
-        lengths = np.array([len(x) for x in remainders], dtype=float)
+        lengths = np.array([len(x) for x in remainders], dtype=np.int64)
+        keys = np.concatenate(remainders).astype(np.int64) if self.n else np.zeros(0, np.int64)
+        keys += np.repeat(np.arange(self.n, dtype=np.int64), lengths) << 32
+        keys.sort()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+        tf = np.diff(np.append(first, len(keys))).astype(float)
+        doc, term = keys[first] >> 32, keys[first] & 0xFFFFFFFF
         order = np.argsort(term, kind="stable")
         self.doc = doc[order]
-        self.names, first, df = np.unique(term[order], return_index=True, return_counts=True)
-        self.first, self.df = first, df
+        self.names, back, df = np.unique(term, return_inverse=True, return_counts=True)
+        self.first, self.df = np.cumsum(df) - df, df
         dfs, n, mean = (df, self.n, lengths.mean() if self.n else 1.0) if corpus is None else (corpus[0][self.names], *corpus[1:])
         idf = np.log(1 + (n - dfs + 0.5) / (dfs + 0.5))
         norm = K1 * (1 - B + B * lengths / max(mean, 1.0))
         self.weight = (np.repeat(idf, df) * tf[order] * (K1 + 1) / (tf[order] + norm[self.doc])).astype(np.float32).astype(float)  # as bincount takes them
-        self.of = [np.searchsorted(self.names, t) for t, _ in terms]
+        self.of = np.split(back, np.cumsum(np.bincount(doc, minlength=self.n))[:-1]) if self.n else []
 
     def scores(self, seed: int) -> np.ndarray:
         at, df = self.first[self.of[seed]], self.df[self.of[seed]]
