@@ -18,12 +18,13 @@ _AGE = f"CAST(floor(epoch(TIMESTAMP '{NOW}') - epoch(min(created))) AS BIGINT)"
     "projection_metrics",
     f"""WITH r AS (SELECT o_orderkey AS id, o_orderpriority AS projection, o_custkey AS subject, o_orderdate AS created, CASE o_orderstatus WHEN 'F' THEN 'validated' WHEN 'O' THEN 'built' ELSE 'rejected' END AS status FROM orders),
     l AS (SELECT l_orderkey AS id, l_linestatus AS status, CASE WHEN l_returnflag = 'R' THEN 'RETURNED' END AS failure FROM lineitem),
-    n AS (SELECT id, count(*) AS records FROM l GROUP BY id), s AS (SELECT r.*, coalesce(records, 0) AS records FROM r LEFT JOIN n USING (id)),
+    n AS (SELECT id, count(*) AS records, count(*) FILTER (WHERE failure IS NULL) AS sources FROM l GROUP BY id), s AS (SELECT r.*, coalesce(records, 0) AS records, coalesce(sources, 0) AS sources FROM r LEFT JOIN n USING (id)),
     m({_METRIC}) AS (SELECT 'run_count', projection, NULL, count(*), NULL::TIMESTAMP FROM s GROUP BY projection
     UNION ALL SELECT 'run_status_count', projection, l.status, count(*), NULL FROM r JOIN l USING (id) GROUP BY projection, l.status
     UNION ALL SELECT 'snapshot_status_count', projection, status, count(*), NULL FROM s GROUP BY projection, status
     UNION ALL SELECT 'snapshot_record_count', projection, NULL, sum(records)::BIGINT, NULL FROM s GROUP BY projection
     UNION ALL SELECT 'snapshot_subject_count', projection, NULL, count(DISTINCT subject), NULL FROM s GROUP BY projection
+    UNION ALL SELECT 'snapshot_source_event_count', projection, NULL, sum(sources)::BIGINT, NULL FROM s GROUP BY projection
     UNION ALL SELECT 'failure_code_count', projection, failure, count(*), NULL FROM r JOIN l USING (id) WHERE failure IS NOT NULL GROUP BY projection, failure
     UNION ALL SELECT 'conflict_count', 'all', status, count(*), NULL FROM s WHERE records = 0 GROUP BY status
     UNION ALL SELECT 'oldest_unvalidated_snapshot_age_seconds', projection, NULL, {_AGE}, min(created) FROM s WHERE status <> 'validated' GROUP BY projection
@@ -31,13 +32,13 @@ _AGE = f"CAST(floor(epoch(TIMESTAMP '{NOW}') - epoch(min(created))) AS BIGINT)"
     SELECT * FROM m""",
 )
 def projection_metrics(d: Domain) -> DataFrame:
-    """Nine aggregates as rows: lines are folded to their order once, orders to (projection, status) once, and the rest reads these few rows."""
+    """Ten aggregates as rows: lines are folded to their order once, orders to (projection, status) once, and the rest reads these few rows."""
     lines = d.table("lineitem").withColumn("failed", F.col("l_returnflag") == "R")
     per_run = lines.groupBy(F.col("l_orderkey").alias("id"), "l_linestatus").agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"))
     per_run = per_run.groupBy("id").agg(F.sum("n").alias("records"), F.sum("failed").alias("failed"), F.map_from_entries(F.collect_list(F.struct("l_linestatus", "n"))).alias("by_status"))
     status = F.when(F.col("o_orderstatus") == "F", "validated").when(F.col("o_orderstatus") == "O", "built").otherwise("rejected")
     runs = d.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("projection"), F.col("o_custkey").alias("subject"), stamp("o_orderdate").alias("at"), status.alias("status"))
-    s = runs.join(per_run, "id", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+    s = runs.join(per_run, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("records", "failed")})
     folded = s.groupBy("projection", "status").agg(
         F.count("*").alias("n"), F.sum("records").alias("records"), F.sum("failed").alias("failed"), F.count_if(F.col("records") == 0).alias("conflicts"), F.min("at").alias("first"), F.max("at").alias("last")
     )
@@ -55,6 +56,7 @@ def projection_metrics(d: Domain) -> DataFrame:
         rows(folded, "snapshot_status_count", F.col("n"), F.col("status")),
         rows(whole, "snapshot_record_count", F.col("records")),
         rows(runs.groupBy("projection").agg(F.countDistinct("subject").alias("n")), "snapshot_subject_count", F.col("n")),
+        rows(whole, "snapshot_source_event_count", F.col("records") - F.col("failed")),
         rows(whole.filter("failed > 0"), "failure_code_count", F.col("failed"), F.lit("RETURNED")),
         rows(folded.groupBy("status").agg(F.sum("conflicts").alias("n")).filter("n > 0"), "conflict_count", F.col("n"), F.col("status"), projection=F.lit("all")),
         rows(late, "oldest_unvalidated_snapshot_age_seconds", F.floor(F.unix_seconds(now()) - F.unix_seconds("at")), at=F.col("at")),
