@@ -205,3 +205,29 @@ def test_nearest_rank(spark):
     for g in "abcd":
         xs = sorted(x for k, x in rows if k == g and x is not None)
         assert got[g] == (xs[int(np.ceil(0.95 * len(xs))) - 1], len(xs) + (g == "a"))
+
+
+def test_ranks_of_large_groups_by_ranges(spark):
+    from tidemark.operators.ranking import ranked
+
+    rows = [(g, (i * 37) % 101, i) for i in range(300) for g in ("a", "a", None, f"g{i % 5}")]
+    rows = [(g, v, n) for n, (g, v, _) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "g string, v long, id long").repartition(5)
+    got = {r["id"]: r["rank"] for r in ranked(df, ["g"], [F.desc("v"), F.asc("id")], partitions=7).collect()}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+    assert ranked(df.limit(0), ["g"], [F.asc("v")]).count() == 0
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, other=None: other)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sinks.shared_folder(Session())

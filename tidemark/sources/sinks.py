@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all machines of a cluster see; a new local folder only where it is unset."""
+    """spark.checkpoint.dir, which all machines of a cluster see. Where it is unset, a new local folder if the session runs on this machine alone; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again: its lineage ends there, and any executor can read it."""
+    path = f"{shared_folder(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
