@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, embedding_dedup, lexical_search, licenses, minhash_dedup, mixing, packing, pii, quality_rules, rule_ensemble, token_counts
+from . import class_lm, conversations, embedding_dedup, lexical_search, licenses, minhash_dedup, mixing, packing, pii, quality_rules, rule_ensemble, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_pii": pii.op8,
     "op9_license_scan": licenses.op9,
     "op10_embedding_dedup": embedding_dedup.op10,
+    "op12_conversation_repair": conversations.op12,
     "op13_lexical_search": lexical_search.op13,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op9_license_scan": licenses.OP9_SQL,
+    "op12_conversation_repair": conversations.op12,
     "op13_lexical_search": lexical_search.OP13_SQL,
 }
