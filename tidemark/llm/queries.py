@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, conversations, embedding_dedup, lexical_search, licenses, minhash_dedup, mixing, packing, pii, quality_rules, rule_ensemble, token_counts
+from . import class_lm, conversations, embedding_dedup, language_id, lexical_search, licenses, minhash_dedup, mixing, packing, pii, quality_rules, rule_ensemble, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8,
     "op9_license_scan": licenses.op9,
     "op10_embedding_dedup": embedding_dedup.op10,
+    "op11_language_id": language_id.op11,
     "op12_conversation_repair": conversations.op12,
     "op13_lexical_search": lexical_search.op13,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op9_license_scan": licenses.OP9_SQL,
+    "op11_language_id": language_id.op11,
     "op12_conversation_repair": conversations.op12,
     "op13_lexical_search": lexical_search.OP13_SQL,
 }
