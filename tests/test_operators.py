@@ -231,3 +231,78 @@ def test_no_shared_folder_on_a_cluster_is_an_error():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         sinks.shared_folder(Session())
+
+
+def test_composition_by_hand(spark):
+    row = spark.range(1).select(
+        scoring.compose({"context": F.lit(0.8), "interest": F.lit(0.6), "freshness": F.lit(0.5), "popularity": F.lit(0.2)}).alias("all"),
+        scoring.compose({"context": F.lit(None).cast("double"), "interest": F.lit(1.0), "freshness": F.lit(None).cast("double"), "popularity": F.lit(0.0)}).alias("some"),
+    ).first()
+    assert row["all"] == pytest.approx(0.40 * 0.8 + 0.35 * 0.6 + 0.15 * 0.5 + 0.10 * 0.2)
+    assert row["some"] == pytest.approx(0.40 * 0.5 + 0.35 + 0.15 * 0.5)
+
+
+def test_engagement_by_hand(spark):
+    """100 exposures, 10 likes, 5 saves, no shares, with the reference exposure of each type."""
+    import math
+
+    def wilson(k, n=100, z=1.96):
+        p = k / n
+        return (p + z * z / (2 * n) - z * math.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+
+    mean = 0.25 * wilson(10) + 0.5 * wilson(5) + 0.25 * wilson(0)
+    got = {
+        r["type"]: r["score"]
+        for r in spark.createDataFrame([("POST", 100), ("JOURNEY", 100), ("PLACE", 100), ("POST", 19)], "type string, n long")
+        .select(F.when(F.col("n") < 20, "few").otherwise(F.col("type")).alias("type"), scoring.engagement(F.col("n"), {"likes": F.lit(10), "saves": F.lit(5), "shares": F.lit(0)}, F.col("type")).alias("score"))
+        .collect()
+    }
+    assert got["POST"] == pytest.approx(mean * (0.75 + 0.25 * math.log(101) / math.log(501)))
+    assert got["JOURNEY"] == pytest.approx(mean * (0.75 + 0.25 * math.log(101) / math.log(201)))
+    assert got["PLACE"] is None and got["few"] is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_match_a_disjoint_set(spark, seed, monkeypatch):
+    import random
+
+    from tidemark.operators import components, keyed
+
+    monkeypatch.setattr(keyed, "HOT", 6)
+    rng = random.Random(seed)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(1000, 1000 + k) for k in range(40)] + [(2000 + k, 2001 + k) for k in range(70)] + [(5, 5), (7000, 7000)]
+    parent = {n: n for e in edges for n in e}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in parent}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_resolving_exposures(spark):
+    from tidemark.plans import exposures as x
+
+    rows = [
+        # a chain: 1-2 share an event, 2-3 a key, so 3 shares nothing with 1
+        (1, "a", "p", "r1", 1, "x"), (2, "a", "q", "r1", 2, "x"), (3, "b", "q", "r1", 3, "x"),
+        (4, "c", "s", "r2", 9, "x"), (5, "c", "s", "r2", 8, "x"),  # both, the earlier one stands for them
+        (6, "d", "t", "r3", 1, "x"), (7, "d", "u", "r3", 1, "y"),  # one event, two payloads
+        (8, "e", "v", "r4", 1, "x"), (9, "f", "v", "r4", 1, "y"), (10, "f", "w", "r4", 1, "y"),  # one key, two payloads, one row beyond
+        (11, "g", "1", "r5", 1, "x"), (12, "h", "2", "r5", 1, "x"),  # a run that changed
+        (13, None, "n", "r6", 1, "x"), (14, None, "n", "r6", 1, "x"), (15, None, "o", "r6", 1, "x"),
+    ]
+    df = spark.createDataFrame([(i, e, k, r, at, "t", p, "v2" if i == 12 else "v1") for i, e, k, r, at, p in rows], "idx long, event string, key string, run string, at long, text string, print string, invariant string")
+    got = {r["idx"]: (r["representative"], r["outcome"]) for r in x.resolve(df).collect()}
+    assert got == {
+        1: (1, x.KEPT), 2: (1, x.SAME_EVENT), 3: (1, x.AMBIGUOUS), 4: (5, x.BOTH), 5: (5, x.KEPT),
+        6: (6, "EVENT_ID_CONFLICT"), 7: (6, "EVENT_ID_CONFLICT"),
+        8: (8, "IDEMPOTENCY_KEY_CONFLICT"), 9: (8, "IDEMPOTENCY_KEY_CONFLICT"), 10: (8, "IDEMPOTENCY_KEY_CONFLICT"),
+        11: (11, "RECOMMENDATION_RUN_CONFLICT"), 12: (12, "RECOMMENDATION_RUN_CONFLICT"), 13: (13, x.KEPT), 14: (13, x.SAME_KEY), 15: (15, x.KEPT),
+    }

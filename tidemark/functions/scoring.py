@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 HALF_LIFE_DAYS = {"post": 14.0, "slow": 30.0}
 WILSON_Z = 1.96
 ENGAGEMENT_WEIGHTS = {"likes": 0.25, "saves": 0.5, "shares": 0.25}
-ENGAGEMENT_LEAST, ENGAGEMENT_REFERENCE = 20, 1000
-COMPOSITION = {"interest": 0.40, "context": 0.35, "freshness": 0.15, "popularity": 0.10}
+ENGAGEMENT_LEAST = 20
+#: Exposures of a full volume bonus, and days looked back, by type; other types have no engagement.
+ENGAGEMENT_REFERENCE = {"POST": 500, "JOURNEY": 200}
+ENGAGEMENT_DAYS = {"POST": 14, "JOURNEY": 30}
+COMPOSITION = {"context": 0.40, "interest": 0.35, "freshness": 0.15, "popularity": 0.10}
 NEUTRAL = 0.5
 DECAY_DAYS = ((7, 1.0), (30, 0.8), (90, 0.5))
 DECAY_REST = 0.25
@@ -39,13 +42,18 @@ def wilson(successes: Column, n: Column) -> Column:
     return F.when(n > 0, (p + z2 / (2 * n) - WILSON_Z * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n))
 
 
-def engagement(exposure: Column, counts: dict[str, Column]) -> Column:
-    """Weighted Wilson bounds with a bonus for volume; null below ENGAGEMENT_LEAST exposures."""
+def by_type(values: dict[str, int], type_: Column) -> Column:
+    """The value of a type; null for a type without one."""
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[type_]
+
+
+def engagement(exposure: Column, counts: dict[str, Column], type_: Column) -> Column:
+    """Weighted Wilson bounds with a bonus for volume; null below ENGAGEMENT_LEAST exposures and for types without engagement."""
     total = F.lit(0.0)
     for name, weight in ENGAGEMENT_WEIGHTS.items():
         total = total + weight * wilson(counts[name].cast("double"), exposure.cast("double"))
-    volume = 0.75 + 0.25 * F.least(F.lit(1.0), ln1p(exposure) / ln1p(F.lit(float(ENGAGEMENT_REFERENCE))))
-    return F.when(exposure >= ENGAGEMENT_LEAST, total * volume)
+    volume = 0.75 + 0.25 * F.least(F.lit(1.0), ln1p(exposure) / ln1p(by_type(ENGAGEMENT_REFERENCE, type_).cast("double")))
+    return F.when((exposure >= ENGAGEMENT_LEAST) & by_type(ENGAGEMENT_REFERENCE, type_).isNotNull(), total * volume)
 
 
 def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ranked
 from ..sources.tables import Domain, stamp
 from .registry import query
 from .scoring import _SEGMENTED, EVENT_WEIGHTS, counts, segment_rows
@@ -147,8 +148,8 @@ def compared(d: Domain) -> DataFrame:
     """Two policies at each cutoff, per theme: overlap, shifts, diversity, and what was observed of the second's candidates.
 
     Ranks are cut at the largest cutoff before candidates meet."""
-    w = Window.partitionBy("theme", "segment").orderBy(F.desc("score"), F.desc("adjusted"), "post_id")
-    rows = segment_rows(d).filter(F.col("segment").isin("empty", "established")).withColumn("r", F.row_number().over(w))
+    rows = segment_rows(d).filter(F.col("segment").isin("empty", "established"))
+    rows = ranked(rows, ["theme", "segment"], [F.desc("score"), F.desc("adjusted"), F.asc("post_id")], "r")
     rank = lambda s: F.max(F.when(F.col("segment") == s, F.col("r")))
     two = rows.groupBy("theme", "post_id").agg(rank("empty").alias("ra"), rank("established").alias("rb")).filter(F.least("ra", "rb") <= max(CUTOFFS))
     value = sum(

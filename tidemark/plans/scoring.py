@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, scoring
+from ..operators.ranking import ranked
 from ..sources.tables import NOW, Domain, now
 from .registry import query
 
@@ -16,6 +17,14 @@ _COUNTS = """c AS (SELECT post_id, count(*) FILTER (WHERE kind = 'view') AS view
     count(*) FILTER (WHERE kind = 'follow') AS shares FROM behaviour GROUP BY post_id)"""
 _AGE = f"(epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(published_at)) / 86400000.0"
 
+#: Types in rank order; the first two have all four components, the others only the anchors, whose weights then make up the whole.
+TYPES = ("POST", "JOURNEY", "PLACE", "CREW")
+_TYPE = "(['POST', 'JOURNEY', 'PLACE', 'CREW', 'REGION'])[1 + post_id % 5]"
+
+
+def type_of(post_id: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, (*TYPES, "REGION"))), (1 + post_id % 5).cast("int"))
+
 
 def counts(d: Domain) -> DataFrame:
     kinds = {"views": "view", "likes": "click", "saves": "save", "shares": "follow"}
@@ -35,14 +44,18 @@ def _wilson_sql(k: str) -> str:
 
 @query(
     "engagement",
-    f"""WITH {_COUNTS}, e AS (SELECT *, greatest(views, likes, saves, shares)::DOUBLE AS n FROM c)
-    SELECT post_id, n::BIGINT AS exposure, CASE WHEN n >= 20 THEN round((0.25 * {_wilson_sql('likes')} + 0.5 * {_wilson_sql('saves')} + 0.25 * {_wilson_sql('shares')}) * (0.75 + 0.25 * least(1.0, ln(1 + n) / ln(1001.0))), 9) END AS score FROM e""",
+    f"""WITH b AS (SELECT *, {_TYPE} AS type FROM behaviour), c AS (SELECT post_id, type, count(*) AS exposure, count(*) FILTER (WHERE kind = 'click') AS likes, count(*) FILTER (WHERE kind = 'save') AS saves, count(*) FILTER (WHERE kind = 'follow') AS shares
+        FROM b WHERE ts >= TIMESTAMP '{NOW}' - to_days(CASE type WHEN 'POST' THEN 14 WHEN 'JOURNEY' THEN 30 END) AND ts < TIMESTAMP '{NOW}' GROUP BY 1, 2), e AS (SELECT *, exposure::DOUBLE AS n FROM c)
+    SELECT post_id, type, exposure, CASE WHEN n >= 20 THEN round((0.25 * {_wilson_sql('likes')} + 0.5 * {_wilson_sql('saves')} + 0.25 * {_wilson_sql('shares')}) * (0.75 + 0.25 * least(1.0, ln(1 + n) / CASE type WHEN 'POST' THEN ln(501.0) ELSE ln(201.0) END)), 9) END AS score FROM e""",
     ("behaviour",),
 )
 def engagement(d: Domain) -> DataFrame:
-    """Exposure is the largest of the counts, so that no rate is above one."""
-    rows = counts(d).withColumn("exposure", F.greatest("views", "likes", "saves", "shares"))
-    return rows.select("post_id", "exposure", F.round(scoring.engagement(F.col("exposure"), {k: F.col(k) for k in scoring.ENGAGEMENT_WEIGHTS}), 9).alias("score"))
+    """Of the types that have engagement; every behaviour within the type's days is an exposure, so that no rate is above one."""
+    rows = d.behaviour.withColumn("type", type_of(F.col("post_id")))
+    since = now() - F.make_dt_interval(days=scoring.by_type(scoring.ENGAGEMENT_DAYS, F.col("type")))
+    kinds = {"likes": "click", "saves": "save", "shares": "follow"}
+    rows = rows.filter((F.col("ts") >= since) & (F.col("ts") < now())).groupBy("post_id", "type").agg(F.count("*").alias("exposure"), *(F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()))
+    return rows.select("post_id", "type", "exposure", F.round(scoring.engagement(F.col("exposure"), {k: F.col(k) for k in scoring.ENGAGEMENT_WEIGHTS}, F.col("type")), 9).alias("score"))
 
 
 _PREFER = """prefs AS (SELECT user_id, post_id % 6 AS feature, kind = 'report' AS avoided, (['explicit', 'admin', 'system', 'behavior', 'ai'])[1 + event_id % 5] AS source, (event_id % 11) / 10.0 AS weight, event_id FROM behaviour WHERE kind IN ('save', 'report')),
@@ -121,7 +134,7 @@ def interest_match(d: Domain) -> DataFrame:
 
 
 #: A member's clauses, folded: equal clauses add their strengths, and there are no more of them than the vocabulary gives.
-_CLAUSES = """cl AS (SELECT user_id, post_id % 6 AS f1, post_id % 7 AS f2, kind = 'save' AS preferred, event_id % 2 = 0 AS every, event_id % 3 = 0 AS hard, event_id % 13 <> 0 AS accepted, sum((event_id % 9 + 1) / 10.0) AS strength
+_CLAUSES = """cl AS (SELECT user_id, post_id % 6 AS f1, post_id % 7 AS f2, kind = 'save' AS preferred, event_id % 2 = 0 AS every, event_id % 61 = 0 AS hard, event_id % 13 <> 0 AS accepted, sum((event_id % 9 + 1) / 10.0) AS strength
         FROM behaviour WHERE kind IN ('save', 'report') GROUP BY ALL),
     met AS (SELECT s.user_id, s.post_id, f1, f2, preferred, every, hard, accepted, strength, max(CASE WHEN f.feature = f1 THEN f.w END) AS w1, max(CASE WHEN f.feature = f2 THEN f.w END) AS w2,
         max(CASE WHEN f.feature = f1 AND f.w >= 0.5 AND f.place <= 2 THEN 1 ELSE 0 END) AS h1, max(CASE WHEN f.feature = f2 AND f.w >= 0.5 AND f.place <= 2 THEN 1 ELSE 0 END) AS h2, count(f.feature) AS observed
@@ -139,7 +152,7 @@ def met_clauses(d: Domain) -> DataFrame:
         d.behaviour.filter("kind in ('save', 'report')")
         .select(
             "user_id", (F.col("post_id") % 6).alias("f1"), (F.col("post_id") % 7).alias("f2"), (F.col("kind") == "save").alias("preferred"), (F.col("event_id") % 2 == 0).alias("every"),
-            (F.col("event_id") % 3 == 0).alias("hard"), (F.col("event_id") % 13 != 0).alias("accepted"), ((F.col("event_id") % 9 + 1) / 10.0).alias("strength"),
+            (F.col("event_id") % 61 == 0).alias("hard"), (F.col("event_id") % 13 != 0).alias("accepted"), ((F.col("event_id") % 9 + 1) / 10.0).alias("strength"),
         )
         .groupBy("user_id", "f1", "f2", "preferred", "every", "hard", "accepted").agg(F.sum("strength").alias("strength"))
     )
@@ -222,30 +235,27 @@ def popularity_normalised(d: Domain) -> DataFrame:
     return scored(d).select("post_id", F.round("pop", 9).alias("pop"), F.round("popular", 9).alias("popular"))
 
 
-_P0 = "0.40 * interest + 0.35 * coalesce(context, 0.5) + 0.15 * coalesce(fresh, 0.5) + 0.10 * popular"
+_P0 = "0.40 * coalesce(context, 0.5) + 0.35 * interest + 0.15 * coalesce(fresh, 0.5) + 0.10 * popular"
 
 
 @query(
     "base_ranking",
-    f"""WITH {_SCORED}, x AS (SELECT *, round({_P0}, 9) AS score, CASE WHEN context IS NULL THEN 0.35 ELSE 0.0 END + CASE WHEN fresh IS NULL THEN 0.15 ELSE 0.0 END AS neutral FROM t),
-    r AS (SELECT theme, post_id, score, round(neutral, 6) AS neutral, row_number() OVER (PARTITION BY theme ORDER BY score DESC, round(neutral, 6), post_id) AS rank FROM x)
+    f"""WITH {_SCORED}, x AS (SELECT *, round({_P0}, 9) AS score, CASE WHEN context IS NULL THEN 0.40 ELSE 0.0 END + CASE WHEN fresh IS NULL THEN 0.15 ELSE 0.0 END AS neutral FROM t),
+    r AS (SELECT theme, post_id, score, round(neutral, 6) AS neutral, row_number() OVER (PARTITION BY theme ORDER BY score DESC, round(neutral, 6), post_id % 5, post_id) AS rank FROM x)
     SELECT theme, post_id, score, neutral, rank::INTEGER AS rank FROM r WHERE rank <= 100""",
     ("behaviour", "posts"),
 )
 def base_ranking(d: Domain, most: int = 100) -> DataFrame:
-    """Composite score, then the smaller neutral-filled weight, then the id."""
+    """Composite score, then the smaller neutral-filled weight, then the type, then the id."""
     parts = {"interest": F.col("interest"), "context": F.col("context"), "freshness": F.col("fresh"), "popularity": F.col("popular")}
     neutral = F.lit(0.0)
     for name, c in parts.items():
         neutral = neutral + F.when(c.isNull(), scoring.COMPOSITION[name]).otherwise(0.0)
     rows = scored(d).select("theme", "post_id", F.round(scoring.compose(parts), 9).alias("score"), F.round(neutral, 6).alias("neutral"))
-    w = Window.partitionBy("theme").orderBy(F.desc("score"), "neutral", "post_id")
+    w = Window.partitionBy("theme").orderBy(F.desc("score"), "neutral", F.col("post_id") % 5, "post_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
-#: Types in rank order; the first two have all four components, the others only the anchors, whose weights then make up the whole.
-TYPES = ("POST", "JOURNEY", "PLACE", "CREW")
-_TYPE = "(['POST', 'JOURNEY', 'PLACE', 'CREW', 'REGION'])[1 + post_id % 5]"
 _ANCHORS = scoring.COMPOSITION["context"] + scoring.COMPOSITION["interest"]
 
 _CANDIDATES = f"""{_SCORED}, {_PREFER}, {_FEATURES}, {_INTEREST}, {_CLAUSES}, {_CONTEXT}, {_ELIGIBLE},
@@ -272,7 +282,7 @@ def candidates(d: Domain) -> DataFrame:
         .join(context_scores(met).withColumnRenamed("score", "context"), pair, "left")
         .join(eligibility(met).select(*pair, F.col("status").alias("gate")), pair, "left")
         .join(scored(d).select("post_id", "fresh", "popular"), "post_id", "left")
-        .withColumn("type", F.element_at(F.array(*map(F.lit, (*TYPES, "REGION"))), (1 + F.col("post_id") % 5).cast("int")))
+        .withColumn("type", type_of(F.col("post_id")))
     )
     has_interest, has_context = F.col("liked") == "SCORED", F.col("context").isNotNull()
     cx, ix, timed = F.coalesce(F.col("gate") == "HARD_EXCLUDED", F.lit(False)), F.col("liked") == "HARD_EXCLUDED", F.col("type").isin("POST", "JOURNEY")
@@ -456,18 +466,20 @@ def _fnv(text: str) -> int:
 
 @query(
     "exploration_pool",
-    f"""WITH {_SCORED}, q AS (SELECT post_id, theme, views, CASE WHEN fresh IS NULL THEN popular ELSE (4 * fresh + 3 * popular) / 7 END AS quality,
-        list_reduce([{_fnv(SEED_HEAD)}::BIGINT] || list_transform(string_split(post_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda h, b: xor(h, b) * 16777619 % 4294967296) AS seed FROM t)
-    SELECT theme, post_id, views, round(quality, 9) AS quality, seed, row_number() OVER (PARTITION BY theme ORDER BY views, round(quality, 9) DESC, seed, post_id)::INTEGER AS place FROM q WHERE quality >= 0.6 AND views <= 2""",
+    f"""WITH {_SCORED}, v AS (SELECT post_id, count(*) AS shown FROM behaviour WHERE kind = 'view' AND ts >= TIMESTAMP '{NOW}' - INTERVAL 4 DAY GROUP BY 1),
+    q AS (SELECT post_id, theme, coalesce(shown, 0) AS shown, (CASE WHEN fresh IS NULL THEN 0 ELSE 4 * fresh END + CASE WHEN pop = 0 THEN 0 ELSE 3 * popular END) / nullif(CASE WHEN fresh IS NULL THEN 0 ELSE 4 END + CASE WHEN pop = 0 THEN 0 ELSE 3 END, 0) AS quality,
+        list_reduce([{_fnv(SEED_HEAD)}::BIGINT] || list_transform(string_split(post_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda h, b: xor(h, b) * 16777619 % 4294967296) AS seed FROM t LEFT JOIN v USING (post_id))
+    SELECT theme, post_id, shown, round(quality, 9) AS quality, seed, row_number() OVER (PARTITION BY theme ORDER BY shown, round(quality, 9) DESC, seed, post_id) AS place FROM q WHERE quality >= 0.6 AND shown <= 2""",
     ("behaviour", "posts"),
 )
 def exploration_pool(d: Domain) -> DataFrame:
-    """Little-seen candidates of some quality: fewest exposures, best quality, seeded order."""
-    raw = scoring.exploration_quality(F.col("fresh"), F.col("popular"))
-    rows = scored(d).select("theme", "post_id", "views", raw.alias("raw")).filter((F.col("raw") >= LEAST_QUALITY) & (F.col("views") <= MOST_EXPOSURES))
-    rows = rows.withColumns({"quality": F.round("raw", 9), "seed": hashing.fnv1a32(F.concat(F.lit(SEED_HEAD), F.col("post_id").cast("string")))})
-    w = Window.partitionBy("theme").orderBy("views", F.desc("quality"), "seed", "post_id")
-    return rows.select("theme", "post_id", "views", "quality", "seed", F.row_number().over(w).alias("place"))
+    """Candidates little shown of late and of some quality: fewest exposures, best quality, seeded order. A candidate without behaviour has no popularity."""
+    shown = d.behaviour.filter((F.col("kind") == "view") & (F.col("ts") >= now() - F.expr("interval 4 days"))).groupBy("post_id").agg(F.count("*").alias("shown"))
+    raw = scoring.exploration_quality(F.col("fresh"), F.when(F.col("pop") > 0, F.col("popular")))
+    rows = scored(d).join(shown, "post_id", "left").select("theme", "post_id", F.coalesce("shown", F.lit(0)).alias("shown"), raw.alias("raw"))
+    rows = rows.filter((F.col("raw") >= LEAST_QUALITY) & (F.col("shown") <= MOST_EXPOSURES))
+    rows = rows.select("theme", "post_id", "shown", F.round("raw", 9).alias("quality"), hashing.fnv1a32(F.concat(F.lit(SEED_HEAD), F.col("post_id").cast("string"))).alias("seed"))
+    return ranked(rows, ["theme"], [F.asc("shown"), F.desc("quality"), F.asc("seed"), F.asc("post_id")], "place")
 
 
 @query(
@@ -511,14 +523,14 @@ def vocabulary_lookup(d: Domain) -> DataFrame:
     "ranking_comparison",
     f"""WITH {_SCORED}, a AS (SELECT theme, post_id, row_number() OVER (PARTITION BY theme ORDER BY round(pop, 9) DESC, post_id) AS ra FROM t), b AS (SELECT theme, post_id, row_number() OVER (PARTITION BY theme ORDER BY round(coalesce(fresh, 0), 9) DESC, post_id) AS rb FROM t),
     j AS (SELECT * FROM a JOIN b USING (theme, post_id))
-    SELECT theme, count(*) AS candidates, count(*) FILTER (WHERE ra <= 20 AND rb <= 20) AS shared_20, count(*) FILTER (WHERE ra = rb) AS unmoved, round(avg(abs(ra - rb)), 6) AS displacement, max(abs(ra - rb))::INTEGER AS furthest FROM j GROUP BY theme""",
+    SELECT theme, count(*) AS candidates, count(*) FILTER (WHERE ra <= 20 AND rb <= 20) AS shared_20, count(*) FILTER (WHERE ra = rb) AS unmoved, round(avg(abs(ra - rb)), 6) AS displacement, max(abs(ra - rb)) AS furthest FROM j GROUP BY theme""",
     ("behaviour", "posts"),
 )
 def ranking_comparison(d: Domain) -> DataFrame:
     """Two rankings of the same candidates, position by position."""
-    by = lambda c: Window.partitionBy("theme").orderBy(F.desc(c), "post_id")
     rows = scored(d).select("theme", "post_id", F.round("pop", 9).alias("x"), F.round(F.coalesce("fresh", F.lit(0.0)), 9).alias("y"))
-    rows = rows.withColumns({"ra": F.row_number().over(by("x")), "rb": F.row_number().over(by("y"))})
+    rows = ranked(rows, ["theme"], [F.desc("x"), F.asc("post_id")], "ra")
+    rows = ranked(rows, ["theme"], [F.desc("y"), F.asc("post_id")], "rb")
     moved = F.abs(F.col("ra") - F.col("rb"))
     return rows.groupBy("theme").agg(
         F.count("*").alias("candidates"), F.count_if((F.col("ra") <= 20) & (F.col("rb") <= 20)).alias("shared_20"), F.count_if(moved == 0).alias("unmoved"),
