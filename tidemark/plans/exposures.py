@@ -58,7 +58,7 @@ def resolve(rows: DataFrame) -> DataFrame:
 #: Behaviour as exposures sent more than once: eight ids in a row make chains of alternating keys, pairs, or share an event or a key.
 _SENT = f"""sent AS (SELECT event_id AS idx, CASE b % 4 WHEN 0 THEN 'e' || b || '.' || ((i + 1) // 2) WHEN 1 THEN 'e' || b || '.' || (i // 2) WHEN 2 THEN 'e' || b || '.' || (i // 4) ELSE 'e' || b || '.' || i END AS event,
         CASE b % 4 WHEN 0 THEN 'k' || b || '.' || (i // 2) WHEN 1 THEN 'k' || b || '.' || (i // 2) WHEN 2 THEN 'k' || b || '.' || i ELSE 'k' || b || '.' || (i // 4) END AS key, 'r' || (b // 3) AS run,
-        date_trunc('day', ts) AS served, 't' || (event_id % 3) AS text, {_prefixed('b', 'CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END')} AS print, {_prefixed('b // 3', 'CASE WHEN event_id % 2003 = 0 THEN 1 ELSE 0 END')} AS invariant
+        date_trunc('day', ts) AS served, 't' || (event_id % 3) AS text, {_prefixed('b', 'CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END')} AS print, {_prefixed('(b // 3)', 'CASE WHEN event_id % 2003 = 0 THEN 1 ELSE 0 END')} AS invariant
         FROM (SELECT *, event_id // 8 AS b, event_id % 8 AS i FROM behaviour))"""
 
 
