@@ -1,6 +1,6 @@
 """Queries by name, with the same queries in SQL."""
 
-from . import content, evaluation, events, experiments, exposures, platform, quality, scoring, search, streams
+from . import content, evaluation, events, experiments, exposures, leases, platform, quality, scoring, search, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "content", "events", "experiments", "exposures", "platform", "quality", "scoring", "search", "streams"]
+__all__ = ["ORACLES", "QUERIES", "content", "events", "experiments", "exposures", "leases", "platform", "quality", "scoring", "search", "streams"]

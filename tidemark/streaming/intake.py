@@ -15,9 +15,16 @@ from ..sources.sinks import shared_folder
 OUTCOMES = "event_id long, key string, outcome string"
 
 
+#: A key's fingerprint is kept so long after its last event.
+HORIZON_MS = 90 * 86_400_000
+
+
 def _classify(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State is the first fingerprint of the key."""
-    first = state.get[0] if state.exists else None
+    """State is the first fingerprint of the key and the time of its last event; a timer drops it."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    first, seen = state.get if state.exists else (None, 0)
     frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     outcomes = []
     for print_ in frame["print"]:
@@ -26,15 +33,16 @@ def _classify(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
             outcomes.append("NEW")
         else:
             outcomes.append("DUPLICATE" if print_ == first else "CONFLICT")
-    state.update((first,))
+    seen = max(seen, int(frame["_ms"].max()))
+    state.update((first, seen))
+    state.setTimeoutTimestamp(max(seen + HORIZON_MS, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"event_id": frame["event_id"], "key": key[0], "outcome": outcomes})
 
 
-def intake(events: DataFrame) -> DataFrame:
-    """Classifies a stream of key, print, ts, event_id by each key's first event; the state is one fingerprint per key."""
-    return events.select("key", "print", "ts", "event_id").groupBy("key").applyInPandasWithState(
-        _classify, OUTCOMES, "print string", "append", GroupStateTimeout.NoTimeout
-    )
+def intake(events: DataFrame, lateness: str = "7 days") -> DataFrame:
+    """Classifies a stream of key, print, ts, event_id by each key's first event; the state is one fingerprint per key, for HORIZON_MS after its last event."""
+    rows = events.select("key", "print", "ts", "event_id", F.unix_millis("ts").alias("_ms")).withWatermark("ts", lateness)
+    return rows.groupBy("key").applyInPandasWithState(_classify, OUTCOMES, "print string, seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def route_late(events: DataFrame, bound: str, tolerance: str, arrived: str = "arrived") -> DataFrame:
