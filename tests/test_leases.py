@@ -75,7 +75,7 @@ def test_state_and_timers_over_batches(spark, tmp_path):
 def test_intake_forgets_after_its_horizon(spark, tmp_path, monkeypatch):
     day = 86_400
     for k, at in enumerate((0, 1, 200, 201, 202)):
-        spark.createDataFrame([("k" if k in (0, 1, 4) else f"other{k}", "p", at * day, k)], "key string, print string, s long, event_id long").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+        spark.createDataFrame([("k" if k in (0, 1, 4) else f"other{k}", "p", (1000 + at) * day, k)], "key string, print string, s long, event_id long").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
     from pyspark.sql import functions as F
 
     files = spark.readStream.schema("key string, print string, s long, event_id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
