@@ -306,3 +306,40 @@ def test_resolving_exposures(spark):
         8: (8, "IDEMPOTENCY_KEY_CONFLICT"), 9: (8, "IDEMPOTENCY_KEY_CONFLICT"), 10: (8, "IDEMPOTENCY_KEY_CONFLICT"),
         11: (11, "RECOMMENDATION_RUN_CONFLICT"), 12: (12, "RECOMMENDATION_RUN_CONFLICT"), 13: (13, x.KEPT), 14: (13, x.SAME_KEY), 15: (15, x.KEPT),
     }
+
+
+def test_bootstrap_by_slices_matches_resampling(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.gamma(2.0, 3.0, 700), rng.gamma(2.2, 3.0, 500)
+    rows = [("s", "spend", "baseline", float(v)) for v in a] + [("s", "spend", "treatment", float(v)) for v in b]
+    df = spark.createDataFrame(rows, "segment string, metric string, variant string, v double")
+    n = 4000
+    effects = np.sort([rng.choice(b, len(b)).mean() - rng.choice(a, len(a)).mean() for _ in range(n)])
+    low, high = experiments.places(n)
+    error = 4 * 2.5 * effects.std() / np.sqrt(n)  # of a tail quantile of n resamples, four times over
+    for values in (40, 10_000):  # many slices in several bands, and one slice
+        for r in experiments.bootstrap(df, n, values).collect():
+            assert abs(r["low"] - effects[low]) < error and abs(r["high"] - effects[high]) < error
+    one = experiments.bootstrap(df.filter("variant = 'baseline'"), 100).collect()
+    assert {(r["low"], r["high"]) for r in one} == {(0.0, 0.0)}
+
+
+def test_slices_of_a_resample_add_up(spark):
+    """Every resample of a group draws as many values as the group has: with all values 1 each mean is 1."""
+    rows = [("s", "m", v, 1.0 + 0 * i) for i in range(50) for v in ("baseline", "treatment")] + [("s", "m", "treatment", 1.0 + k * 1e-12) for k in range(1, 60)]
+    df = spark.createDataFrame(rows, "segment string, metric string, variant string, v double")
+    assert all(abs(r["low"]) < 1e-9 and abs(r["high"]) < 1e-9 for r in experiments.bootstrap(df, 600, 4).collect())
+
+
+def test_exact_quantiles_however_values_lie(spark):
+    from tidemark.plans import content
+
+    rng = np.random.default_rng(6)
+    values = np.concatenate((rng.gamma(2.0, 1.0, 5000), [1e6 * 2.0], np.full(300, 1.5)))
+    rows = [("a", float(v)) for v in values] + [("b", float(v)) for v in range(10)] + [(None, 4.0), (None, 2.0), ("none", None), ("one", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    for q in (0.01, 0.5, 0.95, 1.0):
+        got = {r["g"]: (r["p"], r["n"]) for r in content.nearest_rank(df, "g", "v", q, "p", few=50, slices=8).collect()}
+        place = lambda x: np.sort(x)[max(1, int(np.ceil(q * len(x) - 1e-9))) - 1]  # noqa: B023, E731
+        assert got["a"] == (place(values), len(values)) and got["b"] == (place(np.arange(10.0)), 10)
+        assert got[None] == (place(np.array([2.0, 4.0])), 2) and got["none"] == (None, 1) and got["one"] == (7.0, 1)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
 from ..sources.tables import NOW, PUBLIC_SQL, Domain, now, public_posts
 from .registry import query
 
@@ -348,21 +349,43 @@ def latency_p95(d: Domain) -> DataFrame:
     return nearest_rank(d.behaviour, "kind", "value", 0.95, "p95")
 
 
-def nearest_rank(rows: DataFrame, group: str, value: str, q: float, name: str, slices: int = 256) -> DataFrame:
-    """(group, name, n): the value at rank ceil(q * n). Values are counted in slices of each group's range, the slice that holds the
-    rank is found, and only its values are ranked, so no task gathers a group."""
-    ends = rows.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"), F.count("*").alias("n"))
-    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    part = F.least(F.lit(slices - 1), F.floor(F.coalesce(share, F.lit(0.0)) * slices)).cast("int")
-    dealt = rows.filter(F.col(value).isNotNull()).select(group, value).join(F.broadcast(ends), group).withColumn("_part", part)
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(group, "_part", "_n", "n").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    place = F.greatest(F.lit(1), F.ceil(F.col("_n") * q))
-    one = sums.filter((F.col("_b") < place) & (place <= F.col("_b") + F.col("_c"))).select(group, "_part", "n", (place - F.col("_b")).alias("_rank"))
-    counted = dealt.select(group, "_part", value).join(F.broadcast(one), [group, "_part"]).groupBy(group, "n", "_rank", value).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    found = counted.withColumn("_s", F.sum("_c").over(upto)).filter(F.col("_s") >= F.col("_rank"))
-    return found.groupBy(group, "n").agg(F.min(value).alias(name)).select(group, name, "n")
+#: Distinct values of a group that one task may rank; slices that a group's values are cut into.
+FEW, SLICES = 4_096, 64
+
+
+def nearest_rank(rows: DataFrame, group: str, value: str, q: float, name: str, few: int = FEW, slices: int = SLICES) -> DataFrame:
+    """(group, name, n): the value at rank ceil(q * n), exactly; null for a group without values.
+
+    Equal values are counted first. Then, round by round, the values a group still has are cut at ends that come from them (approximate
+    quantiles of the distinct values, whose sketches are folded in each task), the slice with the rank is kept, and what lies below it is counted, until a
+    group has `few` distinct values. However values are spread, a round leaves about one in `slices` of them, so rounds are few, and no task gets a group."""
+    key = lambda df: df.select(F.col(group).alias("_g"), *(c for c in df.columns if c != group))
+    ends = rows.groupBy(group).agg(F.count(value).alias("_n"), F.count("*").alias("n"))
+    left = stage(key(rows.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("_v")).groupBy(group, "_v").agg(F.count("*").alias("_c"))), "values")
+    goal = stage(key(ends).select("_g", "n", F.greatest(F.lit(1), F.ceil(F.col("_n") * q)).cast("long").alias("_rank")), "ranks")
+    while True:
+        held = left.groupBy("_g").agg(F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        wide = held.filter(F.col("_d") > few)
+        if not wide.limit(1).count():
+            break
+        cuts = stage(left.join(wide.select("_g"), "_g", "left_semi").groupBy("_g").agg(F.approx_percentile("_v", [k / slices for k in range(1, slices)], 100 * slices).alias("_cuts")), "cuts")
+        part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0))
+        dealt = _beside(left, cuts, "left").withColumn("_part", part)
+        before = F.sum("_c").over(Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+        sums = dealt.groupBy("_g", "_part").agg(F.sum("_c").alias("_c")).withColumn("_b", before)
+        hit = _beside(sums, goal, "inner").filter((F.col("_b") < F.col("_rank")) & (F.col("_rank") <= F.col("_b") + F.col("_c")))
+        hit = stage(hit.select("_g", "n", (F.col("_rank") - F.col("_b")).alias("_rank"), F.col("_part").alias("_at")), "slice")
+        left = stage(_beside(dealt, hit.select("_g", "_at"), "inner").filter("_part = _at").select("_g", "_v", "_c"), "values")
+        goal = goal.join(hit.select(F.col("_g").alias("_h")), F.col("_g").eqNullSafe(F.col("_h")), "left_anti").unionByName(hit.select("_g", "n", "_rank"))
+    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = _beside(left.withColumn("_s", upto), goal, "inner").filter(F.col("_s") >= F.col("_rank")).groupBy("_g").agg(F.min("_v").alias("_v"))
+    return _beside(goal, found, "left").select(F.col("_g").alias(group), F.col("_v").alias(name), "n")
+
+
+def _beside(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    """rows with what there is of their group, null being a group. There is one row of `groups` a group, so hot groups are met by broadcast where the
+    optimizer sees that it is small, and split where a shuffle is skewed."""
+    return rows.join(groups.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h")), how).drop("_h")
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, scoring
 from ..operators import rerank
+from ..sources.sinks import stage
 from ..sources.tables import Domain
 from .registry import query
 from .scoring import SURFACES
@@ -121,8 +122,8 @@ STEPS = {
     "DRAFT": ("SHADOW", "HOLD"), "SHADOW": ("CANARY", "HOLD"), "CANARY": ("LIVE", "HOLD", "ROLLED_BACK"), "LIVE": ("HOLD", "ROLLED_BACK"),
     "HOLD": ("SHADOW", "CANARY", "ROLLED_BACK"), "ROLLED_BACK": ("SHADOW",),
 }
-#: Resamples of one task of the bootstrap, and cells of its matrix of draws at a time.
-DRAWS, CELLS = 500, 1 << 21
+#: Resamples drawn from one seed, cells of a matrix of draws at a time, and distinct values of a slice.
+DRAWS, CELLS, VALUES = 500, 1 << 21, 2_048
 
 
 @query(
@@ -169,29 +170,63 @@ def bootstrap_interval(counts_a: np.ndarray, values_a: np.ndarray, counts_b: np.
     return float(effects[low]), float(effects[high])
 
 
-def bootstrap(obs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(segment, metric, low, high), with a segment `all`. Observations are first counted by value; each block of DRAWS resamples is a task
-    of its own, which gets the counts and gives its effects, so the resamples of one segment spread over the cluster."""
-    blocks = -(-iterations // DRAWS)
+def _seeded(*parts: object) -> np.random.Generator:
+    import zlib
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        import zlib
+    return np.random.default_rng([zlib.crc32("\x1f".join(map(str, parts)).encode()), BOOTSTRAP_SEED])
 
-        frame = frame.sort_values(["variant", "v"])
-        segment, metric, block = frame["segment"].iloc[0], frame["metric"].iloc[0], int(frame["block"].iloc[0])
-        a, b = frame[frame["variant"] == "baseline"], frame[frame["variant"] == "treatment"]
-        draws = min(DRAWS, iterations - block * DRAWS)
-        seed = zlib.crc32(f"{BOOTSTRAP_SEED}\x1f{segment}\x1f{metric}\x1f{block}".encode())
-        found = resampled(a["n"].to_numpy(), a["v"].to_numpy(), b["n"].to_numpy(), b["v"].to_numpy(), seed, draws) if len(a) and len(b) else np.zeros(draws)
-        return pd.DataFrame({"segment": segment, "metric": metric, "effect": found})
 
+def _drawn(iterations: int):
+    """The mean's share that a slice of values gives each resample.
+
+    A resample draws how many of its n come from each band of slices, then from each slice of a band, then from each value of a slice: three
+    multinomial draws, which together are one over all values. The first two are seeded by the group and the band alone, so every slice comes
+    to the same numbers without being told them."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"segment": [], "metric": [], "variant": [], "draw": [], "part": []})
+        one = right.iloc[0]
+        name = (one["segment"], one["metric"], one["variant"])
+        bands, in_bands = (np.array([x[k] for x in one["bands"]]) for k in ("band", "n"))
+        slices, in_slices = (np.array([x[k] for x in one["slices"]]) for k in ("slice", "n"))
+        left = left.sort_values("v")
+        values, counts = left["v"].to_numpy(), left["n"].to_numpy()
+        n = int(in_bands.sum())
+        parts = []
+        for block in range(0, iterations, DRAWS):
+            m = min(DRAWS, iterations - block)
+            some = _seeded(*name, block).multinomial(n, in_bands / n, size=m)[:, int(np.flatnonzero(bands == one["band"])[0])]
+            some = _seeded(*name, block, one["band"]).multinomial(some, in_slices / in_slices.sum())[:, int(np.flatnonzero(slices == one["slice"])[0])]
+            rng, step = _seeded(*name, block, one["band"], one["slice"]), max(1, CELLS // len(counts))
+            parts += [rng.multinomial(some[k : k + step], counts / counts.sum()) @ values / n for k in range(0, m, step)]
+        return pd.DataFrame({"segment": name[0], "metric": name[1], "variant": name[2], "draw": np.arange(iterations), "part": np.concatenate(parts)})
+
+    return run
+
+
+def bootstrap(obs: DataFrame, iterations: int = ITERATIONS, values: int = VALUES) -> DataFrame:
+    """(segment, metric, low, high), with a segment `all`; zeros where a variant has no values.
+
+    Observations are counted by value; a group's distinct values are dealt by hash to slices of about `values`, and the slices to bands, as many as a band has slices. Each
+    slice draws all resamples of its values by itself; its parts are summed by resample, in each task before the shuffle. No task has a segment."""
+    group = ["segment", "metric", "variant"]
     both = obs.filter("v is not null").withColumn("segment", F.explode(F.array("segment", F.lit("all"))))
-    counted = both.groupBy("segment", "metric", "variant", "v").agg(F.count("*").alias("n"))
-    split = counted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    drawn = split.groupBy("segment", "metric", "block").applyInPandas(run, "segment string, metric string, effect double")
+    counted = stage(both.groupBy(*group, "v").agg(F.count("*").alias("n")), "counted")
+    sizes = counted.groupBy(*group).agg(F.ceil(F.count("*") / values).alias("_s")).withColumn("_w", F.ceil(F.sqrt("_s")))
+    dealt = counted.join(sizes, group).withColumn("slice", F.pmod(F.xxhash64("v"), "_s")).withColumn("band", F.expr("slice div _w")).drop("_s", "_w")
+    dealt = stage(dealt, "dealt")
+    slices = dealt.groupBy(*group, "band", "slice").agg(F.sum("n").alias("n"))
+    bands = slices.groupBy(*group, "band").agg(F.sort_array(F.collect_list(F.struct("slice", "n"))).alias("slices"), F.sum("n").alias("n"))
+    whole = bands.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("band", "n"))).alias("bands"))
+    told = stage(slices.select(*group, "band", "slice").join(bands.drop("n"), [*group, "band"]).join(whole, group), "told")
+    key = [*group, "slice"]
+    drawn = dealt.groupBy(*key).cogroup(told.groupBy(*key)).applyInPandas(_drawn(iterations), "segment string, metric string, variant string, draw int, part double")
+    side = lambda v: F.sum(F.when(F.col("variant") == v, F.col("part")))
+    effects = drawn.groupBy("segment", "metric", "draw").agg(F.coalesce(side("treatment") - side("baseline"), F.lit(0.0)).alias("effect"))
     low, high = places(iterations)
     # a list holds `iterations` numbers
-    ends = drawn.groupBy("segment", "metric").agg(F.sort_array(F.collect_list("effect")).alias("effects"))
+    ends = effects.groupBy("segment", "metric").agg(F.sort_array(F.collect_list("effect")).alias("effects"))
     return ends.select("segment", "metric", F.element_at("effects", low + 1).alias("low"), F.element_at("effects", high + 1).alias("high"))
 
 
