@@ -343,3 +343,16 @@ def test_exact_quantiles_however_values_lie(spark):
         place = lambda x: np.sort(x)[max(1, int(np.ceil(q * len(x) - 1e-9))) - 1]  # noqa: B023, E731
         assert got["a"] == (place(values), len(values)) and got["b"] == (place(np.arange(10.0)), 10)
         assert got[None] == (place(np.array([2.0, 4.0])), 2) and got["none"] == (None, 1) and got["one"] == (7.0, 1)
+
+
+def test_interval_left_join_keeps_ends_and_misses(spark):
+    from tidemark.operators.intervals import interval_left_join
+
+    t = lambda df, *cs: df.withColumns({c: F.timestamp_seconds(c) for c in cs})
+    left = t(spark.createDataFrame([(1, "u", 100, 200), (2, "u", 150, 151), (3, "v", 0, 10), (4, "u", 300, 300), (5, "u", None, 500), (6, None, 0, 900), (7, "u", -50, 1000)], "id int, who string, lo long, hi long"), "lo", "hi")
+    right = t(spark.createDataFrame([("u", 100, "start"), ("u", 199, "in"), ("u", 200, "end"), ("u", 150, "mid"), ("v", 10, "after"), (None, 5, "none"), ("u", -50, "early")], "who string, at long, what string"), "at")
+    for width in (7, 60, 10_000):
+        got = sorted((r["id"], r["what"]) for r in interval_left_join(left, right, ["who"], ["id"], "lo", "hi", "at", width).select("id", F.coalesce("what", F.lit("-")).alias("what")).collect())
+        assert got == sorted(
+            [(1, "start"), (1, "in"), (1, "mid"), (2, "mid"), (3, "-"), (4, "-"), (5, "-"), (6, "-"), *((7, w) for w in ("start", "in", "end", "mid", "early"))]
+        )

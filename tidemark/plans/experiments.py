@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, scoring
 from ..operators import rerank
+from ..operators.intervals import interval_left_join
+from ..operators.joins import as_of
 from ..sources.sinks import stage
 from ..sources.tables import Domain
 from .registry import query
@@ -34,6 +36,81 @@ def experiment_assignment(d: Domain) -> DataFrame:
     return rows.rollup("variant", "segment").agg(F.count("*").alias("members"))
 
 
+# Half-open window of observation, and how long an exposure's engagement counts.
+OBSERVED_FROM, OBSERVED_TO, ENGAGED_DAYS = "2024-01-04 00:00:00", "2024-01-27 00:00:00", 7
+_FROM, _TO = f"TIMESTAMP '{OBSERVED_FROM}'", f"TIMESTAMP '{OBSERVED_TO}'"
+#: Members are assigned one after the other; a view is an exposure of a run of the member, an inactive member's too.
+_ASSIGNED = f"""assigned AS (SELECT user_id AS assignment_id, user_id, {_VARIANT} AS variant, TIMESTAMP '2024-01-03 00:00:00' + to_days((user_id % 28)::INTEGER) AS assigned_at FROM members WHERE active),
+    shown AS (SELECT event_id AS exposure_id, user_id, user_id * 10 + post_id % 10 AS run_id, ts AS exposed_at FROM behaviour WHERE kind = 'view'),
+    acts AS (SELECT event_id, user_id, user_id * 10 + post_id % 10 AS run_id, ts AS occurred_at FROM behaviour WHERE kind IN ('click', 'save')),
+    profiles AS (SELECT user_id, ts AS made_at, event_id, (['explicit_only', 'emerging', 'established'])[1 + event_id % 3] AS segment FROM behaviour WHERE kind = 'follow')"""
+
+
+def _at(text: str):
+    return F.lit(text).cast("timestamp")
+
+
+def assignments(d: Domain) -> DataFrame:
+    variant = F.when(hashing.bucket(F.concat(F.lit("exp-1:"), F.col("user_id").cast("string"))) < 5000, "baseline").otherwise("treatment")
+    days = F.make_dt_interval(days=(F.col("user_id") % 28).cast("int"))
+    return d.members.filter("active").select(F.col("user_id").alias("assignment_id"), "user_id", variant.alias("variant"), (_at("2024-01-03 00:00:00") + days).alias("assigned_at"))
+
+
+def experiment_exposures(d: Domain) -> DataFrame:
+    return d.behaviour.filter("kind = 'view'").select(F.col("event_id").alias("exposure_id"), "user_id", (F.col("user_id") * 10 + F.col("post_id") % 10).alias("run_id"), F.col("ts").alias("exposed_at"))
+
+
+@query(
+    "exposures_in_window",
+    f"WITH {_ASSIGNED} SELECT assignment_id, variant, assigned_at, exposure_id, exposed_at FROM assigned a LEFT JOIN shown x ON x.user_id = a.user_id AND x.exposed_at >= a.assigned_at AND x.exposed_at < a.assigned_at + INTERVAL 7 DAY",
+    ("members", "behaviour"),
+)
+def exposures_in_window(d: Domain) -> DataFrame:
+    """Every assignment with the exposures of its first seven days, or none."""
+    left = assignments(d).withColumn("until", F.col("assigned_at") + F.expr("interval 7 days"))
+    rows = interval_left_join(left, experiment_exposures(d), ["user_id"], ["assignment_id"], "assigned_at", "until", "exposed_at", 7 * 86_400)
+    return rows.select("assignment_id", "variant", "assigned_at", "exposure_id", "exposed_at")
+
+
+@query(
+    "experiment_observations",
+    f"""WITH {_ASSIGNED} SELECT a.assignment_id, coalesce((SELECT arg_max(p.segment, (p.made_at, p.event_id)) FROM profiles p WHERE p.user_id = a.user_id AND p.made_at < {_TO}), 'empty') AS segment, a.variant, a.assigned_at, count(DISTINCT x.exposure_id) AS exposures,
+        count(DISTINCT x.run_id) AS runs, count(DISTINCT x.run_id) FILTER (WHERE x.run_id % 7 = 0) AS fallbacks, count(DISTINCT b.event_id) FILTER (WHERE b.occurred_at >= x.exposed_at AND b.occurred_at < least({_TO}, x.exposed_at + INTERVAL {ENGAGED_DAYS} DAY)) AS engagements, min(x.exposed_at) AS first_exposed_at
+    FROM assigned a LEFT JOIN shown x ON x.user_id = a.user_id AND x.exposed_at >= {_FROM} AND x.exposed_at < {_TO} LEFT JOIN acts b ON b.run_id = x.run_id AND b.user_id = a.user_id WHERE a.assigned_at < {_TO} GROUP BY a.assignment_id, a.user_id, a.variant, a.assigned_at""",
+    ("members", "behaviour"),
+)
+def experiment_observations(d: Domain) -> DataFrame:
+    """Assignments before the end of the window with their exposures inside it and what these led to; an assignment without any has zeros.
+
+    No exposure meets every act of its run: an act counts if the run's latest exposure up to it isn't older than ENGAGED_DAYS,
+    which one sort per run tells. The window stands on the exposures, before the left join, so that it drops no assignment."""
+    to = _at(OBSERVED_TO)
+    shown = experiment_exposures(d).filter((F.col("exposed_at") >= _at(OBSERVED_FROM)) & (F.col("exposed_at") < to))
+    runs = shown.groupBy("user_id", "run_id").agg(F.countDistinct("exposure_id").alias("n"), F.min("exposed_at").alias("first"))
+    acts = d.behaviour.filter("kind in ('click', 'save')").select("event_id", "user_id", (F.col("user_id") * 10 + F.col("post_id") % 10).alias("run_id"), F.col("ts").alias("occurred_at")).filter(F.col("occurred_at") < to)
+    last = as_of(acts, shown, ["user_id", "run_id"], "occurred_at", "exposed_at", "exposure_id").filter(F.col("occurred_at") < F.col("exposed_at") + F.make_dt_interval(days=F.lit(ENGAGED_DAYS)))
+    engaged = last.groupBy("user_id").agg(F.countDistinct("event_id").alias("engagements"))
+    seen = runs.groupBy("user_id").agg(F.sum("n").alias("exposures"), F.count("*").alias("runs"), F.count_if(F.col("run_id") % 7 == 0).alias("fallbacks"), F.min("first").alias("first_exposed_at"))
+    profiles = d.behaviour.filter((F.col("kind") == "follow") & (F.col("ts") < to)).groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("p"))
+    names = ("explicit_only", "emerging", "established")
+    segment = F.when(F.col("p").isNotNull(), F.element_at(F.array(*map(F.lit, names)), (1 + F.col("p.event_id") % 3).cast("int")))
+    rows = assignments(d).filter(F.col("assigned_at") < to).join(seen, "user_id", "left").join(engaged, "user_id", "left").join(profiles, "user_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("assignment_id", F.coalesce(segment, F.lit("empty")).alias("segment"), "variant", "assigned_at", *map(zero, ("exposures", "runs", "fallbacks", "engagements")), "first_exposed_at")
+
+
+@query(
+    "exposure_audit",
+    f"WITH {_ASSIGNED} SELECT count(*) FILTER (WHERE a.user_id IS NOT NULL AND (x.exposed_at < {_FROM} OR x.exposed_at >= {_TO})) AS out_of_window, count(*) FILTER (WHERE a.user_id IS NULL) AS unassigned, count(*) AS exposures FROM shown x LEFT JOIN assigned a USING (user_id)",
+    ("members", "behaviour"),
+)
+def exposure_audit(d: Domain) -> DataFrame:
+    """Exposures that an evaluation must not meet: those outside the window, and those of members without an assignment."""
+    rows = experiment_exposures(d).join(assignments(d).select("user_id", F.lit(True).alias("known")), "user_id", "left")
+    inside = (F.col("exposed_at") >= _at(OBSERVED_FROM)) & (F.col("exposed_at") < _at(OBSERVED_TO))
+    return rows.agg(F.count_if(F.col("known").isNotNull() & ~inside).alias("out_of_window"), F.count_if(F.col("known").isNull()).alias("unassigned"), F.count("*").alias("exposures"))
+
+
 _EFFECTS = f"""{_OBS}, {_LONG}, g AS (SELECT coalesce(segment, 'all') AS segment, metric, count(*) FILTER (WHERE variant = 'baseline') AS na, count(*) FILTER (WHERE variant = 'treatment') AS nb,
     coalesce(avg(v) FILTER (WHERE variant = 'baseline'), 0) AS ma, coalesce(avg(v) FILTER (WHERE variant = 'treatment'), 0) AS mb,
     coalesce(var_samp(v) FILTER (WHERE variant = 'baseline'), 0) AS va, coalesce(var_samp(v) FILTER (WHERE variant = 'treatment'), 0) AS vb FROM long GROUP BY ROLLUP (segment), metric HAVING metric IS NOT NULL),
@@ -277,12 +354,14 @@ def evaluated(d: Domain) -> DataFrame:
 
 @query("experiment_gates")
 def experiment_gates(d: Domain) -> DataFrame:
-    return gates(evaluated(d), approved=True).drop("severe")
+    audit = exposure_audit(d).first()
+    return gates(evaluated(d), audit["out_of_window"], audit["unassigned"], approved=True).drop("severe")
 
 
 @query("experiment_decision")
 def experiment_decision(d: Domain) -> DataFrame:
-    return decision(gates(evaluated(d), approved=True), "CANARY", "LIVE")
+    audit = exposure_audit(d).first()
+    return decision(gates(evaluated(d), audit["out_of_window"], audit["unassigned"], approved=True), "CANARY", "LIVE")
 
 
 def run_candidates(d: Domain) -> DataFrame:
