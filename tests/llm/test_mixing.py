@@ -120,3 +120,28 @@ def test_long_lists_of_sizes_are_folded_in_blocks(spark):
     rows = m.round_copies(counts, state, 1).collect()
     assert sorted(r["_size"] for r in rows) == list(sizes)
     assert abs(sum(r["_size"] * r["copies"] for r in rows) - target) <= 1
+
+
+NAMES = ("copies", "target", "last", "each", "source_size", "n", "g_key", "g_size", "g_n", "_source", "_size", "_h", "_doc", "_copy", "_key", "extra", "sid")
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, monkeypatch):
+    texts = ["a b c d", "a b", "", None, "one two three", "a b c d"]
+    rows = [(i, texts[i % 6], ("x", "y", None)[i % 3], *(1000 * k + i for k in range(len(NAMES)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in NAMES))
+    whole = {r["doc_id"]: tuple(r) for r in df.collect()}
+    found = m.mix(df).collect()
+    assert found and all(tuple(r) == whole[r["doc_id"]] for r in found)
+    want = sorted(r["doc_id"] for r in found)
+    monkeypatch.setattr(m, "BROADCAST_ROWS", 2)  # groups joined by a shuffle, the large ones aside
+    monkeypatch.setattr("tidemark.llm.common.HOT", 8)
+    found = m.mix(df).collect()
+    assert sorted(r["doc_id"] for r in found) == want and all(tuple(r) == whole[r["doc_id"]] for r in found)
+
+
+def test_an_unmet_constraint_is_an_error(docs, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(m, "ROUNDS", 1)
+    with pytest.raises(ArithmeticError, match="after 1 rounds"):
+        m.mix(docs)

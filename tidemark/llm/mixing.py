@@ -19,7 +19,7 @@ Targets: sources in code point order, null last, weigh 1, 2, 3 in turn and share
 LIMIT times its source's size, and the excess is shared again by weight until none is above.
 
 Defined results: null and blank texts have size 0, are kept once and take nothing; a null source is a source; equal rows
-(doc_id and text) get equal copies; an empty table gives no rows. Reruns agree.
+(doc_id and text) get equal copies; an empty table gives no rows. Columns of any other name are passed through as they are. Reruns agree.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, documents, stage, stage_observed, text_or_empty
+from .common import WORD, checkpoint, documents, join_hot, stage, stage_observed, text_or_empty
 
 LIMIT = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 ROUNDS = 80
 TOLERANCE = 1e-9
+#: What a constraint may be off by, relatively, when the rounds end; more is an error.
+FAIR = 1e-3
 #: Rows per table that are broadcast at most (some 40 bytes each); larger tables are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Sizes that one inner fold of the rounding goes through; its results are an array of this length.
@@ -44,14 +46,11 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 
 def sizes(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """Adds _source, _size (words) and _h, the hash that orders documents of one size."""
-    return docs.withColumns(
-        {
-            "_source": F.col(source).cast("string"),
-            "_size": F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long"),
-            "_h": F.xxhash64(F.col(doc_id), F.col(text)),
-        }
-    )
+    """doc_id, _source, _size (words), _h, the hash that orders documents of one size, and _doc, the document's own columns."""
+    return docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("_source"), F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("_size"),
+        F.xxhash64(F.col(doc_id), F.col(text)).alias("_h"), F.struct(*docs.columns).alias("_doc"),
+    )
 
 
 def source_targets(per_source: DataFrame) -> DataFrame:
@@ -127,6 +126,9 @@ def solve(counts: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame:
         state, seen = stage_observed(sums.select("sid", "target", "mean", "lo", "hi", new.alias("m"), "off"), "tilts", worst=F.max("off"))
         if seen["worst"] is None or seen["worst"] <= TOLERANCE:
             break
+    else:
+        if seen["worst"] > FAIR:
+            raise ArithmeticError(f"a source's constraint is off by {seen['worst']:.2g} after {ROUNDS} rounds")
     return state
 
 
@@ -194,7 +196,7 @@ def plan(thin: DataFrame) -> tuple[DataFrame, int]:
     state = solve(counts, targets, n_sources)
     rounded = round_copies(counts.drop("_source"), state, n_sources)
     groups = rounded.join(_bounded(targets.select("sid", F.col("_source").alias("g_source"), "source_size", "target"), n_sources), "sid").select(
-        "g_source", F.col("_size").alias("g_size"), "source_size", "target",
+        "g_source", F.col("_size").alias("g_size"), "source_size", "target", F.col("n").alias("g_n"),
         F.expr("copies div n").alias("each"), F.expr("copies % n").alias("extra"),
     )
     groups = checkpoint(groups)
@@ -220,21 +222,33 @@ def plan(thin: DataFrame) -> tuple[DataFrame, int]:
     )
     last = last.select(F.col("c_source").alias("l_source"), F.col("c_size").alias("l_size"), "last")
     whole = groups.join(last, F.col("g_source").eqNullSafe(F.col("l_source")) & (F.col("g_size") == F.col("l_size")), "left")
-    return checkpoint(whole.select("g_source", "g_size", "source_size", "target", "each", "last")), n_groups
+    return checkpoint(whole.select(_key("g_source").alias("g_key"), "g_size", "g_n", "source_size", "target", "each", "last")), n_groups
+
+
+def _key(source: str):
+    """A source as a text that is never null."""
+    return F.concat(F.when(F.col(source).isNull(), "0").otherwise("1"), F.coalesce(F.col(source), F.lit("")))
 
 
 def copies_of(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
-    """Adds source_size, target and copies to rows with _source, _size and _h."""
-    same = F.col("_source").eqNullSafe(F.col("g_source")) & (F.col("_size") == F.col("g_size"))
+    """Adds source_size, target and copies to rows with _source, _size and _h.
+
+    More than BROADCAST_ROWS groups are joined by a shuffle of the rows, except that the rows of large groups stay where they are."""
+    keyed, on = groups.withColumnsRenamed({"g_key": "_key", "g_size": "_size"}), ["_key", "_size"]
+    rows = rows.withColumn("_key", _key("_source"))
+    if n_groups <= BROADCAST_ROWS:
+        found = rows.join(F.broadcast(keyed), on)
+    else:
+        found = join_hot(rows, keyed, on, "g_n", groups.agg(F.sum("g_n")).first()[0])
     copies = F.col("each") + F.when(F.col("_h") <= F.col("last"), 1).otherwise(0)
-    return rows.join(_bounded(groups, n_groups), same).withColumn("copies", copies.cast("long")).drop("g_source", "g_size", "each", "last")
+    return found.withColumn("copies", copies.cast("long")).drop("_key", "g_n", "each", "last")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. The texts aren't shuffled."""
+    """The rows of docs, each as often as the mix takes it. The texts aren't shuffled, unless there are more than BROADCAST_ROWS groups (`copies_of`)."""
     groups, n = plan(stage(sizes(docs, text, source, doc_id).select("_source", "_size", "_h"), "thin"))
-    taken = copies_of(sizes(docs, text, source, doc_id).select(*(F.col(c) for c in docs.columns), "_source", "_size", "_h"), groups, n)
-    return taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = copies_of(sizes(docs, text, source, doc_id).select("_source", "_size", "_h", "_doc"), groups, n).filter("copies > 0")
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_doc.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

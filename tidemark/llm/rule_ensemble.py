@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(FIT_ROWS)
     )
-    rows = docs.join(F.broadcast(sample), F.col(doc_id).cast("long") == F.col("_id")).select(F.col(text).alias("text"), "y")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id").select("text", "y")
     rows = stage(statistics(rows, "text", ("y",)), "statistics")
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(counts) < 2:
