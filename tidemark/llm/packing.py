@@ -310,7 +310,8 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str
     df[table["term"][terms]] = table["docs"][terms]
     n = int(table["remainders"].sum())
     shared = spark.sparkContext.broadcast((df, n, float(table["tokens"].sum()) / max(1, n)))
-    routed = rows.mapInArrow(_routed(shared, width), columns + ", term long")
+    # written, as it is read twice: for the counts by its last column alone, and to deal the rows
+    routed = stage(rows.mapInArrow(_routed(shared, width), columns + ", term long"), "routed")
     counts = {r["term"]: r["count"] for r in routed.groupBy("term").count().collect()}  # a row per token of the vocabulary at most
     places = spark.createDataFrame(shards(counts), "term long, first long, own long")
     dealt = routed.withColumn("place", F.xxhash64("doc_id", "rest", F.monotonically_increasing_id())).join(F.broadcast(places), "term")
