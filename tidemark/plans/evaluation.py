@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.fingerprint import fold, row_hash, row_text, sql_fold, sql_text
 from ..operators.ranking import ranked
 from ..sources.tables import Domain, stamp
 from .registry import query
@@ -72,24 +73,30 @@ def outcome_attribution(d: Domain) -> DataFrame:
     return wide.unpivot([], list(CATEGORIES), "category", "n")
 
 
-_SIDES = """a AS (SELECT run_id, user_id, rank::INTEGER AS idx, rank::INTEGER AS rank, post_id, quantity, discount, discount > 0.05 AS explored, false AS negative FROM runs),
+_SNAP = sql_fold(sql_text("post_id", "round(discount * 1000)::BIGINT"))
+_SIDES = """a AS (SELECT run_id, user_id, rank::INTEGER AS idx, rank::INTEGER AS rank, post_id, quantity, discount, discount > 0.05 AS explored, false AS negative, ran_at FROM runs),
     b AS (SELECT run_id, user_id, (rank - CASE WHEN run_id % 11 = 0 THEN 1 ELSE 0 END)::INTEGER AS idx, (rank + CASE WHEN run_id % 31 = 0 THEN 1 ELSE 0 END)::INTEGER AS rank, CASE WHEN run_id % 7 = 0 AND rank = 2 THEN post_id + 1 ELSE post_id END AS post_id,
-        quantity, CASE WHEN run_id % 5 = 0 THEN discount + 0.01 ELSE discount END AS discount, (discount > 0.05) <> (run_id % 37 = 0) AS explored, run_id % 41 = 0 AND discount = 0 AS negative FROM runs WHERE NOT (run_id % 11 = 0 AND rank = 1)),
-    ea AS (SELECT run_id, count(*) AS n, sum(quantity) AS total, min(rank) AS lo, max(rank) AS hi, md5(string_agg(post_id::VARCHAR, ',' ORDER BY rank)) AS print FROM a GROUP BY 1),
-    eb AS (SELECT run_id, count(*) AS n, sum(quantity) AS total, min(rank) AS lo, max(rank) AS hi, md5(string_agg(post_id::VARCHAR, ',' ORDER BY rank)) AS print FROM b GROUP BY 1),
-    found AS (SELECT run_id, unnest(list_filter([CASE WHEN run_id % 43 = 0 THEN 'CURSOR_CHAIN' END, CASE WHEN run_id % 13 = 0 THEN 'SNAPSHOT_BINDING' END, CASE WHEN run_id % 17 = 0 THEN 'POLICY_BINDING' END, CASE WHEN run_id % 19 = 0 THEN 'SEED_BINDING' END, CASE WHEN run_id % 23 = 0 THEN 'STATUS' END,
+        quantity, CASE WHEN run_id % 5 = 0 THEN discount + 0.01 ELSE discount END AS discount, (discount > 0.05) <> (run_id % 37 = 0) AS explored, run_id % 41 = 0 AND discount = 0 AS negative, ran_at + INTERVAL 2 DAY AS ran_at FROM runs WHERE NOT (run_id % 11 = 0 AND rank = 1)),
+    ea AS (SELECT *, substr(sha256(user_id || '|' || snap || '|' || policy), 1, 8) AS seed FROM (SELECT run_id, min(user_id) AS user_id, count(*) AS n, sum(quantity) AS total, min(rank) AS lo, max(rank) AS hi, md5(string_agg(post_id::VARCHAR, ',' ORDER BY rank)) AS print, list_reduce([''] || list(post_id::VARCHAR ORDER BY rank), lambda c, x: sha256(c || ':' || x)) AS chain,
+        {SNAP} AS snap, 'policy-' || year(max(ran_at)) AS policy, CASE WHEN count(*) >= 4 THEN 'FULL' ELSE 'PARTIAL' END AS status FROM a GROUP BY 1)),
+    eb AS (SELECT *, substr(sha256(user_id || '|' || snap || '|' || policy), 1, 8) AS seed FROM (SELECT run_id, min(user_id) AS user_id, count(*) AS n, sum(quantity) AS total, min(rank) AS lo, max(rank) AS hi, md5(string_agg(post_id::VARCHAR, ',' ORDER BY rank)) AS print, list_reduce([''] || list(post_id::VARCHAR ORDER BY rank), lambda c, x: sha256(c || ':' || x)) AS chain,
+        {SNAP} AS snap, 'policy-' || year(max(ran_at)) AS policy, CASE WHEN count(*) >= 4 THEN 'FULL' ELSE 'PARTIAL' END AS status FROM b GROUP BY 1)),
+    found AS (SELECT run_id, unnest(list_filter([CASE WHEN eb.n IS NULL OR ea.chain <> eb.chain THEN 'CURSOR_CHAIN' END, CASE WHEN eb.n IS NULL OR ea.snap <> eb.snap THEN 'SNAPSHOT_BINDING' END, CASE WHEN eb.n IS NULL OR ea.policy <> eb.policy THEN 'POLICY_BINDING' END, CASE WHEN eb.n IS NULL OR ea.seed <> eb.seed THEN 'SEED_BINDING' END, CASE WHEN eb.n IS NULL OR ea.status <> eb.status THEN 'STATUS' END,
             CASE WHEN eb.n IS NULL OR ea.n <> eb.n THEN 'COUNT' END, CASE WHEN eb.n IS NULL OR ea.total <> eb.total THEN 'SUMMARY' END, CASE WHEN eb.n IS NULL OR ea.lo <> eb.lo OR ea.hi <> eb.hi THEN 'PAGE_BOUNDARY' END, CASE WHEN eb.n IS NULL OR ea.print <> eb.print THEN 'FINGERPRINT' END], lambda x: x IS NOT NULL)) AS category FROM ea LEFT JOIN eb USING (run_id)
         UNION ALL SELECT coalesce(a.run_id, b.run_id), unnest(list_filter(CASE WHEN a.run_id IS NULL OR b.run_id IS NULL THEN ['CANDIDATE_IDENTITY'] ELSE [CASE WHEN a.post_id <> b.post_id THEN 'CANDIDATE_IDENTITY' END, CASE WHEN a.rank <> b.rank THEN 'CANDIDATE_RANK' END, CASE WHEN a.explored <> b.explored THEN 'CANDIDATE_ORIGIN' END,
-            CASE WHEN abs(a.discount - b.discount) > 1e-9 OR a.quantity <> b.quantity THEN 'CANDIDATE_PROVENANCE' END, CASE WHEN a.negative <> b.negative THEN 'SIGNED_ZERO' END] END, lambda x: x IS NOT NULL)) FROM a FULL JOIN b ON a.run_id = b.run_id AND a.idx = b.idx)"""
+            CASE WHEN abs(a.discount - b.discount) > 1e-9 OR a.quantity <> b.quantity THEN 'CANDIDATE_PROVENANCE' END, CASE WHEN a.negative <> b.negative THEN 'SIGNED_ZERO' END] END, lambda x: x IS NOT NULL)) FROM a FULL JOIN b ON a.run_id = b.run_id AND a.idx = b.idx)""".replace("{SNAP}", _SNAP)
 
 
 def replay_sides(d: Domain) -> tuple[DataFrame, DataFrame]:
-    """Stored candidates and replayed ones: run_id, user_id, idx (position), rank, post_id, quantity, discount, explored, negative."""
+    """Stored candidates and replayed ones: run_id, user_id, idx (position), rank, post_id, quantity, discount, explored, negative, ran_at.
+
+    The replay stands two days later and differs in some candidates; what binds a run is computed from each side's own rows."""
     run, rank = F.col("run_id"), F.col("rank")
-    a = d.runs.select("run_id", "user_id", rank.alias("idx"), "rank", "post_id", "quantity", "discount", (F.col("discount") > 0.05).alias("explored"), F.lit(False).alias("negative"))
+    a = d.runs.select("run_id", "user_id", rank.alias("idx"), "rank", "post_id", "quantity", "discount", (F.col("discount") > 0.05).alias("explored"), F.lit(False).alias("negative"), "ran_at")
     b = d.runs.filter(~((run % 11 == 0) & (rank == 1))).select(
         "run_id", "user_id", (rank - F.when(run % 11 == 0, 1).otherwise(0)).alias("idx"), (rank + F.when(run % 31 == 0, 1).otherwise(0)).alias("rank"), F.when((run % 7 == 0) & (rank == 2), F.col("post_id") + 1).otherwise(F.col("post_id")).alias("post_id"),
         "quantity", F.when(run % 5 == 0, F.col("discount") + 0.01).otherwise(F.col("discount")).alias("discount"), ((F.col("discount") > 0.05) != (run % 37 == 0)).alias("explored"), ((run % 41 == 0) & (F.col("discount") == 0)).alias("negative"),
+        (F.col("ran_at") + F.expr("interval 2 days")).alias("ran_at"),
     )
     return a, b
 
@@ -100,13 +107,17 @@ def replay_mismatches(d: Domain) -> DataFrame:
 
     def whole(side: DataFrame, s: str) -> DataFrame:
         ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "post_id"))), lambda x: x["post_id"].cast("string"))
-        rows = side.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("quantity").alias("total"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.md5(F.array_join(ids, ",")).alias("print"))
-        return rows.select("run_id", *(F.col(c).alias(s + c) for c in ("n", "total", "lo", "hi", "print")))
+        chain = F.aggregate(ids, F.lit(""), lambda c, x: F.sha2(F.concat(c, F.lit(":"), x), 256))
+        rows = side.withColumn("scaled", F.round(F.col("discount") * 1000).cast("long")).groupBy("run_id").agg(
+            F.min("user_id").alias("user"), F.count("*").alias("n"), F.sum("quantity").alias("total"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.md5(F.array_join(ids, ",")).alias("print"), chain.alias("chain"),
+            fold(row_hash(row_text("post_id", "scaled"))).alias("snap"), F.concat(F.lit("policy-"), F.year(F.max("ran_at")).cast("string")).alias("policy"),
+        )
+        rows = rows.withColumns({"seed": F.substring(F.sha2(F.concat_ws("|", "user", "snap", "policy"), 256), 1, 8), "status": F.when(F.col("n") >= 4, "FULL").otherwise("PARTIAL")})
+        return rows.select("run_id", *(F.col(c).alias(s + c) for c in ("n", "total", "lo", "hi", "print", "chain", "snap", "policy", "seed", "status")))
 
-    run = F.col("run_id")
     differ = lambda *cs: ~F.coalesce(F.expr(" and ".join(f"a_{c} = b_{c}" for c in cs)), F.lit(False))
     tests = [
-        ("CURSOR_CHAIN", run % 43 == 0), ("SNAPSHOT_BINDING", run % 13 == 0), ("POLICY_BINDING", run % 17 == 0), ("SEED_BINDING", run % 19 == 0), ("STATUS", run % 23 == 0),
+        ("CURSOR_CHAIN", differ("chain")), ("SNAPSHOT_BINDING", differ("snap")), ("POLICY_BINDING", differ("policy")), ("SEED_BINDING", differ("seed")), ("STATUS", differ("status")),
         ("COUNT", differ("n")), ("SUMMARY", differ("total")), ("PAGE_BOUNDARY", differ("lo", "hi")), ("FINGERPRINT", differ("print")),
     ]
     named = lambda tests: F.explode(F.array_compact(F.array(*(F.when(t, n) for n, t in tests)))).alias("category")
