@@ -356,3 +356,17 @@ def test_interval_left_join_keeps_ends_and_misses(spark):
         assert got == sorted(
             [(1, "start"), (1, "in"), (1, "mid"), (2, "mid"), (3, "-"), (4, "-"), (5, "-"), (6, "-"), *((7, w) for w in ("start", "in", "end", "mid", "early"))]
         )
+
+
+def test_fingerprints_know_rows_but_no_order(spark):
+    from tidemark.operators.fingerprint import table_fingerprint
+
+    rows = [(i % 3, i, None if i % 7 == 0 else f"t{i % 5}") for i in range(200)]
+    df = spark.createDataFrame(rows, "g long, n long, t string")
+    of = lambda x: {r["g"]: r["print"] for r in table_fingerprint(x, "g").collect()}
+    whole = of(df)
+    assert of(df.repartition(7, "n")) == whole == of(df.orderBy(F.desc("n")).coalesce(1))
+    changed = of(df.withColumn("t", F.when(F.col("n") == 9, "other").otherwise(F.col("t"))))
+    assert changed[0] != whole[0] and (changed[1], changed[2]) == (whole[1], whole[2])
+    assert of(df.withColumn("t", F.coalesce("t", F.lit(""))))[0] != whole[0]  # null isn't empty
+    assert of(df.unionByName(df.filter("n = 4")))[1] != whole[1]  # a row twice

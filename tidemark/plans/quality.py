@@ -329,3 +329,25 @@ def snapshot_anomalies(d: Domain) -> DataFrame:
 )
 def snapshot_verdicts(d: Domain) -> DataFrame:
     return verdicts(checked(measures(Inputs(d))))
+
+
+_PARTS = "SELECT user_id, post_id, kind, count(*) AS n, max(event_id) AS last FROM behaviour {where} GROUP BY 1, 2, 3"
+_PRINT = sql_fold(sql_text("post_id", "kind", "n", "last"))
+
+
+@query(
+    "rebuild_fingerprints",
+    f"""WITH a AS (SELECT user_id, {_PRINT} AS print FROM ({_PARTS.format(where="")}) GROUP BY 1), b AS (SELECT user_id, {_PRINT} AS print FROM ({_PARTS.format(where="WHERE event_id % 499 <> 0")}) GROUP BY 1)
+    SELECT user_id, a.print AS print, coalesce(b.print, '{_EMPTY}') AS rebuilt, a.print = coalesce(b.print, '{_EMPTY}') AS matched FROM a LEFT JOIN b USING (user_id)""",
+    ("behaviour",),
+)
+def rebuild_fingerprints(d: Domain) -> DataFrame:
+    """A member's projection beside one rebuilt from daily parts of sources of which some are lost (P17): order-free fingerprints, so that neither the
+    partitions nor the order of the two builds count, and every lost row does. Both sides meet in one grouping."""
+    key = ["user_id", "post_id", "kind"]
+    whole = d.behaviour.groupBy(*key).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    daily = d.behaviour.filter("event_id % 499 <> 0").groupBy(*key, F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    again = daily.groupBy(*key).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    hashed = row_hash(row_text("post_id", "kind", "n", "last"))
+    both = _tagged(a=whole, b=again).groupBy("user_id").agg(fold(_of("a", hashed)).alias("print"), fold(_of("b", hashed)).alias("rebuilt"))
+    return both.withColumn("matched", F.col("print") == F.col("rebuilt"))
