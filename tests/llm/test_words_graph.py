@@ -63,3 +63,10 @@ def test_components(spark):
     assert {r[0]: r[1] for r in graph.components(df(edges)).collect()} == want
     assert {r[0]: r[1] for r in graph.join_components(graph.components(df(edges[:30])), df(edges[30:])).collect()} == want
     assert graph.components(df([])).count() == 0
+
+
+def test_oracles_are_texts_of_known_queries():
+    from tidemark.llm import queries
+
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and all(isinstance(x, str) for x in queries.ORACLES.values())
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]

@@ -23,7 +23,5 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op9_license_scan": licenses.OP9_SQL,
-    "op11_language_id": language_id.op11,
-    "op12_conversation_repair": conversations.op12,
     "op13_lexical_search": lexical_search.OP13_SQL,
 }
