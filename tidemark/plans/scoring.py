@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashing, scoring
+from ..functions import hashing, scoring, vocabulary
 from ..operators.ranking import ranked
 from ..sources.tables import NOW, Domain, now
 from .registry import query
@@ -519,6 +519,32 @@ def vocabulary_lookup(d: Domain) -> DataFrame:
     return d.posts.select("post_id", "theme", feature.alias("feature"), feature.isNotNull().alias("registered"))
 
 
+#: Preferences as members send them, with two features that aren't registered, strengths of up to two, and repeats.
+_SENT_IDS = [*vocabulary.IDS, "theme:unheard", "mood:"]
+_SENT = f"""sent AS (SELECT event_id, user_id, ts, ({_SENT_IDS})[1 + (user_id * 5 + post_id) % {len(_SENT_IDS)}] AS feature, value / 100 AS strength, kind = 'report' AS avoided FROM behaviour WHERE kind IN ('save', 'report')),
+    words AS (SELECT unnest({list(vocabulary.LABELS)}) AS feature, unnest({list(vocabulary.LABELS.values())}) AS label)"""
+
+
+@query(
+    "explicit_preferences",
+    f"""WITH {_SENT}, j AS (SELECT s.*, w.label, w.label IS NOT NULL AND isfinite(strength) AND strength BETWEEN 0 AND 1 AS good FROM sent s LEFT JOIN words w USING (feature)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id, feature, good ORDER BY ts, event_id) AS n FROM j)
+    SELECT event_id, user_id, feature, label, CASE WHEN label IS NULL THEN 'UNKNOWN_FEATURE' WHEN NOT good THEN 'STRENGTH_OUT_OF_RANGE' WHEN n > 1 THEN 'DUPLICATE_PREFERENCE' ELSE 'ACCEPTED' END AS outcome FROM n""",
+    ("behaviour",),
+)
+def explicit_preferences(d: Domain) -> DataFrame:
+    """Each preference against the vocabulary: unknown, of a strength outside 0..1, a repeat of the member's first valid one for the feature, or accepted."""
+    place = ((F.col("user_id") * 5 + F.col("post_id")) % len(_SENT_IDS) + 1).cast("int")
+    rows = d.behaviour.filter("kind in ('save', 'report')").select("event_id", "user_id", "ts", F.element_at(F.array(*map(F.lit, _SENT_IDS)), place).alias("feature"), (F.col("value") / 100).alias("strength"))
+    rows = rows.withColumn("label", vocabulary.label(F.col("feature")))
+    good = F.coalesce(F.col("label").isNotNull() & ~F.isnan("strength") & F.col("strength").between(0, 1), F.lit(False))
+    rows = rows.withColumn("good", good)
+    first = rows.filter("good").groupBy("user_id", "feature").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    rows = rows.join(first, ["user_id", "feature"], "left")
+    outcome = F.when(F.col("label").isNull(), "UNKNOWN_FEATURE").when(~F.col("good"), "STRENGTH_OUT_OF_RANGE").when(F.col("event_id") != F.col("first.event_id"), "DUPLICATE_PREFERENCE").otherwise("ACCEPTED")
+    return rows.select("event_id", "user_id", "feature", "label", outcome.alias("outcome"))
+
+
 @query(
     "ranking_comparison",
     f"""WITH {_SCORED}, a AS (SELECT theme, post_id, row_number() OVER (PARTITION BY theme ORDER BY round(pop, 9) DESC, post_id) AS ra FROM t), b AS (SELECT theme, post_id, row_number() OVER (PARTITION BY theme ORDER BY round(coalesce(fresh, 0), 9) DESC, post_id) AS rb FROM t),
