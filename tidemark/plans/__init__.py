@@ -1,6 +1,6 @@
 """Queries by name, with the same queries in SQL."""
 
-from . import content, evaluation, events, experiments, exposures, leases, paging, platform, projections, quality, reconciliation, scoring, search, streams
+from . import builds, content, evaluation, events, experiments, exposures, leases, paging, platform, projections, quality, reconciliation, scoring, search, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "content", "events", "experiments", "exposures", "leases", "paging", "platform", "projections", "quality", "reconciliation", "scoring", "search", "streams"]
+__all__ = ["ORACLES", "QUERIES", "builds", "content", "events", "experiments", "exposures", "leases", "paging", "platform", "projections", "quality", "reconciliation", "scoring", "search", "streams"]
