@@ -370,3 +370,17 @@ def test_fingerprints_know_rows_but_no_order(spark):
     assert changed[0] != whole[0] and (changed[1], changed[2]) == (whole[1], whole[2])
     assert of(df.withColumn("t", F.coalesce("t", F.lit(""))))[0] != whole[0]  # null isn't empty
     assert of(df.unionByName(df.filter("n = 4")))[1] != whole[1]  # a row twice
+
+
+def test_adapter_measures_by_hand(spark):
+    from tidemark.plans.platform import adapter_measures
+
+    runs = spark.sql("select * from values (1, 'a', 'v1', 'mapped', timestamp'2024-01-01', timestamp'2024-01-02'), (2, 'a', 'v1', 'mapped', timestamp'2024-01-03', null), (3, 'b', null, 'failure', timestamp'2024-01-31 23:59:59.5', null) t(run, adapter_version, target_contract_version, evidence_kind, created_at, completed_at)")
+    seen = spark.sql("select * from values (1, 2, true, 'EXACT', null), (1, 0, true, 'EXACT', 'E1'), (1, 1, false, null, null), (9, 5, true, 'EXACT', 'E1') t(run, duplicates, conflict, compatibility_class, failure_code)")
+    got = {(r["adapter_version"], r["metric_name"], r["dimension_value"]): r["metric_value"] for r in adapter_measures(runs, seen).collect()}
+    assert got == {
+        ("a", "run_count", None): 2, ("a", "success_count", None): 2, ("a", "new_count", None): 2, ("a", "duplicate_count", None): 3, ("a", "conflict_count", None): 2, ("a", "oldest_run_age_seconds", None): 31 * 86400, ("a", "latest_processed_at", None): None,
+        ("a", "compatibility_class_count", "EXACT"): 2, ("a", "failure_code_count", "E1"): 1, ("b", "run_count", None): 1, ("b", "failure_count", None): 1, ("b", "new_count", None): 1, ("b", "duplicate_count", None): 0, ("b", "conflict_count", None): 0,
+        ("b", "oldest_run_age_seconds", None): 0, ("b", "latest_processed_at", None): None,
+    }
+    assert adapter_measures(runs.limit(0), seen).count() == 0

@@ -68,6 +68,75 @@ def projection_metrics(d: Domain) -> DataFrame:
     return out
 
 
+_ADAPTED = "metric_name, adapter_version, target_contract_version, dimension_value, metric_value, metric_timestamp"
+_BY = "adapter_version, target_contract_version"
+
+
+def adapter_runs(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """(runs, observations) of an adapter: runs are orders, each with a logical identity; observations are lines: repeats counted, conflicts, outputs by class and failures by code."""
+    at = stamp("o_orderdate")
+    runs = d.table("orders").select(
+        F.col("o_orderkey").alias("run"), F.substring("o_orderpriority", 1, 1).alias("adapter_version"), F.when(F.col("o_custkey") % 3 == 0, "v2").otherwise("v1").alias("target_contract_version"),
+        F.when(F.col("o_orderstatus") == "F", "failure").otherwise("mapped").alias("evidence_kind"), at.alias("created_at"), F.when(F.col("o_orderstatus") != "P", at + F.expr("interval 90 seconds")).alias("completed_at"),
+    )
+    flag = F.col("l_returnflag")
+    seen = d.table("lineitem").select(
+        F.col("l_orderkey").alias("run"), F.when(flag == "N", F.col("l_linenumber") - 1).otherwise(0).alias("duplicates"), (flag == "R").alias("conflict"),
+        F.when(flag == "A", "EXACT").when(flag == "N", "LOSSY").alias("compatibility_class"), F.when((flag == "R") & (F.col("l_linestatus") == "F"), F.concat(F.lit("E"), (F.col("l_linenumber") % 3).cast("string"))).alias("failure_code"),
+    )
+    return runs, seen
+
+
+def adapter_measures(runs: DataFrame, observations: DataFrame) -> DataFrame:
+    """Eight metrics per (adapter_version, target_contract_version) and counts per class and per failure code, as rows. A run without observations counts with zeros.
+
+    Observations are folded to their run before they meet it, runs once to their versions; the rows are made of that one fold."""
+    by_class = observations.filter("compatibility_class is not null or failure_code is not null").groupBy("run", "compatibility_class", "failure_code").agg(F.count("*").alias("n"))
+    entry = F.struct("compatibility_class", "failure_code", "n")
+    per = observations.groupBy("run").agg(F.sum("duplicates").alias("duplicates"), F.count_if("conflict").alias("conflicts")).join(by_class.groupBy("run").agg(F.collect_list(entry).alias("seen")), "run", "left")
+    met = runs.join(per, "run", "left")
+    keys = ["adapter_version", "target_contract_version"]
+    folded = met.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if(F.col("evidence_kind") == "mapped").alias("mapped"), F.count_if(F.col("evidence_kind") == "failure").alias("failed"), F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates"),
+        F.coalesce(F.sum("conflicts"), F.lit(0)).alias("conflicts"), F.min("created_at").alias("first"), F.max("completed_at").alias("last"),
+    )
+    none, never = F.lit(None).cast("long"), F.lit(None).cast("timestamp")
+    age = F.floor(F.unix_micros(now()) / 1_000_000 - F.unix_micros("first") / 1_000_000)
+    base = [
+        ("run_count", F.col("n"), never), ("success_count", F.col("mapped"), never), ("failure_count", F.col("failed"), never), ("new_count", F.col("n"), never), ("duplicate_count", F.col("duplicates"), never), ("conflict_count", F.col("conflicts"), never),
+        ("oldest_run_age_seconds", age, F.col("first")), ("latest_processed_at", none, F.col("last")),
+    ]
+    rows = folded.select(*keys, F.inline(F.array(*(F.struct(F.lit(name).alias("metric_name"), F.lit(None).cast("string").alias("dimension_value"), value.cast("long").alias("metric_value"), at.alias("metric_timestamp")) for name, value, at in base))))
+    rows = rows.filter("metric_value > 0 or metric_name not in ('success_count', 'failure_count') or metric_value is null")
+    each = met.select(*keys, F.inline("seen"))
+    for name, value in (("compatibility_class_count", "compatibility_class"), ("failure_code_count", "failure_code")):
+        counted = each.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("dimension_value")).agg(F.sum("n").alias("metric_value"))
+        rows = rows.unionByName(counted.select(*keys, F.lit(name).alias("metric_name"), "dimension_value", "metric_value", never.alias("metric_timestamp")))
+    return rows
+
+
+@query(
+    "adapter_metrics",
+    f"""WITH r AS (SELECT o_orderkey AS run, substr(o_orderpriority, 1, 1) AS adapter_version, CASE WHEN o_custkey % 3 = 0 THEN 'v2' ELSE 'v1' END AS target_contract_version, CASE WHEN o_orderstatus = 'F' THEN 'failure' ELSE 'mapped' END AS kind,
+        o_orderdate AS created, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + INTERVAL 90 SECOND END AS completed FROM orders),
+    s AS (SELECT l_orderkey AS run, CASE WHEN l_returnflag = 'N' THEN l_linenumber - 1 ELSE 0 END AS duplicates, l_returnflag = 'R' AS conflict, CASE l_returnflag WHEN 'A' THEN 'EXACT' WHEN 'N' THEN 'LOSSY' END AS class,
+        CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'E' || (l_linenumber % 3) END AS code FROM lineitem),
+    m(metric_name, {_BY}, dimension_value, metric_value, metric_timestamp) AS (SELECT 'run_count', {_BY}, NULL, count(*), NULL::TIMESTAMP FROM r GROUP BY ALL
+    UNION ALL SELECT 'success_count', {_BY}, NULL, count(*), NULL FROM r WHERE kind = 'mapped' GROUP BY ALL
+    UNION ALL SELECT 'failure_count', {_BY}, NULL, count(*), NULL FROM r WHERE kind = 'failure' GROUP BY ALL
+    UNION ALL SELECT 'new_count', {_BY}, NULL, count(*), NULL FROM r GROUP BY ALL
+    UNION ALL SELECT 'duplicate_count', {_BY}, NULL, coalesce(sum(duplicates), 0)::BIGINT, NULL FROM r LEFT JOIN s USING (run) GROUP BY ALL
+    UNION ALL SELECT 'conflict_count', {_BY}, NULL, count(*) FILTER (WHERE conflict), NULL FROM r LEFT JOIN s USING (run) GROUP BY ALL
+    UNION ALL SELECT 'oldest_run_age_seconds', {_BY}, NULL, floor(epoch(TIMESTAMP '{NOW}') - epoch(min(created)))::BIGINT, min(created) FROM r GROUP BY ALL
+    UNION ALL SELECT 'latest_processed_at', {_BY}, NULL, NULL, max(completed) FROM r GROUP BY ALL
+    UNION ALL SELECT 'compatibility_class_count', {_BY}, class, count(*), NULL FROM r JOIN s USING (run) WHERE class IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT 'failure_code_count', {_BY}, code, count(*), NULL FROM r JOIN s USING (run) WHERE code IS NOT NULL GROUP BY ALL)
+    SELECT {_ADAPTED} FROM m""",
+)
+def adapter_metrics(d: Domain) -> DataFrame:
+    return adapter_measures(*adapter_runs(d)).select(*_ADAPTED.split(", "))
+
+
 @query(
     "check_verdict_counts",
     """WITH c AS (SELECT l_orderkey AS run, CASE WHEN l_returnflag = 'R' THEN 'FAIL' WHEN l_returnflag = 'A' THEN 'SKIPPED' ELSE 'PASS' END AS status,
