@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import NOW, Domain, now, stamp
+from ..sources.tables import NOW, Domain, now
 from .registry import query
 
 # The purpose and caller that an identity is bound for, the authority and kind of exposures, the window's seconds, events that are engagement.
@@ -232,7 +232,7 @@ def _sql_safe(x: str) -> str:
 
 
 def _sql_identity() -> str:
-    parts = [(c.replace("identity.", "i_").replace(" <=> ", " IS NOT DISTINCT FROM ").replace("at)", f"at)").replace("> at", f"> TIMESTAMP '{NOW}'"), k, s.replace("identity.", "i_")) for c, k, s in IDENTITY]
+    parts = [(c.replace("identity.", "i_").replace(" <=> ", " IS NOT DISTINCT FROM ").replace("> at", f"> TIMESTAMP '{NOW}'"), k, s.replace("identity.", "i_")) for c, k, s in IDENTITY]
     kind = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for c, k, _ in parts) + " END"
     status = "CASE " + " ".join(f"WHEN {c} THEN {s}" for c, _, s in parts) + " ELSE 'VALID' END"
     return _sql_row("IDENTITY_BLOCKED", f"({kind}) IS NULL", "MATCH_EXACT", kind, "'synthetic-binding-valid'", status)
