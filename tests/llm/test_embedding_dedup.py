@@ -41,7 +41,8 @@ def test_links_match_brute_force(spark):
     assert max(links.values()) > e.NEIGHBOURS
 
 
-def test_dense_groups_with_links_below_those_inside_are_joined(spark):
+def test_dense_groups_with_links_below_those_inside_are_joined(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.common.HOT", 50)  # label and buckets are hot keys
     rng = np.random.default_rng(4)
     a, b = np.eye(16)[0], np.append([0.96, np.sqrt(1 - 0.96**2)], np.zeros(14))
     ids = [*range(1, 61), *range(101, 161)]  # none is audited, and each group holds more than two lists

@@ -146,12 +146,11 @@ def _blocked(on: str, firsts: DataFrame, seconds: DataFrame, total: int) -> Data
     """(id, n): for each of firsts, its links among seconds of equal `on`. Both: (id, on, v, n). A pair of blocks is a group."""
     size = max(COUNTED, -(-total // HOT_KEYS))
     sizes = firsts.groupBy(on).agg(F.count("*").alias("nf")).join(seconds.groupBy(on).agg(F.count("*").alias("ns")), on)
-    blocks = stage(sizes.select(on, F.ceil(F.col("nf") / size).cast("int").alias("p"), F.ceil(F.col("ns") / size).cast("int").alias("q")), "blocks")
+    blocks = stage(sizes.select(on, "ns", F.ceil(F.col("nf") / size).cast("int").alias("p"), F.ceil(F.col("ns") / size).cast("int").alias("q")), "blocks")
     own = F.xxhash64("id")
-    asked = firsts.select(on).distinct()
     left = _dealt(firsts, blocks, on).select(on, "id", "v", "n", F.pmod(own, F.col("p")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("first"), F.lit(False).alias("second"))
-    seconds = seconds.join(asked, on, "left_semi") if firsts is not seconds else seconds
-    right = _dealt(seconds, blocks, on).select(on, "id", "v", "n", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(own, F.col("q")).cast("int").alias("j"), F.lit(False).alias("first"), F.lit(True).alias("second"))
+    asked = _dealt(seconds, blocks, on) if firsts is seconds else join_hot(seconds, blocks, [on], "ns", total)
+    right = asked.select(on, "id", "v", "n", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(own, F.col("q")).cast("int").alias("j"), F.lit(False).alias("first"), F.lit(True).alias("second"))
     both = left.unionByName(right)
     return both.groupBy(on, "i", "j").applyInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
@@ -172,19 +171,17 @@ def _members(labels: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "g", "v", "n", "asked", F.coalesce("component", "id").alias("c"))
 
 
-def compare_blocks(labels: DataFrame, vectors: DataFrame, open_: DataFrame) -> DataFrame:
-    """labels, (node, component), joined by every link between the open components, (c), and the other components of their groups."""
+def compare_blocks(labels: DataFrame, vectors: DataFrame, open_: DataFrame, total: int) -> DataFrame:
+    """labels, (node, component), joined by every link between the open components, (c), and the other components of their groups.
+    total: no less than the number of vectors."""
     rows = _members(labels, vectors)
     loose = rows.join(open_.select("c").distinct(), "c", "left_semi")
     several = rows.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("g")
-    blocks = (
-        loose.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p"))
-        .join(several, "g")
-        .join(rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q")), "g")
-    )
+    sizes = loose.groupBy("g").agg(F.count("*").alias("nf")).join(several, "g").join(rows.groupBy("g").agg(F.count("*").alias("ns")), "g")
+    blocks = stage(sizes.select("g", "nf", "ns", F.ceil(F.col("nf") / BLOCK).cast("int").alias("p"), F.ceil(F.col("ns") / BLOCK).cast("int").alias("q")), "open")
     own = F.xxhash64("id")
-    left = loose.join(blocks, "g").select("g", "c", "v", F.pmod(own, F.col("p")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("first"))
-    right = rows.join(blocks, "g").select("g", "c", "v", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(own, F.col("q")).cast("int").alias("j"), F.lit(False).alias("first"))
+    left = join_hot(loose, blocks, ["g"], "nf", total).select("g", "c", "v", F.pmod(own, F.col("p")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("first"))
+    right = join_hot(rows, blocks, ["g"], "ns", total).select("g", "c", "v", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(own, F.col("q")).cast("int").alias("j"), F.lit(False).alias("first"))
     more = stage(left.unionByName(right).groupBy("g", "i", "j").applyInArrow(_across, "a long, b long").distinct(), "across")
     return join_components(labels, more) if more.limit(1).count() else labels
 
@@ -215,12 +212,13 @@ def link(rows: DataFrame, embedding: str = "embedding", vec_id: str = "vec_id",
     vectors = stage(reps.select("id", "g", "v", "codes", "n", "asked"), "vectors")
     stands = join_hot(thin, folded.select("g", "d", "rep", "n"), ["g", "d"], "n", total).select("id", "rep", F.col("n").alias("alike"))
     stands = stage(stands, "stands")
-    sizes = vectors.groupBy("g").agg(F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.count("*") / F.lit(BLOCK / 2))).cast("int"))).alias("bits"))
-    coded = vectors.join(sizes, "g").select("id", "g", "v", "bits", F.posexplode("codes").alias("t", "code"))
+    bits = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.count("*") / F.lit(BLOCK / 2))).cast("int")))
+    sizes = stage(vectors.groupBy("g").agg(F.count("*").alias("in_g"), bits.alias("bits")), "sizes")
+    coded = join_hot(vectors, sizes, ["g"], "in_g", total).select("id", "g", "v", "bits", F.posexplode("codes").alias("t", "code"))
     coded = coded.withColumn("bucket", F.col("code").bitwiseAND(F.expr("shiftleft(1, bits) - 1")))
     # a bucket that holds too many is dealt out again by a hash, another one in each table
-    parts = coded.groupBy("g", "t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = coded.join(parts, ["g", "t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), F.col("parts")))
+    parts = stage(coded.groupBy("g", "t", "bucket").agg(F.count("*").alias("in_bucket"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "parts")
+    dealt = join_hot(coded, parts, ["g", "t", "bucket"], "in_bucket", TABLES * total).withColumn("part", F.pmod(F.xxhash64("id", "t"), F.col("parts")))
     first = dealt.select("id", "v", "g", "t", "bucket", "part").groupBy("g", "t", "bucket", "part").applyInArrow(_nearest, "id long, nb long, sim double")
     caps = vectors.select("id").distinct().withColumn("k", F.lit(NEIGHBOURS))
     lists = stage(_best(first, caps), "lists")
@@ -239,12 +237,15 @@ def link(rows: DataFrame, embedding: str = "embedding", vec_id: str = "vec_id",
         left = saturated.limit(1).count()
         if not left or now == n_components:
             if left:
-                labels = compare_blocks(labels, vectors, labels.join(saturated, F.col("node") == F.col("id")).select(F.col("component").alias("c")))
+                labels = compare_blocks(labels, vectors, labels.join(saturated, F.col("node") == F.col("id")).select(F.col("component").alias("c")), total)
             recall, missed = audit(labels, vectors, total)
             if recall >= RECALL or recall <= reached:
                 if missed.limit(1).count():
-                    open_ = missed if recall >= RECALL else _members(labels, vectors).join(missed.select("g").distinct(), "g", "left_semi")
-                    labels = compare_blocks(labels, vectors, open_.select("c"))
+                    open_ = missed
+                    if recall < RECALL:
+                        groups = stage(sizes.join(missed.select("g").distinct(), "g", "left_semi"), "missed")
+                        open_ = join_hot(_members(labels, vectors), groups, ["g"], "in_g", total)
+                    labels = compare_blocks(labels, vectors, open_.select("c"), total)
                 break
             reached = recall
             grown = full.select("id", 2 * F.col("k"))
