@@ -3,7 +3,6 @@
 import hashlib
 from datetime import datetime, timedelta
 
-
 from tidemark.operators.fingerprint import fold, row_hash, row_text
 from tidemark.plans import profiles as p
 
