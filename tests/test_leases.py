@@ -83,5 +83,24 @@ def test_intake_forgets_after_its_horizon(spark, tmp_path, monkeypatch):
     assert got == {0: "NEW", 1: "DUPLICATE", 2: "NEW", 3: "NEW", 4: "NEW"}
 
 
+def test_intake_keeps_keys_in_buckets(spark, tmp_path, monkeypatch):
+    """The rows of the state store, and so the calls of Python, are no more than the buckets; keys that share one keep their own prints and horizons."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(intake, "BUCKETS", 3, raising=False)
+    day = 86_400
+    first = [(f"k{i % 200}", "p" if i < 400 or i % 2 else "q", 1000 * day + i, i) for i in range(600)]
+    batches = [first, [("late", "p", 1200 * day, 600)], [("late", "p", 1201 * day, 601)], [("k0", "q", 1202 * day, 602), ("k0", "q", 1202 * day + 1, 603), ("k0", "p", 1202 * day + 2, 604), ("late", "p", 1202 * day, 605)]]
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, "key string, print string, s long, event_id long").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    files = spark.readStream.schema("key string, print string, s long, event_id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    run = intake.intake(files.withColumn("ts", F.timestamp_seconds("s"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 3
+    got = {r["event_id"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {i: "NEW" if i < 200 else "DUPLICATE" if p == "p" else "CONFLICT" for _, p, _, i in first}
+    assert got == want | {600: "NEW", 601: "DUPLICATE", 602: "NEW", 603: "DUPLICATE", 604: "CONFLICT", 605: "DUPLICATE"}
+
+
 def test_an_empty_table(spark):
     assert leases.fold(spark.createDataFrame([], f"work string, {leases.COMMAND}")).count() == 0

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,32 +18,47 @@ OUTCOMES = "event_id long, key string, outcome string"
 
 #: A key's fingerprint is kept so long after its last event.
 HORIZON_MS = 90 * 86_400_000
-
-
-def _classify(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State is the first fingerprint of the key and the time of its last event; a timer drops it."""
-    if state.hasTimedOut:
+#: Keys are dealt to so many groups of keyed state: a call of Python and a row of the state store are a bucket's, not a key's.
+BUCKETS = 8_192
+
+
+def bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+
+
+def _classify(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State of a bucket is the first fingerprint of each key and the time of its last event; a key without an event in this batch goes once its horizon has passed."""
+    known = {k: (first, seen) for k, first, seen in zip(*state.get)} if state.exists else {}
+    told, touched = None, set()
+    if not state.hasTimedOut:
+        frame = pd.concat(list(frames))
+        frame = frame.iloc[np.lexsort((frame["event_id"], frame["ts"]))]
+        outcomes = []
+        for k, print_, ms in zip(frame["key"], frame["print"], frame["_ms"].fillna(0).astype("int64").tolist()):
+            if k in known:
+                first, seen = known[k]
+                outcomes.append("DUPLICATE" if print_ == first else "CONFLICT")
+                known[k] = (first, max(seen, ms))
+            else:
+                outcomes.append("NEW")
+                known[k] = (print_, ms)
+            touched.add(k)
+        told = pd.DataFrame({"event_id": frame["event_id"], "key": frame["key"], "outcome": outcomes})
+    now = state.getCurrentWatermarkMs()
+    known = {k: v for k, v in known.items() if k in touched or v[1] + HORIZON_MS >= now}
+    if known:
+        state.update((list(known), [first for first, _ in known.values()], [seen for _, seen in known.values()]))
+        state.setTimeoutTimestamp(max(min(seen for _, seen in known.values()) + HORIZON_MS, now + 1))
+    else:
         state.remove()
-        return
-    first, seen = state.get if state.exists else (None, 0)
-    frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    outcomes = []
-    for print_ in frame["print"]:
-        if first is None:
-            first = print_
-            outcomes.append("NEW")
-        else:
-            outcomes.append("DUPLICATE" if print_ == first else "CONFLICT")
-    seen = max(seen, int(frame["_ms"].max()))
-    state.update((first, seen))
-    state.setTimeoutTimestamp(max(seen + HORIZON_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"event_id": frame["event_id"], "key": key[0], "outcome": outcomes})
+    if told is not None:
+        yield told
 
 
 def intake(events: DataFrame, lateness: str = "7 days") -> DataFrame:
     """Classifies a stream of key, print, ts, event_id by each key's first event; the state is one fingerprint per key, for HORIZON_MS after its last event."""
-    rows = events.select("key", "print", "ts", "event_id", F.unix_millis("ts").alias("_ms")).withWatermark("ts", lateness)
-    return rows.groupBy("key").applyInPandasWithState(_classify, OUTCOMES, "print string, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = events.select(bucket("key"), "key", "print", "ts", "event_id", F.unix_millis("ts").alias("_ms")).withWatermark("ts", lateness)
+    return rows.groupBy("bucket").applyInPandasWithState(_classify, OUTCOMES, "keys array<string>, prints array<string>, seen array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def route_late(events: DataFrame, bound: str, tolerance: str, arrived: str = "arrived") -> DataFrame:
