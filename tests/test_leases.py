@@ -72,6 +72,26 @@ def test_state_and_timers_over_batches(spark, tmp_path):
     assert {(r["work"], r["id"]): r["outcome"] or r["error"] for r in leases.fold(table).collect()} == told
 
 
+def test_works_share_buckets(spark, tmp_path, monkeypatch):
+    """The rows of the state store are no more than the buckets; works that share one keep their own leases, timers and horizons."""
+    monkeypatch.setattr(leases, "BUCKETS", 2, raising=False)
+    schema, base, day = f"work string, {leases.COMMAND}", 1_700_000_000_000, 86_400_000
+    first = [(f"w{k}", 4 * k, base + k, "claim", None) for k in range(60)] + [(f"w{k}", 4 * k + 1, base + 1000 + k, "complete", 4 * k) for k in range(0, 60, 2)]
+    batches = [first, *([("x", 1000 + k, base + day * (1 + k), "claim", None)] for k in range(3)), [("w1", 2000, base + 3 * day + 1, "claim", None), ("w0", 2001, base + 3 * day + 2, "claim", None)], *([("x", 3000 + k, base + day * (100 + k), "claim", None)] for k in range(2)), [("w0", 4000, base + 101 * day, "claim", None)]]
+    for k, b in enumerate(batches):
+        spark.createDataFrame(rows(*b), schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    run = leases.fold_stream(files).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 2
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    told = {r["id"]: r["outcome"] or r["error"] for r in got if r["id"] is not None}
+    want = {4 * k: "claimed" for k in range(60)} | {4 * k + 1: "completed" for k in range(0, 60, 2)} | {1000: "claimed", 1001: "reclaimed", 1002: "reclaimed", 2000: "reclaimed", 2001: "NOT_CLAIMABLE", 3000: "reclaimed", 3001: "reclaimed", 4000: "claimed"}
+    assert told == want  # w0, completed, is forgotten after its horizon
+    ended = sorted((r["work"], r["at"]) for r in got if r["id"] is None and r["work"].startswith("w") and r["at"] < base + day)
+    assert ended == sorted((f"w{k}", base + k + leases.LEASE_MS) for k in range(1, 60, 2))
+
+
 def test_intake_forgets_after_its_horizon(spark, tmp_path, monkeypatch):
     day = 86_400
     for k, at in enumerate((0, 1, 200, 201, 202)):

@@ -22,8 +22,8 @@ HORIZON_MS = 90 * 86_400_000
 BUCKETS = 8_192
 
 
-def bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+def bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets))
 
 
 def _classify(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,7 +57,7 @@ def _classify(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 
 def intake(events: DataFrame, lateness: str = "7 days") -> DataFrame:
     """Classifies a stream of key, print, ts, event_id by each key's first event; the state is one fingerprint per key, for HORIZON_MS after its last event."""
-    rows = events.select(bucket("key"), "key", "print", "ts", "event_id", F.unix_millis("ts").alias("_ms")).withWatermark("ts", lateness)
+    rows = events.select(bucket("key", BUCKETS).alias("bucket"), "key", "print", "ts", "event_id", F.unix_millis("ts").alias("_ms")).withWatermark("ts", lateness)
     return rows.groupBy("bucket").applyInPandasWithState(_classify, OUTCOMES, "keys array<string>, prints array<string>, seen array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -1,7 +1,7 @@
 """Work under leases: claims, heartbeats, completions, failures and reviews as a fold over each work's commands, in a stream or over tables.
 
 The state of a work is a few values; both forms apply `step` to its commands in order of (at, id). The stream keeps
-the state by key with timers on event time: one when a lease runs out, which says so, and one HORIZON after the last command, when the
+the states of works by buckets, with timers on event time: one when a lease runs out, which says so, and one HORIZON after the last command, when the
 state of a work goes. Over tables, works are dealt by key and read as sorted streams with one state in memory, so a work of
 any number of commands is no more than its rows. Times are milliseconds.
 """
@@ -12,16 +12,21 @@ import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .intake import bucket
+
 # Length of a lease, minutes until each further attempt, attempts, failures of one signature before, days of evidence.
 LEASE_MS = 60_000
 BACKOFF = (1, 5, 30, 120, 720)
 MOST_ATTEMPTS, SAME_BEFORE = 6, 2
 HORIZON_MS = 90 * 86_400_000
+#: Works are dealt to so many groups of keyed state; a work has many commands, so fewer than keys of intake have.
+BUCKETS = 2_048
 REASONS = (
     "schema_unsupported", "source_hash_mismatch", "source_binding_invalid", "payload_unmappable", "payload_too_large", "privacy_policy_violation", "projection_invariant_failed", "lineage_source_missing", "manual_hold",
 )
@@ -57,6 +62,8 @@ class Command(NamedTuple):
 
 STATE = "state string, token long, worker string, lease long, attempt int, ready long, last string, before string, reason string"
 COMMAND = "id long, at long, kind string, worker string, token long, failure_class string, signature string, release boolean, prepared boolean"
+#: A work in the state of its bucket.
+FIELDS = ", ".join(f"{n}: {t}" for n, t in (x.split() for x in f"work string, {STATE}, seen long, timer long".split(", ")))
 OUT = "work string, id long, at long, accepted boolean, outcome string, error string, attempt int, due long"
 
 
@@ -98,14 +105,11 @@ def step(work: str, s: Work, c: Command) -> tuple[Work, bool, str | None, str |
     return s._replace(state=HELD, reason=reason, **free, **marked), True, HELD, QUARANTINED, None
 
 
-def _plain(x):
-    return None if x is None or x is pd.NA or x != x else x.item() if hasattr(x, "item") else x
-
-
 def _commands(frame: pd.DataFrame) -> Iterator[Command]:
-    for row in frame[list(Command._fields)].itertuples(index=False, name=None):
-        c = Command(*map(_plain, row))
-        yield c._replace(token=None if c.token is None else int(c.token))
+    plain = lambda c: [None if x is None or x is pd.NA or x != x else x for x in frame[c].tolist()]
+    columns = {c: plain(c) for c in Command._fields}
+    columns["token"] = [None if x is None else int(x) for x in columns["token"]]
+    return map(Command, *(columns[c] for c in Command._fields))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -131,32 +135,38 @@ def fold(commands: DataFrame) -> DataFrame:
     return commands.repartition("work").sortWithinPartitions("work", "at", "id").mapInPandas(run, OUT)
 
 
-def _stream_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state's last value is when it last had a command."""
-    work = key[0]
-    *values, seen = state.get if state.exists else (*Work(), 0)
-    s = Work(*values)
-    if state.hasTimedOut:
-        now = state.getCurrentWatermarkMs()
-        if s.state == CLAIMED and s.lease is not None and s.lease <= now < seen + HORIZON_MS:
-            state.setTimeoutTimestamp(seen + HORIZON_MS)
-            yield _frame([(work, None, s.lease, True, "lease_expired", None, s.attempt, None)])
-        else:
-            state.remove()
-        return
-    frame = pd.concat(list(frames)).sort_values(["at", "id"])
-    rows = []
-    for c in _commands(frame):
-        s, accepted, outcome, error, due = step(work, s, c)
-        seen = max(seen, c.at)
-        rows.append((work, c.id, c.at, accepted, outcome, error, s.attempt, due))
-    state.update((*s, seen))
-    timer = s.lease if s.state == CLAIMED and s.lease is not None else seen + HORIZON_MS
-    state.setTimeoutTimestamp(max(timer, state.getCurrentWatermarkMs() + 1))
-    yield _frame(rows)
+def _stream_step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State of a bucket is its works', each with when it last had a command and when its timer goes off. A command of a work comes before its timer."""
+    works = {w: (Work(*values), seen, timer) for w, *values, seen, timer in state.get[0]} if state.exists else {}
+    now, rows, touched = state.getCurrentWatermarkMs(), [], set()
+    if not state.hasTimedOut:
+        frame = pd.concat(list(frames))
+        frame = frame.iloc[np.lexsort((frame["id"], frame["at"]))]
+        for work, c in zip(frame["work"], _commands(frame), strict=True):
+            s, seen, _ = works.get(work, (Work(), 0, 0))
+            s, accepted, outcome, error, due = step(work, s, c)
+            works[work] = (s, max(seen, c.at), 0)
+            touched.add(work)
+            rows.append((work, c.id, c.at, accepted, outcome, error, s.attempt, due))
+    for work, (s, seen, timer) in list(works.items()):
+        if work in touched:
+            timer = s.lease if s.state == CLAIMED and s.lease is not None else seen + HORIZON_MS
+            works[work] = (s, seen, max(timer, now + 1))
+        elif timer < now and s.state == CLAIMED and s.lease is not None and s.lease <= now < seen + HORIZON_MS:
+            works[work] = (s, seen, seen + HORIZON_MS)
+            rows.append((work, None, s.lease, True, "lease_expired", None, s.attempt, None))
+        elif timer < now:
+            del works[work]
+    if works:
+        state.update(([(w, *s, seen, timer) for w, (s, seen, timer) in works.items()],))
+        state.setTimeoutTimestamp(max(min(timer for *_, timer in works.values()), now + 1))
+    else:
+        state.remove()
+    if rows:
+        yield _frame(rows)
 
 
 def fold_stream(commands: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """The same of a stream of commands; a lease that runs out gives a row without an id. Commands later than the watermark are dropped."""
-    timed = commands.withColumn("_time", F.timestamp_millis("at")).withWatermark("_time", lateness)
-    return timed.groupBy("work").applyInPandasWithState(_stream_step, OUT, STATE + ", seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = commands.withColumn("_time", F.timestamp_millis("at")).withWatermark("_time", lateness).withColumn("bucket", bucket("work", BUCKETS))
+    return timed.groupBy("bucket").applyInPandasWithState(_stream_step, OUT, f"works array<struct<{FIELDS}>>", "append", GroupStateTimeout.EventTimeTimeout)
