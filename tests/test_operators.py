@@ -308,6 +308,47 @@ def test_resolving_exposures(spark):
     }
 
 
+def test_resolving_follows_only_rows_that_join_two_groups(spark, monkeypatch):
+    """Against a disjoint set, with hot groups; rows whose event or key is theirs alone are no edges."""
+    import random
+
+    from tidemark.operators import components, keyed
+    from tidemark.plans import exposures as x
+
+    monkeypatch.setattr(keyed, "HOT", 4)
+    edges, real = [], components.components
+
+    def counted(e):
+        edges.append(e.count())
+        return real(e)
+
+    monkeypatch.setattr(components, "components", counted)
+    monkeypatch.setattr(x, "components", counted, raising=False)
+    rng = random.Random(5)
+    some = lambda head, n: None if rng.random() < 0.1 else f"{head}{rng.randrange(n)}"
+    rows = [(i, some("e", 60), some("k", 90), "r") for i in range(100)] + [(i, f"one{i}", f"pair{i // 2}", "r") for i in range(100, 140)] + [(i, "hub", f"own{i}", "r") for i in range(140, 160)]
+    parent = {}
+
+    def find(n):
+        parent.setdefault(n, n)
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for i, e, k, _ in rows:
+        for other in ([("e", e)] if e else []) + ([("k", k)] if k else []):
+            parent[find(other)] = find(("idx", i))
+    first = {}
+    for i, e, k, _ in rows:
+        if e or k:
+            first.setdefault(find(("idx", i)), i)
+    df = spark.createDataFrame([(i, e, k, r, i, "t", "p", "v") for i, e, k, r in rows], "idx long, event string, key string, run string, at long, text string, print string, invariant string")
+    got = {r["idx"]: r["representative"] for r in x.resolve(df).collect()}
+    assert got == {i: first[find(("idx", i))] for i, e, k, _ in rows if e or k}
+    both = {i for i, e, k, _ in rows if sum(e == o[1] for o in rows if e) > 1 and sum(k == o[2] for o in rows if k) > 1}
+    assert sum(edges) <= len(both)
+
+
 def test_bootstrap_by_slices_matches_resampling(spark):
     rng = np.random.default_rng(4)
     a, b = rng.gamma(2.0, 3.0, 700), rng.gamma(2.2, 3.0, 500)

@@ -17,3 +17,16 @@ def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total
     many = max(HOT, -(-total // HOT_KEYS))
     hot = F.broadcast(keyed.filter(F.col(n) >= many))
     return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(keyed.filter(F.col(n) < many), on))
+
+
+def left_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str) -> DataFrame:
+    """The left join of rows with keyed, one row per key, where `n` of keyed says how many rows have the key. keyed is a staged or checkpointed table.
+
+    Where any keys have many rows, they are joined by a broadcast; as `join_counted` counts them."""
+    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
+    many = max(HOT, -(-total // HOT_KEYS))
+    hot = keyed.filter(F.col(n) >= many)
+    if not hot.limit(1).count():
+        return rows.join(keyed, on, "left")
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(keyed.filter(F.col(n) < many), on, "left"))

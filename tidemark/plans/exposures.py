@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import alias_components
-from ..operators.keyed import join_counted
+from ..operators.components import components
+from ..operators.keyed import left_counted
 from ..sources.sinks import stage
 from ..sources.tables import Domain
 from .events import _prefixed, fingerprint
@@ -29,30 +29,44 @@ def conflicts(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _sharing(rows: DataFrame, by: str, same: str) -> DataFrame:
+    """Values of `by` in more rows than one: the least idx of theirs, how many they are, and whether they don't agree in `same`."""
+    groups = rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min("idx").alias(f"{by}_least"), F.count("*").alias(f"{by}_n"), (F.min(same) != F.max(same)).alias(f"{by}_bad"))
+    return groups.filter(f"{by}_n > 1")
+
+
 def resolve(rows: DataFrame) -> DataFrame:
-    """Adds component, representative (idx of its first row by time, text, event, key and idx) and outcome to rows.
-
-    rows: idx, event, key, run, at, text, print (of the payload), invariant (of the run). Rows that share an event or a key are a
-    component, through any number of others. Where groups in conflict meet a component, all its rows have the worst code. Else the
-    first row is kept; another one names what it shares with the first, and one that shares nothing with it is ambiguous."""
-    rows = stage(alias_components(rows, ["event", "key"]), "aliased")
-    first = F.min(F.struct("at", "text", "event", "key", "idx"))
-    groups = rows.groupBy("component").agg(first.alias("first"), F.count("*").alias("n"))
-    bad = stage(conflicts(rows), "conflicts")
-    rank = F.create_map(*(F.lit(x) for i, (c, *_) in enumerate(CONFLICTS) for x in (c, i)))
-    hits = []
-    for code, by, _ in CONFLICTS:  # components that a group in conflict meets: pairs of the two are distinct before they meet
-        pairs = rows.filter(F.col(by).isNotNull()).select("component", F.col(by).cast("string").alias("id")).distinct()
-        hits.append(pairs.join(bad.filter(F.col("code") == code), "id").select("component", rank[F.col("code")].alias("worst")))
-    worst = reduce(DataFrame.unionByName, hits).groupBy("component").agg(F.min("worst").alias("worst"))
-    groups = stage(groups.join(worst, "component", "left"), "groups")
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    met = join_counted(rows, groups, ["component"], "n", total)
+    """Adds component, representative (idx of its first row by time, text, event, key and idx) and outcome to rows, in place of print and invariant.
+
+    rows: idx (no two alike), event, key, run, at, text, print (of the payload), invariant (of the run). Rows that share an event or a key are a
+    component, through any number of others; one without either is left out. Where groups in conflict meet a component, all its rows have the worst
+    code. Else the first row is kept; another one names what it shares with the first, and one that shares nothing with it is ambiguous.
+
+    A group's least idx stands for it. Only rows whose event and key both have further rows can join two groups, so the edges are those
+    of such rows, from number to number. rows is read four times, by its columns: stage one that is costly. Prints don't travel with the rows."""
+    met = rows.filter(F.coalesce("event", "key").isNotNull()).drop("print", "invariant")
+    for code, by, same in CONFLICTS:
+        if by == "run":  # only runs that changed
+            runs = rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min(same).alias("lo"), F.max(same).alias("hi"), F.count("*").alias("run_n")).filter("lo <> hi")
+            shared = stage(runs.select(by, "run_n", F.lit(True).alias("run_bad")), by)
+        else:
+            shared = stage(_sharing(rows, by, same), by)
+        met = left_counted(met, shared, [by], f"{by}_n")
+    own = F.coalesce("event_least", "key_least", "idx")
+    worst = F.coalesce(*(F.when(F.col(f"{by}_bad"), i) for i, (_, by, _) in enumerate(CONFLICTS)))
+    met = stage(met.select(*(c for c in rows.columns if c not in ("print", "invariant")), own.alias("own"), "event_least", "key_least", worst.alias("worst")), "met")
+    edges = met.filter("event_least <> key_least").select(F.col("event_least").alias("a"), F.col("key_least").alias("b"))
+    found = components(edges).filter("node <> component").select(F.col("node").alias("own"), "component")
+    sizes = met.groupBy("own").agg(F.count("*").alias("n"), F.min("worst").alias("worst"), F.min(F.struct("at", "text", "event", "key", "idx")).alias("first"))
+    sizes = stage(sizes.join(found, "own", "left").withColumn("component", F.coalesce("component", "own")), "sizes")
+    groups = sizes.groupBy("component").agg(F.min("worst").alias("worst"), F.min("first").alias("first"), F.sum("n").alias("many"))
+    groups = stage(left_counted(sizes.select("own", "n", "component"), stage(groups, "groups"), ["component"], "many"), "owns")
+    met = left_counted(met.drop("worst"), groups, ["own"], "n")
     code = F.element_at(F.array(*(F.lit(c) for c, *_ in CONFLICTS)), F.col("worst") + 1)
     event, key = F.col("event").eqNullSafe(F.col("first.event")), F.col("key").eqNullSafe(F.col("first.key"))
     event, key = event & F.col("event").isNotNull(), key & F.col("key").isNotNull()
     outcome = F.when(F.col("worst").isNotNull(), code).when(F.col("idx") == F.col("first.idx"), KEPT).when(event & key, BOTH).when(event, SAME_EVENT).when(key, SAME_KEY).otherwise(AMBIGUOUS)
-    return met.select(*rows.columns, F.col("first.idx").alias("representative"), outcome.alias("outcome"))
+    return met.select(*(c for c in rows.columns if c not in ("print", "invariant")), "component", F.col("first.idx").alias("representative"), outcome.alias("outcome"))
 
 
 #: Behaviour as exposures sent more than once: eight ids in a row make chains of alternating keys, pairs, or share an event or a key.
