@@ -308,6 +308,23 @@ def test_resolving_exposures(spark):
     }
 
 
+def test_lines_and_orders_meet_in_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    """However many lines there are, the join's tasks have about LINES_A_TASK; the rows are the same."""
+    from tidemark.sources import tables
+
+    spark.range(400).selectExpr("id div 4 as l_orderkey", "id % 7 as l_partkey", "id % 5 as l_suppkey", "cast(id % 4 as int) as l_linenumber", "1.0 as l_quantity", "1.0 as l_extendedprice", "0.0 as l_discount", "0.0 as l_tax", "'R' as l_returnflag", "timestamp'2024-01-01' as l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(90).selectExpr("id as o_orderkey", "id as o_custkey", "timestamp'2024-01-01' as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = sorted(map(tuple, tables.Domain(spark, str(tmp_path)).runs.collect()))
+        monkeypatch.setattr(tables, "LINES_A_TASK", 20, raising=False)
+        runs = tables.Domain(spark, str(tmp_path)).runs
+        assert sorted(map(tuple, runs.collect())) == want and len(want) == 360
+        assert runs.rdd.getNumPartitions() == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_resolving_follows_only_rows_that_join_two_groups(spark, monkeypatch):
     """Against a disjoint set, with hot groups; rows whose event or key is theirs alone are no edges."""
     import random
