@@ -2,12 +2,16 @@
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import canonical, negative_zero, number
 from tidemark.plans import builds as b
+from tidemark.sources.tables import Domain
+
+DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_numbers(spark):
@@ -85,3 +89,14 @@ def test_no_pages_and_null_candidates(spark):
     assert b.build(page(spark).limit(0)).count() == 0
     none = page(spark, **NO_PAGE).withColumn("candidates", F.when(F.lit(False), F.col("candidates")))
     assert b.build(none).first()["refusal"] is None
+
+
+def test_candidates_seen_as_rows_give_the_same_event(spark):
+    """A page whose candidates were made ready in rows of their own is bound as one built from the array, and exposure_events makes them so."""
+    pages = page(spark).unionByName(page(spark, TWO((1, P, "1.5D"), (2, P)))).unionByName(page(spark, TWO((1, P), (3, P)), pageEndRank="3")).withColumn("page", F.monotonically_increasing_id())
+    rows = pages.select("page", F.posexplode("candidates").alias("at", "c")).select("page", F.struct("at", b.seen(F.col("c"), F.col("at")).alias("c")).alias("one"))
+    ready = pages.drop("candidates").join(rows.groupBy("page").agg(F.sort_array(F.collect_list("one")).alias("ones")), "page").withColumn("candidates", F.col("ones.c"))
+    got, want = ({r["page"]: (r["refusal"], r["replayKey"], r["pageFingerprint"]) for r in x.collect()} for x in (b.bound(ready), b.build(pages)))
+    assert got == want and [refusal for refusal, _, _ in sorted(got.values(), key=str)] == ["PERSONALIZED_CANDIDATE", "RANK_DISCONTINUITY", None]
+    if os.path.isdir(DIR):
+        assert b.served_pages(Domain(spark, DIR)).schema["candidates"].dataType.elementType.names == ["absoluteRank", "identity", "fault", "text"]

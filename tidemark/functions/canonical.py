@@ -9,7 +9,9 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, Floa
 
 def number(x: Column) -> Column:
     """Zeros of either sign as 0, whole numbers without a point, exponents with a small e and no plus. Not finite: null."""
-    text = F.translate(F.regexp_replace(x.cast("double").cast("string"), r"\.0(?=E|$)", ""), "E", "e")
+    text = x.cast("double").cast("string")
+    power = F.translate(F.regexp_replace(text, r"\.0(?=E)", ""), "E", "e")
+    text = F.when(text.contains("E"), power).when(text.endswith(".0"), F.left(text, F.length(text) - 2)).otherwise(text)
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).when(x == 0, "0").otherwise(text)
 
 
@@ -27,17 +29,26 @@ def quoted(text: Column) -> Column:
         return short.when(c < " ", F.concat(F.lit(r"\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c)
 
     rare = F.array_join(F.transform(F.split(plain, ""), each), "")
-    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), rare).otherwise(plain), F.lit('"'))
+    escaped = F.when(text.rlike(r"[\x00-\x1f]"), rare).otherwise(plain)
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(text), F.lit('"'))
+
+
+def written(parts: dict[str, Column]) -> Column:
+    """An object of values that are JSON texts already; null where one of them is."""
+    return F.concat(F.lit("{"), *(x for i, (k, v) in enumerate(parts.items()) for x in (F.lit(("," if i else "") + f'"{k}":'), v)), F.lit("}"))
+
+
+def listed(texts: Column) -> Column:
+    """A list of values that are JSON texts already; null where one of them is."""
+    return F.when(~F.exists(texts, lambda e: e.isNull()), F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
 
 
 def canonical(x: Column, of: DataType) -> Column:
     """x of the given type as JSON text. Nulls are written, at any depth. A number that isn't finite makes the whole text null."""
     if isinstance(of, StructType):
-        parts = [F.concat(F.lit(("," if i else "") + f'"{f.name}":'), canonical(x[f.name], f.dataType)) for i, f in enumerate(of.fields)]
-        text = F.concat(F.lit("{"), *parts, F.lit("}"))
+        text = written({f.name: canonical(x[f.name], f.dataType) for f in of.fields})
     elif isinstance(of, ArrayType):
-        items = F.transform(x, lambda e: canonical(e, of.elementType))
-        text = F.when(~F.exists(items, lambda e: e.isNull()), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+        text = listed(F.transform(x, lambda e: canonical(e, of.elementType)))
     elif isinstance(of, (DoubleType, FloatType)):
         text = number(x)
     elif isinstance(of, StringType):

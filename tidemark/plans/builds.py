@@ -6,8 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from ..functions.canonical import digest, negative_zero
+from ..functions.canonical import canonical, listed, negative_zero, written
 from ..sources.tables import Domain
 from .registry import query
 
@@ -20,7 +21,6 @@ CANDIDATE = (
 )
 NAMES = ("rankingSnapshotId", "metadataSnapshotId", "explorationSnapshotId", "userId", "contextId", "baseIntegrationPolicyVersion", "baseRankingPolicyVersion", "scorePolicyVersion", "diversityPolicyVersion", "explorationPolicyVersion", "explorationSeed")
 COUNTS = ("inputCount", "scoredCount", "sourceTerminalCount", "personalizedCount", "insertedCount", "finalRankedCandidateCount", "terminalCandidateCount")
-_UNIT = "coalesce(not ({0} >= 0 and {0} <= 1) or isnan({0}), true)"
 #: Why a page gives no event: (refusal, condition), the first that holds.
 RULES = (
     ("RANKING_POLICY", f"not (rankingPolicyVersion <=> '{RANKING}')"),
@@ -36,16 +36,14 @@ RULES = (
     ("EMPTY_PAGE", "size(candidates) = 0 and (pageStartRank is not null or pageEndRank is not null or hasNextPage or nextCursor is not null)"),
     ("EMPTY_RESULT", "size(candidates) = 0 and not (status = 'EMPTY' and emptyReason is not null and finalRankedCandidateCount = 0 or status = 'RANKED' and emptyReason is null and finalRankedCandidateCount > 0)"),
     ("PAGE_RANK_BOUNDARY", "size(candidates) > 0 and not (candidates[0].absoluteRank <=> pageStartRank and candidates[size(candidates) - 1].absoluteRank <=> pageEndRank)"),
-    ("RANK_DISCONTINUITY", "exists(transform(candidates, (c, i) -> not (c.absoluteRank <=> candidates[0].absoluteRank + i)), x -> x)"),
-    ("NEXT_CURSOR", "not (hasNextPage <=> (nextCursor is not null))"),
-    ("DUPLICATE_IDENTITY", "size(array_distinct(transform(candidates, c -> struct(c.entityType, c.entityId)))) < size(candidates)"),
-    ("RANK_BEYOND_FINAL", "exists(candidates, c -> c.absoluteRank > finalRankedCandidateCount)"),
-    ("PERSONALIZED_CANDIDATE", f"exists(candidates, c -> c.origin = '{PERSONALIZED}' and ({_UNIT.format('c.score')} or not coalesce(c.baseAbsoluteRank > 0 and c.diversifiedAbsoluteRank > 0, false)))"),
     (
-        "EXPLORATION_CANDIDATE",
-        f"exists(candidates, c -> c.origin = '{EXPLORATION}' and ({_UNIT.format('c.explorationQualityScore')} or not coalesce(c.recentExposureCount >= 0 and c.seededTieBreakKey between 0 and 4294967295 and c.explorationPoolRank > 0 and c.targetInsertionRank > 0, false)))",
+        "RANK_DISCONTINUITY",
+        "case when size(candidates) > 0 then not (candidates.absoluteRank <=> coalesce(sequence(candidates[0].absoluteRank, candidates[0].absoluteRank + size(candidates) - 1), array_repeat(candidates[0].absoluteRank, size(candidates)))) end",
     ),
-    ("UNSUPPORTED_ORIGIN", f"exists(candidates, c -> not coalesce(c.origin in ('{PERSONALIZED}', '{EXPLORATION}'), false))"),
+    ("NEXT_CURSOR", "not (hasNextPage <=> (nextCursor is not null))"),
+    ("DUPLICATE_IDENTITY", "size(array_distinct(candidates.identity)) < size(candidates)"),
+    ("RANK_BEYOND_FINAL", "array_max(candidates.absoluteRank) > finalRankedCandidateCount"),
+    *((name, f"array_contains(candidates.fault, '{name}')") for name in ("PERSONALIZED_CANDIDATE", "EXPLORATION_CANDIDATE", "UNSUPPORTED_ORIGIN")),
 )
 _REPLAY = (
     "schemaVersion", "userId", "contextId", "cursorVersion", "rankingSnapshotId", "metadataSnapshotId", "explorationSnapshotId", "rankingPolicyVersion", "baseIntegrationPolicyVersion", "baseRankingPolicyVersion", "scorePolicyVersion",
@@ -57,12 +55,28 @@ _PAGE = (
 )
 
 
-def _projected(c: Column, position: Column) -> Column:
-    """A candidate in canonical order; what belongs to the other origin is null."""
+def _projected(c: Column, position: Column) -> list[Column]:
+    """A candidate's values in canonical order; what belongs to the other origin is null."""
     own = {"score": PERSONALIZED, "baseAbsoluteRank": PERSONALIZED, "diversifiedAbsoluteRank": PERSONALIZED} | dict.fromkeys(("explorationQualityScore", "recentExposureCount", "seededTieBreakKey", "explorationPoolRank", "targetInsertionRank"), EXPLORATION)
     made = {"pagePosition": position + 1, "scoreIsNegativeZero": F.coalesce((c["origin"] == PERSONALIZED) & negative_zero(c["score"]), F.lit(False))}
     fields = [made[n] if n in made else F.when(c["origin"] == own[n], c[n]) if n in own else c[n] for n, _ in CANDIDATE]
-    return F.struct(*(f.cast(t).alias(n) for f, (n, t) in zip(fields, CANDIDATE)))
+    return [f.cast(t) for f, (_, t) in zip(fields, CANDIDATE, strict=True)]
+
+
+def _of_unit(x: Column) -> Column:
+    return F.coalesce((x >= 0) & (x <= 1) & ~F.isnan(x), F.lit(False))
+
+
+def seen(c: Column, position: Column) -> Column:
+    """What a page's rules and print need of a candidate at a position from 0: absoluteRank, identity, fault (the rule of RULES that it breaks by itself) and text, its JSON."""
+    own = _of_unit(c["score"]) & F.coalesce((c["baseAbsoluteRank"] > 0) & (c["diversifiedAbsoluteRank"] > 0), F.lit(False))
+    explored = _of_unit(c["explorationQualityScore"]) & F.coalesce(
+        (c["recentExposureCount"] >= 0) & c["seededTieBreakKey"].between(0, 4294967295) & (c["explorationPoolRank"] > 0) & (c["targetInsertionRank"] > 0), F.lit(False)
+    )
+    fault = F.when(c["origin"] == PERSONALIZED, F.when(~own, "PERSONALIZED_CANDIDATE")).when(c["origin"] == EXPLORATION, F.when(~explored, "EXPLORATION_CANDIDATE")).otherwise("UNSUPPORTED_ORIGIN")
+    fields = _projected(c, position)
+    text = written({n: canonical(x, DataType.fromDDL(t)) for (n, t), x in zip(CANDIDATE, fields, strict=True)})
+    return F.struct(c["absoluteRank"].alias("absoluteRank"), F.struct(c["entityType"], c["entityId"]).alias("identity"), fault.alias("fault"), text.alias("text"))
 
 
 def build(pages: DataFrame) -> DataFrame:
@@ -71,15 +85,21 @@ def build(pages: DataFrame) -> DataFrame:
     pages: NAMES, COUNTS, rankingPolicyVersion, status, emptyReason, requestedLimit, effectiveLimit, pageStartRank, pageEndRank, hasNextPage, nextCursor, candidates (an array in
     the order shown, with the keys of CANDIDATE but the made ones), and the structs componentPolicyVersions, diversitySummary and explorationSummary, written in the order
     of their fields. A null array of candidates is an empty page."""
+    return bound(pages.withColumn("candidates", F.transform("candidates", seen)))
+
+
+def bound(pages: DataFrame) -> DataFrame:
+    """As build, of pages whose candidates are `seen` already: where candidates are rows, their texts are made there, by generated code, and not in an array by functions of its elements."""
     empty = F.array().cast(pages.schema["candidates"].dataType)
     rows = pages.withColumn("candidates", F.coalesce("candidates", empty))
     rows = rows.withColumn("refusal", F.coalesce(*(F.when(F.expr(c), name) for name, c in RULES)))
-    made = {"schemaVersion": F.lit(SCHEMA), "cursorVersion": F.lit(CURSOR), "rankingStatus": F.col("status"), "rankingEmptyReason": F.col("emptyReason"), "pageCandidateCount": F.size("candidates"), "candidates": F.transform("candidates", _projected)}
-    whole = lambda names: F.struct(*(made[n].alias(n) if n in made else F.col(n) for n in names))
-    rows = rows.withColumn("_replay", whole(_REPLAY))
-    rows = rows.withColumn("replayKey", F.when(F.col("refusal").isNull(), digest(F.col("_replay"), rows.schema["_replay"].dataType))).withColumn("_page", whole(_PAGE))
-    rows = rows.withColumn("pageFingerprint", F.when(F.col("refusal").isNull(), digest(F.col("_page"), rows.schema["_page"].dataType)))
-    return rows.drop("_replay", "_page")
+    good = F.col("refusal").isNull()
+    made = {"schemaVersion": F.lit(SCHEMA), "cursorVersion": F.lit(CURSOR), "rankingStatus": F.col("status"), "rankingEmptyReason": F.col("emptyReason"), "pageCandidateCount": F.size("candidates")}
+    of = rows.select(*(made.get(n, F.col(n)).alias(n) for n in _REPLAY + _PAGE if n not in ("replayKey", "candidates"))).schema
+    texts = lambda names: {n: canonical(made.get(n, F.col(n)), of[n].dataType) for n in names}
+    rows = rows.withColumn("replayKey", F.when(good, F.sha2(written(texts(_REPLAY)), 256)))
+    told = {"replayKey": F.concat(F.lit('"'), F.col("replayKey"), F.lit('"'))} | texts(_PAGE[1:-1]) | {"candidates": listed(F.col("candidates.text"))}
+    return rows.withColumn("pageFingerprint", F.when(good, F.sha2(written(told), 256)))
 
 
 SHOWN = 5
@@ -87,7 +107,7 @@ _DIMENSIONS = ("duplicate_group", "author", "region", "theme")
 
 
 def served_pages(d: Domain) -> DataFrame:
-    """The first five lines of each order, with the order's counts; some pages break a rule."""
+    """The first five lines of each order, as `seen`, with the order's counts; some pages break a rule."""
     item = F.col("rank").cast("int") + F.when((F.col("run_id") % 41 == 0) & (F.col("rank") > 2), 1).otherwise(0)
     score = F.when((F.col("discount") == 0) & (F.col("quantity") % 2 == 1), F.lit(-0.0)).otherwise(F.col("discount"))
     fields = {
@@ -95,8 +115,10 @@ def served_pages(d: Domain) -> DataFrame:
         "score": score, "baseAbsoluteRank": item, "diversifiedAbsoluteRank": item, "explorationQualityScore": F.when(F.col("run_id") % 31 == 0, 2.0).otherwise(F.col("quantity") / 50), "recentExposureCount": F.col("place_id"),
         "seededTieBreakKey": F.col("post_id"), "explorationPoolRank": item, "targetInsertionRank": item,
     }
-    candidate = F.struct(F.col("rank"), F.struct(*(c.alias(k) for k, c in fields.items())).alias("c"))
-    runs = d.runs.groupBy("run_id", "user_id").agg(F.count("*").alias("n"), F.count_if(F.col("flag") == "R").alias("x"), F.array_sort(F.collect_list(F.when(F.col("rank") <= SHOWN, candidate))).alias("ordered"))
+    # what a page needs of a line is made in the line's own row
+    one = d.runs.select("run_id", "user_id", "rank", "flag", F.struct(*(c.alias(k) for k, c in fields.items())).alias("c"))
+    lines = one.select("run_id", "user_id", "flag", F.when(F.col("rank") <= SHOWN, F.struct("rank", seen(F.col("c"), F.col("rank") - 1).alias("c"))).alias("shown"))
+    runs = lines.groupBy("run_id", "user_id").agg(F.count("*").alias("n"), F.count_if(F.col("flag") == "R").alias("x"), F.sort_array(F.collect_list("shown")).alias("ordered"))
     run, n, x = F.col("run_id"), F.col("n").cast("int"), F.col("x").cast("int")
     left = (run % 3).cast("int")
     more = F.when(run % 47 == 0, n <= SHOWN).otherwise(n > SHOWN)
@@ -105,7 +127,7 @@ def served_pages(d: Domain) -> DataFrame:
         **{k: F.concat(F.lit(k[0]), run.cast("string")) for k in NAMES[:3]}, "userId": F.col("user_id").cast("string"), "contextId": F.when(run % 43 == 0, " ").otherwise("home"), **{k: F.lit("v1") for k in NAMES[5:10]}, "explorationSeed": F.concat(F.lit("s"), run.cast("string")),
         "rankingPolicyVersion": F.lit(RANKING), "status": F.lit("RANKED"), "emptyReason": F.lit(None).cast("string"), "requestedLimit": F.lit(None).cast("int"), "effectiveLimit": F.lit(SHOWN),
         "inputCount": n + left + F.when(run % 53 == 0, 1).otherwise(0), "scoredCount": n - x, "sourceTerminalCount": x + left, "personalizedCount": n - x, "insertedCount": x, "finalRankedCandidateCount": n, "terminalCandidateCount": left,
-        "candidates": F.transform("ordered", lambda e: e["c"]), "pageStartRank": F.lit(1), "pageEndRank": F.least(n, F.lit(SHOWN)) + F.when((run % 41 == 0) & (n > 2), 1).otherwise(0),
+        "candidates": F.col("ordered.c"), "pageStartRank": F.lit(1), "pageEndRank": F.least(n, F.lit(SHOWN)) + F.when((run % 41 == 0) & (n > 2), 1).otherwise(0),
         "hasNextPage": more, "nextCursor": F.when(n > SHOWN, "next"), "componentPolicyVersions": F.struct(F.lit("c1").alias("context_match"), F.lit("i1").alias("interest_match"), F.lit("f1").alias("freshness"), F.lit("p1").alias("popularity")),
         "diversitySummary": F.struct(F.lit("APPLIED").alias("status"), x.alias("movedCandidateCount"), zeros.alias("violationCountByDimension")),
         "explorationSummary": F.struct(F.lit("APPLIED").alias("status"), x.alias("insertedCandidateCount"), F.array(F.lit(4), F.lit(9)).alias("insertedTargetRanks")),
@@ -133,4 +155,4 @@ _SQL = f"""WITH i AS (SELECT *, rank + CASE WHEN run_id % 41 = 0 AND rank > 2 TH
 @query("exposure_events", _SQL, ("runs",))
 def exposure_events(d: Domain) -> DataFrame:
     """Each served page as an event's two digests, or the rule that it breaks."""
-    return build(served_pages(d)).select("run_id", "refusal", F.size("candidates").alias("n_candidates"), F.col("replayKey").alias("replay_key"), F.col("pageFingerprint").alias("page_fingerprint"))
+    return bound(served_pages(d)).select("run_id", "refusal", F.size("candidates").alias("n_candidates"), F.col("replayKey").alias("replay_key"), F.col("pageFingerprint").alias("page_fingerprint"))
