@@ -389,6 +389,28 @@ def test_slices_of_a_resample_add_up(spark):
     assert all(abs(r["low"]) < 1e-9 and abs(r["high"]) < 1e-9 for r in experiments.bootstrap(df, 600, 4).collect())
 
 
+def test_sums_of_draws_with_frequent_and_rare_values():
+    """Frequent values are drawn as numbers of times, rare ones one by one: together as draws from all, also of none, of rare or of frequent values alone."""
+    values, counts = np.array([1.0, 2.0, 5.0, 9.0, 40.0]), np.array([1, 900, experiments.FEW, experiments.FEW + 1, 3])
+    draws = np.tile([0, 1, 500, 0], 5000)
+    for part in (slice(None), slice(1, 2), slice(2, 3)):
+        v, c = values[part], counts[part]
+        got = experiments.sums(np.random.default_rng(3), c, v, draws)
+        mean = (v * c).sum() / c.sum()
+        var = (v * v * c).sum() / c.sum() - mean**2
+        assert (got[draws == 0] == 0).all() and set(got[draws == 1]) == set(v)
+        many = got[draws == 500]
+        assert abs(many.mean() - 500 * mean) <= 5 * np.sqrt(500 * var / len(many)) + 1e-9 and abs(many.var() - 500 * var) <= 500 * var * 5 * np.sqrt(2 / len(many)) + 1e-9
+
+
+def test_slices_are_dealt_by_number(spark):
+    """Slices hold few bytes, which must not bring them together in one task."""
+    rows = [("s", "m", v, float(i)) for i in range(400) for v in ("baseline", "treatment")]
+    found = experiments.bootstrap(spark.createDataFrame(rows, "segment string, metric string, variant string, v double"), 20, 4)
+    assert "REPARTITION_BY_NUM" in (plan := found._jdf.queryExecution().toString()) and plan.count("hashpartitioning(segment") >= 2
+    assert found.count() == 2
+
+
 def test_exact_quantiles_however_values_lie(spark):
     from tidemark.plans import content
 

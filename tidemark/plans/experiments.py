@@ -199,8 +199,8 @@ STEPS = {
     "DRAFT": ("SHADOW", "HOLD"), "SHADOW": ("CANARY", "HOLD"), "CANARY": ("LIVE", "HOLD", "ROLLED_BACK"), "LIVE": ("HOLD", "ROLLED_BACK"),
     "HOLD": ("SHADOW", "CANARY", "ROLLED_BACK"), "ROLLED_BACK": ("SHADOW",),
 }
-#: Resamples drawn from one seed, cells of a matrix of draws at a time, and distinct values of a slice.
-DRAWS, CELLS, VALUES = 500, 1 << 21, 2_048
+#: Resamples drawn from one seed, cells of a matrix of draws at a time, distinct values of a slice, the most often that a value drawn by itself occurs, and slices of a task.
+DRAWS, CELLS, VALUES, FEW, SLICES_A_TASK = 500, 1 << 21, 2_048, 16, 8
 
 
 @query(
@@ -253,11 +253,26 @@ def _seeded(*parts: object) -> np.random.Generator:
     return np.random.default_rng([zlib.crc32("\x1f".join(map(str, parts)).encode()), BOOTSTRAP_SEED])
 
 
+def sums(rng: np.random.Generator, counts: np.ndarray, values: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Per entry of draws the sum of that many draws from values, each as likely as its count.
+
+    A value that occurs often is drawn as a number of times, by a multinomial; to those that occur at most FEW times it gives one number
+    for all, and so many are then picked one by one, which costs far less a value than a binomial each."""
+    few = counts <= FEW
+    picks = np.repeat(values[few], counts[few])
+    cells = rng.multinomial(draws, np.append(counts[~few], len(picks)) / counts.sum())
+    total, some = cells[:, :-1] @ values[~few], cells[:, -1]
+    if len(picks):
+        picked = np.append(picks[rng.integers(0, len(picks), some.sum(), dtype=np.uint32)], 0.0)
+        total += np.where(some > 0, np.add.reduceat(picked, np.cumsum(some) - some), 0.0)
+    return total
+
+
 def _drawn(iterations: int):
     """The mean's share that a slice of values gives each resample.
 
     A resample draws how many of its n come from each band of slices, then from each slice of a band, then from each value of a slice: three
-    multinomial draws, which together are one over all values. The first two are seeded by the group and the band alone, so every slice comes
+    draws, which together are one multinomial over all values. The first two are seeded by the group and the band alone, so every slice comes
     to the same numbers without being told them."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -275,8 +290,8 @@ def _drawn(iterations: int):
             m = min(DRAWS, iterations - block)
             some = _seeded(*name, block).multinomial(n, in_bands / n, size=m)[:, int(np.flatnonzero(bands == one["band"])[0])]
             some = _seeded(*name, block, one["band"]).multinomial(some, in_slices / in_slices.sum())[:, int(np.flatnonzero(slices == one["slice"])[0])]
-            rng, step = _seeded(*name, block, one["band"], one["slice"]), max(1, CELLS // len(counts))
-            parts += [rng.multinomial(some[k : k + step], counts / counts.sum()) @ values / n for k in range(0, m, step)]
+            rng, step = _seeded(*name, block, one["band"], one["slice"]), max(1, CELLS // int(np.minimum(counts, FEW).sum()))
+            parts += [sums(rng, counts, values, some[k : k + step]) / n for k in range(0, m, step)]
         return pd.DataFrame({"segment": name[0], "metric": name[1], "variant": name[2], "draw": np.arange(iterations), "part": np.concatenate(parts)})
 
     return run
@@ -286,7 +301,8 @@ def bootstrap(obs: DataFrame, iterations: int = ITERATIONS, values: int = VALUES
     """(segment, metric, low, high), with a segment `all`; zeros where a variant has no values.
 
     Observations are counted by value; a group's distinct values are dealt by hash to slices of about `values`, and the slices to bands, as many as a band has slices. Each
-    slice draws all resamples of its values by itself; its parts are summed by resample, in each task before the shuffle. No task has a segment."""
+    slice draws all resamples of its values by itself; its parts are summed by resample, in each task before the shuffle. No task has a segment.
+    Slices are few bytes and much work, so they are dealt to tasks by their number, not by their size."""
     group = ["segment", "metric", "variant"]
     both = obs.filter("v is not null").withColumn("segment", F.explode(F.array("segment", F.lit("all"))))
     counted = stage(both.groupBy(*group, "v").agg(F.count("*").alias("n")), "counted")
@@ -298,7 +314,8 @@ def bootstrap(obs: DataFrame, iterations: int = ITERATIONS, values: int = VALUES
     whole = bands.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("band", "n"))).alias("bands"))
     told = stage(slices.select(*group, "band", "slice").join(bands.drop("n"), [*group, "band"]).join(whole, group), "told")
     key = [*group, "slice"]
-    drawn = dealt.groupBy(*key).cogroup(told.groupBy(*key)).applyInPandas(_drawn(iterations), "segment string, metric string, variant string, draw int, part double")
+    tasks = max(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-told.count() // SLICES_A_TASK))
+    drawn = dealt.repartition(tasks, *key).groupBy(*key).cogroup(told.repartition(tasks, *key).groupBy(*key)).applyInPandas(_drawn(iterations), "segment string, metric string, variant string, draw int, part double")
     side = lambda v: F.sum(F.when(F.col("variant") == v, F.col("part")))
     effects = drawn.groupBy("segment", "metric", "draw").agg(F.coalesce(side("treatment") - side("baseline"), F.lit(0.0)).alias("effect"))
     low, high = places(iterations)
