@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.fingerprint import fold, row_hash, row_text, sql_fold, sql_text
@@ -40,20 +40,33 @@ _BEHAVIOUR = f"""lines AS (SELECT l_orderkey AS run, l_partkey AS part, l_suppke
 
 
 def audited(d: Domain) -> DataFrame:
-    """Every behaviour with the first category that holds. The exposures of one entity in one run are few: they become an array of times."""
-    o = d.table("orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("owner"), stamp("o_orderdate").alias("shown_at"))
-    lines = d.table("lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_linenumber").alias("line"), "l_quantity").join(o, "run")
+    """Every behaviour with the first category that holds.
+
+    Lines meet their order once; behaviours and exposures then stay where their run is. In order of time within a run and entity, a behaviour's latest
+    exposure is the greatest time of one so far."""
+    orders, items = d.dealt()
+    o = orders.select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("owner"), stamp("o_orderdate").alias("shown_at"))
+    lines = items.select(F.col("l_orderkey").alias("run"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_linenumber").alias("line"), "l_quantity").join(o, "run")
     minutes = F.make_dt_interval(mins=((F.col("part") % 400 - 40) * 60).cast("int"))
-    acts = lines.select(
-        "run", "owner", F.when(F.col("part") % 17 != 0, F.col("run")).alias("run_ref"), F.when(F.col("part") % 19 != 0, F.col("owner")).alias("user_id"), (F.col("supp") % 13 == 0).alias("other"),
+    none = F.lit(None)
+    act = F.struct(
+        none.cast("string").alias("type"), F.when(F.col("supp") % 23 == 0, None).when(F.col("part") % 29 == 0, F.col("part") + 1).otherwise(F.col("part")).alias("entity"), (F.col("shown_at") + minutes).alias("at"),
+        F.when(F.col("part") % 17 == 0, None).otherwise(F.col("run")).alias("run_ref"), F.when(F.col("part") % 19 == 0, None).otherwise(F.col("owner")).alias("user_id"), (F.col("supp") % 13 == 0).alias("other"),
         F.element_at(F.array(*map(F.lit, KINDS)), (1 + F.col("l_quantity").cast("long") % 10).cast("int")).alias("kind"),
-        F.when(F.col("supp") % 23 == 0, None).when(F.col("part") % 29 == 0, F.col("part") + 1).otherwise(F.col("part")).alias("entity"), (F.col("shown_at") + minutes).alias("at"),
     )
-    again = F.when(F.col("line") % 2 == 0, F.struct(F.lit("POST").alias("type"), (F.col("shown_at") + F.expr("interval 5 days")).alias("served")))
-    twice = F.when(F.col("supp") % 31 == 0, F.struct(F.lit("JOURNEY").alias("type"), F.col("shown_at").alias("served")))
-    shown = lines.select("run", F.col("part").alias("entity"), F.inline(F.array_compact(F.array(F.struct(F.lit("POST").alias("type"), F.col("shown_at").alias("served")), again, twice))))
-    identities = shown.groupBy("run", "entity").agg(F.size(F.collect_set("type")).alias("types"), F.collect_set("served").alias("times"))
-    rows = acts.join(identities, ["run", "entity"], "left").withColumn("served", F.array_max(F.filter("times", lambda t: t <= F.col("at"))))
+    shown = lambda type_, at: F.struct(
+        F.lit(type_).alias("type"), F.col("part").alias("entity"), at.alias("at"), none.cast("long").alias("run_ref"), none.cast("long").alias("user_id"), none.cast("boolean").alias("other"), none.cast("string").alias("kind")
+    )
+    again = F.when(F.col("line") % 2 == 0, shown("POST", F.col("shown_at") + F.expr("interval 5 days")))
+    twice = F.when(F.col("supp") % 31 == 0, shown("JOURNEY", F.col("shown_at")))
+    both = lines.select("run", "owner", F.explode(F.array(act, shown("POST", F.col("shown_at")), again, twice)).alias("r")).filter(F.col("r").isNotNull()).select("run", "owner", "r.*")
+    # an entity of the run; nothing is known of a missing one
+    w = Window.partitionBy("run", "entity").orderBy(F.asc_nulls_first("at"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = lambda c: F.when(F.col("entity").isNotNull(), c)
+    rows = both.select("*", F.min("type").over(whole).alias("least"), F.max("type").over(whole).alias("most"), F.max(F.when(F.col("type").isNotNull(), F.col("at"))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("latest"))
+    types = F.when(F.col("least").isNotNull(), F.when(F.col("least") == F.col("most"), 1).otherwise(2))
+    rows = rows.filter("type is null").select("run", "owner", "run_ref", "user_id", "other", "kind", "entity", "at", known(types).alias("types"), known(F.col("latest")).alias("served"))
     cutoff = F.lit(CUTOFF).cast("timestamp")
     end = F.col("served") + F.when(F.col("kind").isin(*SHORT_KINDS), F.expr(f"interval {SHORT_MINUTES} minutes")).otherwise(F.expr(f"interval {LONG_MINUTES} minutes"))
     tests = (
@@ -87,50 +100,59 @@ _SIDES = """a AS (SELECT run_id, user_id, rank::INTEGER AS idx, rank::INTEGER AS
             CASE WHEN abs(a.discount - b.discount) > 1e-9 OR a.quantity <> b.quantity THEN 'CANDIDATE_PROVENANCE' END, CASE WHEN a.negative <> b.negative THEN 'SIGNED_ZERO' END] END, lambda x: x IS NOT NULL)) FROM a FULL JOIN b ON a.run_id = b.run_id AND a.idx = b.idx)""".replace("{SNAP}", _SNAP)
 
 
-def replay_sides(d: Domain) -> tuple[DataFrame, DataFrame]:
-    """Stored candidates and replayed ones: run_id, user_id, idx (position), rank, post_id, quantity, discount, explored, negative, ran_at.
+def both_sides(d: Domain) -> DataFrame:
+    """Stored candidates (side a) and replayed ones (b): run_id, side, user_id, idx (position), rank, post_id, quantity, discount, explored, negative, ran_at, scaled.
 
     The replay stands two days later and differs in some candidates; what binds a run is computed from each side's own rows."""
-    run, rank = F.col("run_id"), F.col("rank")
-    a = d.runs.select("run_id", "user_id", rank.alias("idx"), "rank", "post_id", "quantity", "discount", (F.col("discount") > 0.05).alias("explored"), F.lit(False).alias("negative"), "ran_at")
-    b = d.runs.filter(~((run % 11 == 0) & (rank == 1))).select(
-        "run_id", "user_id", (rank - F.when(run % 11 == 0, 1).otherwise(0)).alias("idx"), (rank + F.when(run % 31 == 0, 1).otherwise(0)).alias("rank"), F.when((run % 7 == 0) & (rank == 2), F.col("post_id") + 1).otherwise(F.col("post_id")).alias("post_id"),
-        "quantity", F.when(run % 5 == 0, F.col("discount") + 0.01).otherwise(F.col("discount")).alias("discount"), ((F.col("discount") > 0.05) != (run % 37 == 0)).alias("explored"), ((run % 41 == 0) & (F.col("discount") == 0)).alias("negative"),
-        (F.col("ran_at") + F.expr("interval 2 days")).alias("ran_at"),
+    run, rank, post, discount = (F.col(c) for c in ("run_id", "rank", "post_id", "discount"))
+    names = ("side", "idx", "rank", "post_id", "discount", "explored", "negative", "ran_at")
+    of = lambda *values: F.struct(*(v.alias(n) for n, v in zip(names, values, strict=True)))
+    a = of(F.lit("a"), rank, rank, post, discount, discount > 0.05, F.lit(False), F.col("ran_at"))
+    b = of(
+        F.lit("b"), rank - F.when(run % 11 == 0, 1).otherwise(0), rank + F.when(run % 31 == 0, 1).otherwise(0), F.when((run % 7 == 0) & (rank == 2), post + 1).otherwise(post),
+        F.when(run % 5 == 0, discount + 0.01).otherwise(discount), (discount > 0.05) != (run % 37 == 0), (run % 41 == 0) & (discount == 0), F.col("ran_at") + F.expr("interval 2 days"),
     )
-    return a, b
-
-
-def replay_mismatches(d: Domain) -> DataFrame:
-    """(run_id, category) of each mismatch: those of a run as a whole, then those of its candidates by position."""
-    a, b = replay_sides(d)
-
-    def whole(side: DataFrame, s: str) -> DataFrame:
-        ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "post_id"))), lambda x: x["post_id"].cast("string"))
-        chain = F.aggregate(ids, F.lit(""), lambda c, x: F.sha2(F.concat(c, F.lit(":"), x), 256))
-        rows = side.withColumn("scaled", F.round(F.col("discount") * 1000).cast("long")).groupBy("run_id").agg(
-            F.min("user_id").alias("user"), F.count("*").alias("n"), F.sum("quantity").alias("total"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.md5(F.array_join(ids, ",")).alias("print"), chain.alias("chain"),
-            fold(row_hash(row_text("post_id", "scaled"))).alias("snap"), F.concat(F.lit("policy-"), F.year(F.max("ran_at")).cast("string")).alias("policy"),
-        )
-        rows = rows.withColumns({"seed": F.substring(F.sha2(F.concat_ws("|", "user", "snap", "policy"), 256), 1, 8), "status": F.when(F.col("n") >= 4, "FULL").otherwise("PARTIAL")})
-        return rows.select("run_id", *(F.col(c).alias(s + c) for c in ("n", "total", "lo", "hi", "print", "chain", "snap", "policy", "seed", "status")))
-
-    differ = lambda *cs: ~F.coalesce(F.expr(" and ".join(f"a_{c} = b_{c}" for c in cs)), F.lit(False))
-    tests = [
-        ("CURSOR_CHAIN", differ("chain")), ("SNAPSHOT_BINDING", differ("snap")), ("POLICY_BINDING", differ("policy")), ("SEED_BINDING", differ("seed")), ("STATUS", differ("status")),
-        ("COUNT", differ("n")), ("SUMMARY", differ("total")), ("PAGE_BOUNDARY", differ("lo", "hi")), ("FINGERPRINT", differ("print")),
-    ]
-    named = lambda tests: F.explode(F.array_compact(F.array(*(F.when(t, n) for n, t in tests)))).alias("category")
-    events = whole(a, "a_").join(whole(b, "b_"), "run_id", "left").select("run_id", named(tests))
-    pair = a.select("run_id", "idx", F.struct("post_id", "rank", "explored", "discount", "quantity", "negative").alias("x")).join(
-        b.select("run_id", "idx", F.struct("post_id", "rank", "explored", "discount", "quantity", "negative").alias("y")), ["run_id", "idx"], "full"
-    )
-    lone = F.col("x").isNull() | F.col("y").isNull()
+    sides = d.runs.select("run_id", "user_id", "quantity", F.explode(F.array(a, F.when(~((run % 11 == 0) & (rank == 1)), b))).alias("r")).filter(F.col("r").isNotNull())
+    return sides.select("run_id", "user_id", "quantity", "r.*").withColumn("scaled", F.round(F.col("discount") * 1000).cast("long"))
+
+
+def _binding(side: str) -> dict[str, Column]:
+    """Aggregates of a run that bind one side's candidates as a whole, each of them null where it has none."""
+    c = lambda name: F.when(F.col(f"{side}.here"), F.col(f"{side}.{name}"))
+    n = F.count(c("rank"))
+    ids = F.transform(F.sort_array(F.collect_list(F.when(F.col(f"{side}.here"), F.struct(c("rank").alias("rank"), c("post_id").alias("post_id"))))), lambda x: x["post_id"].cast("string"))
+    return {
+        "n": n, "user": F.min(c("user_id")), "total": F.sum(c("quantity")), "lo": F.min(c("rank")), "hi": F.max(c("rank")), "ids": ids, "snap": fold(F.when(F.col(f"{side}.here"), F.col(f"{side}.hash"))), "year": F.year(F.max(c("ran_at"))),
+    }
+
+
+def replay_counts(d: Domain) -> DataFrame:
+    """run_id, user_id and the number of mismatches of each category of a stored or replayed run; user_id is null where nothing is stored.
+
+    Candidates of both sides stay where their run is: positions are brought together first, then runs, in one pass over the lines."""
+    x = both_sides(d).withColumn("hash", row_hash(row_text("post_id", "scaled"))).groupBy("run_id", "idx")
+    one = F.struct("user_id", "rank", "post_id", "quantity", "discount", "explored", "negative", "ran_at", "hash")
+    met = x.agg(*(F.collect_list(F.when(F.col("side") == s, one)).alias(s) for s in "ab"))
+    # as a full join by position does; a candidate that meets several is bound once
+    met = met.select("run_id", F.posexplode_outer("a").alias("i", "a"), "b").select("run_id", "i", "a", F.posexplode_outer("b").alias("j", "b"))
+    first = lambda s, other: F.struct(F.expr(f"{s} is not null and coalesce({other}, 0) = 0").alias("here"), f"{s}.*")
+    met = met.select("run_id", first("a", "j").alias("a"), first("b", "i").alias("b"), F.expr("a is null or b is null").alias("lone"))
     tests = [
-        ("CANDIDATE_IDENTITY", lone | F.expr("x.post_id <> y.post_id")), ("CANDIDATE_RANK", F.expr("x.rank <> y.rank")), ("CANDIDATE_ORIGIN", F.expr("x.explored <> y.explored")),
-        ("CANDIDATE_PROVENANCE", F.expr("abs(x.discount - y.discount) > 1e-9 or x.quantity <> y.quantity")), ("SIGNED_ZERO", F.expr("x.negative <> y.negative")),
+        ("CANDIDATE_IDENTITY", F.col("lone") | F.expr("a.post_id <> b.post_id")), ("CANDIDATE_RANK", F.expr("a.rank <> b.rank")), ("CANDIDATE_ORIGIN", F.expr("a.explored <> b.explored")),
+        ("CANDIDATE_PROVENANCE", F.expr("abs(a.discount - b.discount) > 1e-9 or a.quantity <> b.quantity")), ("SIGNED_ZERO", F.expr("a.negative <> b.negative")),
     ]
-    return events.unionByName(pair.select("run_id", named(tests)))
+    runs = met.groupBy("run_id").agg(*(F.count_if(t).alias(k) for k, t in tests), *(v.alias(f"{s}_{k}") for s in "ab" for k, v in _binding(s).items()))
+    for s in "ab":
+        ids = F.col(f"{s}_ids")
+        runs = runs.withColumns({
+            f"{s}_print": F.md5(F.array_join(ids, ",")), f"{s}_chain": F.aggregate(ids, F.lit(""), lambda c, v: F.sha2(F.concat(c, F.lit(":"), v), 256)), f"{s}_policy": F.concat(F.lit("policy-"), F.col(f"{s}_year").cast("string")),
+            f"{s}_status": F.when(F.col(f"{s}_n") >= 4, "FULL").otherwise("PARTIAL"),
+        }).withColumn(f"{s}_seed", F.substring(F.sha2(F.concat_ws("|", f"{s}_user", f"{s}_snap", f"{s}_policy"), 256), 1, 8))
+    differ = lambda *cs: F.expr("a_n > 0 and not coalesce(b_n > 0 and " + " and ".join(f"a_{c} = b_{c}" for c in cs) + ", false)").cast("long")
+    whole = {
+        "CURSOR_CHAIN": differ("chain"), "SNAPSHOT_BINDING": differ("snap"), "POLICY_BINDING": differ("policy"), "SEED_BINDING": differ("seed"), "STATUS": differ("status"), "COUNT": differ("n"), "SUMMARY": differ("total"), "PAGE_BOUNDARY": differ("lo", "hi"), "FINGERPRINT": differ("print"),
+    }
+    return runs.select("run_id", F.col("a_user").alias("user_id"), *(whole.get(c, F.col(c)).alias(c) for c in MISMATCHES))
 
 
 @query(
@@ -140,10 +162,9 @@ def replay_mismatches(d: Domain) -> DataFrame:
 )
 def replay_comparison(d: Domain) -> DataFrame:
     """Mismatches and runs with them per category, over all stored runs; categories without any count 0."""
-    per_run = replay_mismatches(d).groupBy("category", "run_id").agg(F.count("*").alias("n"))
-    rows = per_run.groupBy("category").agg(F.sum("n").alias("mismatches"), F.count("*").alias("runs"))
-    names = d.spark.range(1).select(F.explode(F.array(*map(F.lit, MISMATCHES))).alias("category"))
-    return names.join(rows, "category", "left").select("category", F.coalesce("mismatches", F.lit(0)).alias("mismatches"), F.coalesce("runs", F.lit(0)).alias("runs"))
+    rows = replay_counts(d)
+    one = rows.agg(F.array(*(F.struct(F.lit(c).alias("category"), F.coalesce(F.sum(c), F.lit(0)).alias("mismatches"), F.count_if(F.col(c) > 0).alias("runs")) for c in MISMATCHES)).alias("found"))
+    return one.select(F.inline("found"))
 
 
 _WEIGHTS = " + ".join(f"{EVENT_WEIGHTS[k]} * coalesce({n}, 0)" for n, k in (("views", "view"), ("likes", "click"), ("saves", "save"), ("shares", "follow")))
@@ -220,10 +241,8 @@ def decide(rows: DataFrame) -> DataFrame:
 )
 def evaluation_decision(d: Domain) -> DataFrame:
     """Per member: replays of the member's runs, attributed outcomes, support, and what they decide."""
-    a, _ = replay_sides(d)
-    bad = replay_mismatches(d).select("run_id").distinct().withColumn("bad", F.lit(True))
-    runs = a.groupBy("run_id").agg(F.first("user_id").alias("user_id")).join(bad, "run_id", "left")
-    cases = runs.groupBy("user_id").agg(F.count("*").alias("replays"), F.count_if(F.col("bad").isNull()).alias("exact"))
+    runs = replay_counts(d).filter(F.col("user_id").isNotNull())
+    cases = runs.groupBy("user_id").agg(F.count("*").alias("replays"), F.count_if(F.greatest(*MISMATCHES) == 0).alias("exact"))
     hit = F.col("category") == "ATTRIBUTED"
     won = audited(d).groupBy(F.col("owner").alias("user_id")).agg(F.count_if(hit).alias("outcomes"), F.count_if(hit & (F.col("kind") == "REPORT")).alias("breaches"), F.count_if(F.col("types").isNotNull()).alias("supported"), F.count("*").alias("candidates"))
     return decide(cases.join(won, "user_id").withColumn("violations", F.lit(0))).select("user_id", "replays", "exact", "outcomes", "decision", "reason")

@@ -115,17 +115,22 @@ class Domain:
         low = self.table("nation").select((100 + F.col("n_nationkey")).cast("long").alias("region_id"), F.col("n_regionkey").cast("long").alias("parent_id"), F.lower("n_name").alias("slug"))
         return top.unionByName(low)
 
-    @property
-    def runs(self) -> DataFrame:
-        """Lines with their order. Lines and orders meet in as many tasks as the lines need, so that what one sorts doesn't grow with the tables."""
-        from pyspark.sql import Window
-
+    def dealt(self) -> tuple[DataFrame, DataFrame]:
+        """Orders and lines, which meet by their order in as many tasks as the lines need, so that what one sorts doesn't grow with the tables."""
         orders, lines = self.table("orders"), self.table("lineitem")
         if self._lines is None:
             self._lines = lines.count()  # from the files' footers
         tasks = -(-self._lines // LINES_A_TASK)
         if tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")):
             orders, lines = orders.repartition(tasks, "o_orderkey"), lines.repartition(tasks, "l_orderkey")
+        return orders, lines
+
+    @property
+    def runs(self) -> DataFrame:
+        """Lines with their order."""
+        from pyspark.sql import Window
+
+        orders, lines = self.dealt()
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
         items = lines.withColumn("rank", F.row_number().over(order))
         return orders.join(items, F.col("l_orderkey") == F.col("o_orderkey")).select(
